@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from gridloom.llm import exact_dedup, simhash_dedup, token_counts
+from gridloom.llm import exact_dedup, rlz_dedup, simhash_dedup, suffix_dedup, token_counts
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (token_counts.op2_token_counts, exact_dedup.op3_exact_dedup, simhash_dedup.op9_simhash_near_dedup)}
+    found = (
+        suffix_dedup.op1_suffix_array_dedup,
+        token_counts.op2_token_counts,
+        exact_dedup.op3_exact_dedup,
+        simhash_dedup.op9_simhash_near_dedup,
+        rlz_dedup.op10_rlz_substring_dedup,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -30,25 +30,28 @@ U = np.uint64
 class SuffixArray:
     """Enhanced suffix array of contents that stand apart: suffixes end with their content."""
 
-    def __init__(self, contents: list[bytes], starts: list[int] | np.ndarray):
-        """starts: how many suffixes from its begin on are taken of each content."""
+    def __init__(self, contents: list, starts: list[int] | np.ndarray):
+        """contents: bytes, or arrays of 64-bit elements. starts: how many suffixes from its begin on are taken of each content."""
         sizes = np.fromiter(map(len, contents), np.int64, len(contents))
-        n = int(sizes.sum())
-        text = np.frombuffer(b"".join(contents) + bytes(8), np.uint8)
-        self.size = n
-        begin = np.cumsum(sizes) - sizes
+        n = self.size = int(sizes.sum())
+        self.begin = np.cumsum(sizes) - sizes
         self.owner = np.repeat(np.arange(len(contents)), sizes)
-        self.offset = np.arange(n) - begin[self.owner]
-        self.left = np.where(self.offset > 0, text[np.arange(n) - 1].astype(np.int64), np.int64(-1))
+        self.offset = np.arange(n) - self.begin[self.owner]
         self.room = sizes[self.owner] - self.offset
-        word = np.zeros(n, U)
-        for i in range(8):
-            word = (word << U(8)) | np.where(self.room > i, text[i : i + n], 0).astype(U)
-        self.word = word
+        if n and isinstance(contents[0], bytes):
+            text = np.frombuffer(b"".join(contents) + bytes(8), np.uint8)
+            self.left = np.where(self.offset > 0, text[np.arange(n) - 1].astype(np.int64), np.int64(-1))
+            self.word = np.zeros(n, U)
+            for i in range(8):
+                self.word = (self.word << U(8)) | np.where(self.room > i, text[i : i + n], 0).astype(U)
+            self.base, rank = 8, np.unique(self.word, return_inverse=True)[1].astype(np.int64)
+        else:
+            rank = np.unique(np.concatenate([np.zeros(0, np.int64), *contents]), return_inverse=True)[1].astype(np.int64)
+            self.left = np.where(self.offset > 0, rank[np.arange(n) - 1], np.int64(-1))
+            self.base = 1
         self.ranks: list[np.ndarray] = []
-        rank = np.unique(word, return_inverse=True)[1].astype(np.int64)
-        length = 8
-        while length < (int(sizes.max()) if len(sizes) else 0):
+        length = self.base
+        while length < (int(sizes.max()) if n else 0):
             self.ranks.append(rank)
             after = np.zeros(n, np.int64)
             inner = np.flatnonzero(self.room > length)
@@ -56,7 +59,7 @@ class SuffixArray:
             rank = np.unique((rank << 32) | after, return_inverse=True)[1].astype(np.int64)
             length *= 2
         self.ranks.append(rank)
-        keep = np.flatnonzero(self.offset < np.asarray(starts)[self.owner])
+        keep = np.flatnonzero(self.offset < np.asarray(starts)[self.owner]) if n else np.zeros(0, np.int64)
         self.sa = keep[np.argsort(rank[keep], kind="stable")]
         self.lcp = np.zeros(len(self.sa), np.int64)
         if len(self.sa) > 1:
@@ -66,19 +69,19 @@ class SuffixArray:
         """Lengths of the common prefixes of pairs of suffixes."""
         got = np.zeros(len(a), np.int64)
         room = np.minimum(self.room[a], self.room[b])
-        length = 8 << (len(self.ranks) - 1)
+        length = self.base << (len(self.ranks) - 1)
         for rank in reversed(self.ranks):
             on = np.flatnonzero(got < room)
             on = on[rank[a[on] + got[on]] == rank[b[on] + got[on]]]
             got[on] += length
             length //= 2
-        on = np.flatnonzero(got < room)
-        x = self.word[a[on] + got[on]] ^ self.word[b[on] + got[on]]
-        for i in range(8):
-            x_at = (x >> U(8 * (7 - i))) & U(255)
-            live = x_at == 0
-            got[on[live]] += 1
-            on, x = on[live], x[live]
+        if self.base > 1:
+            on = np.flatnonzero(got < room)
+            x = self.word[a[on] + got[on]] ^ self.word[b[on] + got[on]]
+            for i in range(8):
+                live = (x >> U(8 * (7 - i))) & U(255) == 0
+                got[on[live]] += 1
+                on, x = on[live], x[live]
         return np.minimum(got, room)
 
 
