@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that a Python worker gets at once.
+BATCH = 1000
 #: White space of every contract here: space and the five ASCII controls from tab to return.
 WS = r"[\x20\x09-\x0D]+"
 
@@ -18,7 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ready(spark: SparkSession) -> None:
-    """Lets Python workers of a local session import this package wherever the driver was started."""
+    """Lets Python workers of a local session import this package wherever the driver was started, and bounds the batches that they get: texts are long."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if top not in env.get("PYTHONPATH", "").split(os.pathsep):

@@ -151,7 +151,7 @@ def word_elements(texts: list[bytes]):
     return values, counts, values
 
 
-def text_blocks(texts: list[bytes], most: int = 2_000_000):
+def text_blocks(texts: list[bytes], most: int = 1_000_000):
     at, n = 0, 0
     for i, t in enumerate(texts):
         n += len(t)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from gridloom.llm import _base, anchored
 
 #: Bytes of a window and of an anchor; different blocks of an anchor that one suffix array takes; blocks of an array.
-WINDOW, GRAM, GROUP, BLOCKS = 200, 32, 256, 4000
+WINDOW, GRAM, GROUP, BLOCKS = 200, 32, 256, 1500
 U = np.uint64
 
 
