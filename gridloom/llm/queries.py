@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.llm import exact_dedup, rlz_dedup, simhash_dedup, suffix_dedup, token_counts
+from gridloom.llm import exact_dedup, packing, rlz_dedup, simhash_dedup, suffix_dedup, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         suffix_dedup.op1_suffix_array_dedup,
         token_counts.op2_token_counts,
         exact_dedup.op3_exact_dedup,
+        toxicity.op4_toxicity,
+        packing.op8_best_fit_packing,
         simhash_dedup.op9_simhash_near_dedup,
         rlz_dedup.op10_rlz_substring_dedup,
     )

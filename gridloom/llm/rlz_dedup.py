@@ -129,7 +129,7 @@ def spans(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int, g
     found = _base.spill(found.select("id.*", "start", "run", "h", "c", "content"), "blocks")
     rows = _base.spill(found.drop("content").join(stats, "h").filter(F.col("several") | (F.col("doc") > F.col("least"))), "repeats")
     out = rows.filter("not several").select("key", F.array("start").alias("begin"), F.array(F.col("start") + F.col("run")).alias("until"))
-    each = found.filter("content is not null").join(stats.filter("several").select("h"), "h")
+    each = found.filter("content is not null")
     each = _base.spill(each.groupBy("h", "c").agg(F.min("doc").alias("first"), F.first("run").alias("run"), F.first("content").alias("content")), "contents")
     crowds = _base.spill(each.groupBy("h").agg(F.count(F.lit(1)).alias("g")).filter(F.col("g") > group).select("h"), "crowds")
     few = each.join(crowds, "h", "left_anti").select("h", "c", "first", "run", "content").repartition("h").sortWithinPartitions("h")

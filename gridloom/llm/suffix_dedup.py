@@ -200,7 +200,7 @@ def removed_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = _base.spill(rows, "repeats")
     spans = rows.filter("not several").select("id", F.array("start").alias("begin"), F.array(F.col("start") + F.col("run")).alias("until"))
     # One content of each different block, where an anchor has several.
-    each = found.filter("content is not null").join(stats.filter("several").select("h"), "h")
+    each = found.filter("content is not null")
     each = each.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.first("run").alias("run"), F.first("content").alias("content"))
     each = _base.spill(each, "contents")
     sizes = _base.spill(each.groupBy("h").agg(F.count(F.lit(1)).alias("g")).filter(F.col("g") > group), "crowds")

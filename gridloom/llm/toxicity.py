@@ -17,11 +17,11 @@ from gridloom.llm import _base, hashing
 
 U = np.uint64
 #: Labelled rows of a class that are fitted on, characters of them all, lengths of n-grams.
-SAMPLE, CHARACTERS, GRAMS = 6000, 40_000_000, (4, 5, 6)
-#: Buckets of the first count; least texts with an n-gram, and deviations from chance, for it to be a feature.
-BUCKETS, LEAST, DEVIATIONS = 1 << 22, 4, 5.0
+SAMPLE, CHARACTERS, GRAMS = 4000, 30_000_000, (4, 5, 6)
+#: Buckets of the first count; least texts with an n-gram, and deviations from chance and log ratio, for it to be a feature (weak ones add up in long texts).
+BUCKETS, LEAST, DEVIATIONS, RATIO = 1 << 22, 4, 5.0, 2.0
 #: Smoothing of counts, rounds and ridge of the fit, score from which a text counts as toxic.
-ALPHA, ROUNDS, RIDGE, THRESHOLD = 0.5, 60, 1e-3, 0.3
+ALPHA, ROUNDS, RIDGE, THRESHOLD = 0.5, 200, 1e-3, 0.3
 _MUL, _ADD = U(0x9E3779B97F4A7C15), U(0x632BE59BD9B4E019)
 
 
@@ -78,15 +78,16 @@ def _blocks(texts: list[str], most: int = 1_000_000):
 
 
 def telling(n1: np.ndarray, n0: np.ndarray, pos: int, neg: int) -> np.ndarray:
-    """Where the number of toxic texts with an n-gram is DEVIATIONS standard deviations from what chance gives."""
+    """Where the number of toxic texts with an n-gram is far from what chance gives, and the ratio large."""
     n = n1 + n0
     share = pos / (pos + neg)
     spread = np.sqrt(np.maximum(n * share * (1 - share), 1e-9) + 1)
-    return (n >= LEAST) & (np.abs(n1 - n * share) >= DEVIATIONS * spread)
+    ratio = np.log((n1 + ALPHA) / (pos + 2 * ALPHA)) - np.log((n0 + ALPHA) / (neg + 2 * ALPHA))
+    return (n >= LEAST) & (np.abs(ratio) >= RATIO) & (np.abs(n1 - n * share) >= DEVIATIONS * spread)
 
 
-def fit(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, ridge: float = RIDGE) -> Classifier:
-    """Counts texts with each n-gram by class, keeps those whose ratio says most, then fits their weights."""
+def fit(texts: list[str], labels: np.ndarray, prior: float | None = None, rounds: int = ROUNDS, ridge: float = RIDGE) -> Classifier:
+    """prior: the share of label 1, where texts are a sample by class. Counts texts with each n-gram by class, keeps those whose ratio says most, then fits their weights."""
     labels = np.asarray(labels, bool)
     pos, neg = int(labels.sum()), int((~labels).sum())
     if not pos or not neg:
@@ -116,8 +117,9 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = ROUNDS, ridge: float
     # Logistic regression on the scaled features, by gradient steps with momentum.
     value = r[col]
     y = labels.astype(float)
-    each = np.where(labels, 0.5 / pos, 0.5 / neg) * 2
-    w, b = np.full(len(features), 0.02), np.log(pos / neg)
+    prior = min(max(pos / len(texts) if prior is None else prior, 1e-6), 1 - 1e-6)
+    each = np.where(labels, prior / pos, (1 - prior) / neg)
+    w, b = np.full(len(features), 0.02), np.log(prior / (1 - prior))
     vw, vb = np.zeros_like(w), 0.0
     norm = np.maximum(np.bincount(row, value * value, len(texts)).mean(), 1e-9)
     rate = 2.0 / norm
