@@ -19,7 +19,7 @@ U = np.uint64
 #: Labelled rows of a class that are fitted on, characters of them all, lengths of n-grams.
 SAMPLE, CHARACTERS, GRAMS = 4000, 30_000_000, (4, 5, 6)
 #: Buckets of the first count; least texts with an n-gram, and deviations from chance and log ratio, for it to be a feature (weak ones add up in long texts).
-BUCKETS, LEAST, DEVIATIONS, RATIO = 1 << 22, 4, 5.0, 2.0
+BUCKETS, LEAST, DEVIATIONS, RATIO = 1 << 22, 4, 6.0, 2.0
 #: Smoothing of counts, rounds and ridge of the fit, score from which a text counts as toxic.
 ALPHA, ROUNDS, RIDGE, THRESHOLD = 0.5, 200, 1e-3, 0.3
 _MUL, _ADD = U(0x9E3779B97F4A7C15), U(0x632BE59BD9B4E019)
