@@ -76,8 +76,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_groups() drops; all columns stay."""
-    drop = exact_groups(docs, id_col, text_col).filter("not kept").select(F.col(id_col).alias("__drop")).distinct()
-    return docs.join(drop, docs[id_col] == drop["__drop"], "left_anti")
+    drop = exact_groups(docs, id_col, text_col).filter("not kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    drop = _base.spill(drop, "dropped")
+    sha = F.sha2(normalised(docs[text_col]).cast("binary"), 256)
+    return docs.join(drop, docs[id_col].eqNullSafe(drop["__id"]) & (sha == drop["__sha"]), "left_anti")
 
 
 ORACLE = r"""

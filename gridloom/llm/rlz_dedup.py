@@ -16,6 +16,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -163,5 +164,33 @@ def removed_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return texts.join(found, "__key", "left").select("__id", "__text", "begin", "until").mapInArrow(_finished(window, id_col), f"`{id_col}` {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
+def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+    """docs with the words that removed_passages() removes taken out of the text, which is then joined by single spaces; all columns stay.
+
+    Texts without such words stay as they are; rows of which nothing is left go.
+    """
+    _base.ready(docs.sparkSession)
+    found = spans(docs, id_col, text_col, window, gram, group).withColumnRenamed("key", "__key").withColumnsRenamed({"begin": "__begin", "until": "__until"})
+    place, n = docs.columns.index(text_col), len(docs.columns)
+    finish = _finished(window, "id")
+
+    def run(batches):
+        for batch in batches:
+            text = batch.column(place).cast(pa.binary())
+            hit = batch.column(n).is_valid()
+            rest = batch.filter(pa.compute.invert(hit))
+            if rest.num_rows:
+                yield rest.select(range(n))
+            part = batch.filter(hit)
+            if part.num_rows:
+                done = next(finish([pa.RecordBatch.from_arrays([pa.nulls(part.num_rows), text.filter(hit), part.column(n), part.column(n + 1)], ["id", "t", "b", "u"])]))
+                left = done.column("n_words").to_numpy() > done.column("n_removed").to_numpy()
+                cols = [done.column("kept") if i == place else part.column(i) for i in range(n)]
+                yield pa.RecordBatch.from_arrays(cols, schema=rest.select(range(n)).schema).filter(pa.array(left))
+
+    keyed = docs.withColumn("__key", _base.row_key(docs[id_col], docs[text_col])).join(found, "__key", "left").select(*[docs[c] for c in docs.columns], "__begin", "__until")
+    return keyed.mapInArrow(run, docs.schema)
+
+
 def op10_rlz_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return removed_passages(_base.table(spark, sf_dir, "documents")).drop("kept")

@@ -218,10 +218,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the row of the smallest id of each class; all columns stay."""
+    """docs with the row of the smallest id of each class; all columns stay. Ids must be unique here."""
     found = near_classes(docs, id_col, text_col)
-    drop = found.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__drop")).distinct()
-    return docs.join(drop, docs[id_col] == drop["__drop"], "left_anti")
+    drop = _base.spill(found.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__drop")).distinct(), "dropped")
+    return docs.join(drop, docs[id_col].eqNullSafe(drop["__drop"]), "left_anti")
 
 
 def op9_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

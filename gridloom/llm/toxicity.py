@@ -171,6 +171,22 @@ def scored(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col:
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int")
 
 
+def accepted(docs: DataFrame, model: Classifier, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """docs without the rows that score `threshold` or more; all columns stay."""
+    _base.ready(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast((model.features, model.values, model.intercept))
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        own = Classifier(*shared.value)
+        for batch in batches:
+            texts = [x or "" for x in batch.column(place).to_pylist()]
+            score = np.concatenate([np.zeros(0), *(own.scores(texts[i:j]) for i, j in _blocks(texts))])
+            yield batch.filter(pa.array(score < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted. Where no label of either class is there to learn from, all scores are alike. Other columns of docs are not read."""
     out = scored(docs, train(docs, labels, sample))
