@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.llm import exact_dedup, packing, rlz_dedup, simhash, simhash_dedup, suffix_dedup, token_counts, toxicity
+from gridloom.llm import ctw, exact_dedup, packing, rlz_dedup, simhash, simhash_dedup, suffix_dedup, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         token_counts.op2_token_counts,
         exact_dedup.op3_exact_dedup,
         toxicity.op4_toxicity,
+        ctw.op5_context_tree_scores,
         simhash.op7_simhash_fingerprints,
         packing.op8_best_fit_packing,
         simhash_dedup.op9_simhash_near_dedup,
