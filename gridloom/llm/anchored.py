@@ -9,6 +9,7 @@ only be equal where h is. There is about one block for each window/2 elements.
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 import numpy as np
@@ -64,7 +65,7 @@ def sliding_argmin(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def blocks(values: np.ndarray, sizes: np.ndarray, window: int, k: int):
-    """Blocks of documents that stand one after another in values: document, start in it, run, h, c."""
+    """Blocks of documents that stand one after another in values: document, start in it, run, h, c, place of the anchor in the block."""
     ends = np.cumsum(sizes)
     out = []
     # Stretches: whole documents while they fit; a longer document alone, in overlapping pieces.
@@ -84,7 +85,7 @@ def blocks(values: np.ndarray, sizes: np.ndarray, window: int, k: int):
             at += STRETCH - window + 1
         i += 1
     if not out:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U, U))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U, U, np.int64))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -92,7 +93,7 @@ def _stretch(values, docs, begin, end, offset, window, k):
     size = end - begin
     n_win = np.maximum(size - window + 1, 0)
     if len(values) < window or not n_win.any():
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U, U))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U, U, np.int64))
     h = kgram_hashes(values, k)
     anchor = sliding_argmin(h, window - k + 1)
     own = np.repeat(np.arange(len(docs)), n_win)
@@ -106,7 +107,7 @@ def _stretch(values, docs, begin, end, offset, window, k):
         total = np.concatenate([[U(0)], np.cumsum(h * power[: len(h)], dtype=U)])
         content = (total[s + run - 1 + window - k + 1] - total[s]) * inverse[s]
         c = hashing.mix(content ^ (run.astype(U) * hashing.P1))
-    return docs[d], s - begin[d] + offset[d], run, h[a[first]], c
+    return docs[d], s - begin[d] + offset[d], run, h[a[first]], c, a[first] - s
 
 
 def listed(doc: np.ndarray, n_docs: int, *columns: np.ndarray) -> list[pa.ListArray]:
@@ -170,7 +171,7 @@ def first_scan(elements, window: int, k: int):
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for i, j in text_blocks(texts):
                 values, sizes, _ = elements(texts[i:j])
-                doc, _, _, h, c = blocks(values, sizes, window, k)
+                doc, _, _, h, c, _ = blocks(values, sizes, window, k)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc + i)), pa.array(h.view(np.int64)), pa.array(c.view(np.int64))], ["id", "h", "c"])
 
     return run
@@ -200,23 +201,23 @@ def filter_of(hashes) -> np.ndarray:
 
 
 def second_scan(elements, window: int, k: int, repeated, several):
-    """(id, text) to (id, start, run, h, c, content) of the blocks that pass filter `repeated`; content only of those that pass `several`."""
+    """(id, text) to (id, start, run, h, c, anchor, content) of the blocks that pass filter `repeated`; content only of those that pass `several`."""
 
     def run(batches):
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for i, j in text_blocks(texts):
                 values, sizes, source = elements(texts[i:j])
-                doc, start, size, h, c = blocks(values, sizes, window, k)
+                doc, start, size, h, c, anchor = blocks(values, sizes, window, k)
                 on = np.flatnonzero(passes(repeated.value, h))
-                doc, start, size, h, c = (x[on] for x in (doc, start, size, h, c))
+                doc, start, size, h, c, anchor = (x[on] for x in (doc, start, size, h, c, anchor))
                 begin = (np.cumsum(sizes) - sizes)[doc] + start
                 wanted = passes(several.value, h)
                 if isinstance(source, bytes):
                     content = pa.array([source[b : b + n] if w else None for b, n, w in zip(begin.tolist(), (size + window - 1).tolist(), wanted.tolist())], pa.binary())
                 else:
                     content = pa.array([source[b : b + n].view(np.int64) if w else None for b, n, w in zip(begin.tolist(), (size + window - 1).tolist(), wanted.tolist())], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc + i)), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), content], ["id", "start", "run", "h", "c", "content"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc + i)), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(anchor.astype(np.int32)), content], ["id", "start", "run", "h", "c", "anchor", "content"])
 
     return run
 
@@ -239,12 +240,57 @@ def by_group(batches, n_columns: int, most: int):
         yield held
 
 
-def window_hashes(content, window: int, k: int) -> np.ndarray:
-    """Hashes of the windows of one block's content."""
-    values = np.frombuffer(content, np.uint8).astype(U) if isinstance(content, bytes) else np.asarray(content, np.int64).view(U)
-    h = kgram_hashes(values, k)
-    n, m = len(values) - window + 1, window - k + 1
-    power, inverse = _powers(STRETCH)
-    with np.errstate(over="ignore"):
-        total = np.concatenate([[U(0)], np.cumsum(h * power[: len(h)], dtype=U)])
-        return hashing.mix((total[m : m + n] - total[:n]) * inverse[:n])
+def _split(window: int, k: int):
+    """Pieces (key, ..., l, r, at, run, ..., content) to two finer ones each.
+
+    All blocks of a key agree on l elements before their anchor and r after it. Of a window's other
+    elements, at least half lie on one side: by that side its windows are dealt to two pieces, whose
+    keys take the half next to what is known. Equal windows stay together.
+    """
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                content, p, left, right = row["content"], row["anchor"], row["l"], row["r"]
+                x = window - left - k - right
+                half = (x + 1) // 2
+                other = x - half + 1
+                s, e, edge = row["at"], row["at"] + row["run"], p - left - half + 1
+                for side, (b, u), part in ((0, (s, min(e, edge)), slice(p - left - half, p - left)), (1, (max(s, edge), e), slice(p + k + right, p + k + right + other))):
+                    if b < u:
+                        seen = content[part] if isinstance(content, bytes) else np.asarray(content[part], np.int64).tobytes()
+                        key = hashlib.blake2b(b"%d %d " % (row["key"], side) + seen, digest_size=8).digest()
+                        out.append(row | {"key": int.from_bytes(key, "little", signed=True), "l": left + half * (side == 0), "r": right + other * (side == 1), "at": b, "run": u - b})
+            yield pa.RecordBatch.from_pylist(out, batch.schema)
+
+    return run
+
+
+def dealt(each, window: int, k: int, group: int, solve, settle):
+    """Marks (h, c, begin, until) of different blocks (h, c, anchor, run, first, content).
+
+    solve gets the pieces of keys that at most `group` of them share. Larger keys are split again and
+    again; where all of a window is known, settle gets (h, c, at, first, n, least): how many pieces
+    have this window and the smallest `first` of them.
+    """
+    from pyspark.sql import functions as F
+
+    from gridloom.llm import _base
+
+    rows = each.select(F.col("h").alias("key"), "h", "c", "anchor", *(F.lit(0).alias(x) for x in ("l", "r", "at")), "run", "first", "content")
+    out, level = None, 0
+    while True:
+        sizes = _base.spill(rows.groupBy("key").agg(F.count(F.lit(1)).alias("g")).filter("g > 1"), "sizes")
+        large = _base.spill(sizes.filter(F.col("g") > group).select("key"), "large")
+        few = rows.join(large, "key", "left_anti") if not level else rows.join(sizes.filter(F.col("g") <= group).select("key"), "key")
+        found = solve(few.repartition("key").sortWithinPartitions("key"))
+        out = found if out is None else out.union(found)
+        if large.isEmpty():
+            return out
+        finer = _base.spill(rows.join(large, "key").select(rows.columns).mapInArrow(_split(window, k), rows.schema), "pieces")
+        whole = F.col("l") + F.col("r") == window - k
+        known = finer.filter(whole).select("key", "h", "c", "at", "first")
+        least = _base.spill(known.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("least")), "known")
+        out = out.union(settle(known.join(least, "key")))
+        rows, level = finer.filter(~whole), level + 1

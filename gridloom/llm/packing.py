@@ -15,6 +15,7 @@ from __future__ import annotations
 import bisect
 import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ class WordCoder:
     """
 
     #: Words of each of the two generations that are remembered.
-    KEPT = 400_000
+    KEPT = 600_000
     MARKS = frozenset(b".,;:!?")
 
     def __init__(self, path: str):
@@ -50,57 +51,52 @@ class WordCoder:
         others = [b for b in range(256) if b not in set(plain)]
         #: The characters that byte-level models have for bytes.
         self.shown = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
-        self.known: dict[bytes, bytes] = {}
+        self.known = _Known(self)
         self.older: dict[bytes, bytes] = {}
 
-    def learn(self, new: set[bytes]) -> None:
-        known, older = self.known, self.older
-        forms, ask = {}, set()
-        for w in new:
-            if w in older:
-                known[w] = older[w]
-                continue
-            stem, mark = w if b"<|" in w else w.lower(), b""
-            if len(stem) > 1 and stem[-1] in self.MARKS and stem[-2:-1].isalnum():
-                stem, mark = stem[:-1], stem[-1:]
-            forms[w] = (stem, mark)
-            ask.update(x for x in (stem, mark) if x and x not in known)
-        for x in [x for x in ask if x in older]:
-            known[x] = older[x]
-            ask.discard(x)
+    def encode(self, word: bytes) -> bytes:
+        """Ids of one word, found by its parts."""
+        found = self.older.get(word)
+        if found is not None:
+            return found
+        if word[-1] in self.MARKS and word[-2:-1].isalnum() and b"<|" not in word:
+            return self.known[word[:-1]] + self.known[word[-1:]]
+        low = word if b"<|" in word else word.lower()
+        if low != word:
+            return self.known[low]
+        text = word.decode()
         # Words of letters only need no normalising and are one pre-token: the model takes them as they are.
-        some = []
-        for x in ask:
-            text = x.decode()
-            if text.isalpha() and (text.isascii() or (text == text.lower() and unicodedata.is_normalized("NFC", text) and text.casefold() == text)):
-                known[x] = np.array([t.id for t in self.model.tokenize(x.decode("latin-1").translate(self.shown))], "<u4").tobytes()
-            else:
-                some.append(x)
-        for x, e in zip(some, self.tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False)):
-            known[x] = np.array(e.ids, "<u4").tobytes()
-        for w, (stem, mark) in forms.items():
-            known[w] = known[stem] + known[mark] if mark else known[stem]
+        if text.isalpha():
+            if text.isascii():
+                return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+            if text.casefold() == text == text.lower() and unicodedata.is_normalized("NFC", text):
+                return array("I", [t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.shown))]).tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.known) > self.KEPT:
-            self.known, self.older = {}, self.known
-        parts = [t.encode().split() for t in texts]
-        get = self.known.get
-        found = [list(map(get, p)) for p in parts]
-        gaps = [i for i, x in enumerate(found) if None in x]
-        if gaps:
-            self.learn({w for i in gaps for w, x in zip(parts[i], found[i]) if x is None})
-            for i in gaps:
-                found[i] = map(get, parts[i])
-        return [b"".join(x) for x in found]
+            self.known, self.older = _Known(self), dict(self.known)
+        get = self.known.__getitem__
+        return [b"".join(map(get, t.encode().split())) for t in texts]
+
+
+class _Known(dict):
+    """Remembers the ids of words."""
+
+    def __init__(self, coder: WordCoder):
+        self.coder = coder
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = self[word] = self.coder.encode(word)
+        return found
 
 
 _coders: dict[str, WordCoder] = {}
 
 
-def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, end: int = END) -> DataFrame:
-    """(id, row, piece, start, length, ids): each text's ids and `end`, cut into pieces of `limit` ids; the last may be shorter. ids are little-endian unsigned 32-bit numbers."""
+def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, end: int = END, keep_ids: bool = True) -> DataFrame:
+    """(id, row, piece, start, length, ids_crc32, ids if keep_ids): each text's ids and `end`, cut into pieces of `limit` ids; the last may be shorter. ids are little-endian unsigned 32-bit numbers."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -121,14 +117,16 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                     ids += tail
                     for p, s in enumerate(range(0, len(ids), 4 * limit)):
                         part = ids[s : s + 4 * limit]
-                        rows.append((base + d, p, s // 4, len(part) // 4, zlib.crc32(part), part))
+                        rows.append((base + d, p, s // 4, len(part) // 4, zlib.crc32(part), part if keep_ids else None))
                 cols = list(zip(*rows))
                 place = pa.array(cols[0], pa.int64())
-                yield pa.RecordBatch.from_arrays([all_ids.take(place), all_keys.take(place), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:5]), pa.array(cols[5], pa.binary())], ["id", "row", "piece", "start", "length", "ids_crc32", "ids"])
+                out = [all_ids.take(place), all_keys.take(place), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:5])]
+                yield pa.RecordBatch.from_arrays([*out, pa.array(cols[5], pa.binary())] if keep_ids else out, names)
 
     _base.ready(docs.sparkSession)
     keyed = docs.select(F.col(id_col), _base.row_key(F.col(id_col), F.col(text_col)), F.col(text_col))
-    return keyed.mapInArrow(run, f"id {kind}, row long, piece int, start long, length long, ids_crc32 long, ids binary")
+    names = ["id", "row", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
+    return keyed.mapInArrow(run, f"id {kind}, row long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
 
 
 # ---- bin completion --------------------------------------------------------------------------
@@ -226,8 +224,7 @@ def packing(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
     longer documents are cut. Other columns are not read.
     """
     spark = docs.sparkSession
-    found = pieces(docs, tokenizer, id_col, text_col, limit, end)
-    found = found if keep_ids else found.drop("ids")
+    found = pieces(docs, tokenizer, id_col, text_col, limit, end, keep_ids)
     found = _base.spill(found.withColumn("salt", F.pmod(F.xxhash64("row", "piece"), F.lit(salts))), "pieces")
     # At most limit x salts rows.
     sizes = found.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).toArrow().sort_by([("length", "ascending"), ("salt", "ascending")])

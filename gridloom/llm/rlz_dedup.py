@@ -7,7 +7,8 @@ all blocks gives for each place the longest match with a reference, the parse ta
 greedily from left to right, and factors of at least a window become duplicate spans. Windows
 that reach over the end of a factor are looked up on their own, as another reference may have them.
 
-Anchors that more than GROUP different blocks share are dealt out again by the hash of each window.
+Anchors that more than GROUP different blocks share are dealt out again by more and more of the words beside
+them.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import _base, anchored
-from gridloom.llm.suffix_dedup import MARKS, MARKS_SQL, SuffixArray, _windows
+from gridloom.llm.suffix_dedup import MARKS, MARKS_SQL, SuffixArray
 
 #: Words of a window and of an anchor; different blocks of an anchor that one index takes; blocks of an index.
-WINDOW, GRAM, GROUP, BLOCKS = 50, 10, 256, 4000
+WINDOW, GRAM, GROUP, BLOCKS = 50, 10, 512, 3000
 
 
 def longest_matches(array: SuffixArray, order: np.ndarray, least: int) -> np.ndarray:
@@ -88,11 +89,13 @@ def parsed(contents: list, runs: list[int], order: list[int], window: int = WIND
 
 
 def _marks(window: int):
+    """Pieces, sorted by key, to (h, c, begin, until): the windows that a block of smaller `first` has."""
+
     def run(batches):
-        for h, c, first, runs, contents in anchored.by_group(batches, 5, BLOCKS):
-            found = parsed([np.asarray(x, np.int64) for x in contents], runs, first, window)
-            rows = [{"h": x, "c": y, "begin": [s for s, _ in z], "until": [e for _, e in z]} for x, y, z in zip(h, c, found) if z]
-            yield pa.RecordBatch.from_pylist(rows, MARKS)
+        for _, h, c, _, _, _, at, runs, first, contents in anchored.by_group(batches, 10, BLOCKS):
+            contents = [np.asarray(x[a : a + n + window - 1], np.int64) for x, a, n in zip(contents, at, runs)]
+            found = [{"h": x, "c": y, "begin": [a + s for s, _ in z], "until": [a + e for _, e in z]} for x, y, a, z in zip(h, c, at, parsed(contents, runs, first, window)) if z]
+            yield pa.RecordBatch.from_pylist(found, MARKS)
 
     return run
 
@@ -126,19 +129,18 @@ def spans(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int, g
     stats = counted.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min("c").alias("low"), F.max("c").alias("high")).filter(F.col("least") < F.col("most"))
     stats = _base.spill(stats.select("h", "least", (F.col("low") < F.col("high")).alias("several")), "anchors")
     repeated, several = (spark.sparkContext.broadcast(anchored.filter_of(x)) for x in (stats, stats.filter("several")))
-    found = words.mapInArrow(anchored.second_scan(anchored.word_elements, window, gram, repeated, several), f"id struct<key: long, doc: {doc}>, start int, run int, h long, c long, content array<long>")
-    found = _base.spill(found.select("id.*", "start", "run", "h", "c", "content"), "blocks")
-    rows = _base.spill(found.drop("content").join(stats, "h").filter(F.col("several") | (F.col("doc") > F.col("least"))), "repeats")
+    found = words.mapInArrow(anchored.second_scan(anchored.word_elements, window, gram, repeated, several), f"id struct<key: long, doc: {doc}>, start int, run int, h long, c long, anchor int, content array<long>")
+    found = _base.spill(found.select("id.*", "start", "run", "h", "c", "anchor", "content"), "blocks")
+    rows = _base.spill(found.drop("content", "anchor").join(stats, "h").filter(F.col("several") | (F.col("doc") > F.col("least"))), "repeats")
     out = rows.filter("not several").select("key", F.array("start").alias("begin"), F.array(F.col("start") + F.col("run")).alias("until"))
     each = found.filter("content is not null")
-    each = _base.spill(each.groupBy("h", "c").agg(F.min("doc").alias("first"), F.first("run").alias("run"), F.first("content").alias("content")), "contents")
-    crowds = _base.spill(each.groupBy("h").agg(F.count(F.lit(1)).alias("g")).filter(F.col("g") > group).select("h"), "crowds")
-    few = each.join(crowds, "h", "left_anti").select("h", "c", "first", "run", "content").repartition("h").sortWithinPartitions("h")
-    marks = few.mapInArrow(_marks(window), MARKS_SQL)
-    many = _base.spill(each.join(crowds, "h").select("h", "c", "content").mapInArrow(_windows(window, gram), "h long, c long, at int, w long").join(each.select("h", "c", "first"), ["h", "c"]), "windows")
-    earliest = _base.spill(many.groupBy("h", "w").agg(F.min("first").alias("least")), "window-firsts")
-    crowd = many.join(earliest, ["h", "w"]).filter(F.col("least") < F.col("first")).groupBy("h", "c").agg(F.sort_array(F.collect_list("at")).alias("begin"))
-    marks = _base.spill(marks.union(crowd.select("h", "c", "begin", F.transform("begin", lambda x: x + F.lit(1)).alias("until"))), "marks")
+    each = _base.spill(each.groupBy("h", "c").agg(F.min("doc").alias("first"), F.first("run").alias("run"), F.first("anchor").alias("anchor"), F.first("content").alias("content")), "contents")
+    marks = anchored.dealt(
+        each, window, gram, group,
+        lambda few: few.mapInArrow(_marks(window), MARKS_SQL),
+        lambda known: known.filter(F.col("least") < F.col("first")).select("h", "c", F.array("at").alias("begin"), F.array(F.col("at") + 1).alias("until")),
+    )
+    marks = _base.spill(marks.groupBy("h", "c").agg(*(F.flatten(F.collect_list(x)).alias(x) for x in ("begin", "until"))), "marks")
     firsts = _base.spill(each.select("h", "c", "first").join(marks, ["h", "c"], "left"), "firsts")
     late = F.col("doc") > F.col("first")
     edges = rows.filter("several").join(firsts, ["h", "c"]).select(

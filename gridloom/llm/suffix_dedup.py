@@ -8,7 +8,7 @@ occurrences have different left neighbours, with all its occurrences. These maxi
 exactly the windows that occur elsewhere.
 
 Anchors that more than GROUP different blocks share (a line that a large part of all documents
-has) are dealt out again by the hash of each window.
+has) are dealt out again by more and more of the bytes beside them.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from gridloom.llm import _base, anchored
 
 #: Bytes of a window and of an anchor; different blocks of an anchor that one suffix array takes; blocks of an array.
-WINDOW, GRAM, GROUP, BLOCKS = 200, 32, 256, 1500
+WINDOW, GRAM, GROUP, BLOCKS = 200, 32, 512, 1500
 U = np.uint64
 
 
@@ -134,12 +134,13 @@ def repeated_windows(contents: list[bytes], runs: list[int], window: int = WINDO
 
 
 def _marks(window: int):
-    """Blocks (h, c, run, content), sorted by h, to (h, c, begin, until): the windows that also start in another block."""
+    """Pieces, sorted by key, to (h, c, begin, until): the windows that also start in another block."""
 
     def run(batches):
-        for h, c, runs, contents in anchored.by_group(batches, 4, BLOCKS):
-            found = [(x, y, [s for s, _ in z], [e for _, e in z]) for x, y, z in zip(h, c, repeated_windows(contents, runs, window)) if z]
-            yield pa.RecordBatch.from_pylist([dict(zip(("h", "c", "begin", "until"), x)) for x in found], MARKS)
+        for _, h, c, _, _, _, at, runs, _, contents in anchored.by_group(batches, 10, BLOCKS):
+            contents = [x[a : a + n + window - 1] for x, a, n in zip(contents, at, runs)]
+            found = [{"h": x, "c": y, "begin": [a + s for s, _ in z], "until": [a + e for _, e in z]} for x, y, a, z in zip(h, c, at, repeated_windows(contents, runs, window)) if z]
+            yield pa.RecordBatch.from_pylist(found, MARKS)
 
     return run
 
@@ -148,20 +149,9 @@ MARKS = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("begin", pa.list_(pa.i
 MARKS_SQL = "h long, c long, begin array<int>, until array<int>"
 
 
-def _windows(window: int, k: int):
+def _finished(window: int, id_col: str, keep: bool):
     def run(batches):
-        for batch in batches:
-            cols = [x.to_pylist() for x in batch.columns]
-            for h, c, content in zip(*cols):
-                w = anchored.window_hashes(content, window, k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), h)), pa.array(np.full(len(w), c)), pa.array(np.arange(len(w), dtype=np.int32)), pa.array(w.view(np.int64))], ["h", "c", "at", "w"])
-
-    return run
-
-
-def _finished(window: int, id_col: str):
-    def run(batches):
-        for batch in batches:
+        for batch in (b.slice(i, 200) for b in batches for i in range(0, b.num_rows, 200)):
             ids, rows = batch.column(0), []
             for text, begin, until in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
                 spans = anchored.covered(np.array(begin or [], np.int64), np.array(until or [], np.int64) + window - 1)
@@ -170,15 +160,15 @@ def _finished(window: int, id_col: str):
                     kept.append(text[at:s])
                     at = e
                 kept.append(text[at:])
-                rows.append((len(text), sum(e - s for s, e in spans), len(spans), hashlib.sha256(b"".join(kept)).hexdigest(), b"".join(kept) if spans else text))
+                rows.append((len(text), sum(e - s for s, e in spans), len(spans), hashlib.sha256(b"".join(kept)).hexdigest(), (b"".join(kept) if spans else text) if keep else None))
             cols = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))], [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return run
 
 
-def removed_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
-    """One row per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that are left).
+def removed_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, group: int = GROUP, keep: bool = True) -> DataFrame:
+    """One row per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that are left; null if not asked for).
 
     Each byte that is covered by a string of `window` bytes which also starts anywhere else goes,
     judged on the input. Null texts count as empty. Equal rows are documents of their own, so their
@@ -194,30 +184,28 @@ def removed_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stats = counted.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).filter("n > 1")
     stats = _base.spill(stats.select("h", (F.col("low") < F.col("high")).alias("several")), "anchors")
     repeated, several = (spark.sparkContext.broadcast(anchored.filter_of(x)) for x in (stats, stats.filter("several")))
-    found = narrow.mapInArrow(anchored.second_scan(anchored.byte_elements, window, gram, repeated, several), "id long, start int, run int, h long, c long, content binary")
+    found = narrow.mapInArrow(anchored.second_scan(anchored.byte_elements, window, gram, repeated, several), "id long, start int, run int, h long, c long, anchor int, content binary")
     found = _base.spill(found, "blocks")
-    rows = found.drop("content").join(stats, "h")
+    rows = found.drop("content", "anchor").join(stats, "h")
     rows = _base.spill(rows, "repeats")
     spans = rows.filter("not several").select("id", F.array("start").alias("begin"), F.array(F.col("start") + F.col("run")).alias("until"))
     # One content of each different block, where an anchor has several.
     each = found.filter("content is not null")
-    each = each.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.first("run").alias("run"), F.first("content").alias("content"))
+    each = each.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.first("run").alias("run"), F.first("anchor").alias("anchor"), F.first("content").alias("content"))
     each = _base.spill(each, "contents")
-    sizes = _base.spill(each.groupBy("h").agg(F.count(F.lit(1)).alias("g")).filter(F.col("g") > group), "crowds")
-    few = each.join(sizes, "h", "left_anti").select("h", "c", "run", "content").repartition("h").sortWithinPartitions("h")
-    marks = few.mapInArrow(_marks(window), MARKS_SQL)
-    many = each.join(sizes.select("h"), "h").select("h", "c", "content").mapInArrow(_windows(window, gram), "h long, c long, at int, w long")
-    many = _base.spill(many, "windows")
-    again = _base.spill(many.groupBy("h", "w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "w"), "window-repeats")
-    crowd = many.join(again, ["h", "w"]).groupBy("h", "c").agg(F.sort_array(F.collect_list("at")).alias("begin"))
-    marks = marks.union(crowd.select("h", "c", "begin", F.transform("begin", lambda x: x + F.lit(1)).alias("until")))
+    marks = anchored.dealt(
+        each.withColumn("first", F.lit(0)), window, gram, group,
+        lambda few: few.mapInArrow(_marks(window), MARKS_SQL),
+        lambda known: known.filter("n > 1").select("h", "c", F.array("at").alias("begin"), F.array(F.col("at") + 1).alias("until")),
+    )
     whole = each.filter("n > 1").select("h", "c", F.array(F.lit(0)).alias("begin"), F.array("run").alias("until"))
-    marks = _base.spill(whole.union(marks), "marks")
+    marks = whole.union(marks).groupBy("h", "c").agg(*(F.flatten(F.collect_list(x)).alias(x) for x in ("begin", "until")))
+    marks = _base.spill(marks, "marks")
     edges = rows.filter("several").join(marks, ["h", "c"]).select("id", *(F.transform(x, lambda y: y + F.col("start")).alias(x) for x in ("begin", "until")))
     spans = spans.union(edges).groupBy("id").agg(*(F.flatten(F.collect_list(x)).alias(x) for x in ("begin", "until")))
     out = texts.join(_base.spill(spans, "spans"), "id", "left").select("own", "text", "begin", "until")
-    return out.mapInArrow(_finished(window, id_col), f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return out.mapInArrow(_finished(window, id_col, keep), f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op1_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
-    return removed_repeats(_base.table(spark, sf_dir, "documents")).drop("kept")
+    return removed_repeats(_base.table(spark, sf_dir, "documents"), keep=False).drop("kept")
