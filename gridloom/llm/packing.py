@@ -39,7 +39,7 @@ class WordCoder:
     """
 
     #: Words of each of the two generations that are remembered.
-    KEPT = 600_000
+    KEPT = 350_000
     MARKS = frozenset(b".,;:!?")
 
     def __init__(self, path: str):
