@@ -1,13 +1,20 @@
 """The registry of named queries and their DuckDB oracles."""
 
+from __future__ import annotations
+
+from gridloom.plans import analysis_queries, panel_queries
+
+MODULES = (panel_queries, analysis_queries)
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    """Per-entity errors and skill of the forecasts of user days."""
+    return panel_queries.household_metrics(spark, sf_dir)
 
 
 def queries():
-    return {}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: s for m in MODULES for name, s in m.SQL.items()}
