@@ -261,7 +261,9 @@ def _split(window: int, k: int):
                     if b < u:
                         seen = content[part] if isinstance(content, bytes) else np.asarray(content[part], np.int64).tobytes()
                         key = hashlib.blake2b(b"%d %d " % (row["key"], side) + seen, digest_size=8).digest()
-                        out.append(row | {"key": int.from_bytes(key, "little", signed=True), "l": left + half * (side == 0), "r": right + other * (side == 1), "at": b, "run": u - b})
+                        own = content[b : u + window - 1]
+                        piece = hashlib.blake2b(own if isinstance(own, bytes) else np.asarray(own, np.int64).tobytes(), digest_size=8).digest()
+                        out.append(row | {"piece": int.from_bytes(piece, "little", signed=True), "key": int.from_bytes(key, "little", signed=True), "l": left + half * (side == 0), "r": right + other * (side == 1), "at": b, "run": u - b})
             yield pa.RecordBatch.from_pylist(out, batch.schema)
 
     return run
@@ -271,8 +273,8 @@ def dealt(each, window: int, k: int, group: int, solve, settle):
     """Marks (h, c, begin, until) of different blocks (h, c, anchor, run, first, content).
 
     solve gets the pieces of keys that at most `group` of them share. Larger keys are split again and
-    again; where all of a window is known, settle gets (h, c, at, first, n, least): how many pieces
-    have this window and the smallest `first` of them.
+    again, and equal pieces are then taken together: settle gets them with n, how many there are, and
+    least, the smallest `first` of them; those of this `first` stay. A piece of one window is settled so.
     """
     from pyspark.sql import functions as F
 
@@ -288,9 +290,10 @@ def dealt(each, window: int, k: int, group: int, solve, settle):
         out = found if out is None else out.union(found)
         if large.isEmpty():
             return out
-        finer = _base.spill(rows.join(large, "key").select(rows.columns).mapInArrow(_split(window, k), rows.schema), "pieces")
-        whole = F.col("l") + F.col("r") == window - k
-        known = finer.filter(whole).select("key", "h", "c", "at", "first")
-        least = _base.spill(known.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("least")), "known")
-        out = out.union(settle(known.join(least, "key")))
-        rows, level = finer.filter(~whole), level + 1
+        fields = rows.withColumn("piece", F.lit(0).cast("long")).schema
+        finer = _base.spill(rows.join(large, "key").select(*rows.columns, F.lit(0).cast("long").alias("piece")).mapInArrow(_split(window, k), fields), "pieces")
+        same = _base.spill(finer.groupBy("key", "piece").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("least")), "same")
+        both = finer.join(same, ["key", "piece"])
+        out = out.union(settle(both))
+        rest = both.filter((F.col("first") == F.col("least")) & (F.col("l") + F.col("r") < window - k))
+        rows, level = _base.spill(rest.select(rows.columns), "rest"), level + 1

@@ -25,7 +25,7 @@ from gridloom.llm import _base, anchored
 from gridloom.llm.suffix_dedup import MARKS, MARKS_SQL, SuffixArray
 
 #: Words of a window and of an anchor; different blocks of an anchor that one index takes; blocks of an index.
-WINDOW, GRAM, GROUP, BLOCKS = 50, 10, 512, 3000
+WINDOW, GRAM, GROUP, BLOCKS = 50, 10, 1000, 3000
 
 
 def longest_matches(array: SuffixArray, order: np.ndarray, least: int) -> np.ndarray:
@@ -138,7 +138,7 @@ def spans(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int, g
     marks = anchored.dealt(
         each, window, gram, group,
         lambda few: few.mapInArrow(_marks(window), MARKS_SQL),
-        lambda known: known.filter(F.col("least") < F.col("first")).select("h", "c", F.array("at").alias("begin"), F.array(F.col("at") + 1).alias("until")),
+        lambda known: known.filter(F.col("least") < F.col("first")).select("h", "c", F.array("at").alias("begin"), F.array(F.col("at") + F.col("run")).alias("until")),
     )
     marks = _base.spill(marks.groupBy("h", "c").agg(*(F.flatten(F.collect_list(x)).alias(x) for x in ("begin", "until"))), "marks")
     firsts = _base.spill(each.select("h", "c", "first").join(marks, ["h", "c"], "left"), "firsts")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from gridloom.llm import _base, anchored
 
 #: Bytes of a window and of an anchor; different blocks of an anchor that one suffix array takes; blocks of an array.
-WINDOW, GRAM, GROUP, BLOCKS = 200, 32, 512, 1500
+WINDOW, GRAM, GROUP, BLOCKS = 200, 32, 1000, 1500
 U = np.uint64
 
 
@@ -194,9 +194,9 @@ def removed_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each = each.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.first("run").alias("run"), F.first("anchor").alias("anchor"), F.first("content").alias("content"))
     each = _base.spill(each, "contents")
     marks = anchored.dealt(
-        each.withColumn("first", F.lit(0)), window, gram, group,
+        each.withColumn("first", F.col("c")), window, gram, group,
         lambda few: few.mapInArrow(_marks(window), MARKS_SQL),
-        lambda known: known.filter("n > 1").select("h", "c", F.array("at").alias("begin"), F.array(F.col("at") + 1).alias("until")),
+        lambda known: known.filter("n > 1").select("h", "c", F.array("at").alias("begin"), F.array(F.col("at") + F.col("run")).alias("until")),
     )
     whole = each.filter("n > 1").select("h", "c", F.array(F.lit(0)).alias("begin"), F.array("run").alias("until"))
     marks = whole.union(marks).groupBy("h", "c").agg(*(F.flatten(F.collect_list(x)).alias(x) for x in ("begin", "until")))
