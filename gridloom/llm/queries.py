@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.llm import ctw, exact_dedup, packing, rlz_dedup, simhash, simhash_dedup, suffix_dedup, token_counts, toxicity
+from gridloom.llm import ctw, exact_dedup, packing, rlz_dedup, sentencepiece_lattice, simhash, simhash_dedup, suffix_dedup, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         exact_dedup.op3_exact_dedup,
         toxicity.op4_toxicity,
         ctw.op5_context_tree_scores,
+        sentencepiece_lattice.op6_sentencepiece_lattice,
         simhash.op7_simhash_fingerprints,
         packing.op8_best_fit_packing,
         simhash_dedup.op9_simhash_near_dedup,
