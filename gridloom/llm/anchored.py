@@ -14,8 +14,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from gridloom.llm import hashing
+from gridloom.llm import _base, hashing
 
 U = np.uint64
 #: Elements that are handled together; longer documents are cut into stretches that overlap by window - 1.
@@ -166,6 +167,7 @@ def text_blocks(texts: list[bytes], most: int = 1_000_000):
 def first_scan(elements, window: int, k: int):
     """(id, text) to (id, h, c) for each block."""
 
+    @_base.tidy
     def run(batches):
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
@@ -189,8 +191,6 @@ def passes(words: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 def filter_of(hashes) -> np.ndarray:
     """A Bloom filter of column h: at most FILTER_BITS / 64 words come to the driver."""
-    from pyspark.sql import functions as F
-
     mask = F.lit(FILTER_BITS - 1)
     bit = hashes.select(F.explode(F.array(F.col("h").bitwiseAND(mask), F.shiftright("h", 32).bitwiseAND(mask))).alias("bit"))
     one = F.expr("shiftleft(1L, cast(bit & 63 as int))")
@@ -203,6 +203,7 @@ def filter_of(hashes) -> np.ndarray:
 def second_scan(elements, window: int, k: int, repeated, several):
     """(id, text) to (id, start, run, h, c, anchor, content) of the blocks that pass filter `repeated`; content only of those that pass `several`."""
 
+    @_base.tidy
     def run(batches):
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
@@ -248,6 +249,7 @@ def _split(window: int, k: int):
     keys take the half next to what is known. Equal windows stay together.
     """
 
+    @_base.tidy
     def run(batches):
         for batch in batches:
             out = []
@@ -276,10 +278,6 @@ def dealt(each, window: int, k: int, group: int, solve, settle):
     again, and equal pieces are then taken together: settle gets them with n, how many there are, and
     least, the smallest `first` of them; those of this `first` stay. A piece of one window is settled so.
     """
-    from pyspark.sql import functions as F
-
-    from gridloom.llm import _base
-
     rows = each.select(F.col("h").alias("key"), "h", "c", "anchor", *(F.lit(0).alias(x) for x in ("l", "r", "at")), "run", "first", "content")
     out, level = None, 0
     while True:

@@ -34,6 +34,7 @@ def pruned(counts: dict, k: int) -> dict:
 
 
 def _summaries(k: int):
+    @_base.tidy
     def run(batches):
         counts: dict = {}
         for batch in batches:

@@ -39,7 +39,7 @@ class WordCoder:
     """
 
     #: Words of each of the two generations that are remembered.
-    KEPT = 350_000
+    KEPT = 250_000
     MARKS = frozenset(b".,;:!?")
 
     def __init__(self, path: str):
@@ -99,6 +99,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     """(id, row, piece, start, length, ids_crc32, ids if keep_ids): each text's ids and `end`, cut into pieces of `limit` ids; the last may be shorter. ids are little-endian unsigned 32-bit numbers."""
     kind = docs.schema[id_col].dataType.simpleString()
 
+    @_base.tidy
     def run(batches):
         if tokenizer not in _coders:
             _coders[tokenizer] = WordCoder(tokenizer)
@@ -237,6 +238,7 @@ def packing(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
     base = {(x, s): b for x, s, b in zip(length.tolist(), sizes["salt"].to_pylist(), (before - before[first]).tolist())} if len(n) else {}
     shared = spark.sparkContext.broadcast((base, places(packed(counts, limit))))
 
+    @_base.tidy
     def run(batches):
         base, p = shared.value
         step = int(p["rank"].max(initial=0)) + 1

@@ -91,6 +91,7 @@ def parsed(contents: list, runs: list[int], order: list[int], window: int = WIND
 def _marks(window: int):
     """Pieces, sorted by key, to (h, c, begin, until): the windows that a block of smaller `first` has."""
 
+    @_base.tidy
     def run(batches):
         for _, h, c, _, _, _, at, runs, first, contents in anchored.by_group(batches, 10, BLOCKS):
             contents = [np.asarray(x[a : a + n + window - 1], np.int64) for x, a, n in zip(contents, at, runs)]
@@ -101,6 +102,7 @@ def _marks(window: int):
 
 
 def _finished(window: int, id_col: str):
+    @_base.tidy
     def run(batches):
         for batch in batches:
             ids, rows = batch.column(0), []
@@ -176,6 +178,7 @@ def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     place, n = docs.columns.index(text_col), len(docs.columns)
     finish = _finished(window, "id")
 
+    @_base.tidy
     def run(batches):
         for batch in batches:
             text = batch.column(place).cast(pa.binary())

@@ -63,6 +63,7 @@ def fingerprint_block(texts: list[bytes], size: int = WORDS, seed: int = SEED) -
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, size: int = WORDS, seed: int = SEED) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
 
+    @_base.tidy
     def run(batches):
         for batch in batches:
             ids, texts = batch.column(0), [x or b"" for x in batch.column(1).to_pylist()]
@@ -154,6 +155,7 @@ def links_of_block(group: np.ndarray, fp: np.ndarray, bits: int = BITS) -> tuple
     return forest(np.concatenate(ra), np.concatenate(rb))
 
 
+@_base.tidy
 def _links(batches):
     held: list = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
 

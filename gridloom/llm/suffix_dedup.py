@@ -136,6 +136,7 @@ def repeated_windows(contents: list[bytes], runs: list[int], window: int = WINDO
 def _marks(window: int):
     """Pieces, sorted by key, to (h, c, begin, until): the windows that also start in another block."""
 
+    @_base.tidy
     def run(batches):
         for _, h, c, _, _, _, at, runs, _, contents in anchored.by_group(batches, 10, BLOCKS):
             contents = [x[a : a + n + window - 1] for x, a, n in zip(contents, at, runs)]
@@ -150,6 +151,7 @@ MARKS_SQL = "h long, c long, begin array<int>, until array<int>"
 
 
 def _finished(window: int, id_col: str, keep: bool):
+    @_base.tidy
     def run(batches):
         for batch in (b.slice(i, 200) for b in batches for i in range(0, b.num_rows, 200)):
             ids, rows = batch.column(0), []

@@ -245,6 +245,7 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     _base.ready(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
+    @_base.tidy
     def run(batches):
         t = transducer(model)
         for batch in batches:

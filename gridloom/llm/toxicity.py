@@ -161,6 +161,7 @@ def scored(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col:
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast((model.features, model.values, model.intercept))
 
+    @_base.tidy
     def run(batches):
         own = Classifier(*shared.value)
         for batch in batches:
@@ -177,6 +178,7 @@ def accepted(docs: DataFrame, model: Classifier, text_col: str = "text", thresho
     shared = docs.sparkSession.sparkContext.broadcast((model.features, model.values, model.intercept))
     place = docs.columns.index(text_col)
 
+    @_base.tidy
     def run(batches):
         own = Classifier(*shared.value)
         for batch in batches:
