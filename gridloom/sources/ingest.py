@@ -25,17 +25,23 @@ def meter_text(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame,
     return rows.filter(standard), rows.filter(~standard).withColumn("local_date", S.date_of_day(F.col("day")))
 
 
-def encoding_of(spark: SparkSession, path: str, candidates: tuple[str, ...] = ("utf-8", "windows-1252")) -> str:
-    """The first encoding that decodes the whole file without replacement. Read as text in Latin-1 lines, so that no file is held as a whole."""
-    lines = spark.read.option("encoding", "ISO-8859-1").text(path)
-    bad = lines.select(F.encode("value", "ISO-8859-1").alias("b")).filter(~F.is_valid_utf8(F.col("b").cast("string"))).limit(1)
-    return candidates[0] if bad.isEmpty() else candidates[1]
+def is_utf8(spark: SparkSession, path: str) -> bool:
+    """Whether the whole file decodes as UTF-8. Read in Latin-1 lines, so that no file is held as a whole."""
+    lines = spark.read.option("encoding", "ISO-8859-1").csv(path, sep="\u0001", quote="").toDF("value")
+    return lines.filter(~F.is_valid_utf8(F.encode("value", "ISO-8859-1").cast("string"))).limit(1).isEmpty()
 
 
 def text_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV of which every column stays text, in the encoding that its bytes have; a byte-order mark is no part of the first name."""
-    df = spark.read.csv(path, header=True, inferSchema=False, encoding=encoding_of(spark, path))
-    return df.toDF(*(c.lstrip("﻿") for c in df.columns))
+    """A CSV of which every column stays text, in UTF-8 or else Windows-1252; a byte-order mark is no part of the first name."""
+    if is_utf8(spark, path):
+        df = spark.read.csv(path, header=True, inferSchema=False)
+        return df.toDF(*(c.lstrip("\ufeff") for c in df.columns))
+    # Spark reads Latin-1; the two differ in the places 0x80 to 0x9F.
+    pairs = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+    here, there = ("".join(x) for x in zip(*(p for p in pairs if p[1])))
+    df = spark.read.csv(path, header=True, inferSchema=False, encoding="ISO-8859-1")
+    table = str.maketrans(here, there)
+    return df.select(*(F.translate(f"`{c}`", here, there).alias(c.translate(table)) for c in df.columns))
 
 
 def workbook(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
