@@ -140,7 +140,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_c
     wanted = wanted.groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("y"))
     picked = [wanted.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample) for y in (0, 1)]
     both = F.broadcast(picked[0].union(picked[1]))  # at most 2 x sample rows of two numbers
-    return docs.join(both, docs[id_col] == both["id"]).select("id", F.coalesce(docs[text_col], F.lit("")).alias("text"), "y")
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return texts.join(both, "id").select("id", "text", "y")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, characters: int = CHARACTERS, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
