@@ -245,3 +245,17 @@ def best_run(runs: DataFrame, *gates: Column) -> DataFrame:
 def best_assignment(cost: np.ndarray) -> list[int]:
     """For few rows: the columns, one for each row, of least total cost (columns may be more than rows)."""
     return list(min(permutations(range(cost.shape[1]), cost.shape[0]), key=lambda p: sum(cost[i, j] for i, j in enumerate(p))))
+
+
+def group_slot_summary(profiles: DataFrame, slot: str, value: str, group: str) -> DataFrame:
+    """Median and interquartile range of a value per group and slot, and whether the median is a local maximum."""
+    s = profiles.groupBy(group, slot).agg(F.percentile(value, 0.5).alias("median"), F.percentile(value, 0.25).alias("q25"), F.percentile(value, 0.75).alias("q75"))
+    w = Window.partitionBy(group).orderBy(slot)
+    high = (F.col("median") >= F.coalesce(F.lag("median").over(w), F.col("median"))) & (F.col("median") >= F.coalesce(F.lead("median").over(w), F.col("median")))
+    return s.select("*", (F.col("q75") - F.col("q25")).alias("iqr"), high.alias("local_maximum"))
+
+
+def decision_gates(candidates: DataFrame, gates: dict[str, Column]) -> DataFrame:
+    """Each candidate with a flag per gate and how many it passes; a gate that can't be told is not passed."""
+    flags = {n: F.coalesce(c, F.lit(False)) for n, c in gates.items()}
+    return candidates.select("*", *(c.alias(n) for n, c in flags.items()), sum((c.cast("int") for c in flags.values()), F.lit(0)).alias("gates_passed"))

@@ -107,3 +107,29 @@ def recoded(x: Column, codes: dict[str, str], reasons: dict[str, str] | None = N
     value = F.element_at(table(codes), key)
     reason = F.coalesce(F.element_at(table({"": "blank"} | (reasons or {})), key), F.lit("unrecognised"))
     return F.struct(value.alias("value"), F.when(value.isNull(), reason).alias("reason"))
+
+
+def best_match(columns: DataFrame, cohort: DataFrame, ident: str) -> DataFrame:
+    """The column of a table whose values meet most ids of a cohort; the first by name on ties. All columns are compared in one pass."""
+    names = columns.columns
+    long = columns.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.upper(F.trim(F.col(c).cast("string"))).alias("v")) for c in names))).alias("e")).select("e.*").distinct()
+    ids = cohort.select(F.upper(F.trim(F.col(ident).cast("string"))).alias("v")).distinct()
+    hits = long.join(ids.withColumn("__hit", F.lit(1)), "v", "left").groupBy("column").agg(F.count("__hit").alias("matches"), F.count("v").alias("distinct_values"))
+    return hits.orderBy(F.desc("matches"), "column").limit(1)
+
+
+def sample_availability(rows: DataFrame, variables: Sequence[str], group: str) -> DataFrame:
+    """Per variable: available rows, missing ones, the smallest category and the smallest group x category cell (an absent one counts 0)."""
+    long = rows.unpivot([group], list(variables), "variable", "category")
+    n = long.groupBy("variable").agg(F.count("category").alias("available"), (F.count(F.lit(1)) - F.count("category")).alias("missing"))
+    cells = long.filter("category is not null").groupBy("variable", "category", group).agg(F.count(F.lit(1)).alias("n"))
+    groups = rows.agg(F.count_distinct(group).alias("groups"))
+    per = cells.groupBy("variable", "category").agg(F.sum("n").alias("size"), F.min("n").alias("least"), F.count(F.lit(1)).alias("seen")).crossJoin(F.broadcast(groups))
+    least = per.groupBy("variable").agg(F.min("size").alias("smallest_category"), F.min(F.when(F.col("seen") < F.col("groups"), 0).otherwise(F.col("least"))).alias("smallest_cell"))
+    return n.join(least, "variable", "left").withColumn("rare_cells", F.coalesce(F.col("smallest_cell") < 5, F.lit(True)))
+
+
+def question_map(first: int, last: int, shift: int, domains: Sequence[tuple[int, int, str]]):
+    """(question, answers_of, domain) rows: answer columns that stand `shift` places away from the question they belong to."""
+    name = lambda q: next((d for a, b, d in domains if a <= q <= b), "other")
+    return [(f"Q{q}", f"Q{q + shift}", name(q)) for q in range(first, last + 1)]

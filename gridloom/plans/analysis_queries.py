@@ -59,6 +59,7 @@ def peak_slot_and_ramp(spark, sf):
     return rounded(p.groupBy("entity").agg(P.peak_slot("s", "mean_value").alias("peak_slot")).join(P.ramp(p, "s", "mean_value"), "entity"))
 
 
+DRIFT0 = f"WITH {USER_SQL}, up AS (SELECT entity, CAST(entity % 4 AS INT) AS gp, slot % 7 AS s, avg(value) AS mean_value FROM g GROUP BY 1, 2, 3 HAVING avg(value) IS NOT NULL)"
 PROTO_SQL = "WITH x AS (SELECT vec_id, label, embedding FROM embeddings), u AS (SELECT vec_id, label, unnest(range(1, 65)) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM x), c AS (SELECT label, i, avg(v) AS c FROM u GROUP BY 1, 2), d AS (SELECT u.vec_id AS entity, c.label AS prototype, sqrt(sum((u.v - c.c) * (u.v - c.c)) / 64) AS distance FROM u JOIN c USING (i) GROUP BY 1, 2)"
 
 
@@ -149,6 +150,18 @@ def best_kmeans_run(spark, sf):
     return P.best_run(runs, F.col("least_share") > 0.01)
 
 
+@query("group_slot_summary", DRIFT0 + ", s AS (SELECT gp, s, quantile_cont(mean_value, 0.5) AS m, quantile_cont(mean_value, 0.25) AS q25, quantile_cont(mean_value, 0.75) AS q75 FROM up GROUP BY 1, 2) SELECT gp, s, round(m, 6) AS median, round(q25, 6) AS q25, round(q75, 6) AS q75, round(q75 - q25, 6) AS iqr, m >= coalesce(lag(m) OVER w, m) AND m >= coalesce(lead(m) OVER w, m) AS local_maximum FROM s WINDOW w AS (PARTITION BY gp ORDER BY s)")
+def group_slot_summary(spark, sf):
+    p = P.slot_profile(user_grid(spark, sf).withColumn("s", F.col("slot") % 7), "s").filter("mean_value is not null").withColumn("gp", (F.col("entity") % 4).cast("int"))
+    return rounded(P.group_slot_summary(p, "s", "mean_value", "gp"))
+
+
+@query("decision_gates", RAND_SQL + ", tt AS (SELECT assigned, n / sum(n) OVER (PARTITION BY assigned) AS p, n FROM n), tu AS (SELECT assigned, CAST(sum(n) AS BIGINT) AS size, max(p) AS purity FROM tt GROUP BY 1) SELECT assigned, size, round(purity, 6) AS purity, size >= 20 AS large_enough, purity >= 0.3 AS pure, CAST((size >= 20)::INT + (purity >= 0.3)::INT AS INT) AS gates_passed FROM tu")
+def decision_gates(spark, sf):
+    t = P.transition(_labels(spark, sf), "assigned", "label").select("assigned", "size", "purity")
+    return rounded(P.decision_gates(t, {"large_enough": F.col("size") >= 20, "pure": F.col("purity") >= 0.3}))
+
+
 # ---- decomposition ----------------------------------------------------------------------------
 
 BINS = ["zero", "(0,20]", "(20,60]", "(60,150]", ">150"]
@@ -478,6 +491,37 @@ def parsed_answers(spark, sf):
     return table(spark, sf, "part").select("p_partkey", x.alias("x"), S.band(F.col("p_size"), [(1, 10, "small"), (11, 30, "medium"), (31, 50, "large")]).alias("band")).select("p_partkey", "x.value", "x.reason", "band")
 
 
+@query("best_id_column", "SELECT 'doc_id' AS \"column\", (SELECT count(DISTINCT doc_id) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) AS matches, (SELECT count(DISTINCT doc_id) FROM documents) AS distinct_values")
+def best_id_column(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "lang", (F.col("n_chars") + 1_000_000).alias("n_chars"))
+    return V.best_match(d, table(spark, sf, "labels"), "doc_id")
+
+
+@query("sample_availability", "WITH d AS (SELECT lang AS g, CAST(quality AS VARCHAR) AS quality, CASE WHEN doc_id % 3 = 0 THEN CAST(toxic AS VARCHAR) END AS toxic FROM documents LEFT JOIN labels USING (doc_id)), l AS (SELECT g, 'quality' AS variable, quality AS category FROM d UNION ALL SELECT g, 'toxic', toxic FROM d), c AS (SELECT a.variable, a.category, b.g, (SELECT count(*) FROM l WHERE l.variable = a.variable AND l.category = a.category AND l.g = b.g) AS n FROM (SELECT DISTINCT variable, category FROM l WHERE category IS NOT NULL) a CROSS JOIN (SELECT DISTINCT g FROM l) b), s AS (SELECT variable, min(size) AS smallest_category, min(least) AS smallest_cell FROM (SELECT variable, category, CAST(sum(n) AS BIGINT) AS size, min(n) AS least FROM c GROUP BY 1, 2) GROUP BY 1) SELECT l.variable, count(category) AS available, count(*) - count(category) AS missing, any_value(smallest_category) AS smallest_category, any_value(smallest_cell) AS smallest_cell, any_value(smallest_cell) < 5 AS rare_cells FROM l JOIN s USING (variable) GROUP BY 1")
+def sample_availability(spark, sf):
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    d = d.select(F.col("lang").alias("g"), F.col("quality").cast("string").alias("quality"), F.when(F.col("doc_id") % 3 == 0, F.col("toxic").cast("string")).alias("toxic"))
+    return V.sample_availability(d, ["quality", "toxic"], "g")
+
+
+@query("relative_outcomes", FACTS_SQL + ", m AS (SELECT entity, strategy, avg(ae) AS mae, sqrt(avg(se)) AS rmse, avg(sm) AS smape FROM f WHERE strategy IN ('direct', 'full') GROUP BY 1, 2), w AS (SELECT entity, " + ", ".join(f"max(CASE WHEN strategy = '{s}' THEN {c} END) AS {s[0]}_{c}" for s in ("direct", "full") for c in ("mae", "rmse", "smape")) + " FROM m GROUP BY 1) SELECT entity, " + ", ".join(f"round(CASE WHEN abs(f_{c}) > 1e-12 THEN 100 * (f_{c} - d_{c}) / f_{c} END, 4) AS {c}" for c in ("mae", "rmse", "smape")) + " FROM w")
+def relative_outcomes(spark, sf):
+    m = M.pooled(facts(spark, sf).filter("strategy in ('direct', 'full')"), "entity", "strategy")
+    pick = lambda s, c: F.max(F.when(F.col("strategy") == s, F.col(c)))
+    return m.groupBy("entity").agg(*(r(S.safe_ratio(pick("full", c) - pick("direct", c), pick("full", c), scale=100.0), 4).alias(c) for c in ("mae", "rmse", "smape")))
+
+
+@query("question_map", "SELECT 'Q' || q AS question, 'Q' || (q + 1) AS answers_of, CASE WHEN q BETWEEN 211 AND 250 THEN 'household' WHEN q BETWEEN 251 AND 300 THEN 'dwelling' ELSE 'other' END AS domain FROM (SELECT unnest(range(211, 345)) AS q)")
+def question_map(spark, sf):
+    return spark.createDataFrame(V.question_map(211, 344, 1, [(211, 250, "household"), (251, 300, "dwelling")]), "question string, answers_of string, domain string")
+
+
+@query("wide_panel_long", "WITH w AS (SELECT n_nationkey AS i, n_name AS a, CAST(n_regionkey AS VARCHAR) AS b FROM nation) SELECT i, 'a' AS entity, TRY_CAST(a AS DOUBLE) AS value FROM w UNION ALL SELECT i, 'b', TRY_CAST(b AS DOUBLE) FROM w")
+def wide_panel_long(spark, sf):
+    w = table(spark, sf, "nation").select(F.col("n_nationkey").alias("i"), F.col("n_name").alias("a"), F.col("n_regionkey").cast("string").alias("b"))
+    return w.unpivot(["i"], ["a", "b"], "entity", "text").select("i", "entity", S.clean_number(F.col("text")).alias("value"))
+
+
 # ---- relations --------------------------------------------------------------------------------
 
 
