@@ -19,7 +19,9 @@ U = np.uint64
 #: Labelled rows of a class that are fitted on, characters of them all, lengths of n-grams.
 SAMPLE, CHARACTERS, GRAMS = 4000, 30_000_000, (4, 5, 6)
 #: Buckets of the first count; least texts with an n-gram, and deviations from chance and log ratio, for it to be a feature (weak ones add up in long texts).
-BUCKETS, LEAST, DEVIATIONS, RATIO = 1 << 22, 4, 6.0, 2.0
+BUCKETS, LEAST, DEVIATIONS, RATIO = 1 << 22, 4, 4.5, 2.0
+#: Lengths of the n-grams by which copies among training texts are told.
+SKETCH = (20, 24)
 #: Smoothing of counts, rounds and ridge of the fit, score from which a text counts as toxic.
 ALPHA, ROUNDS, RIDGE, THRESHOLD = 0.5, 200, 1e-3, 0.3
 _MUL, _ADD = U(0x9E3779B97F4A7C15), U(0x632BE59BD9B4E019)
@@ -86,9 +88,23 @@ def telling(n1: np.ndarray, n0: np.ndarray, pos: int, neg: int) -> np.ndarray:
     return (n >= LEAST) & (np.abs(ratio) >= RATIO) & (np.abs(n1 - n * share) >= DEVIATIONS * spread)
 
 
+def distinct(texts: list[str]) -> list[int]:
+    """Places of texts that aren't copies or near copies of an earlier one, by their smallest long n-grams: copies would make all their n-grams telling."""
+    seen: set = set()
+    out = []
+    for i, t in enumerate(texts):
+        marks = [(n, int(h.min())) for n in SKETCH for _, h in grams([t], (n,)) if len(h)] or [(0, t)]
+        if not any(m in seen for m in marks):
+            out.append(i)
+        seen.update(marks)
+    return out
+
+
 def fit(texts: list[str], labels: np.ndarray, prior: float | None = None, rounds: int = ROUNDS, ridge: float = RIDGE) -> Classifier:
     """prior: the share of label 1, where texts are a sample by class. Counts texts with each n-gram by class, keeps those whose ratio says most, then fits their weights."""
     labels = np.asarray(labels, bool)
+    kept = distinct(texts)
+    texts, labels = [texts[i] for i in kept], labels[kept]
     pos, neg = int(labels.sum()), int((~labels).sum())
     if not pos or not neg:
         return Classifier(np.zeros(0, U), np.zeros(0), 3.0 if pos else -3.0)
