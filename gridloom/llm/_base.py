@@ -20,6 +20,14 @@ BATCH = 1000
 WS = r"[\x20\x09-\x0D]+"
 
 
+def release() -> None:
+    """Gives this process's free memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidy(run):
     """A function over record batches that gives free memory back at its end: workers are used again, also by other operators."""
 
@@ -28,10 +36,7 @@ def tidy(run):
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL(None).malloc_trim(0)
+            release()
 
     return wrapped
 

@@ -169,7 +169,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, characters:
     ids = order.loc[order["upto"] <= characters, ["id"]].drop_duplicates()
     picked = rows.join(F.broadcast(rows.sparkSession.createDataFrame(ids, "id long")), "id").toArrow() if len(ids) else rows.limit(0).toArrow()
     picked = picked.sort_by([("id", "ascending"), ("y", "ascending")])
-    return fit(picked["text"].to_pylist(), picked["y"].to_numpy() > 0)
+    model = fit(picked["text"].to_pylist(), picked["y"].to_numpy() > 0)
+    del picked
+    _base.release()
+    return model
 
 
 def scored(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

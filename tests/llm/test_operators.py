@@ -205,6 +205,19 @@ def test_scores(odd, odd_rows):
     assert 0 < long["bits_per_byte"] < 5
 
 
+def test_bounded_model_keeps_all_counts(spark):
+    rng = random.Random(4)
+    texts = [prose(rng, 40).encode() for _ in range(60)]
+    df = spark.createDataFrame([(bytearray(t),) for t in texts], "text binary")
+    wide, narrow = ctw.train(df, 3), ctw.train(df, 3, nodes=600)
+    assert len(narrow.known.keys) < len(wide.known.keys)
+    for m in (wide, narrow):
+        whole = ctw.strings([b"th" + bytes([b]) for b in range(256)], 3).reshape(256, 3)[:, 2]
+        assert (2.0 ** m.log2(whole)).sum() == pytest.approx(1, abs=1e-3)
+    one = ctw.strings([b"e"], 3)
+    assert sum(m.score(texts[:5]).sum() < 0 for m in (wide, narrow)) == 2 and np.isfinite(narrow.log2(one)).all()
+
+
 def test_lattice_encodes_and_decodes(odd, odd_rows):
     import sentencepiece
 
