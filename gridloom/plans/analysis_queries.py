@@ -425,9 +425,9 @@ def survey_coalesce(spark, sf):
     return V.coalesced(_answers(spark, sf), "id", ["q1", "q2", "q3"])
 
 
-@query("survey_inventory", ANSWERS_SQL + ", l AS (SELECT 'q1' AS question, q1 AS a FROM an UNION ALL SELECT 'q2', q2 FROM an UNION ALL SELECT 'q3', q3 FROM an), c AS (SELECT question, CASE WHEN a = '' THEN 'blank' WHEN lower(a) LIKE '%refus%' THEN 'refused' WHEN lower(a) LIKE '%know%' THEN 'dont_know' ELSE 'valid' END AS k, a FROM l), n AS (SELECT question, a, count(*) AS n FROM c WHERE k = 'valid' GROUP BY 1, 2) SELECT c.question, count(*) AS rows, count_if(k = 'valid') AS valid, count_if(k = 'blank') AS blank, count_if(k = 'refused') AS refused, count_if(k = 'dont_know') AS dont_know, count_if(k = 'not_applicable') AS not_applicable, (SELECT CASE WHEN count(*) > 0 THEN count(*) END FROM n WHERE n.question = c.question) AS distinct_answers, (SELECT min(n) FROM n WHERE n.question = c.question) AS smallest_category FROM c GROUP BY 1")
+@query("survey_inventory", ANSWERS_SQL + ", l AS (SELECT 'q1' AS question, q1 AS a FROM an UNION ALL SELECT 'q2', q2 FROM an UNION ALL SELECT 'q3', q3 FROM an), c AS (SELECT question, CASE WHEN a = '' THEN 'blank' WHEN lower(a) LIKE '%refus%' THEN 'refused' WHEN lower(a) LIKE '%know%' THEN 'dont_know' ELSE 'valid' END AS k, a FROM l), n AS (SELECT question, a, count(*) AS n FROM c WHERE k = 'valid' GROUP BY 1, 2) SELECT c.question, count(*) AS rows, count_if(k = 'valid') AS valid, count_if(k = 'blank') AS blank, count_if(k = 'refused') AS refused, count_if(k = 'dont_know') AS dont_know, count_if(k = 'not_applicable') AS not_applicable, (SELECT count(*) FROM n WHERE n.question = c.question) AS distinct_answers, coalesce((SELECT min(n) FROM n WHERE n.question = c.question), 0) AS smallest_category FROM c GROUP BY 1")
 def survey_inventory(spark, sf):
-    return V.inventory(_answers(spark, sf), "id", ["q1", "q2", "q3"]).drop("top_answers")
+    return V.inventory(_answers(spark, sf), "id", ["q1", "q2", "q3"]).drop("top_answers").fillna(0, ["distinct_answers", "smallest_category"])
 
 
 @query("survey_top_answers", ANSWERS_SQL + ", n AS (SELECT q3 AS answer, count(*) AS n FROM an GROUP BY 1) SELECT answer, n, CAST(row_number() OVER (ORDER BY n DESC, answer) AS INT) AS place FROM n ORDER BY 2 DESC, 1 LIMIT 3")
@@ -467,10 +467,10 @@ def left_join_default(spark, sf):
     return R.join_dimension(table(spark, sf, "documents").select("doc_id"), labels, ["doc_id"], {"quality": -1, "labelled": False})
 
 
-@query("tri_state_or", "SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_tax < 0.03 THEN NULL ELSE l_tax < 0.05 END OR CASE WHEN l_discount < 0.03 THEN NULL ELSE l_discount < 0.05 END AS INT) AS either FROM lineitem")
+@query("tri_state_or", "SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_tax < 0.03 THEN NULL ELSE l_tax < 0.05 END OR CASE WHEN l_discount < 0.03 THEN NULL ELSE l_discount < 0.05 END AS INT)::DOUBLE AS either FROM lineitem")
 def tri_state_or(spark, sf):
     part = lambda c: F.when(~(F.col(c) < 0.03), (F.col(c) < 0.05).cast("int"))
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", S.any_of(part("l_tax"), part("l_discount")).alias("either"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", S.any_of(part("l_tax"), part("l_discount")).cast("double").alias("either"))
 
 
 @query("fallback_variable", "SELECT doc_id, 'quality' AS chosen, CAST(quality AS VARCHAR) AS value FROM labels")
@@ -485,10 +485,10 @@ def recoded_answers(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", x.alias("x")).select("o_orderkey", "x.value", "x.reason")
 
 
-@query("parsed_answers", "SELECT p_partkey, CASE WHEN p_size BETWEEN 5 AND 40 THEN CAST(p_size AS INT) END AS value, CASE WHEN NOT p_size BETWEEN 5 AND 40 THEN 'out_of_range' END AS reason, CASE WHEN p_size BETWEEN 1 AND 10 THEN 'small' WHEN p_size BETWEEN 11 AND 30 THEN 'medium' WHEN p_size BETWEEN 31 AND 50 THEN 'large' END AS band FROM part")
+@query("parsed_answers", "SELECT p_partkey, CASE WHEN p_size BETWEEN 5 AND 40 THEN CAST(p_size AS DOUBLE) END AS value, CASE WHEN NOT p_size BETWEEN 5 AND 40 THEN 'out_of_range' END AS reason, CASE WHEN p_size BETWEEN 1 AND 10 THEN 'small' WHEN p_size BETWEEN 11 AND 30 THEN 'medium' WHEN p_size BETWEEN 31 AND 50 THEN 'large' END AS band FROM part")
 def parsed_answers(spark, sf):
     x = S.int_in_range(F.col("p_size").cast("string"), 5, 40)
-    return table(spark, sf, "part").select("p_partkey", x.alias("x"), S.band(F.col("p_size"), [(1, 10, "small"), (11, 30, "medium"), (31, 50, "large")]).alias("band")).select("p_partkey", "x.value", "x.reason", "band")
+    return table(spark, sf, "part").select("p_partkey", x.alias("x"), S.band(F.col("p_size"), [(1, 10, "small"), (11, 30, "medium"), (31, 50, "large")]).alias("band")).select("p_partkey", F.col("x.value").cast("double").alias("value"), "x.reason", "band")
 
 
 @query("best_id_column", "SELECT 'doc_id' AS \"column\", (SELECT count(DISTINCT doc_id) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) AS matches, (SELECT count(DISTINCT doc_id) FROM documents) AS distinct_values")

@@ -188,9 +188,9 @@ def sample_counts_identity(spark, sf):
     return G.sample_counts(index(spark, sf), "entity", "lead", "split")
 
 
-@query("sample_counts_rollup", SAMPLES_SQL + " SELECT lead, split, count_if(valid AND NOT crossing) AS valid_samples FROM i WHERE split IS NOT NULL GROUP BY ROLLUP (lead, split)")
+@query("sample_counts_rollup", SAMPLES_SQL + " SELECT coalesce(lead, 0) AS lead, coalesce(split, 'all') AS split, count_if(valid AND NOT crossing) AS valid_samples FROM i WHERE split IS NOT NULL GROUP BY ROLLUP (i.lead, i.split)")
 def sample_counts_rollup(spark, sf):
-    return index(spark, sf).filter("split is not null").rollup("lead", "split").agg(F.count_if(F.col("valid") & ~F.col("crossing")).alias("valid_samples"))
+    return index(spark, sf).filter("split is not null").rollup("lead", "split").agg(F.count_if(F.col("valid") & ~F.col("crossing")).alias("valid_samples")).fillna({"lead": 0, "split": "all"})
 
 
 @query("scaler_table", f"WITH {USER_SQL} SELECT entity, count(value) AS n_observed, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS raw_std, round(greatest(stddev_pop(value), 0.01), 6) AS effective_std FROM g WHERE slot < 20 GROUP BY 1")
