@@ -22,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_suffix_array_dedup": suffix_dedup.ORACLE, "op3_exact_dedup": exact_dedup.ORACLE, "op10_rlz_substring_dedup": rlz_dedup.ORACLE}

@@ -197,5 +197,31 @@ def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return keyed.mapInArrow(run, docs.schema)
 
 
+ORACLE = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), starts AS (
+  SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i : i + 49], ' ')) AS s FROM starts
+), firsts AS (
+  SELECT s, min(doc_id) AS first_id FROM windows GROUP BY s
+), late AS (
+  SELECT doc_id, i FROM windows JOIN firsts USING (s) WHERE first_id < doc_id
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM late
+), lost AS (
+  SELECT doc_id, list(p) AS ps, count(*) AS n FROM gone GROUP BY doc_id
+), places AS (
+  SELECT w.doc_id, w.ws, coalesce(l.n, 0) AS n_removed, l.ps FROM w LEFT JOIN lost l USING (doc_id)
+), words AS (
+  SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM places
+), kept AS (
+  SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.p) AS t FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.p = words.p WHERE gone.p IS NULL GROUP BY words.doc_id
+)
+SELECT places.doc_id, len(ws) AS n_words, n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256 FROM places LEFT JOIN kept ON kept.doc_id = places.doc_id
+"""
+
+
 def op10_rlz_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return removed_passages(_base.table(spark, sf_dir, "documents")).drop("kept")

@@ -209,5 +209,31 @@ def removed_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.mapInArrow(_finished(window, id_col, keep), f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
+ORACLE = r"""
+WITH t AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), starts AS (
+  SELECT doc_id, h, unnest(range(0, len(h) // 2 - 199)) AS i FROM t WHERE len(h) >= 400
+), windows AS (
+  SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS s FROM starts
+), again AS (
+  SELECT s FROM windows GROUP BY s HAVING count(*) > 1
+), hits AS (
+  SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM windows WHERE s IN (SELECT s FROM again)
+), numbered AS (
+  SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM hits
+), spans AS (
+  SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM numbered GROUP BY doc_id, k
+), gaps AS (
+  SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS z FROM spans
+), kept AS (
+  SELECT g.doc_id, string_agg(substr(t.h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS head, max(b) AS last, sum(b - a) AS removed, count(*) AS n FROM gaps g JOIN t ON t.doc_id = g.doc_id GROUP BY g.doc_id
+)
+SELECT t.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM t LEFT JOIN kept ON kept.doc_id = t.doc_id
+"""
+
+
 def op1_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     return removed_repeats(_base.table(spark, sf_dir, "documents"), keep=False).drop("kept")
