@@ -150,7 +150,9 @@ def spans(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int, g
         *(F.when(late, F.array(whole)).otherwise(F.transform(x, lambda y: y + F.col("start"))).alias(x) for x, whole in (("begin", F.col("start")), ("until", F.col("start") + F.col("run")))),
     )
     out = out.union(edges.filter("begin is not null")).groupBy("key").agg(*(F.flatten(F.collect_list(x)).alias(x) for x in ("begin", "until")))
-    return _base.spill(out, "spans")
+    out = _base.spill(out, "spans")
+    _base.forget(stats, found, rows, each, marks, firsts)
+    return out
 
 
 def removed_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:

@@ -205,7 +205,9 @@ def removed_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marks = _base.spill(marks, "marks")
     edges = rows.filter("several").join(marks, ["h", "c"]).select("id", *(F.transform(x, lambda y: y + F.col("start")).alias(x) for x in ("begin", "until")))
     spans = spans.union(edges).groupBy("id").agg(*(F.flatten(F.collect_list(x)).alias(x) for x in ("begin", "until")))
-    out = texts.join(_base.spill(spans, "spans"), "id", "left").select("own", "text", "begin", "until")
+    spans = _base.spill(spans, "spans")
+    _base.forget(stats, found, rows, each, marks)
+    out = texts.join(spans, "id", "left").select("own", "text", "begin", "until")
     return out.mapInArrow(_finished(window, id_col, keep), f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
