@@ -217,7 +217,7 @@ def lag_features(spark, sf):
     return G.lagged(type_grid(spark, sf), {"persistence": 1, "daily": 12})
 
 
-@query("input_windows", WINDOWS_SQL.replace(", w0 AS", ", ignored AS", 1).split(", ignored AS")[0] + ", a AS (SELECT entity, slot, value AS target, count(value) OVER w AS n, sum(value) OVER w AS total, first(value) OVER w AS first_input, last(value) OVER w AS last_input FROM g WINDOW w AS (PARTITION BY entity ORDER BY slot RANGE BETWEEN 12 PRECEDING AND 1 PRECEDING)) SELECT entity, slot, target, round(total, 6) AS total, first_input, last_input FROM a WHERE n = 12 AND target IS NOT NULL")
+@query("input_windows", f"WITH {TYPE_SQL}, a AS (SELECT entity, slot, value AS target, count(value) OVER w AS n, sum(value) OVER w AS total, first(value) OVER w AS first_input, last(value) OVER w AS last_input FROM g WINDOW w AS (PARTITION BY entity ORDER BY slot RANGE BETWEEN 12 PRECEDING AND 1 PRECEDING)) SELECT entity, slot, target, round(total, 6) AS total, first_input, last_input FROM a WHERE n = 12 AND target IS NOT NULL")
 def input_windows(spark, sf):
     a = G.input_arrays(type_grid(spark, sf), LOOKBACK, 1)
     return rounded(a.select("entity", "slot", "target", F.aggregate("input", F.lit(0.0), lambda s, x: s + x).alias("total"), F.element_at("input", 1).alias("first_input"), F.element_at("input", -1).alias("last_input")))
