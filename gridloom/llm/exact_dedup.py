@@ -77,10 +77,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_groups() drops; all columns stay."""
-    drop = exact_groups(docs, id_col, text_col).filter("not kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    # Rows are told apart by id, and by a short hash where ids repeat: a narrow table that Spark may find small enough to broadcast.
+    drop = exact_groups(docs, id_col, text_col).filter("not kept").select(F.col(id_col).alias("__id"), F.hash("text_sha256").alias("__hash")).distinct()
     drop = _base.spill(drop, "dropped")
-    sha = F.sha2(normalised(docs[text_col]).cast("binary"), 256)
-    return docs.join(drop, docs[id_col].eqNullSafe(drop["__id"]) & (sha == drop["__sha"]), "left_anti")
+    own = F.hash(F.sha2(normalised(docs[text_col]).cast("binary"), 256))
+    return docs.join(drop, docs[id_col].eqNullSafe(drop["__id"]) & (own == drop["__hash"]), "left_anti")
 
 
 ORACLE = r"""
