@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that a Python worker gets at once.
-BATCH = 1000
+BATCH = 250
 #: White space of every contract here: space and the five ASCII controls from tab to return.
 WS = r"[\x20\x09-\x0D]+"
 
