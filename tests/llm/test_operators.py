@@ -228,7 +228,7 @@ def test_lattice_encodes_and_decodes(odd, odd_rows):
     assert got == {i: sp.encode(t) for i, t in rest.items()}
     words = sentencepiece_lattice.word_codes(odd, PIECES).collect()
     assert all(r["round_trip"] and r["n_pieces"] == len(r["ids"]) for r in words)
-    assert {r["word"]: r["n"] for r in words} == Counter(w for _, t in odd_rows for w in sentencepiece_lattice.cut(t or ""))
+    assert {r["word"]: r["n"] for r in words} == Counter(w for _, t in odd_rows for w in sentencepiece_lattice.cut(t or "", sentencepiece_lattice.pattern(PIECES)))
 
 
 def test_viterbi_fold(spark):
