@@ -10,11 +10,16 @@ that path is not the library's encoding, so there the fold takes the lattice's b
 score, then leftmost, until none is left: each merge is an edge over two neighbouring ones.
 Characters that no edge covers become the pieces of their bytes. Words of over LONGEST characters,
 for which a fold's steps grow too many, are encoded by the library.
+
+Whole texts get their ids from their words': those of the most frequent words are broadcast, the
+others are joined by word to the texts that have them. Decoding puts the pieces' bytes together again.
 """
 
 from __future__ import annotations
 
+import contextlib
 import re
+from array import array
 from collections import Counter
 from functools import lru_cache
 
@@ -28,6 +33,8 @@ from gridloom.llm import _base
 SPACE = "▁"
 #: Characters of a word that is folded; words of texts that a Python worker counts before it passes them on.
 LONGEST, HELD = 64, 300_000
+#: Words whose ids are broadcast, and characters of such a word; words of a partition that are grouped by hash, without a sort.
+FREQUENT, BROADCAST, GROUPED = 100_000, 256, 10_000
 #: A line end is a word of its own: no piece holds one. CLOSE: so is what begins with a mark after a letter or digit, where no piece of the model has the two together.
 WORD = f"\\n+|{SPACE}*[^{SPACE}\\n]+|{SPACE}+"
 CLOSE = f"\\n+|{SPACE}*(?:[^{SPACE}\\n]+?(?<=[a-zA-Z0-9])(?=[.,;:!?])|[^{SPACE}\\n]+)|{SPACE}+"
@@ -161,14 +168,27 @@ def best_path(longest: int, unknown: float = -1e6) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length("word")), start, step, lambda s: F.element_at(s, -1)["b"])
 
 
+@contextlib.contextmanager
+def _grouping_by_hash(spark):
+    """Lets collect_list hold all groups of a partition, of which there are about GROUPED; past 128 of them Spark would sort all edges."""
+    name = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(2 * GROUPED))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
 def encoded_words(words: DataFrame, path: str, unigram: bool = False) -> DataFrame:
-    """(word, n, ids): the piece ids of each distinct word, in order."""
+    """(word, n, ids): the piece ids of each distinct word, in order. The result is an intermediate table."""
     spark = words.sparkSession
     table = pieces(spark, path)
     longest = int(table.agg(F.max(F.length("piece"))).first()[0])
     ids = byte_ids(path)
     words = _base.spill(words, "words")
-    short = lattice(words.filter(F.length("word") <= LONGEST).repartition("word"), table, longest)
+    parts = max(words.count() // GROUPED + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    short = lattice(words.filter(F.length("word") <= LONGEST).repartition(parts, "word"), table, longest)
     short = short.withColumn("bounds", best_path(longest) if unigram else merged())
     folded = short.select("word", "n", _ids(F.col("bounds"), ids).alias("ids"))
 
@@ -177,7 +197,10 @@ def encoded_words(words: DataFrame, path: str, unigram: bool = False) -> DataFra
         sp = processor(path)
         return w.map(lambda x: sp.encode(x[1:] if x.startswith(SPACE) else "\n" + x)[(0 if x.startswith(SPACE) else _lead(sp)) :])
 
-    return folded.unionByName(words.filter(F.length("word") > LONGEST).select("word", "n", library("word").alias("ids")))
+    with _grouping_by_hash(spark):
+        codes = _base.spill(folded.unionByName(words.filter(F.length("word") > LONGEST).select("word", "n", library("word").alias("ids"))), "codes")
+    _base.forget(words)
+    return codes
 
 
 def _lead(sp) -> int:
@@ -185,21 +208,73 @@ def _lead(sp) -> int:
     return len(sp.encode("\n"))
 
 
-def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids) of whole texts; null and empty texts have no ids. Ids must be unique."""
-    _base.ready(docs.sparkSession)
-    words = _base.spill(words_of(docs, path, text_col), "words")
-    codes = _base.spill(encoded_words(words, path).select("word", "ids"), "codes")
-    parts = F.expr(f"regexp_extract_all(concat('{SPACE}', translate({text_col}, ' ', '{SPACE}')), '({pattern(path)})', 1)".replace("\\n", "\\\\n"))
-    each = docs.filter(F.length(text_col) > 0).select(F.col(id_col), F.posexplode(parts).alias("at", "word")).join(codes, "word")
-    joined = each.groupBy(id_col).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda s: s["ids"])).alias("ids"))
-    return docs.select(id_col).join(joined, id_col, "left").select(id_col, F.coalesce("ids", F.array().cast("array<long>")).alias("ids"))
+def _coded(docs: DataFrame, path: str, id_col: str, text_col: str, frequent: int) -> DataFrame:
+    """(id, size, check, ids), one row per row of docs: bytes of the text as the model sees it, and their hash."""
+    spark = docs.sparkSession
+    _base.ready(spark)
+    codes = encoded_words(words_of(docs, path, text_col), path).withColumn("ids", F.col("ids").cast("array<int>"))
+    top = codes.filter(F.length("word") <= BROADCAST).orderBy(F.desc("n"), "word").limit(frequent).select("word", "ids").toArrow()
+    shared = spark.sparkContext.broadcast({w: array("i", x) for w, x in zip(top["word"].to_pylist(), top["ids"].to_pylist())})  # at most `frequent` words
+    del top
+    words = pattern(path)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    @_base.tidy
+    def run(batches):
+        known = shared.value
+        for batch in batches:
+            ids, ends, rest, rest_ends = array("i"), [0], [], [0]
+            for t in batch.column(4).to_pylist():
+                own: dict[str, int] = {}
+                for w in cut(t or "", words):
+                    got = known.get(w)
+                    if got is None:
+                        ids.append(-1 - own.setdefault(w, len(own)))
+                    else:
+                        ids += got
+                ends.append(len(ids))
+                rest += own
+                rest_ends.append(len(rest))
+            lists = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(x, k)) for e, x, k in ((ends, ids, pa.int32()), (rest_ends, rest, pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), *lists], ["id", "row", "size", "check", "holed", "rest"])
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    seen = F.when(text == "", "").otherwise(F.concat(F.lit(SPACE), F.translate(text, " ", SPACE))).cast("binary")
+    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.octet_length(seen).cast("long").alias("size"), F.xxhash64(seen).alias("check"), text.alias("text"))
+    # A hole is the negative place, from 1 on, of a word in rest. Rows are numbered once, as they are written.
+    holed = _base.spill(rows.mapInArrow(run, f"id {kind}, row long, size long, check long, holed array<int>, rest array<string>"), "holed")
+    fills = holed.select("row", F.posexplode("rest").alias("at", "word")).join(codes.select("word", "ids"), "word")
+    fills = fills.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"]).alias("fills"))
+    filled = F.flatten(F.transform("holed", lambda i: F.when(i < 0, F.element_at("fills", -i)).otherwise(F.array(i))))
+    out = holed.drop("rest").join(fills, "row", "left")
+    return out.select(F.col("id").alias(id_col), "size", "check", F.when(F.col("fills").isNull(), F.col("holed")).otherwise(filled).alias("ids"))
+
+
+def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
+    """(id, ids) of whole texts, one row per row of docs; null and empty texts have no ids."""
+    return _coded(docs, path, id_col, text_col, frequent).select(id_col, "ids")
+
+
+def decoded_bytes(ids: Column, path: str) -> Column:
+    """UTF-8 bytes of the text that ids stand for, with marks: pieces and bytes put together."""
+    names = F.split(F.lit(",".join(b.hex() for b in piece_bytes(path))), ",")
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(names, (i + 1).cast("int"))), ""))
 
 
 def decoded(ids: Column, path: str) -> Column:
-    """The text that ids stand for, with marks: pieces and bytes put together."""
-    names = F.array(*map(F.lit, piece_bytes(path)))
-    return F.decode(F.aggregate(ids, F.lit(b""), lambda s, i: F.concat(s, F.element_at(names, (i + 1).cast("int")))), "UTF-8")
+    """The text that ids stand for, with marks."""
+    return F.decode(decoded_bytes(ids, path), "UTF-8")
+
+
+def document_codes(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
+    """One row per row of docs: id, n_pieces, ids, round_trip (whether decoding gives the text with its marks, by length and 64-bit hash).
+
+    Null texts count as empty: no ids, and the round trip holds. Ids and whole rows may repeat.
+    Other columns are not read.
+    """
+    both = _coded(docs, path, id_col, text_col, frequent).withColumn("back", decoded_bytes(F.col("ids"), path))
+    same = (F.octet_length("back") == F.col("size")) & (F.xxhash64("back") == F.col("check"))
+    return both.select(id_col, F.size("ids").alias("n_pieces"), "ids", same.alias("round_trip"))
 
 
 def word_codes(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
@@ -218,4 +293,4 @@ def word_codes(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
 def op6_sentencepiece_lattice(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return word_codes(_base.table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return document_codes(_base.table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

@@ -231,6 +231,27 @@ def test_lattice_encodes_and_decodes(odd, odd_rows):
     assert {r["word"]: r["n"] for r in words} == Counter(w for _, t in odd_rows for w in sentencepiece_lattice.cut(t or "", sentencepiece_lattice.pattern(PIECES)))
 
 
+@pytest.mark.parametrize("frequent", [100_000, 5, 0])
+def test_whole_texts_encode_and_decode(spark, odd, odd_rows, frequent):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    got = sentencepiece_lattice.document_codes(odd, PIECES, frequent=frequent)
+    assert got.columns == ["doc_id", "n_pieces", "ids", "round_trip"]
+    found = got.collect()
+    assert all(r["round_trip"] and r["n_pieces"] == len(r["ids"]) for r in found)
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in found) == Counter((i, tuple(sp.encode(t or ""))) for i, t in odd_rows)
+    if frequent == 5:
+        back = sentencepiece_lattice.encoded(odd, PIECES, frequent=frequent).select("doc_id", sentencepiece_lattice.decoded(F.col("ids"), PIECES).alias("t")).collect()
+        assert Counter((r["doc_id"], r["t"]) for r in back) == Counter((i, "▁" + t.replace(" ", "▁") if t else "") for i, t in odd_rows)
+
+
+def test_query_encodes_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = sentencepiece_lattice.op6_sentencepiece_lattice(spark, "/root/testdata/sf0.001")
+    assert "doc_id" in got.columns and got.count() == docs.count() and got.filter("not round_trip").count() == 0
+
+
 def test_viterbi_fold(spark):
     """The unigram fold against all segmentations."""
     score = {"a": -3.0, "b": -3.0, "c": -4.0, "ab": -4.5, "bc": -3.5, "abc": -9.0, "ca": -2.0}
