@@ -5,7 +5,9 @@ Documents are tokenised where they are read; only the numbers of pieces of each
 left, a branch-and-bound search enumerates fillings of the rest of a sequence, in order of
 decreasing length and so that no filling is looked at that another one dominates, keeps the best-fit
 one as the incumbent and prunes a branch once what is left cannot waste less. A filling is then used
-as often as the numbers allow. What comes out is for each length the stretches of ranks and their
+as often as the numbers allow. Where this takes more sequences than a lower bound, it is the
+incumbent of a search that goes back over all sequences: other undominated fillings, also used less
+often, within the waste that one sequence less would allow. What comes out is for each length the stretches of ranks and their
 sequences, a table whose size depends on the number of lengths alone; pieces find their place in it
 by their rank among pieces of their length, which is counted in blocks, never in one task.
 """
@@ -13,9 +15,11 @@ by their rank among pieces of their length, which is counted in blocks, never in
 from __future__ import annotations
 
 import bisect
+import itertools
 import unicodedata
 import zlib
 from array import array
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +28,8 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import _base
 
-#: Tokens of a sequence, id at each document's end, blocks in which ranks are counted, steps of a search.
-LIMIT, END, SALTS, STEPS = 4096, 1, 64, 2000
+#: Tokens of a sequence, id at each document's end, blocks in which ranks are counted, steps of the first search for a filling, and of the search over all sequences.
+LIMIT, END, SALTS, STEPS, SEARCH = 4096, 1, 64, 2000, 200_000
 
 
 # ---- ids -------------------------------------------------------------------------------------
@@ -173,8 +177,141 @@ def completion(lengths: list[int], left: dict[int, int], room: int, steps: int =
     return best_waste, best
 
 
-def packed(counts: dict[int, int], limit: int = LIMIT, steps: int = STEPS) -> list[tuple[int, list[int]]]:
-    """(times, filling) for all pieces: each filling has at most `limit` tokens and begins with its longest piece."""
+def least(counts: dict[int, int], limit: int = LIMIT) -> int:
+    """No packing has fewer sequences: total length over limit, and for each a, what pieces over limit - a and over half a sequence leave for those from a to half."""
+    x = np.array(sorted(k for k, n in counts.items() if n), np.int64)
+    n = np.array([counts[k] for k in x.tolist()], np.int64)
+    many, much = np.append(0, np.cumsum(n)), np.append(0, np.cumsum(n * x))
+    half = np.searchsorted(x, limit // 2, "right")
+    bound = -(-int(much[-1]) // limit)
+    for i in range(half):
+        top = np.searchsorted(x, limit - x[i], "right")  # from here on, nothing of x[i] or more fits beside
+        free = int(many[top] - many[half]) * limit - int(much[top] - much[half])
+        bound = max(bound, int(many[-1] - many[half]) + max(0, -(-(int(much[half] - much[i]) - free) // limit)))
+    return max(bound, int(many[-1] - many[half]))
+
+
+def fillings(lengths: list[int], left: dict[int, int], limit: int, slack: int, spent: list[int], steps: int):
+    """(waste, filling) around the longest piece left, for all fillings that no other piece can extend and that waste at most `slack`, longest first.
+
+    Both tables may change between two fillings, if they are as before when the next one is asked for.
+    """
+    longest = lengths[-1]
+    room = limit - longest
+    # What all pieces up to a length fill together, as far as that is less than the room.
+    sums = [0]
+    for x in lengths:
+        if x > room or sums[-1] == room:
+            break
+        sums.append(min(sums[-1] + x * (left[x] - (x == longest)), room))
+    stack: list[tuple[int, int, int, tuple]] = [(bisect.bisect_right(lengths, room), room, room + 1, ())]
+    while stack:
+        spent[0] += 1
+        if spent[0] > steps:
+            return
+        upto, rest, skipped, chosen = stack.pop()
+        # What stays free must be within the slack, and too short for every piece that was passed over.
+        if rest - sums[min(upto, len(sums) - 1)] > min(slack, skipped - 1):
+            continue
+        i = bisect.bisect_right(lengths, rest, 0, upto) - 1
+        if i < 0:
+            yield rest, [longest, *chosen]
+            continue
+        x = lengths[i]
+        if chosen.count(x) < left[x] - (x == longest):
+            stack.append((i, rest, x, chosen))  # without x
+            stack.append((i + 1, rest - x, skipped, (*chosen, x)))
+        else:
+            stack.append((i, rest, skipped, chosen))
+
+
+def _choices(lengths: list[int], left: dict[int, int], limit: int, slack: int, spent: list[int], steps: int):
+    """(times, need, filling, waste) around the longest piece left: each filling as often as it goes, then half as often, then all other numbers."""
+    kept = []
+    for waste, filling in fillings(lengths, left, limit, slack, spent, steps):
+        need = Counter(filling)
+        most = min(left[y] // n for y, n in need.items())
+        most = min(most, slack // waste) if waste else most
+        kept.append((most, need, filling, waste))
+        yield kept[-1]
+    for most, *rest in kept:
+        if most > 3:
+            yield most // 2, *rest
+    for most, *rest in kept:
+        for times in range(most - 1, 0, -1):
+            if times != most // 2 or most <= 3:
+                yield times, *rest
+
+
+def improved(counts: dict[int, int], best: list[tuple[int, list[int]]], limit: int = LIMIT, steps: int = SEARCH) -> tuple[list[tuple[int, list[int]]], bool]:
+    """The packing of fewest sequences that `steps` steps find, from an incumbent on, and whether none can have fewer.
+
+    Branch and bound over whole packings: a branch ends once it wastes more than one sequence less
+    than the incumbent has. Branches are taken in order of how often they leave the first choice,
+    so that early sequences are looked at again as soon as late ones.
+    """
+    total, bound, spent = sum(x * n for x, n in counts.items()), least(counts, limit), [0]
+    # Each round for a number of departures has its share of the steps, so that none shuts out the next.
+    while sum(t for t, _ in best) > bound:
+        slack, found, whole = (sum(t for t, _ in best) - 1) * limit - total, None, False
+        for departures in itertools.count():
+            upto = min(steps, spent[0] + max(steps // 10, 1))
+            found, cut = _within(counts, limit, slack, departures, spent, upto)
+            whole = not cut and spent[0] <= upto
+            if found or whole or spent[0] >= steps:
+                break
+        if not found:
+            return best, whole
+        best = found
+    return best, True
+
+
+def _within(counts: dict[int, int], limit: int, slack: int, departures: int, spent: list[int], steps: int) -> tuple[list | None, bool]:
+    """A packing that wastes at most `slack` and departs from the first choice so often at most, or None; and whether that bound left any branch out."""
+    left = {x: n for x, n in counts.items() if n}
+    lengths, cut = sorted(left), False
+
+    def put(times: int, need: dict[int, int]) -> None:
+        for y, n in need.items():
+            before, left[y] = left[y], left[y] - times * n
+            if before and not left[y]:
+                del lengths[bisect.bisect_left(lengths, y)]
+            elif left[y] and not before:
+                bisect.insort(lengths, y)
+
+    # Choices of each level, departures and slack there, and what the level has put.
+    levels = [[_choices(lengths, left, limit, slack, spent, steps), departures, slack, None, 0]] if lengths else []
+    while levels:
+        level = levels[-1]
+        choices, free, room, done, seen = level
+        if done:
+            put(-done[0], done[1])
+            level[3] = None
+        if seen and not free:
+            # No departure is left here: only whether there was another choice matters.
+            cut = cut or next(choices, None) is not None
+            levels.pop()
+            continue
+        choice = next(choices, None) if spent[0] <= steps else None
+        if choice is None:
+            levels.pop()
+            continue
+        level[3], level[4] = choice, seen + 1
+        put(choice[0], choice[1])
+        if not lengths:
+            return [(v[3][0], v[3][2]) for v in levels], cut
+        room -= choice[0] * choice[3]
+        levels.append([_choices(lengths, left, limit, room, spent, steps), free - (seen > 0), room, None, 0])
+    return None, cut
+
+
+def packed(counts: dict[int, int], limit: int = LIMIT, steps: int = STEPS, search: int = SEARCH) -> list[tuple[int, list[int]]]:
+    """(times, filling) for all pieces: each filling has at most `limit` tokens and begins with its longest piece. The fewest sequences that `search` steps find."""
+    return improved(counts, best_filled(counts, limit, steps), limit, search)[0]
+
+
+def best_filled(counts: dict[int, int], limit: int = LIMIT, steps: int = STEPS) -> list[tuple[int, list[int]]]:
+    """(times, filling) for all pieces by the best filling around the longest piece left, one after another."""
     left = {x: n for x, n in counts.items() if n}
     lengths = sorted(left)
     out = []

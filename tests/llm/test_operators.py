@@ -5,6 +5,8 @@ import math
 import random
 import zlib
 from collections import Counter
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -337,6 +339,31 @@ def test_bin_completion():
     assert packing.packed({}, 10) == []
 
 
+def test_packing_goes_back_over_sequences():
+    """Against the fewest sequences by trying everything."""
+    assert sum(n for n, _ in packing.packed({5: 1, 4: 4, 3: 2, 2: 1}, 10)) == 3
+
+    @lru_cache(None)
+    def fewest(items, limit):
+        if not items:
+            return 0
+        first, rest = items[0], items[1:]
+        ways = {tuple(c) for k in range(len(rest) + 1) for c in combinations(range(len(rest)), k) if first + sum(rest[i] for i in c) <= limit}
+        return 1 + min(fewest(tuple(x for i, x in enumerate(rest) if i not in c), limit) for c in ways)
+
+    rng = random.Random(5)
+    for _ in range(150):
+        limit = rng.randint(8, 24)
+        items = tuple(sorted((rng.randint(2, limit * 2 // 3) for _ in range(rng.randint(1, 9))), reverse=True))
+        counts = Counter(items)
+        got, proved = packing.improved(counts, packing.best_filled(counts, limit), limit)
+        assert sum(n for n, _ in got) == fewest(items, limit) >= packing.least(counts, limit) and proved
+        assert all(sum(f) <= limit for _, f in got)
+        assert sum((Counter({x: n * k for x, k in Counter(f).items()}) for n, f in got), Counter()) == counts
+    few = {x: 300 for x in (11, 7, 6, 5, 3)}
+    assert sum(n for n, _ in packing.packed(few, 16)) == packing.least(few, 16) == 600
+
+
 def test_near_classes(odd, odd_rows):
     prints = [brute.simhash((t or "").encode()) for _, t in odd_rows]
     want = brute.classes([i for i, _ in odd_rows], prints)
