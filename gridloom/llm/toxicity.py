@@ -9,6 +9,7 @@ id); scoring reads every whole text and has no bound.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from gridloom.llm import _base, hashing
 
 U = np.uint64
-#: Labelled rows of a class that are fitted on, characters of them all, lengths of n-grams.
+#: Labelled rows of a class that are fitted on, characters of the rows of both classes (half of them for each, and what the other class leaves of its half), lengths of n-grams.
 SAMPLE, CHARACTERS, GRAMS = 4000, 30_000_000, (4, 5, 6)
 #: Buckets of the first count; least texts with an n-gram, and deviations from chance and log ratio, for it to be a feature (weak ones add up in long texts).
 BUCKETS, LEAST, DEVIATIONS, RATIO = 1 << 22, 4, 4.5, 2.0
@@ -160,13 +161,31 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_c
     return texts.join(both, "id").select("id", "text", "y")
 
 
+def within(ids: list, sizes: list[int], characters: int) -> list:
+    """Ids in their order, without those whose text would go beyond `characters`; shorter ones after them still count. The shortest alone where every text is longer than that."""
+    out, used = [], 0
+    for i, n in zip(ids, sizes):
+        if used + n <= characters:
+            out.append(i)
+            used += n
+    return out or [i for _, i in sorted(zip(sizes, ids))[:1]]
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, characters: int = CHARACTERS, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
-    """Fits on at most 2 x sample texts and `characters` characters of them, in order of their hash; rows that would go beyond are left out of the fit as a whole."""
+    """Fits on at most `sample` texts of each class and half of `characters` for each, in order of the ids' hash; what a class leaves of its half goes to the other.
+
+    A row that would go beyond its class's share is left out of the fit as a whole, and no other is
+    for it: neither the rows after it nor the other class. A class all of whose texts are longer
+    than that keeps the shortest one.
+    """
     rows = _base.spill(training_rows(docs, labels, sample, id_col, text_col), "labelled")
     size = F.length("text").cast("long")
-    order = rows.select("id", "y", size.alias("n"), F.xxhash64("id").alias("h")).toArrow().to_pandas().sort_values(["y", "h", "id"], ascending=[False, True, True])
-    order["upto"] = order["n"].cumsum()
-    ids = order.loc[order["upto"] <= characters, ["id"]].drop_duplicates()
+    order = rows.select("id", "y", size.alias("n"), F.xxhash64("id").alias("h")).toArrow().to_pandas().sort_values(["y", "h", "id", "n"], ascending=[False, True, True, True])
+    # Rows of docs that share an id are taken or left together.
+    each = order.groupby(["y", "h", "id"], sort=False, as_index=False)["n"].sum()
+    half = characters // 2
+    free = half - each.groupby("y")["n"].sum().clip(upper=half)
+    ids = pd.DataFrame({"id": [i for y, c in each.groupby("y") for i in within(c["id"].tolist(), c["n"].tolist(), half + int(free.drop(y).sum()))]}, dtype="int64")
     picked = rows.join(F.broadcast(rows.sparkSession.createDataFrame(ids, "id long")), "id").toArrow() if len(ids) else rows.limit(0).toArrow()
     picked = picked.sort_by([("id", "ascending"), ("y", "ascending")])
     model = fit(picked["text"].to_pylist(), picked["y"].to_numpy() > 0)

@@ -128,6 +128,21 @@ def test_toxicity_held_out(spark):
     assert sum(got[i]["predicted"] == y[i] for i in held) / len(held) > 0.95
 
 
+def test_long_texts_leave_room_for_others(spark):
+    """One long toxic text, or toxic texts that fill the bound, must not keep clean ones or other toxic ones from the fit."""
+    rng = random.Random(2)
+    texts = [f"{prose(rng, 30)} {'vilegrump' if i % 2 else ''} {prose(rng, 30)}" for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(401)] + [(401, 1), (403, 0)], "doc_id long, toxic int")
+    long = [(i, prose(rng, 60_000)) for i in (401, 403)]
+    docs = spark.createDataFrame([*enumerate(texts), *long], "doc_id long, text string")
+    most = 60 * sum(map(len, texts)) // len(texts)
+    model = toxicity.train(docs, labels, characters=most)
+    assert len(model.features)
+    predicted = model.scores(texts) >= toxicity.THRESHOLD
+    assert np.mean(predicted == (np.arange(400) % 2 == 1)) > 0.9
+    assert toxicity.within([1, 2, 3, 4], [5, 90, 4, 2], 10) == [1, 3] and toxicity.within([1, 2], [50, 20], 10) == [2] and toxicity.within([], [], 10) == []
+
+
 def test_toxicity_odd_rows(spark, odd, none, odd_rows):
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
     assert toxicity.toxicity(odd, labels).count() == len(odd_rows)
