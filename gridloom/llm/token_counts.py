@@ -8,8 +8,11 @@ those earlier places only where a piece that is still open has begun. These make
 each transition carries by how many tokens the count changes.
 
 Texts are cut into chunks that run side by side. A chunk's state map is constant from its first
-word start on, as every state leads to the same one there; so tails of all chunks run at once, and
-a prefix scan over the maps gives the state in which each chunk's head begins.
+word start on, as every state leads to the same one there; so tails of all chunks run at once. The
+map of what comes before it, the head, is found for the states in which the chunk before may end:
+first for a guess in all chunks at once, then for the states that this gives in the chunks before,
+until no new one comes up, which is soon, as different states lead to the same one after a few
+characters. A parallel prefix scan then composes the maps pairwise, two, four, eight chunks at a time.
 """
 
 from __future__ import annotations
@@ -30,8 +33,8 @@ CHUNK = 1024
 CELLS = 24_000_000
 #: Token pairs whose fit is remembered when the table starts anew.
 PAIRS = 600_000
-#: Code points that run together.
-BATCH = 6_000_000
+#: Code points that run together; a longer text is run in parts, from the state in which the part before ended.
+BATCH = 2_000_000
 _SHIFT, _BIAS = 6, 32
 
 
@@ -99,11 +102,11 @@ class Transducer:
                 self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
         return found
 
-    def step(self, state: int, char: str) -> int:
-        """The packed transition: next state and the change of the count. A state is the last token and, for each open piece, its place in the trie, the token before it and the count before it."""
+    def step(self, state: int, char: str, n_bytes: int = 0) -> int:
+        """The packed transition: next state and the change of the count. A state is the last token and, for each open piece, its place in the trie, the token before it and the count before it. n_bytes: of a character without a piece, which is that many tokens."""
         last, opened = self.states[state]
-        if char not in self.chars:
-            return self.state((None, ())) << _SHIFT | len(char.encode()) + _BIAS
+        if n_bytes:
+            return self.state((None, ())) << _SHIFT | n_bytes + _BIAS
         if last is not None and last[-1] + char not in self.inside:
             last = None  # no piece crosses this place
         found, items = None, []
@@ -157,7 +160,7 @@ class Transducer:
             if got.min() < 0:
                 for x in np.unique(cell[got < 0]).tolist():
                     s, c = divmod(x, self.width)
-                    v = self.step(s, self.columns[c] if c > 3 else ("\x00", "\x80", "ࠀ", "\U00010000")[c])
+                    v = self.step(s, self.columns[c], c + 1 if c < 4 else 0)
                     self.table[s, c] = v
                 got = self.table.ravel()[cell]
             state[:n] = got >> _SHIFT
@@ -166,10 +169,25 @@ class Transducer:
         out_state[order], out_count[order] = state, count
         return out_state, out_count
 
-    def counts(self, texts: list[str], chunk: int = CHUNK) -> np.ndarray:
+    def counts(self, texts: list[str], chunk: int = CHUNK, most: int = BATCH) -> np.ndarray:
         """Tokens of each text, as the model's library counts them."""
+        out = np.zeros(len(texts), np.int64)
+        for i, j in blocks(texts, most):
+            key = None
+            # A text of over `most` characters comes last in its block.
+            for at in range(0, max(len(texts[j - 1]) if j > i else 0, 1), most):
+                part = texts[i:j] if not at and len(texts[j - 1]) <= most else [texts[j - 1][at : at + most]]
+                if not at and len(texts[j - 1]) > most and j - i > 1:
+                    out[i : j - 1] += self._counts(texts[i : j - 1], chunk, None)[0]
+                n, key = self._counts(part, chunk, key)
+                out[i:j] += n if len(part) == j - i else np.append(np.zeros(j - i - 1, np.int64), n)
+        return out + np.fromiter((len(t) > 0 for t in texts), np.int64, len(texts))
+
+    def _counts(self, texts: list[str], chunk: int, key: tuple | None) -> tuple[np.ndarray, tuple]:
+        """Changes of count over texts, each from its begin or from state `key`, and the state at the end of the last."""
         if len(self.states) * self.width > CELLS:
             self.reset()
+        entry = self.start if key is None else self.state(key)
         raw = [t.encode("utf-32-le") for t in texts]
         size = np.array([len(b) // 4 for b in raw], np.int64)
         cps = np.frombuffer(b"".join(raw), np.uint32)
@@ -196,18 +214,50 @@ class Transducer:
         if len(tail):
             exits[tail], n2 = self.run(cols, first[tail], end[tail], np.full(len(tail), self.empty))
             np.add.at(total, doc[tail], n2 - n)
-        # The scan: each round composes the next map of every document whose entry state is known.
-        todo = np.arange(len(begin))
+        if not len(begin):
+            return total, self.states[entry]
+        # State maps of the heads, as (chunk, entry state) to (exit state, change of count), for all states that may come up.
+        where = np.arange(len(begin))
+        known = np.zeros(0, np.int64)
+        columns: list[list[np.ndarray]] = [[], [], []]
+        # The state before is known at a text's begin and after a constant map; else the guess is that nothing is open.
+        guess = np.where(nth == 0, entry, np.where(exits[where - 1] >= 0, exits[where - 1], self.empty))
+        todo, width = where << 32 | guess, 1
+        # The last chunk that a head's exit can reach: the next with a constant map, or the text's last.
+        final = np.flatnonzero(constant | np.append(nth[1:] == 0, True))
+        final = final[np.searchsorted(final, where)]
         while len(todo):
-            ready = todo[(nth[todo] == 0) | (exits[todo - 1] >= 0)]
-            entry = np.where(nth[ready] == 0, self.start, exits[ready - 1])
-            out, n = self.run(cols, begin[ready], head_end[ready], entry)
-            np.add.at(total, doc[ready], n)
-            exits[ready] = np.where(constant[ready], exits[ready], out)
-            done = np.zeros(len(begin), bool)
-            done[ready] = True
-            todo = todo[~done[todo]]
-        return total + (size > 0)
+            c, s = todo >> 32, todo & 0xFFFFFFFF
+            out, n = self.run(cols, begin[c], head_end[c], s)
+            out = np.where(constant[c], exits[c], out)
+            for x, y in zip(columns, (todo, out, n)):
+                x.append(y)
+            known = np.union1d(known, todo)
+            more = ~constant[c] & (c + 1 < len(begin))
+            more[more] = nth[c[more] + 1] > 0
+            todo = np.setdiff1d(c[more] + 1 << 32 | out[more], known)
+            if len(todo):
+                # Where states go on and on, as in a row of one character, they may well enter the chunks after the next too.
+                width = max(1, min(2 * width, len(begin) // len(todo)))
+                c, s = np.repeat(todo >> 32, width), np.repeat(todo & 0xFFFFFFFF, width)
+                at = c + np.tile(np.arange(width), len(todo))
+                todo = np.setdiff1d(at[at <= final[c]] << 32 | s[at <= final[c]], known)
+        pair, out, n = (np.concatenate(x) for x in columns)
+        order = np.argsort(pair)
+        pair, out, n = pair[order], out[order], n[order]
+        # The scan: each pair points to the one that its exit enters; composing pointers joins twice as many chunks each round.
+        c = pair >> 32
+        inner = (c + 1 < len(begin)) & (nth[np.minimum(c + 1, len(begin) - 1)] > 0)
+        to = np.append(np.where(inner, np.searchsorted(pair, np.minimum(c + 1, len(begin) - 1) << 32 | out), len(pair)), len(pair))
+        n = np.append(n, 0)
+        last = np.append(np.where(inner, -1, out), -1)
+        while (to < len(pair)).any():
+            n = n + n[to]
+            last = np.where(last >= 0, last, last[to])
+            to = to[to]
+        heads = np.searchsorted(pair, np.flatnonzero(nth == 0) << 32 | entry)
+        total[doc[nth == 0]] += n[heads]
+        return total, self.states[int(last[heads[-1]])]
 
 
 def load(path: str) -> Transducer:
@@ -250,7 +300,7 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
         t = transducer(model)
         for batch in batches:
             ids, texts = batch.column(0), [x or "" for x in batch.column(1).to_pylist()]
-            n = np.concatenate([np.zeros(0, np.int64), *(t.counts(texts[i:j]) for i, j in blocks(texts, BATCH))])
+            n = t.counts(texts)
             yield pa.RecordBatch.from_arrays([ids, pa.array([len(x.encode()) for x in texts], pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit)], [id_col, "n_bytes", "n_tokens", "over_limit"])
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")

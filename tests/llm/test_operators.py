@@ -93,6 +93,40 @@ def test_transducer_on_random_texts():
     assert t.counts(texts, 64).tolist() == [len(sp.encode(x)) for x in texts]
 
 
+def test_every_code_point_counts_as_in_the_library():
+    import sentencepiece
+
+    sp, t = sentencepiece.SentencePieceProcessor(model_file=PIECES), token_counts.load(PIECES)
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x10000 or c % 997 == 0)]
+    assert t.counts(chars).tolist() == [len(sp.encode(c)) for c in chars]
+    inside = [f"a{c}b ǅ{c}" for c in chars[::7]]
+    assert t.counts(inside).tolist() == [len(sp.encode(x)) for x in inside]
+
+
+@pytest.mark.parametrize("chunk, most", [(7, 50), (3, 9), (64, 10**6), (1024, 100)])
+def test_texts_without_word_starts(chunk, most):
+    """State maps of heads composed over many chunks, and texts run in parts."""
+    import sentencepiece
+
+    rng = random.Random(chunk)
+    sp, t = sentencepiece.SentencePieceProcessor(model_file=PIECES), token_counts.load(PIECES)
+    texts = ["".join(rng.choice(["th", "e", "ing", "é", "漢", "ǅ", "0", "aaaa", " "[: rng.random() < 0.05]]) for _ in range(rng.choice([0, 1, 5, 80, 700]))) for _ in range(120)]
+    texts += ["a" * 5003, "ab" * 2001, "漢" * 999, ""]
+    assert t.counts(texts, chunk, most).tolist() == [len(sp.encode(x)) for x in texts]
+
+
+def test_long_texts_without_spaces_run_side_by_side():
+    rng = random.Random(0)
+    t = token_counts.load(PIECES)
+    steps = []
+    run = t.run
+    t.run = lambda cols, begin, *rest: steps.append(len(begin)) or run(cols, begin, *rest)
+    for text in ("a" * 600_000, "".join(rng.choice("thinger") for _ in range(600_000))):
+        steps.clear()
+        t.counts([text])
+        assert len(steps) < 20 and sum(steps) < 6 * 600_000 / token_counts.CHUNK
+
+
 @pytest.mark.parametrize("k", [1024, 2])
 def test_exact_groups(odd, odd_rows, k):
     groups = {}
