@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a Python worker gets at once.
-BATCH = 250
+#: Bytes of rows that a Python worker gets at once (or one row, where that has more).
+BATCH_BYTES = 4 << 20
 #: White space of every contract here: space and the five ASCII controls from tab to return.
 WS = r"[\x20\x09-\x0D]+"
 
@@ -46,9 +46,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ready(spark: SparkSession) -> None:
-    """Lets Python workers of a local session import this package wherever the driver was started, and bounds the batches that they get: texts are long."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    """Lets Python workers of a local session import this package wherever the driver was started, and bounds the bytes (not the rows) of the batches that they get: texts are long."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    if before is None or not before.isdigit() or int(before) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
     top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if top not in env.get("PYTHONPATH", "").split(os.pathsep):
@@ -56,29 +58,39 @@ def ready(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one where none is set, as in tests."""
+    """The folder that the driver and all executors share. Where none is set, a local session gets a temporary one, as in tests; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.split("[")[0] == "local":
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and all executors of {master} share")
         found = f"file://{tempfile.mkdtemp(prefix='gridloom-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _place(spark: SparkSession, name: str):
+    """A path and its file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def spill(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: cuts the lineage, survives lost executors."""
+    """Writes df as Parquet into the shared folder and reads it back: cuts the lineage, survives lost executors. What is not deleted before goes when the application ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    name = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(name)
+    path, system = _place(spark, name)
+    system.deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(name)
 
 
 def forget(*frames: DataFrame) -> None:
     """Deletes spilled tables that nothing reads any more."""
     for df in frames:
-        spark = df.sparkSession
         for name in {os.path.dirname(f) for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            path, system = _place(df.sparkSession, name)
+            system.delete(path, True)
 
 
 def utf8(text: Column) -> Column:
@@ -87,9 +99,29 @@ def utf8(text: Column) -> Column:
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
-    """A key of a row by content; repeated rows share it and get the same result."""
-    return F.xxhash64(doc_id, text)
+    """A key of 128 bits of a row by content; repeated rows share it and get the same result."""
+    parts = (F.coalesce(F.concat(F.lit("v"), x.cast("string")), F.lit("n")) for x in (doc_id, text))
+    return F.unhex(F.md5(F.concat_ws("\x00", *parts).cast("binary")))
 
 
 def held_out(doc_id: Column, parts: int, rest: int = 2) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts)) == rest, F.lit(False))
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, key: Column) -> DataFrame:
+    """docs with one row of each group, all columns; found has (key: a row's key, id, grp) for each row of docs.
+
+    The row of the smallest (id, key) stays, null ids last. Of rows that share both, only one stays;
+    which of them is not defined. Only such rows and keys are shuffled, never all texts.
+    """
+    order = F.struct(F.col("id").isNull().alias("late"), "id", "key")
+    best = spill(found.groupBy("grp").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("grp", "best.key"), "kept")
+    members = found.join(best.withColumnRenamed("key", "__best"), "grp")
+    drop = spill(members.filter(F.col("key") != F.col("__best")).select(F.col("key").alias("__drop")).distinct(), "dropped")
+    again = spill(members.filter(F.col("key") == F.col("__best")).groupBy(F.col("key").alias("__again")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "again")
+    keyed = docs.withColumn("__key__", key)
+    kept = keyed.join(drop, keyed["__key__"] == drop["__drop"], "left_anti")
+    if again.isEmpty():
+        return kept.select(*[docs[c] for c in docs.columns])
+    twice = keyed.join(again, keyed["__key__"] == again["__again"], "left_semi").dropDuplicates(["__key__"])
+    return kept.join(again, kept["__key__"] == again["__again"], "left_anti").select(*[kept[c] for c in docs.columns]).union(twice.select(*docs.columns))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import _base
@@ -67,21 +67,26 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         digests.join(F.broadcast(candidates), "digest").groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).filter("n > 1"), "winners"
     )
     split = digests.join(F.broadcast(winners), "digest", "left")
-    same = Window.partitionBy("digest")
-    rest = split.filter("n is null").select("id", "digest", F.count(F.lit(1)).over(same).alias("n"), F.min("id").over(same).alias("first"))
-    both = split.filter("n is not null").select("id", "digest", "n", "first").unionByName(rest)
+    rest = split.filter("n is null").select("id", "digest")
+    # Partial sums first: a text's rows never meet in one task.
+    least = rest.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    both = split.filter("n is not null").select("id", "digest", "n", "first").unionByName(rest.join(least, "digest").select("id", "digest", "n", "first"))
     return both.select(
         F.col("id").alias(id_col), F.col("first").alias("keep_id"), F.col("n").alias("group_size"), F.col("id").eqNullSafe(F.col("first")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_groups() drops; all columns stay."""
-    # Rows are told apart by id, and by a short hash where ids repeat: a narrow table that Spark may find small enough to broadcast.
-    drop = exact_groups(docs, id_col, text_col).filter("not kept").select(F.col(id_col).alias("__id"), F.hash("text_sha256").alias("__hash")).distinct()
-    drop = _base.spill(drop, "dropped")
-    own = F.hash(F.sha2(normalised(docs[text_col]).cast("binary"), 256))
-    return docs.join(drop, docs[id_col].eqNullSafe(drop["__id"]) & (own == drop["__hash"]), "left_anti")
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = COUNTERS) -> DataFrame:
+    """docs with one row of each group of exact_groups(): that of the smallest id; all columns stay.
+
+    Null texts count as empty. A group all of whose ids are null keeps one row; of rows that repeat
+    id and text, or id and a text that differs in white space alone, one stays.
+    """
+    found = exact_groups(docs, id_col, text_col, k)
+    digest = F.unhex("text_sha256")
+    found = _base.spill(found.filter("group_size > 1").select(F.concat(F.unhex(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("\x00")).cast("binary"))), digest).alias("key"), F.col(id_col).alias("id"), digest.alias("grp")), "members")
+    own = F.concat(F.unhex(F.md5(F.coalesce(docs[id_col].cast("string"), F.lit("\x00")).cast("binary"))), F.unhex(F.sha2(normalised(docs[text_col]).cast("binary"), 256)))
+    return _base.one_of_each(docs, found, own)
 
 
 ORACLE = r"""

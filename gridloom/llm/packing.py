@@ -84,6 +84,10 @@ class WordCoder:
         get = self.known.__getitem__
         return [b"".join(map(get, t.encode().split())) for t in texts]
 
+    def forget(self) -> None:
+        """Gives back the memory of all words."""
+        self.known, self.older = _Known(self), {}
+
 
 class _Known(dict):
     """Remembers the ids of words."""
@@ -108,6 +112,12 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         if tokenizer not in _coders:
             _coders[tokenizer] = WordCoder(tokenizer)
         coder, tail = _coders[tokenizer], np.array([end], "<u4").tobytes()
+        try:
+            yield from coded(batches, coder, tail)
+        finally:
+            coder.forget()
+
+    def coded(batches, coder, tail):
         for batch in batches:
             all_ids, all_keys, all_texts = batch.column(0), batch.column(1), [x or "" for x in batch.column(2).to_pylist()]
             at, n = 0, 0
@@ -131,7 +141,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     _base.ready(docs.sparkSession)
     keyed = docs.select(F.col(id_col), _base.row_key(F.col(id_col), F.col(text_col)), F.col(text_col))
     names = ["id", "row", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
-    return keyed.mapInArrow(run, f"id {kind}, row long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
+    return keyed.mapInArrow(run, f"id {kind}, row binary, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
 
 
 # ---- bin completion --------------------------------------------------------------------------

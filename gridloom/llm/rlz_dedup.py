@@ -131,7 +131,7 @@ def spans(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int, g
     stats = counted.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min("c").alias("low"), F.max("c").alias("high")).filter(F.col("least") < F.col("most"))
     stats = _base.spill(stats.select("h", "least", (F.col("low") < F.col("high")).alias("several")), "anchors")
     repeated, several = (spark.sparkContext.broadcast(anchored.filter_of(x)) for x in (stats, stats.filter("several")))
-    found = words.mapInArrow(anchored.second_scan(anchored.word_elements, window, gram, repeated, several), f"id struct<key: long, doc: {doc}>, start int, run int, h long, c long, anchor int, content array<long>")
+    found = words.mapInArrow(anchored.second_scan(anchored.word_elements, window, gram, repeated, several), f"id struct<key: binary, doc: {doc}>, start int, run int, h long, c long, anchor int, content array<long>")
     found = _base.spill(found.select("id.*", "start", "run", "h", "c", "anchor", "content"), "blocks")
     rows = _base.spill(found.drop("content", "anchor").join(stats, "h").filter(F.col("several") | (F.col("doc") > F.col("least"))), "repeats")
     out = rows.filter("not several").select("key", F.array("start").alias("begin"), F.array(F.col("start") + F.col("run")).alias("until"))
@@ -173,10 +173,11 @@ def removed_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """docs with the words that removed_passages() removes taken out of the text, which is then joined by single spaces; all columns stay.
 
-    Texts without such words stay as they are; rows of which nothing is left go.
+    Texts without such words stay as they are, null and empty ones too; rows of which nothing is left
+    go. Rows that repeat an id don't remove each other's words, rows without an id lose none.
     """
     _base.ready(docs.sparkSession)
-    found = spans(docs, id_col, text_col, window, gram, group).withColumnRenamed("key", "__key").withColumnsRenamed({"begin": "__begin", "until": "__until"})
+    found = spans(docs, id_col, text_col, window, gram, group).withColumnsRenamed({"key": "__key__", "begin": "__begin__", "until": "__until__"})
     place, n = docs.columns.index(text_col), len(docs.columns)
     finish = _finished(window, "id")
 
@@ -195,7 +196,7 @@ def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 cols = [done.column("kept") if i == place else part.column(i) for i in range(n)]
                 yield pa.RecordBatch.from_arrays(cols, schema=rest.select(range(n)).schema).filter(pa.array(left))
 
-    keyed = docs.withColumn("__key", _base.row_key(docs[id_col], docs[text_col])).join(found, "__key", "left").select(*[docs[c] for c in docs.columns], "__begin", "__until")
+    keyed = docs.withColumn("__key__", _base.row_key(docs[id_col], docs[text_col])).join(found, "__key__", "left").select(*[docs[c] for c in docs.columns], "__begin__", "__until__")
     return keyed.mapInArrow(run, docs.schema)
 
 

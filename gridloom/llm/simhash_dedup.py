@@ -202,6 +202,18 @@ def links(values: DataFrame, parts: int = PARTS, cap: int = CAP) -> DataFrame:
     return out
 
 
+def _classes(fps: DataFrame) -> DataFrame:
+    """(fp, root, least): the class of each fingerprint of (id, fp), and its smallest id."""
+    values = _base.spill(fps.groupBy("fp").agg(F.min("id").alias("first")), "values")
+    roots = components(links(values))
+    rooted = values.join(roots, values["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = _base.spill(rooted, "rooted")
+    least = _base.spill(rooted.groupBy("root").agg(F.min("first").alias("least")), "classes")
+    out = _base.spill(rooted.join(least, "root").select("fp", "root", "least"), "class-of")
+    _base.forget(values, rooted, least)
+    return out
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, seed: int = SEED) -> DataFrame:
     """One row per row of docs: id, fingerprint (16 hex digits), component_id (the smallest id that links reach).
 
@@ -210,20 +222,24 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     _base.ready(docs.sparkSession)
     fps = _base.spill(fingerprints(docs, id_col, text_col, size, seed), "fingerprints")
-    values = _base.spill(fps.groupBy("fp").agg(F.min("id").alias("first")), "values")
-    roots = components(links(values))
-    rooted = values.join(roots, values["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    rooted = _base.spill(rooted, "rooted")
-    least = _base.spill(rooted.groupBy("root").agg(F.min("first").alias("least")), "classes")
-    classes = _base.spill(rooted.join(least, "root").select("fp", "least"), "class-of")
+    classes = _classes(fps).select("fp", "least")
     return fps.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the row of the smallest id of each class; all columns stay. Ids must be unique here."""
-    found = near_classes(docs, id_col, text_col)
-    drop = _base.spill(found.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__drop")).distinct(), "dropped")
-    return docs.join(drop, docs[id_col].eqNullSafe(drop["__drop"]), "left_anti")
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, seed: int = SEED) -> DataFrame:
+    """docs with the row of the smallest id of each class of linked fingerprints; all columns stay.
+
+    Null, empty and wordless texts are one class (fingerprint zero and what links to it). Ids may be
+    null (they come last) and may repeat: rows of the same id in one class leave one, rows of the
+    same id in different classes are told apart by their texts.
+    """
+    _base.ready(docs.sparkSession)
+    key = _base.row_key(docs[id_col], docs[text_col])
+    fps = _base.spill(fingerprints(docs.select(F.struct(docs[id_col].alias("id"), key.alias("key")).alias("row"), docs[text_col].alias("text")), "row", "text", size, seed).select("id.*", "fp"), "fingerprints")
+    classes = _classes(fps)
+    found = _base.spill(fps.join(classes, "fp").select("key", "id", F.col("root").alias("grp")), "members")
+    _base.forget(fps)
+    return _base.one_of_each(docs, found, key)
 
 
 def op9_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -186,7 +186,7 @@ def removed_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stats = counted.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).filter("n > 1")
     stats = _base.spill(stats.select("h", (F.col("low") < F.col("high")).alias("several")), "anchors")
     repeated, several = (spark.sparkContext.broadcast(anchored.filter_of(x)) for x in (stats, stats.filter("several")))
-    found = narrow.mapInArrow(anchored.second_scan(anchored.byte_elements, window, gram, repeated, several), "id long, start int, run int, h long, c long, anchor int, content binary")
+    found = narrow.mapInArrow(anchored.second_scan(anchored.byte_elements, window, gram, repeated, several), "id binary, start int, run int, h long, c long, anchor int, content binary")
     found = _base.spill(found, "blocks")
     rows = found.drop("content", "anchor").join(stats, "h")
     rows = _base.spill(rows, "repeats")

@@ -9,7 +9,6 @@ id); scoring reads every whole text and has no bound.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,7 +68,7 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _blocks(texts: list[str], most: int = 1_000_000):
+def _blocks(texts: list[str], most: int = 200_000):
     at, n = 0, 0
     for i, t in enumerate(texts):
         n += len(t)
@@ -158,7 +157,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_c
     picked = [wanted.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample) for y in (0, 1)]
     both = F.broadcast(picked[0].union(picked[1]))  # at most 2 x sample rows of two numbers
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.join(both, "id").select("id", "text", "y")
+    return texts.join(both.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)), "id").select("id", "text", "y")
 
 
 def within(ids: list, sizes: list[int], characters: int) -> list:
@@ -185,11 +184,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, characters:
     each = order.groupby(["y", "h", "id"], sort=False, as_index=False)["n"].sum()
     half = characters // 2
     free = half - each.groupby("y")["n"].sum().clip(upper=half)
-    ids = pd.DataFrame({"id": [i for y, c in each.groupby("y") for i in within(c["id"].tolist(), c["n"].tolist(), half + int(free.drop(y).sum()))]}, dtype="int64")
-    picked = rows.join(F.broadcast(rows.sparkSession.createDataFrame(ids, "id long")), "id").toArrow() if len(ids) else rows.limit(0).toArrow()
+    ids = [(i,) for y, c in each.groupby("y") for i in within(c["id"].tolist(), c["n"].tolist(), half + int(free.drop(y).sum()))]
+    kind = rows.schema["id"].dataType.simpleString()
+    picked = rows.join(F.broadcast(rows.sparkSession.createDataFrame(ids, f"id {kind}")), "id").toArrow() if ids else rows.limit(0).toArrow()
     picked = picked.sort_by([("id", "ascending"), ("y", "ascending")])
     model = fit(picked["text"].to_pylist(), picked["y"].to_numpy() > 0)
     del picked
+    _base.forget(rows)
     _base.release()
     return model
 
@@ -212,7 +213,7 @@ def scored(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col:
 
 
 def accepted(docs: DataFrame, model: Classifier, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows that score `threshold` or more; all columns stay."""
+    """docs without the rows that score `threshold` or more; all columns stay. Null texts count as empty; rows that repeat are scored each; ids are not read."""
     _base.ready(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.features, model.values, model.intercept))
     place = docs.columns.index(text_col)
