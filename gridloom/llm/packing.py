@@ -3,13 +3,16 @@
 Documents are tokenised where they are read; only the numbers of pieces of each length, at most
 `limit` of them, come to the driver. There bin completion works on lengths: around the longest one
 left, a branch-and-bound search enumerates fillings of the rest of a sequence, in order of
-decreasing length and so that no filling is looked at that another one dominates, keeps the best-fit
-one as the incumbent and prunes a branch once what is left cannot waste less. A filling is then used
-as often as the numbers allow. Where this takes more sequences than a lower bound, it is the
-incumbent of a search that goes back over all sequences: other undominated fillings, also used less
-often, within the waste that one sequence less would allow. What comes out is for each length the stretches of ranks and their
-sequences, a table whose size depends on the number of lengths alone; pieces find their place in it
-by their rank among pieces of their length, which is counted in blocks, never in one task.
+decreasing length, keeps the best-fit one as the incumbent and prunes a branch once what is left
+cannot waste less. A filling is then used as often as the numbers allow. Where this takes more
+sequences than a lower bound, it is the incumbent of a search that goes back over all sequences:
+other undominated fillings (none of which could take a longer piece in place of shorter ones), also
+used less often, within the waste that one sequence less would allow. That search ends after SEARCH
+steps, and sequences() says whether the bound or a whole search proves its result.
+
+What comes out is for each length the stretches of ranks and their sequences, a table whose size
+depends on the number of lengths alone; pieces find their place in it by their rank among pieces of
+their length, which is counted in blocks, never in one task.
 """
 
 from __future__ import annotations
@@ -151,8 +154,7 @@ def completion(lengths: list[int], left: dict[int, int], room: int, steps: int =
     """(waste, filling) of room: lengths in decreasing order, each at most left[length] times.
 
     Depth first, longest first: the first filling is best fit by decreasing length and becomes the
-    incumbent. A filling that a longer item could extend or replace is dominated; the order looks at
-    the longer item first. A branch that can't waste less than the incumbent, because all items up
+    incumbent; a filling that a longer piece dominates comes after that one and wastes more. A branch that can't waste less than the incumbent, because all items up
     to its length together don't fill enough, is pruned; a filling without waste ends the search.
     `lengths` is sorted; after `steps` branches the incumbent is taken.
     """
@@ -201,8 +203,30 @@ def least(counts: dict[int, int], limit: int = LIMIT) -> int:
     return max(bound, int(many[-1] - many[half]))
 
 
+def spread(bits: int, n: int) -> int:
+    """The union of bits moved up by 0 to n places."""
+    done = 0
+    while done < n:
+        by = min(done + 1, n - done)
+        bits |= bits << by
+        done += by
+    return bits
+
+
+def dominated(filling: list[int], rest: int, spare: int) -> bool:
+    """Whether some pieces of a filling can make room for one longer piece of those left over (spare, a set as bits) without a change of the others.
+
+    The packing that has the longer piece here and these pieces in its place is as good, so that
+    the filling need not be looked at. The first piece, around which the others are, stays.
+    """
+    sums = 1
+    for x in filling[1:]:
+        sums |= sums << x
+    return rest > 0 and bool(spread((sums & ~1) << 1, rest - 1) & spare)
+
+
 def fillings(lengths: list[int], left: dict[int, int], limit: int, slack: int, spent: list[int], steps: int):
-    """(waste, filling) around the longest piece left, for all fillings that no other piece can extend and that waste at most `slack`, longest first.
+    """(waste, filling) around the longest piece left, for all undominated fillings that waste at most `slack`, longest first: no piece left over fits beside one, or in place of some of its pieces that are shorter together.
 
     Both tables may change between two fillings, if they are as before when the next one is asked for.
     """
@@ -215,6 +239,7 @@ def fillings(lengths: list[int], left: dict[int, int], limit: int, slack: int, s
             break
         sums.append(min(sums[-1] + x * (left[x] - (x == longest)), room))
     stack: list[tuple[int, int, int, tuple]] = [(bisect.bisect_right(lengths, room), room, room + 1, ())]
+    spare = sum(1 << x for x in lengths if x <= room)
     while stack:
         spent[0] += 1
         if spent[0] > steps:
@@ -225,7 +250,9 @@ def fillings(lengths: list[int], left: dict[int, int], limit: int, slack: int, s
             continue
         i = bisect.bisect_right(lengths, rest, 0, upto) - 1
         if i < 0:
-            yield rest, [longest, *chosen]
+            used = sum(1 << y for y in {*chosen, longest} if y <= room and chosen.count(y) + (y == longest) == left[y])
+            if not dominated([longest, *chosen], rest, spare & ~used):
+                yield rest, [longest, *chosen]
             continue
         x = lengths[i]
         if chosen.count(x) < left[x] - (x == longest):
@@ -320,6 +347,13 @@ def packed(counts: dict[int, int], limit: int = LIMIT, steps: int = STEPS, searc
     return improved(counts, best_filled(counts, limit, steps), limit, search)[0]
 
 
+def sequences(counts: dict[int, int], limit: int = LIMIT, steps: int = STEPS, search: int = SEARCH) -> dict[str, int | bool]:
+    """For a report: sequences by best filling alone, after the search, the lower bound, and whether fewer are proved impossible."""
+    first = best_filled(counts, limit, steps)
+    best, proved = improved(counts, first, limit, search)
+    return {"best_fit": sum(n for n, _ in first), "packed": sum(n for n, _ in best), "bound": least(counts, limit), "proved": proved}
+
+
 def best_filled(counts: dict[int, int], limit: int = LIMIT, steps: int = STEPS) -> list[tuple[int, list[int]]]:
     """(times, filling) for all pieces by the best filling around the longest piece left, one after another."""
     left = {x: n for x, n in counts.items() if n}

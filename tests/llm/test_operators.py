@@ -413,6 +413,21 @@ def test_packing_goes_back_over_sequences():
     assert sum(n for n, _ in packing.packed(few, 16)) == packing.least(few, 16) == 600
 
 
+def test_dominated_fillings():
+    """By trying all subsets; and no filling that is needed is left out (test_packing_goes_back_over_sequences)."""
+    rng = random.Random(6)
+    for _ in range(300):
+        filling = [30, *(rng.randint(1, 9) for _ in range(rng.randint(0, 5)))]
+        rest, spare = rng.randint(0, 6), {rng.randint(1, 20) for _ in range(rng.randint(0, 4))}
+        sums = {sum(c) for k in range(1, len(filling)) for c in combinations(filling[1:], k)}
+        want = any(s < y <= s + rest for s in sums for y in spare)
+        assert packing.dominated(filling, rest, sum(1 << y for y in spare)) == want
+    got = list(packing.fillings([2, 3, 4, 6], {2: 2, 3: 2, 4: 1, 6: 1}, 12, 12, [0], 10**6))
+    # Beside 6: 4 and 2 (which fill it), 3 and 3, but not 3 and 2 (4 in place of 3), nor 2 and 2 (3 in place of 2).
+    assert [f for _, f in got] == [[6, 4, 2], [6, 3, 3]]
+    assert packing.sequences({5: 1, 4: 4, 3: 2, 2: 1}, 10) == {"best_fit": 4, "packed": 3, "bound": 3, "proved": True}
+
+
 def test_near_classes(odd, odd_rows):
     prints = [brute.simhash((t or "").encode()) for _, t in odd_rows]
     want = brute.classes([i for i, _ in odd_rows], prints)
