@@ -1,15 +1,18 @@
 """Language-model scores by context-tree weighting over binary-decomposed bytes.
 
-A byte is eight binary decisions, each in the context of the bits before it and of up to DEPTH
-bytes before it. Every context of every depth has a Krichevsky-Trofimov estimate from the whole
-training corpus; bottom-up, a node's weighted probability is half its own estimate and half the
-product of its children's, and the shares that this gives each depth mix their predictions. A
-text's code length is the sum over its bits.
-
-The counts of all byte strings of DEPTH + 1 are gathered over all training texts. Nodes that few
-strings have seen are left to the shorter contexts, so that the broadcast model keeps to NODES; it
-holds each kept node's mixed prediction. The word base counts are joined, but for the most frequent
-words, a bounded table that is broadcast.
+A symbol is a byte or the text's end: nine binary decisions (first whether the text ends, then a
+byte's bits), each in the context of the decisions before it and of up to DEPTH symbols before it;
+before a text's begin stands a symbol of its own. Every context of every depth has a
+Krichevsky-Trofimov estimate from the whole training corpus; bottom-up, a node's weighted
+probability is half its own estimate and half the product of its children's, and the shares that
+this gives each depth mix their predictions. Where training has never seen a context, its share goes
+to the estimate of the longest one seen. A text's code length is the sum over its decisions.
+
+All strings of DEPTH + 1 symbols are counted over all texts, and the tree is a distributed table of
+them: it grows with the corpus, and no string or node is left out. Strings are dealt out by their
+latest GROUP context symbols, so that a task has whole subtrees; what is above them, at most 257
+nodes for each prefix of a symbol, is summed up and handed down. Texts look frequent strings up in a
+broadcast table of bounded size; their other strings are joined. So are the words of the base model.
 """
 
 from __future__ import annotations
@@ -23,10 +26,14 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import _base
 
-#: Bytes of context; nodes and strings that the broadcast model holds at most; visits that a context of full depth needs at least.
-DEPTH, NODES, VISITS = 4, 6_000_000, 8
-#: Words of the broadcast part of the base model, and their greatest length in bytes.
-FREQUENT, LONGEST = 200_000, 48
+#: Symbols of context, and those by which strings are dealt out.
+DEPTH, GROUP = 4, 2
+#: Strings and words that are broadcast at most, and the greatest length in bytes of such a word; what is not broadcast is joined.
+STRINGS, FREQUENT, LONGEST = 2_000_000, 200_000, 48
+#: Strings whose subtrees are computed at once, if they are of several groups.
+ROWS = 250_000
+#: Bits of a symbol; the symbol for a text's end, and in contexts for what is before its begin.
+BITS, END = 9, 256
 U = np.uint64
 
 
@@ -34,22 +41,23 @@ U = np.uint64
 
 
 def strings(texts: list[bytes], depth: int = DEPTH) -> np.ndarray:
-    """For each byte of the texts, depth context bytes and itself as one number: latest context byte first, then the earlier ones, the byte itself last. Before a text's begin stand zeros."""
-    joined = b"".join(bytes(depth) + t for t in texts)
-    b = np.frombuffer(joined, np.uint8).astype(U)
-    size = np.fromiter(map(len, texts), np.int64, len(texts))
-    n = len(b) - depth
-    if n <= 0:
+    """For each byte of the texts and for each text's end, depth context symbols and itself as one number: latest context symbol first, then the earlier ones, the symbol itself last."""
+    if not texts:
         return np.zeros(0, U)
+    b = np.frombuffer(b"".join(bytes(depth) + t + b"\0" for t in texts), np.uint8).astype(U)
+    size = np.fromiter(map(len, texts), np.int64, len(texts)) + depth + 1
+    after = np.cumsum(size)
+    at = after - size
+    b[after - 1] = END
+    own = np.ones(len(b), bool)
+    for d in range(depth):
+        b[at + d], own[at + d] = END, False
+    n = len(b) - depth
     key = np.zeros(n, U)
     for d in range(1, depth + 1):
-        key |= b[depth - d : depth - d + n] << U(8 * (depth + 1 - d))
+        key |= b[depth - d : depth - d + n] << U(BITS * (depth + 1 - d))
     key |= b[depth:]
-    pad = np.zeros(len(b), bool)
-    at = np.cumsum(size + depth) - size - depth
-    for d in range(depth):
-        pad[at + d] = True
-    return key[~pad[depth:]]
+    return key[own[depth:]]
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -104,108 +112,106 @@ class Table:
         return out
 
 
-def _node_key(depth: int, context: np.ndarray, prefix: np.ndarray) -> np.ndarray:
-    """Depths, contexts (latest byte first) and bit prefixes (with a leading one) as numbers."""
-    return (U(depth) << U(56)) | (context << U(8)) | prefix
-
-
-def compile_tree(keys: np.ndarray, counts: np.ndarray, depth: int = DEPTH, visits: int = VISITS) -> tuple[Table, Table]:
-    """From sorted strings and their counts: log2 probabilities of the strings whose full context is kept, and each node's mixed probability of a one."""
-    n = counts.astype(np.float64)
-    context, byte = keys >> U(8), keys & U(255)
-    own = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(keys) else np.zeros(0, np.int64)
-    total = np.add.reduceat(n, own) if len(keys) else n
-    kept = np.repeat(total, np.diff(np.append(own, len(keys)))) >= visits if len(keys) else np.zeros(0, bool)
-    log2p = np.zeros(len(keys))
-    node_keys, node_values = [], []
-    # Per depth: strings cut to their last d context bytes, sorted; counts summed.
-    cut = [None] * (depth + 1)
-    for d in range(depth + 1):
-        short = (context >> U(8 * (depth - d))) << U(8) | byte if d < depth else keys
-        if d < depth:
-            u, at = np.unique(short, return_inverse=True)
-            cut[d] = (u, np.bincount(at, n, len(u)), at)
-        else:
-            cut[d] = (keys, n, np.arange(len(keys)))
-    for k in range(8):
+def _firsts(x: np.ndarray) -> np.ndarray:
+    """Whether each element of a sorted array is the first of its kind."""
+    return np.append(True, x[1:] != x[:-1])[: len(x)]
+
+
+class Subtrees:
+    """The nodes of depths top to depth over sorted strings of whole groups, with their counts; strings that training has not seen count 0."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int, top: int):
+        self.keys, self.depth, self.top = keys, depth, top
+        n, context, symbol = counts.astype(np.float64), keys >> U(BITS), keys & U((1 << BITS) - 1)
+        self.cut = []
+        for d in range(top, depth):
+            u, at = np.unique((context >> U(BITS * (depth - d))) << U(BITS) | symbol, return_inverse=True)
+            self.cut.append((u, np.bincount(at, n, len(u))))
+        self.cut.append((keys, n))
+
+    def level(self, k: int):
+        """Of each depth the nodes of decision k: identity, zeros, ones; the parent of each; and the strings that take the decision, with their node."""
         nodes = []
-        for d in range(depth + 1):
-            u, c, _ = cut[d]
-            prefix = (U(1) << U(k)) | ((u & U(255)) >> U(8 - k))
-            bit = ((u >> U(7 - k)) & U(1)).astype(bool)
-            ident = (u >> U(8)) << U(8) | prefix
-            first = np.flatnonzero(np.append(True, ident[1:] != ident[:-1])) if len(u) else np.zeros(0, np.int64)
-            ones = np.add.reduceat(np.where(bit, c, 0.0), first) if len(u) else c
-            zeros = np.add.reduceat(np.where(bit, 0.0, c), first) if len(u) else c
-            nodes.append([ident[first], zeros, ones, np.cumsum(np.append(True, ident[1:] != ident[:-1]))[: len(u)] - 1 if len(u) else first])
+        for u, c in self.cut:
+            on = np.flatnonzero((u & U((1 << BITS) - 1)) != END) if k else np.arange(len(u))
+            u, c = u[on], c[on]
+            symbol = u & U((1 << BITS) - 1)
+            ident = (u >> U(BITS)) << U(BITS) | U(1 << k) | symbol >> U(BITS - k)
+            bit = (symbol >> U(BITS - 1 - k)) & U(1) > 0
+            new = _firsts(ident)
+            first = np.flatnonzero(new)
+            sums = [np.add.reduceat(np.where(x, c, 0.0), first) if len(first) else np.zeros(0) for x in (~bit, bit)]
+            nodes.append((ident[first], *sums))
+            of = on, bit, np.cumsum(new) - 1
         parents = [None]
-        for d in range(1, depth + 1):
-            ident = nodes[d][0]
-            parents.append(np.searchsorted(nodes[d - 1][0], ((ident >> U(16)) << U(8)) | (ident & U(255))))
-        weighted = kt(nodes[depth][1], nodes[depth][2])
-        shares = [None] * (depth + 1)
-        shares[depth] = np.ones(len(nodes[depth][0]))
-        for d in range(depth - 1, -1, -1):
-            below = np.bincount(parents[d + 1], weighted, len(nodes[d][0]))
-            own_log = kt(nodes[d][1], nodes[d][2])
-            both = np.logaddexp(own_log, below) + np.log(0.5)
-            shares[d] = np.exp(own_log + np.log(0.5) - both)
-            weighted = both
-        mixed, rest = None, None
-        for d in range(depth + 1):
-            ident, zeros, ones, of = nodes[d]
-            p = (ones + 0.5) / (zeros + ones + 1.0)
-            before = np.zeros(len(ident)) if d == 0 else mixed[parents[d]]
-            free = np.ones(len(ident)) if d == 0 else rest[parents[d]]
-            mixed, rest = before + free * shares[d] * p, free * (1 - shares[d])
-            here = mixed + rest * p  # where the path ends here, what is left goes to this estimate
-            if d < depth:
-                node_keys.append(_node_key(d, ident >> U(8), ident & U(255)))
-                node_values.append(here)
-            else:
-                bit = ((keys >> U(7 - k)) & U(1)).astype(bool)
-                log2p += np.log2(np.where(bit, here[of], 1 - here[of]))
-                keep = np.zeros(len(ident), bool)
-                keep[of[kept]] = True
-                node_keys.append(_node_key(d, ident[keep] >> U(8), ident[keep] & U(255)))
-                node_values.append(here[keep])
-    return Table(keys[kept], log2p[kept]), Table(np.concatenate(node_keys), np.concatenate(node_values))
-
-
-class Model:
-    """Code lengths by the tree's tables."""
-
-    def __init__(self, known: Table, nodes: Table, depth: int = DEPTH):
-        self.known, self.nodes, self.depth = known, nodes, depth
-
-    def log2(self, keys: np.ndarray) -> np.ndarray:
-        """Log2 probabilities of strings' last bytes."""
-        out = self.known.get(keys)
-        missing = np.flatnonzero(np.isnan(out))
-        if len(missing):
-            rare, at = np.unique(keys[missing], return_inverse=True)
-            total = np.zeros(len(rare))
-            context = rare >> U(8)
-            for k in range(8):
-                prefix = (U(1) << U(k)) | ((rare & U(255)) >> U(8 - k))
-                one = np.full(len(rare), 0.5)
-                left = np.arange(len(rare))
-                for d in range(self.depth, -1, -1):
-                    got = self.nodes.get(_node_key(d, context[left] >> U(8 * (self.depth - d)), prefix[left]))
-                    hit = ~np.isnan(got)
-                    one[left[hit]] = got[hit]
-                    left = left[~hit]
-                bit = ((rare >> U(7 - k)) & U(1)).astype(bool)
-                total += np.log2(np.where(bit, one, 1 - one))
-            out[missing] = total[at]
+        for (above, *_), (below, *_) in zip(nodes, nodes[1:]):
+            parents.append(np.searchsorted(above, _above(below)))
+        return nodes, parents, of
+
+    def weighted(self, nodes, parents) -> list[np.ndarray]:
+        """Of each depth the log of the nodes' weighted probabilities."""
+        out = [kt(*nodes[-1][1:])]
+        for d in range(len(nodes) - 2, -1, -1):
+            below = np.bincount(parents[d + 1], out[0], len(nodes[d][0]))
+            out.insert(0, np.logaddexp(kt(*nodes[d][1:]), below) + np.log(0.5))
         return out
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """Log10 probabilities of whole texts."""
-        size = np.fromiter(map(len, texts), np.int64, len(texts))
-        bits = np.append(0.0, np.cumsum(self.log2(strings(texts, self.depth)), dtype=np.float64))
-        end = np.cumsum(size)
-        return (bits[end] - bits[end - size]) * np.log10(2.0)
+    def tops(self) -> tuple[np.ndarray, ...]:
+        """Summed up for the parents of the topmost nodes: identity, zeros, ones, log of the product of weighted probabilities."""
+        out = []
+        for k in range(BITS):
+            nodes, parents, _ = self.level(k)
+            ident, zeros, ones = nodes[0]
+            above, at = np.unique(_above(ident), return_inverse=True)
+            out.append((above, *(np.bincount(at, x, len(above)) for x in (zeros, ones, self.weighted(nodes, parents)[0]))))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def log2(self, upper: np.ndarray) -> np.ndarray:
+        """Log2 probabilities of the strings' symbols; upper: of the parents of the topmost nodes, what is mixed so far, the share that is left, and the last estimate."""
+        total = np.zeros(len(self.keys))
+        for k in range(BITS):
+            nodes, parents, (on, bit, of) = self.level(k)
+            weighted = self.weighted(nodes, parents)
+            state = upper[:, _above(nodes[0][0]).astype(np.int64)]
+            for d, (_, zeros, ones) in enumerate(nodes):
+                if d:
+                    state = state[:, parents[d]]
+                state = mixed(state, zeros, ones, weighted[d], last=d == len(nodes) - 1)
+            one = state[0] + state[1] * state[2]
+            p = np.where(bit, one[of], 1 - one[of])
+            total[on] += np.log2(p)
+        return total
+
+
+def _above(ident: np.ndarray) -> np.ndarray:
+    """The node of the same decision whose context is shorter by the earliest symbol."""
+    return (ident >> U(2 * BITS)) << U(BITS) | ident & U((1 << BITS) - 1)
+
+
+def mixed(state: np.ndarray, zeros: np.ndarray, ones: np.ndarray, weighted: np.ndarray, last: bool = False) -> np.ndarray:
+    """One depth further: what is mixed so far, the share that is left, and the last estimate. Nodes without counts leave all as it is."""
+    p = (ones + 0.5) / (zeros + ones + 1.0)
+    share = np.ones(len(p)) if last else np.exp(kt(zeros, ones) + np.log(0.5) - weighted)
+    new = np.stack([state[0] + state[1] * share * p, state[1] * (1 - share), p])
+    return np.where(zeros + ones > 0, new, state)
+
+
+def crown(ident: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray, depth: int) -> np.ndarray:
+    """From sums for nodes of `depth`, the mixing states there, as a table over identities."""
+    levels = [(ident, zeros, ones, np.logaddexp(kt(zeros, ones), below) + np.log(0.5))]
+    for _ in range(depth):
+        i, z, o, w = levels[0]
+        above, at = np.unique(_above(i), return_inverse=True)
+        z, o, w = (np.bincount(at, x, len(above)) for x in (z, o, w))
+        levels.insert(0, (above, z, o, np.logaddexp(kt(z, o), w) + np.log(0.5)))
+    state = np.tile(np.array([[0.0], [1.0], [0.5]]), len(levels[0][0]))
+    for d, (i, z, o, w) in enumerate(levels):
+        if d:
+            state = state[:, np.searchsorted(levels[d - 1][0], _above(i))]
+        state = mixed(state, z, o, w)
+    out = np.zeros((3, 1 << BITS * (depth + 1)))
+    out[:, ident.astype(np.int64)] = state
+    return out
 
 
 # ---- over Spark -------------------------------------------------------------------------------
@@ -227,24 +233,27 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    first = np.flatnonzero(_firsts(keys))
     return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
 
 
 def _count_strings(depth: int):
+    """(held, text) to (key, n): n counts the texts that aren't held out; strings of others are there too."""
+
     @_base.tidy
     def run(batches):
         parts, n = [], 0
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for i, j in _blocks(texts, 4_000_000):
-                u, c = np.unique(strings(texts[i:j], depth), return_counts=True)
-                parts.append((u, c))
-                n += len(u)
-                if n > 4_000_000:
+            held, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i, j in _blocks(texts, 2_000_000):
+                for out in (False, True):
+                    u, c = np.unique(strings([t for t, h in zip(texts[i:j], held[i:j]) if h is out], depth), return_counts=True)
+                    parts.append((u, c * (not out)))
+                    n += len(u)
+                if n > 3_000_000:
                     parts = [merged(parts)]
                     n = len(parts[0][0])
-                    if n > 3_000_000:
+                    if n > 2_000_000:
                         yield pa.RecordBatch.from_arrays([pa.array(parts[0][0].view(np.int64)), pa.array(parts[0][1])], ["key", "n"])
                         parts, n = [], 0
         if parts:
@@ -276,67 +285,107 @@ def _count_words(batches):
         yield out()
 
 
-def train(texts: DataFrame, depth: int = DEPTH, nodes: int = NODES, visits: int = VISITS) -> Model:
-    """The model of column text (binary). Strings are counted over all rows; where they would outgrow `nodes`, the rarest are counted under shorter contexts."""
-    counted = texts.mapInArrow(_count_strings(depth), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+def _whole_groups(batches, shift: int, rows: int):
+    """Sorted keys and counts of whole groups, of about `rows` together."""
+    held: list[np.ndarray] = [np.zeros(0, U), np.zeros(0, np.int64)]
+    for batch in batches:
+        held = [np.concatenate([h, batch.column(i).to_numpy(zero_copy_only=False).view(h.dtype)]) for i, h in enumerate(held)]
+        if len(held[0]) >= rows:
+            cut = int(np.searchsorted(held[0], (held[0][-1] >> U(shift)) << U(shift)))
+            if cut:
+                yield [h[:cut] for h in held]
+                held = [h[cut:] for h in held]
+    if len(held[0]):
+        yield held
+
+
+def string_table(texts: DataFrame, depth: int = DEPTH, rows: int = ROWS) -> DataFrame:
+    """(key, n, log2p) of all strings of (held, text: binary): the model, as an intermediate table. No string is left out."""
+    if depth < GROUP:
+        raise ValueError(f"contexts of {GROUP} symbols at least")
+    counted = texts.select("held", "text").mapInArrow(_count_strings(depth), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     counted = _base.spill(counted, "strings")
-    # Beyond the bound, the rarest strings give up their farthest context bytes, one after another:
-    # their counts go to shorter contexts, and none is lost.
-    for j in range(1, depth + 1):
-        # How many strings have a count of each power of two: at most 63 rows.
-        sizes = dict(counted.groupBy(F.floor(F.log2("n")).cast("int").alias("p")).agg(F.count(F.lit(1)).alias("k")).collect())
-        left, power = sum(sizes.values()), 0
-        if left <= nodes // 2:
+    shift = BITS * (depth + 1 - GROUP)
+    dealt = counted.repartition(F.shiftright("key", shift)).sortWithinPartitions("key")
+
+    @_base.tidy
+    def sums(batches):
+        for keys, n in _whole_groups(batches, shift, rows):
+            i, z, o, w = Subtrees(keys, n, depth, GROUP).tops()
+            yield pa.RecordBatch.from_arrays([pa.array(i.view(np.int64)), pa.array(z), pa.array(o), pa.array(w)], ["ident", "zeros", "ones", "below"])
+
+    # At most 257 x 511 rows.
+    tops = dealt.mapInArrow(sums, "ident long, zeros double, ones double, below double").groupBy("ident").agg(*(F.sum(x).alias(x) for x in ("zeros", "ones", "below"))).orderBy("ident").toArrow()
+    ident, *rest = (tops[c].to_numpy() for c in ("ident", "zeros", "ones", "below"))
+    upper = texts.sparkSession.sparkContext.broadcast(crown(ident.view(U), *rest, GROUP - 1))
+
+    @_base.tidy
+    def codes(batches):
+        for keys, n in _whole_groups(batches, shift, rows):
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n), pa.array(Subtrees(keys, n, depth, GROUP).log2(upper.value).astype(np.float32))], ["key", "n", "log2p"])
+
+    out = _base.spill(dealt.mapInArrow(codes, "key long, n long, log2p float"), "model")
+    _base.forget(counted)
+    return out
+
+
+def _most_frequent(model: DataFrame, most: int) -> Table:
+    """The strings of greatest counts, at most `most`, without a sort."""
+    step = F.floor(F.log2("n") * 16).cast("int")
+    # At most 16 x 63 rows.
+    sizes = sorted(model.filter("n > 0").groupBy(step.alias("p")).agg(F.count(F.lit(1)).alias("k")).collect(), reverse=True)
+    least, left = None, most
+    for p, k in sizes:
+        left -= k
+        if left < 0:
             break
-        while left > nodes // 4:
-            left -= sizes.get(power, 0)
-            power += 1
-        clear = ~(((1 << 8 * j) - 1) << 8)
-        short = F.when(F.col("n") < 1 << power, F.col("key").bitwiseAND(F.lit(clear))).otherwise(F.col("key"))
-        counted = _base.spill(counted.groupBy(short.alias("key")).agg(F.sum("n").alias("n")), "strings")
-    found = counted.toArrow()
-    keys, n = found["key"].to_numpy().view(U), found["n"].to_numpy()
-    del found
-    order = np.argsort(keys)
-    model = Model(*compile_tree(keys[order], n[order], depth, visits), depth)
-    del keys, n, order
-    _base.release()
-    return model
+        least = p
+    found = (model.filter((F.col("n") > 0) & (step >= least)) if least is not None else model.limit(0)).select("key", "log2p").toArrow()
+    return Table(found["key"].to_numpy().view(U), found["log2p"].to_numpy())
 
 
-def scores(docs: DataFrame, parts: int = 7, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, frequent: int = FREQUENT) -> DataFrame:
+def scores(docs: DataFrame, parts: int = 7, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, frequent: int = FREQUENT, frequent_strings: int = STRINGS, rows: int = ROWS) -> DataFrame:
     """One row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
 
-    Learns from rows that aren't held out. Null texts count as empty: one token, probability 1 under
-    the byte model, whose code has no end mark; bits_per_byte is null for them. Null ids are not held
-    out. Rows that repeat are scored each, and each counts. Without training rows all counts are 0.
+    Learns from rows that aren't held out. Null texts count as empty: one token, and a score for the
+    end alone; bits_per_byte is null for them. Null ids are not held out. Rows that repeat are scored
+    each, and each counts. Without training rows all counts are 0. Other columns are not read.
     """
     spark = docs.sparkSession
     _base.ready(spark)
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), _base.held_out(F.col(id_col), parts).alias("held"), _base.row_key(F.col(id_col), F.col(text_col)).alias("key"), _base.utf8(F.col(text_col)).alias("text"))
-    training = rows.filter("not held").select("text")
-    model = train(training, depth)
+    texts = docs.select(F.col(id_col).alias("id"), _base.held_out(F.col(id_col), parts).alias("held"), _base.utf8(F.col(text_col)).alias("text"))
+    model = string_table(texts, depth, rows)
+    training = texts.filter("not held").select("text")
     words = _base.spill(training.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     ends = training.count()
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     total, distinct = total + ends, distinct + (ends > 0)
     base = total * (distinct + 1.0)
+    unit = float(-np.log10(base)) if base else 0.0
     top = words.filter(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(frequent).toArrow()
     table = dict(zip(top["word"].to_pylist(), top["n"].to_pylist()))
-    shared = spark.sparkContext.broadcast((model.known, model.nodes, model.depth, table))  # at most NODES strings and nodes, and `frequent` words
-    del model, top, table
+    shared = spark.sparkContext.broadcast((_most_frequent(model, frequent_strings), table))  # at most `frequent_strings` and `frequent`
+    del top, table
     _base.release()
 
     @_base.tidy
     def run(batches):
-        known, nodes, d, table = shared.value
-        own = Model(known, nodes, d)
-        unit = -np.log10(base) if base else 0.0
+        known, table = shared.value
         end = np.log10(ends + 1.0) + unit
         for batch in batches:
-            texts = batch.column(3).to_pylist()
-            score = np.concatenate([np.zeros(0), *(own.score(texts[i:j]) for i, j in _blocks(texts))])
+            texts = batch.column(2).to_pylist()
+            bits, rare, rare_n, rare_ends = [], [], [], []
+            for i, j in _blocks(texts):
+                keys = strings(texts[i:j], depth)
+                owner = np.repeat(np.arange(j - i), [len(t) + 1 for t in texts[i:j]])
+                got = known.get(keys)
+                off = np.isnan(got)
+                bits.append(np.bincount(owner, np.where(off, 0.0, got), j - i))
+                pairs, n = np.unique(np.stack([owner[off].astype(U), keys[off]], 1), axis=0, return_counts=True) if off.any() else (np.zeros((0, 2), U), np.zeros(0, np.int64))
+                rare.append(pairs[:, 1].view(np.int64) if len(pairs) else np.zeros(0, np.int64))
+                rare_n.append(n)
+                rare_ends.append(np.bincount(pairs[:, 0].astype(np.int64), minlength=j - i))
             n_tokens, n_known, sums, rest_words, rest_n, offsets = [], [], [], [], [], [0]
             for t in texts:
                 got = list(map(table.get, w := lower(t).split()))
@@ -349,22 +398,24 @@ def scores(docs: DataFrame, parts: int = 7, id_col: str = "doc_id", text_col: st
                 rest_n += rest.values()
                 offsets.append(len(rest_words))
             rest = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(rest_words, pa.binary()), pa.array(rest_n, pa.int32())], ["word", "tf"]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array([len(t) for t in texts], pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), pa.array(score, pa.float64()), rest], fields)
-
-    fields = ["id", "held", "key", "n_bytes", "n_tokens", "n_known", "known_sum", "score", "rest"]
-    scored = rows.mapInArrow(run, f"id {kind}, held boolean, key long, n_bytes long, n_tokens long, n_known long, known_sum double, score double, rest array<struct<word: binary, tf: int>>")
-    scored = _base.spill(scored, "scored")
-    each = scored.select("key", F.inline("rest")).join(words, "word", "left")
-    c = F.coalesce("n", F.lit(0))
-    per = each.groupBy("key").agg(F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("more"), F.sum(F.col("tf") * (F.log10(c + 1.0) - F.lit(float(np.log10(base)) if base else 0.0))).alias("rest_sum"), F.sum("tf").alias("tfs"))
-    per = _base.spill(per, "rest")
-    # Rows that repeat share a key: their sums were added up once for each.
-    copies = scored.select("key", F.aggregate("rest", F.lit(0).cast("long"), lambda a, x: a + x["tf"]).alias("own"), "id", "held", "n_bytes", "n_tokens", "n_known", "known_sum", "score")
-    out = copies.join(per, "key", "left")
-    share = F.when(F.col("own") > 0, F.col("own") / F.col("tfs")).otherwise(F.lit(0.0))
+            flat = [np.concatenate([np.zeros(0, np.int64), *x]) for x in (rare, rare_n, rare_ends)]
+            unseen = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(flat[2])).astype(np.int32)), pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat[0])), pa.array(flat[1].astype(np.int32))], ["key", "tf"]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(2)), pa.array([len(t) for t in texts], pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), pa.array(np.concatenate([np.zeros(0), *bits])), rest, unseen], fields)
+
+    fields = ["id", "held", "n_bytes", "n_tokens", "n_known", "known_sum", "bits", "rest", "rare"]
+    scored = texts.mapInArrow(run, f"id {kind}, held boolean, n_bytes long, n_tokens long, n_known long, known_sum double, bits double, rest array<struct<word: binary, tf: int>>, rare array<struct<key: bigint, tf: int>>")
+    # Rows are numbered once, as they are written.
+    scored = _base.spill(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    c, none = F.coalesce("n", F.lit(0)), F.lit(0.0)
+    of_words = scored.select("row", F.inline("rest")).join(words, "word", "left").select("row", F.when(c > 0, F.col("tf")).otherwise(0).alias("more"), (F.col("tf") * (F.log10(c + 1.0) + F.lit(unit))).alias("log"), none.alias("bits"))
+    of_strings = scored.select("row", F.inline("rare")).join(model.select("key", "log2p"), "key").select("row", F.lit(0).alias("more"), none.alias("log"), (F.col("tf") * F.col("log2p")).alias("bits"))
+    per = _base.spill(of_words.union(of_strings).groupBy("row").agg(*(F.sum(x).alias(f"sum_{x}") for x in ("more", "log", "bits"))), "rest")
+    _base.forget(model, words)
+    out = scored.drop("rest", "rare").join(per, "row", "left")
+    score = (F.col("bits") + F.coalesce("sum_bits", none)) * F.lit(float(np.log10(2.0)))
     return out.select(
-        F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce(F.round(F.col("more") * share), F.lit(0)).cast("long")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("known_sum") + F.coalesce(F.col("rest_sum") * share, F.lit(0.0))).alias("base_score"), "score", "n_bytes", F.when(F.col("n_bytes") > 0, -F.col("score") / F.lit(float(np.log10(2.0))) / F.col("n_bytes")).alias("bits_per_byte"),
+        F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("sum_more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("known_sum") + F.coalesce("sum_log", none)).alias("base_score"), score.alias("score"), "n_bytes", F.when(F.col("n_bytes") > 0, -score / F.lit(float(np.log10(2.0))) / F.col("n_bytes")).alias("bits_per_byte"),
     )
 
 

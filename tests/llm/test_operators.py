@@ -185,59 +185,93 @@ def test_toxicity_odd_rows(spark, odd, none, odd_rows):
     assert toxicity.accepted(odd, model).columns == odd.columns and toxicity.accepted(odd, model).count() == len(odd_rows)
 
 
+def _symbols(text, depth):
+    """Symbols of nine bits: 256 before the begin and at the end."""
+    return (*([256] * depth), *text, 256)
+
+
+def _decisions(symbol):
+    return [symbol >> 8] if symbol == 256 else [symbol >> k & 1 for k in range(8, -1, -1)]
+
+
 def _tree(texts, depth):
     count = {}
     for t in texts:
-        p = bytes(depth) + t
+        p = _symbols(t, depth)
         for i in range(depth, len(p)):
             for d in range(depth + 1):
                 q = 1
-                for k in range(7, -1, -1):
-                    b = p[i] >> k & 1
+                for b in _decisions(p[i]):
                     count.setdefault((p[i - d : i][::-1], q), [0, 0])[b] += 1
                     q = 2 * q + b
     return count
 
 
-def _code(count, depth, text):
-    """Log10 probability by recursion over the whole tree."""
+def _code(count, depth, texts):
+    """Log10 probabilities by recursion over the whole tree."""
     kids = {}
     for c, q in count:
         if c:
             kids.setdefault((c[:-1], q), []).append((c, q))
     kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
 
+    @lru_cache(None)
     def weighted(n):
         own = kt(*count[n])
-        return own if len(n[0]) == depth else np.logaddexp(own, sum(weighted(x) for x in kids[n])) + math.log(0.5)
+        return own if len(n[0]) == depth else float(np.logaddexp(own, sum(weighted(x) for x in kids[n]))) + math.log(0.5)
 
-    total, p = 0.0, bytes(depth) + text
-    for i in range(depth, len(p)):
-        q = 1
-        for k in range(7, -1, -1):
-            mixed, rest, one = 0.0, 1.0, 0.5
-            for d in range(depth + 1):
-                n = (p[i - d : i][::-1], q)
-                if n not in count:
-                    break
-                a, b = count[n]
-                share = 1.0 if d == depth else math.exp(kt(a, b) + math.log(0.5) - weighted(n))
-                mixed, rest = mixed + rest * share * (b + 0.5) / (a + b + 1), rest * (1 - share)
-                one = mixed + rest * (b + 0.5) / (a + b + 1)
-            b = p[i] >> k & 1
-            total += math.log10(one if b else 1 - one)
-            q = 2 * q + b
-    return total
-
-
-def test_context_tree():
-    training, texts = [b"abracadabra", b"banana \xc3\xa9t\xc3\xa9", b"abra" * 5], [b"abra", b"", b"zebra!", b"banana"]
-    keys, n = np.unique(ctw.strings(training, 2), return_counts=True)
-    model = ctw.Model(*ctw.compile_tree(keys, n, 2, 1), 2)
-    count = _tree(training, 2)
-    assert model.score(texts) == pytest.approx([_code(count, 2, t) for t in texts], abs=1e-4)
-    whole = ctw.strings([b"ab" + bytes([b]) for b in range(256)], 2).reshape(256, 3)[:, 2]
-    assert (2.0 ** model.log2(whole)).sum() == pytest.approx(1, abs=1e-4)
+    @lru_cache(None)
+    def one(context, q):
+        mixed, rest, last = 0.0, 1.0, 0.5
+        for d in range(depth + 1):
+            n = (context[:d], q)
+            if n not in count:
+                break
+            a, b = count[n]
+            share = 1.0 if d == depth else math.exp(kt(a, b) + math.log(0.5) - weighted(n))
+            last = (b + 0.5) / (a + b + 1)
+            mixed, rest = mixed + rest * share * last, rest * (1 - share)
+        return mixed + rest * last
+
+    out = []
+    for text in texts:
+        total, p = 0.0, _symbols(text, depth)
+        for i in range(depth, len(p)):
+            q = 1
+            for b in _decisions(p[i]):
+                x = one(p[i - depth : i][::-1], q)
+                total += math.log10(x if b else 1 - x)
+                q = 2 * q + b
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize("depth, frequent_strings, rows", [(ctw.DEPTH, ctw.STRINGS, ctw.ROWS), (ctw.DEPTH, 50, 40), (2, 0, 1), (3, 300, 1)])
+def test_context_tree(odd, odd_rows, depth, frequent_strings, rows):
+    """Scores at the shipped depth against the whole tree, with many, few and no broadcast strings, and groups on their own."""
+    texts = [(t or "").encode() for _, t in odd_rows]
+    held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in odd_rows]
+    df = odd if depth == ctw.DEPTH else odd.filter("length(text) < 9000")
+    if depth != ctw.DEPTH:
+        texts, held = zip(*((t, h) for (_, x), t, h in zip(odd_rows, texts, held) if x is not None and len(x) < 9000))
+    want = _code(_tree([t for t, h in zip(texts, held) if not h], depth), depth, texts)
+    got = ctw.scores(df, depth=depth, frequent_strings=frequent_strings, rows=rows).collect()
+    found = sorted((r["n_bytes"], r["held_out"], r["score"]) for r in got)
+    for a, b in zip(found, sorted((len(t), h, x) for t, h, x in zip(texts, held, want))):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-5, abs=1e-4)
+
+
+def test_probabilities_sum_to_one(spark):
+    """Of all symbols after a context, the end among them; with texts that all begin alike, the begin's contexts are not mixed up with bytes inside."""
+    training = [b"aQ" + bytes([97 + i % 5, 97, 98]) * (i % 3) for i in range(40)]
+    every = [b"aQ" + bytes([b]) for b in range(256)] + [b"aQ"]
+    df = spark.createDataFrame([(False, bytearray(t)) for t in training] + [(True, bytearray(t)) for t in every], "held boolean, text binary")
+    table = {r["key"] & (2**64 - 1): 2.0 ** r["log2p"] for r in ctw.string_table(df).collect()}
+    after = ctw.strings(every, ctw.DEPTH)
+    context = after[2] >> np.uint64(ctw.BITS)
+    assert sum(p for k, p in table.items() if k >> ctw.BITS == int(context)) == pytest.approx(1, abs=1e-5)
+    first = ctw.strings([b"aQ"], ctw.DEPTH).tolist()
+    assert table[first[0]] > 0.9 and table[first[1]] > 0.9
 
 
 def test_scores(odd, odd_rows):
@@ -256,19 +290,6 @@ def test_scores(odd, odd_rows):
     assert 0 < long["bits_per_byte"] < 5
 
 
-def test_bounded_model_keeps_all_counts(spark):
-    rng = random.Random(4)
-    texts = [prose(rng, 40).encode() for _ in range(60)]
-    df = spark.createDataFrame([(bytearray(t),) for t in texts], "text binary")
-    wide, narrow = ctw.train(df, 3), ctw.train(df, 3, nodes=600)
-    assert len(narrow.known.keys) < len(wide.known.keys)
-    for m in (wide, narrow):
-        whole = ctw.strings([b"th" + bytes([b]) for b in range(256)], 3).reshape(256, 3)[:, 2]
-        assert (2.0 ** m.log2(whole)).sum() == pytest.approx(1, abs=1e-3)
-    one = ctw.strings([b"e"], 3)
-    assert sum(m.score(texts[:5]).sum() < 0 for m in (wide, narrow)) == 2 and np.isfinite(narrow.log2(one)).all()
-
-
 def test_lattice_encodes_and_decodes(odd, odd_rows):
     import sentencepiece
 
