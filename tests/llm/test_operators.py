@@ -342,23 +342,51 @@ def test_viterbi_fold(spark):
         assert got == pytest.approx(best(r["word"]))
 
 
-def test_fingerprints(odd, odd_rows):
-    order = sorted(range(len(odd_rows)), key=lambda i: (odd_rows[i][0] is None, odd_rows[i][0] or 0, odd_rows[i][1] or ""))
-    texts = [odd_rows[i][1] or "" for i in order]
+def _words(text):
+    for c in "\t\n\x0b\x0c\r":
+        text = text.replace(c, " ")
+    return [w for w in text.split(" ") if w]
+
+
+def _simhash(text):
+    """Votes of words by weight, bit by bit."""
+    weights = [(xxhash.xxh64_intdigest(w.encode(), 42), max(1, min(len(w), 10) - 2)) for w in _words(text)]
+    total = sum(w for _, w in weights)
+    return sum(1 << k for k in range(64) if 2 * sum(w for h, w in weights if h >> k & 1) > total)
+
+
+@pytest.mark.parametrize("ids", ["numbers", "texts", "one"])
+def test_fingerprints(spark, odd, odd_rows, ids):
+    """Every column against a plain version; ids that are numbers, texts, or nearly all the same."""
+    rows = list(odd_rows)
+    if ids == "texts":
+        rows = [(None if i is None else f"id-{i}", t) for i, t in odd_rows]
+        odd = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    elif ids == "one":
+        rows = [(40 if i is None or i % 9 else i, t) for i, t in odd_rows] * 2
+        odd = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    tie = lambda t: xxhash.xxh64_intdigest((t or "").encode(), 42) >> 1
+    none = "" if ids == "texts" else 0
+    rows.sort(key=lambda r: (r[0] is None, none if r[0] is None else r[0].encode() if ids == "texts" else r[0], tie(r[1]), r[1] or ""))
+    texts = [t or "" for _, t in rows]
     following = texts[1:] + texts[:1]
     edited = [a[: len(a) - len(a) // 2] + b[: len(a) // 2] for a, b in zip(texts, following)]
-    got = simhash.edited_fingerprints(odd).collect()
-    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == Counter((odd_rows[i][0], len(t), hashlib.sha256(e.encode()).hexdigest()) for i, t, e in zip(order, texts, edited))
-    prints = {}
-    for r in got:
-        prints.setdefault((r["doc_id"], r["n_chars"]), set()).add(r["fingerprint"])
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-    assert all(len(p) == 1 for p in prints.values())
-    assert prints[0, len(odd_rows[0][1])] == prints[100, len(odd_rows[0][1])]
-    plan = simhash.edited_fingerprints(odd)._jdf.queryExecution().toString()
+    own, changed = list(map(_simhash, texts)), list(map(_simhash, edited))
+    far = lambda a, b: bin(a ^ b).count("1")
+    want = Counter(
+        (i, len(t), hashlib.sha256(e.encode()).hexdigest(), f"{a:016x}", f"{b:016x}", 1 - far(a, b) / 64, 1 - far(a, c) / 64, sum(far(a, x) <= 3 for x in own) - 1 if ids != "texts" and i is not None and i % 20 == 0 else 0)
+        for (i, _), t, e, a, b, c in zip(rows, texts, edited, own, changed, own[1:] + own[:1])
+    )
+    got = simhash.edited_fingerprints(odd)
+    assert rows_of(got) == want
+    plan = got._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
 
 
+def rows_of(df):
+    return Counter(map(tuple, df.collect()))
+
+
 def test_block_tables(spark):
     rng = np.random.default_rng(0)
     base = rng.integers(-(1 << 62), 1 << 62, 40)
