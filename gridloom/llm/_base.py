@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of rows that a Python worker gets at once (or one row, where that has more).
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 #: White space of every contract here: space and the five ASCII controls from tab to return.
 WS = r"[\x20\x09-\x0D]+"
 
@@ -108,20 +108,28 @@ def held_out(doc_id: Column, parts: int, rest: int = 2) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts)) == rest, F.lit(False))
 
 
-def one_of_each(docs: DataFrame, found: DataFrame, key: Column) -> DataFrame:
-    """docs with one row of each group, all columns; found has (key: a row's key, id, grp) for each row of docs.
+def one_of_each(docs: DataFrame, found: DataFrame, id_col: str, mark: Column) -> DataFrame:
+    """docs with one row of each group, all columns; found has (id, mark, grp) for each row of docs in a group.
 
-    The row of the smallest (id, key) stays, null ids last. Of rows that share both, only one stays;
-    which of them is not defined. Only such rows and keys are shuffled, never all texts.
+    A row is told by its id and its 64-bit mark of the content, which matters where ids repeat. The
+    row of the smallest (id, mark) stays, null ids last. Of rows that share both, only one stays;
+    which of them is not defined. The table of dropped rows is narrow, so that Spark may find it
+    small enough to broadcast and need not shuffle texts.
     """
-    order = F.struct(F.col("id").isNull().alias("late"), "id", "key")
-    best = spill(found.groupBy("grp").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("grp", "best.key"), "kept")
-    members = found.join(best.withColumnRenamed("key", "__best"), "grp")
-    drop = spill(members.filter(F.col("key") != F.col("__best")).select(F.col("key").alias("__drop")).distinct(), "dropped")
-    again = spill(members.filter(F.col("key") == F.col("__best")).groupBy(F.col("key").alias("__again")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "again")
-    keyed = docs.withColumn("__key__", key)
-    kept = keyed.join(drop, keyed["__key__"] == drop["__drop"], "left_anti")
+    order = F.struct(F.col("id").isNull().alias("late"), "id", "mark")
+    best = found.groupBy("grp").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("grp", "best.id", "best.mark")
+    best = spill(best.toDF("grp", "__id__", "__mark__"), "kept")
+    members = found.join(best, "grp")
+    same = F.col("id").eqNullSafe(F.col("__id__")) & (F.col("mark") == F.col("__mark__"))
+    drop = spill(members.filter(~same).select(F.col("id").alias("__id__"), F.col("mark").alias("__mark__")).distinct(), "dropped")
+    again = spill(members.filter(same).groupBy("__id__", "__mark__").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "again")
+    forget(best)
+
+    def those(rows: DataFrame, table: DataFrame, how: str) -> DataFrame:
+        return rows.join(table, rows[id_col].eqNullSafe(table["__id__"]) & (mark == table["__mark__"]), how)
+
+    kept = those(docs, drop, "left_anti")
     if again.isEmpty():
-        return kept.select(*[docs[c] for c in docs.columns])
-    twice = keyed.join(again, keyed["__key__"] == again["__again"], "left_semi").dropDuplicates(["__key__"])
-    return kept.join(again, kept["__key__"] == again["__again"], "left_anti").select(*[kept[c] for c in docs.columns]).union(twice.select(*docs.columns))
+        return kept
+    twice = those(docs, again, "left_semi").withColumn("__mark__", mark).dropDuplicates([id_col, "__mark__"]).select(*docs.columns)
+    return those(kept, again, "left_anti").union(twice)

@@ -83,10 +83,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id and text, or id and a text that differs in white space alone, one stays.
     """
     found = exact_groups(docs, id_col, text_col, k)
-    digest = F.unhex("text_sha256")
-    found = _base.spill(found.filter("group_size > 1").select(F.concat(F.unhex(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("\x00")).cast("binary"))), digest).alias("key"), F.col(id_col).alias("id"), digest.alias("grp")), "members")
-    own = F.concat(F.unhex(F.md5(F.coalesce(docs[id_col].cast("string"), F.lit("\x00")).cast("binary"))), F.unhex(F.sha2(normalised(docs[text_col]).cast("binary"), 256)))
-    return _base.one_of_each(docs, found, own)
+    found = _base.spill(found.filter("group_size > 1").select(F.col(id_col).alias("id"), F.xxhash64("text_sha256").alias("mark"), F.unhex("text_sha256").alias("grp")), "members")
+    return _base.one_of_each(docs, found, id_col, F.xxhash64(F.sha2(normalised(docs[text_col]).cast("binary"), 256)))
 
 
 ORACLE = r"""

@@ -126,7 +126,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
             at, n = 0, 0
             for i, t in enumerate(all_texts):
                 n += len(t)
-                if n < 2_000_000 and i + 1 < len(all_texts):
+                if n < 500_000 and i + 1 < len(all_texts):
                     continue
                 texts, base = all_texts[at : i + 1], at
                 at, n = i + 1, 0

@@ -31,7 +31,7 @@ PARTS = 2
 #: Values of a bucket that are compared in one task; larger buckets are dealt out by finer keys.
 CAP = 1024
 #: Shingles and pairs that are handled at once.
-BLOCK, PAIRS = 400_000, 2_000_000
+BLOCK, PAIRS = 100_000, 500_000
 
 
 def fingerprint_block(texts: list[bytes], size: int = WORDS, seed: int = SEED) -> np.ndarray:
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, size: int = WORDS,
             cuts, n = [0], 0
             for i, t in enumerate(texts):
                 n += len(t)
-                if n > 4_000_000:
+                if n > 400_000:
                     cuts.append(i + 1)
                     n = 0
             cuts.append(len(texts))
@@ -234,12 +234,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same id in different classes are told apart by their texts.
     """
     _base.ready(docs.sparkSession)
-    key = _base.row_key(docs[id_col], docs[text_col])
-    fps = _base.spill(fingerprints(docs.select(F.struct(docs[id_col].alias("id"), key.alias("key")).alias("row"), docs[text_col].alias("text")), "row", "text", size, seed).select("id.*", "fp"), "fingerprints")
+    mark = F.xxhash64(docs[text_col])
+    fps = _base.spill(fingerprints(docs.select(F.struct(docs[id_col].alias("id"), mark.alias("mark")).alias("row"), docs[text_col].alias("text")), "row", "text", size, seed).select("id.*", "fp"), "fingerprints")
     classes = _classes(fps)
-    found = _base.spill(fps.join(classes, "fp").select("key", "id", F.col("root").alias("grp")), "members")
-    _base.forget(fps)
-    return _base.one_of_each(docs, found, key)
+    found = _base.spill(fps.join(classes, "fp").select("id", "mark", F.col("root").alias("grp")), "members")
+    _base.forget(fps, classes)
+    return _base.one_of_each(docs, found, id_col, mark)
 
 
 def op9_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """The pipeline's stages, each against a plain version on its own input."""
 
+from collections import Counter
+
 import numpy as np
 import public_tokenizers
 
@@ -58,3 +60,57 @@ def test_sql_queries(spark, duck):
 
     for name, sql in queries.oracle_sql().items():
         same(queries.queries()[name](spark, SF).toPandas(), duck.execute(sql).fetch_df())
+
+
+def _odd(spark, odd_rows):
+    """The odd rows with the columns that the pipeline's documents have, and columns named like the stages' own."""
+    rows = [(i, t, len(t or ""), 7, "k", "m", "b") for i, t in odd_rows]
+    return spark.createDataFrame(rows, "doc_id long, text string, n_chars long, __id long, __key string, __drop string, begin string").repartition(3)
+
+
+def _pairs(df):
+    return Counter((r["doc_id"], r["text"]) for r in df.collect())
+
+
+def test_stages_on_odd_rows(spark, odd_rows, tmp_path):
+    """Nulls, empty and very long texts, ties, repeated rows and ids, clashing names: each stage against its plain version on its own input."""
+    docs = _odd(spark, odd_rows)
+    spark.createDataFrame([(1, 1), (2, 0), (3, 0), (None, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert _pairs(cp.drop_toxic(spark, docs, str(tmp_path))) <= Counter(odd_rows)
+    out = cp.drop_copies(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    groups = {}
+    for i, t in odd_rows:
+        groups.setdefault(brute.normalised(t), []).append(i)
+    got = Counter((r["doc_id"], brute.normalised(r["text"])) for r in out.collect())
+    assert got == Counter((min((i for i in ids if i is not None), default=None), t) for t, ids in groups.items())
+    out = cp.drop_near_copies(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    classes = brute.classes(list(range(len(odd_rows))), [brute.simhash((t or "").encode()) for _, t in odd_rows])
+    members = {}
+    for (i, _), c in zip(odd_rows, classes):
+        members.setdefault(c, []).append(i)
+    got = _pairs(out)
+    assert sum(got.values()) == len(members) and got <= Counter(odd_rows)
+    assert Counter(i for i, _ in got.elements()) == Counter(min((i for i in ids if i is not None), default=None) for ids in members.values())
+    out = cp.cut_passages(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    want = brute.passages([i for i, _ in odd_rows], [(t or "").encode() for _, t in odd_rows], 50)
+    assert _pairs(out) == Counter((i, t if not w[1] else b" ".join(w[3]).decode()) for (i, t), w in zip(odd_rows, want) if not w[1] or w[3])
+    out = cp.pack(spark, docs, str(tmp_path)).toPandas()
+    assert (out["piece"] == 0).sum() == len(odd_rows) and out.groupby("sequence_id")["length"].sum().max() <= 4096
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    rows = [(1, "a b"), (1, "a b"), (2, "a b"), (2, "quite another text altogether"), (2, "a  b"), (3, "a b c d e f"), (3, "not the same as the others")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert _pairs(cp.drop_copies(spark, docs, "")) == Counter([(1, "a b"), (2, "quite another text altogether"), (3, "a b c d e f"), (3, "not the same as the others")])
+    near = _pairs(cp.drop_near_copies(spark, docs, ""))
+    assert near[2, "quite another text altogether"] == near[3, "not the same as the others"] == 1 and near[1, "a b"] == 1
+
+
+def test_stages_without_rows(spark, odd_rows, tmp_path):
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = _odd(spark, odd_rows).limit(0)
+    for name, stage in cp.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0, name
