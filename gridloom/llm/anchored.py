@@ -14,6 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import _base, hashing
@@ -136,8 +137,8 @@ def runs_of(mask: np.ndarray) -> list[tuple[int, int]]:
 
 # ---- over Spark -----------------------------------------------------------------------------
 
-#: Bits of a filter (8 MB). The filter only saves shuffling: what passes by chance is sorted out by an exact join.
-FILTER_BITS = 1 << 26
+#: Anchors for which filters are made, and bits of a filter for each of them: 64 MB at most. Filters only save shuffling: what passes by chance is sorted out by an exact join, and beyond this number joins alone are made.
+ANCHORS, FILTER_BITS = 1 << 25, 16
 
 
 def byte_elements(texts: list[bytes]):
@@ -179,29 +180,37 @@ def first_scan(elements, window: int, k: int):
     return run
 
 
-def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mask = U(FILTER_BITS - 1)
+def _bits(h: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    mask = U(64 * n_words - 1)
     return h & mask, (h >> U(32)) & mask
 
 
 def passes(words: np.ndarray, h: np.ndarray) -> np.ndarray:
-    a, b = _bits(h)
+    a, b = _bits(h, len(words))
     return ((words[a >> U(6)] >> (a & U(63))) & (words[b >> U(6)] >> (b & U(63))) & U(1)).astype(bool)
 
 
-def filter_of(hashes) -> np.ndarray:
-    """A Bloom filter of column h: at most FILTER_BITS / 64 words come to the driver."""
-    mask = F.lit(FILTER_BITS - 1)
+def filter_of(hashes: DataFrame, n: int) -> np.ndarray:
+    """A Bloom filter of the n values of column h: n x FILTER_BITS / 64 words, rounded up to a power of two, come to the driver."""
+    size = 1 << max(10, (n * FILTER_BITS - 1).bit_length())
+    mask = F.lit(size - 1).cast("long")
     bit = hashes.select(F.explode(F.array(F.col("h").bitwiseAND(mask), F.shiftright("h", 32).bitwiseAND(mask))).alias("bit"))
     one = F.expr("shiftleft(1L, cast(bit & 63 as int))")
     found = bit.select(F.shiftright("bit", 6).alias("word"), one.alias("one")).groupBy("word").agg(F.bit_or("one").alias("bits")).toArrow()
-    words = np.zeros(FILTER_BITS // 64, U)
+    words = np.zeros(size // 64, U)
     words[found["word"].to_numpy()] = found["bits"].to_numpy().view(U)
     return words
 
 
-def second_scan(elements, window: int, k: int, repeated, several):
-    """(id, text) to (id, start, run, h, c, anchor, content) of the blocks that pass filter `repeated`; content only of those that pass `several`."""
+def _cut_out(source, begin: list[int], length: list[int], wanted: list[bool]) -> pa.Array:
+    """Contents of blocks; null where not wanted."""
+    if isinstance(source, bytes):
+        return pa.array([source[b : b + n] if w else None for b, n, w in zip(begin, length, wanted)], pa.binary())
+    return pa.array([source[b : b + n].view(np.int64) if w else None for b, n, w in zip(begin, length, wanted)], pa.list_(pa.int64()))
+
+
+def second_scan(elements, window: int, k: int, repeated=None, several=None):
+    """(id, text) to (id, start, run, h, c, anchor, content) of the blocks that pass filter `repeated`; content only of those that pass `several`. Without filters, all blocks and no content."""
 
     @_base.tidy
     def run(batches):
@@ -210,19 +219,55 @@ def second_scan(elements, window: int, k: int, repeated, several):
             for i, j in text_blocks(texts):
                 values, sizes, source = elements(texts[i:j])
                 doc, start, size, h, c, anchor = blocks(values, sizes, window, k)
-                on = np.flatnonzero(passes(repeated.value, h))
-                doc, start, size, h, c, anchor = (x[on] for x in (doc, start, size, h, c, anchor))
+                wanted = np.zeros(len(h), bool)
+                if repeated is not None:
+                    on = np.flatnonzero(passes(repeated.value, h))
+                    doc, start, size, h, c, anchor = (x[on] for x in (doc, start, size, h, c, anchor))
+                    wanted = passes(several.value, h)
                 begin = (np.cumsum(sizes) - sizes)[doc] + start
-                wanted = passes(several.value, h)
-                if isinstance(source, bytes):
-                    content = pa.array([source[b : b + n] if w else None for b, n, w in zip(begin.tolist(), (size + window - 1).tolist(), wanted.tolist())], pa.binary())
-                else:
-                    content = pa.array([source[b : b + n].view(np.int64) if w else None for b, n, w in zip(begin.tolist(), (size + window - 1).tolist(), wanted.tolist())], pa.list_(pa.int64()))
+                content = _cut_out(source, begin.tolist(), (size + window - 1).tolist(), wanted.tolist())
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc + i)), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(anchor.astype(np.int32)), content], ["id", "start", "run", "h", "c", "anchor", "content"])
 
     return run
 
 
+def _third_scan(elements, window: int):
+    """(text, wanted: blocks by start and run) to (h, c, content)."""
+
+    @_base.tidy
+    def run(batches):
+        for batch in batches:
+            for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                source = elements([text])[2]
+                content = _cut_out(source, [x["start"] for x in wanted], [x["run"] + window - 1 for x in wanted], [True] * len(wanted))
+                yield pa.RecordBatch.from_arrays([*(pa.array([x[c] for x in wanted], pa.int64()) for c in ("h", "c")), content], ["h", "c", "content"])
+
+    return run
+
+
+def repeated_blocks(texts: DataFrame, stats: DataFrame, elements, window: int, k: int, kind: str, sums: list, anchors: int = ANCHORS) -> tuple[DataFrame, DataFrame]:
+    """From (id, text) and the repeated anchors (h, several): the blocks (id, start, run, h, c, anchor) that may have one; and one row (h, c, run, anchor, content, sums) for each different block of anchors that have several."""
+    fields = f"id {texts.schema['id'].dataType.simpleString()}, start int, run int, h long, c long, anchor int, content {kind}"
+    once = [F.first("run").alias("run"), F.first("anchor").alias("anchor")]  # equal blocks have equal ones
+    n = stats.count()
+    if n <= anchors:
+        repeated, several = (texts.sparkSession.sparkContext.broadcast(filter_of(x, n)) for x in (stats, stats.filter("several")))
+        found = _base.spill(texts.mapInArrow(second_scan(elements, window, k, repeated, several), fields), "blocks")
+        each = found.filter("content is not null").groupBy("h", "c").agg(*sums, *once, F.first("content").alias("content"))
+        return found.drop("content"), _base.spill(each, "contents")
+    found = texts.mapInArrow(second_scan(elements, window, k), fields).drop("content")
+    found = _base.spill(found.join(stats.select("h"), "h", "left_semi"), "blocks")
+    each = found.join(stats.filter("several").select("h"), "h", "left_semi").groupBy("h", "c").agg(*sums, *once, F.min(F.struct("id", "start")).alias("at"))
+    each = _base.spill(each, "different")
+    wanted = each.select("at.id", F.struct("at.start", "run", "h", "c").alias("w")).groupBy("id").agg(F.collect_list("w").alias("wanted"))
+    content = texts.join(wanted, "id").select("text", "wanted").mapInArrow(_third_scan(elements, window), f"h long, c long, content {kind}")
+    # Rows that repeat give the content of a block more than once.
+    content = content.groupBy("h", "c").agg(F.first("content").alias("content"))
+    out = _base.spill(each.drop("at").join(content, ["h", "c"]), "contents")
+    _base.forget(each)
+    return found, out
+
+
 def by_group(batches, n_columns: int, most: int):
     """Lists of the columns of whole groups of equal column 0, of about `most` rows together; rows come sorted by it."""
     held: list[list] = [[] for _ in range(n_columns)]

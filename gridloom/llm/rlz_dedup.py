@@ -122,21 +122,17 @@ def _finished(window: int, id_col: str):
     return run
 
 
-def spans(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int, group: int) -> DataFrame:
+def spans(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int, group: int, anchors: int = anchored.ANCHORS) -> DataFrame:
     """(id: a row's key, begin, until): the stretches of windows of each row that a row of smaller id has."""
-    spark = docs.sparkSession
     words = docs.filter(F.col(id_col).isNotNull()).select(F.struct(_base.row_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).alias("doc")).alias("id"), _base.utf8(F.col(text_col)).alias("text")).filter(F.length("text") >= 2 * window - 1)
     doc = docs.schema[id_col].dataType.simpleString()
     counted = words.select(F.col("id.doc").alias("id"), "text").mapInArrow(anchored.first_scan(anchored.word_elements, window, gram), f"id {doc}, h long, c long")
     stats = counted.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min("c").alias("low"), F.max("c").alias("high")).filter(F.col("least") < F.col("most"))
     stats = _base.spill(stats.select("h", "least", (F.col("low") < F.col("high")).alias("several")), "anchors")
-    repeated, several = (spark.sparkContext.broadcast(anchored.filter_of(x)) for x in (stats, stats.filter("several")))
-    found = words.mapInArrow(anchored.second_scan(anchored.word_elements, window, gram, repeated, several), f"id struct<key: binary, doc: {doc}>, start int, run int, h long, c long, anchor int, content array<long>")
-    found = _base.spill(found.select("id.*", "start", "run", "h", "c", "anchor", "content"), "blocks")
-    rows = _base.spill(found.drop("content", "anchor").join(stats, "h").filter(F.col("several") | (F.col("doc") > F.col("least"))), "repeats")
+    found, each = anchored.repeated_blocks(words, stats, anchored.word_elements, window, gram, "array<long>", [F.min("id.doc").alias("first")], anchors)
+    found = found.select("id.*", "start", "run", "h", "c")
+    rows = _base.spill(found.join(stats, "h").filter(F.col("several") | (F.col("doc") > F.col("least"))), "repeats")
     out = rows.filter("not several").select("key", F.array("start").alias("begin"), F.array(F.col("start") + F.col("run")).alias("until"))
-    each = found.filter("content is not null")
-    each = _base.spill(each.groupBy("h", "c").agg(F.min("doc").alias("first"), F.first("run").alias("run"), F.first("anchor").alias("anchor"), F.first("content").alias("content")), "contents")
     marks = anchored.dealt(
         each, window, gram, group,
         lambda few: few.mapInArrow(_marks(window), MARKS_SQL),
@@ -155,7 +151,7 @@ def spans(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int, g
     return out
 
 
-def removed_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+def removed_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, group: int = GROUP, anchors: int = anchored.ANCHORS) -> DataFrame:
     """One row per row of docs: id, n_words, n_removed, kept_sha256, kept. Other columns are not read.
 
     kept is the text without the words that a window of `window` words covers which also starts in a
@@ -165,7 +161,7 @@ def removed_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     _base.ready(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    found = spans(docs, id_col, text_col, window, gram, group).withColumnRenamed("key", "__key")
+    found = spans(docs, id_col, text_col, window, gram, group, anchors).withColumnRenamed("key", "__key")
     texts = docs.select(F.col(id_col).alias("__id"), _base.row_key(F.col(id_col), F.col(text_col)).alias("__key"), _base.utf8(F.col(text_col)).alias("__text"))
     return texts.join(found, "__key", "left").select("__id", "__text", "begin", "until").mapInArrow(_finished(window, id_col), f"`{id_col}` {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
 

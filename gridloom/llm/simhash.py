@@ -170,7 +170,8 @@ def within(queries: DataFrame, values: DataFrame, radius: int = RADIUS, blocks:
     first = F.coalesce(*(F.when(differ.bitwiseAND(F.lit(m)) == 0, i) for i, m in enumerate(signed)))
     distance = F.bit_count(differ)
     a, b = table(queries, "query").alias("a"), table(values, "fp").alias("b")
-    met = a.join(b, (F.col("a.table") == F.col("b.table")) & (F.col("a.key") == F.col("b.key")) & (distance <= radius) & (first == F.col("a.table")))
+    # Neither side has a bound, and a table has many rows for each value: none is broadcast.
+    met = a.hint("merge").join(b, (F.col("a.table") == F.col("b.table")) & (F.col("a.key") == F.col("b.key")) & (distance <= radius) & (first == F.col("a.table")))
     return met.select("query", "fp", distance.alias("distance"))
 
 

@@ -169,7 +169,7 @@ def _finished(window: int, id_col: str, keep: bool):
     return run
 
 
-def removed_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, group: int = GROUP, keep: bool = True) -> DataFrame:
+def removed_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, group: int = GROUP, keep: bool = True, anchors: int = anchored.ANCHORS) -> DataFrame:
     """One row per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that are left; null if not asked for).
 
     Each byte that is covered by a string of `window` bytes which also starts anywhere else goes,
@@ -185,16 +185,10 @@ def removed_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counted = narrow.select(F.lit(0).cast("byte").alias("id"), "text").mapInArrow(anchored.first_scan(anchored.byte_elements, window, gram), "id byte, h long, c long")
     stats = counted.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).filter("n > 1")
     stats = _base.spill(stats.select("h", (F.col("low") < F.col("high")).alias("several")), "anchors")
-    repeated, several = (spark.sparkContext.broadcast(anchored.filter_of(x)) for x in (stats, stats.filter("several")))
-    found = narrow.mapInArrow(anchored.second_scan(anchored.byte_elements, window, gram, repeated, several), "id binary, start int, run int, h long, c long, anchor int, content binary")
-    found = _base.spill(found, "blocks")
-    rows = found.drop("content", "anchor").join(stats, "h")
+    found, each = anchored.repeated_blocks(narrow, stats, anchored.byte_elements, window, gram, "binary", [F.count(F.lit(1)).alias("n")], anchors)
+    rows = found.drop("anchor").join(stats, "h")
     rows = _base.spill(rows, "repeats")
     spans = rows.filter("not several").select("id", F.array("start").alias("begin"), F.array(F.col("start") + F.col("run")).alias("until"))
-    # One content of each different block, where an anchor has several.
-    each = found.filter("content is not null")
-    each = each.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.first("run").alias("run"), F.first("anchor").alias("anchor"), F.first("content").alias("content"))
-    each = _base.spill(each, "contents")
     marks = anchored.dealt(
         each.withColumn("first", F.col("c")), window, gram, group,
         lambda few: few.mapInArrow(_marks(window), MARKS_SQL),

@@ -31,13 +31,12 @@ def expected(ids, results):
     return Counter((i, *r) for i, r in zip(ids, results))
 
 
-@pytest.mark.parametrize("window, gram, group", [(200, 32, 1000), (40, 8, 1000), (40, 8, 1), (40, 8, 3)])
-def test_repeats(odd, odd_rows, window, gram, group):
-    rest = [(i, t) for i, t in odd_rows if len(t or "") < 20_000]
-    df = odd.filter("length(text) is null or length(text) < 20000")
-    got = suffix_dedup.removed_repeats(df, window=window, gram=gram, group=group)
-    want = brute.repeats([(t or "").encode() for _, t in rest], window)
-    assert rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == expected([i for i, _ in rest], want)
+@pytest.mark.parametrize("window, gram, group, anchors", [(200, 32, 1000, anchored.ANCHORS), (200, 32, 1000, 0), (40, 8, 1000, 0), (40, 8, 1000, 10**6), (40, 8, 1, 10**6), (40, 8, 3, 10**6)])
+def test_repeats(odd, odd_rows, window, gram, group, anchors):
+    """With the very long text in it; with filters and, beyond the number of anchors for them, by joins alone."""
+    got = suffix_dedup.removed_repeats(odd, window=window, gram=gram, group=group, anchors=anchors)
+    want = brute.repeats([(t or "").encode() for _, t in odd_rows], window)
+    assert rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == expected([i for i, _ in odd_rows], want)
     assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in got.collect())
 
 
@@ -47,9 +46,9 @@ def test_maximal_repeats():
     assert found == {(b"abc", 3), (b"abcy", 2)}
 
 
-@pytest.mark.parametrize("window, gram, group", [(50, 10, 1000), (8, 3, 1000), (8, 3, 1), (8, 3, 2)])
-def test_passages(odd, odd_rows, window, gram, group):
-    got = rlz_dedup.removed_passages(odd, window=window, gram=gram, group=group)
+@pytest.mark.parametrize("window, gram, group, anchors", [(50, 10, 1000, anchored.ANCHORS), (50, 10, 1000, 0), (8, 3, 1000, 0), (8, 3, 1000, 10**6), (8, 3, 1, 10**6), (8, 3, 2, 10**6)])
+def test_passages(odd, odd_rows, window, gram, group, anchors):
+    got = rlz_dedup.removed_passages(odd, window=window, gram=gram, group=group, anchors=anchors)
     want = brute.passages([i for i, _ in odd_rows], [(t or "").encode() for _, t in odd_rows], window)
     assert rows(got, "doc_id", "n_words", "n_removed", "kept_sha256") == expected([i for i, _ in odd_rows], [w[:3] for w in want])
 
