@@ -1,8 +1,4 @@
-"""Ranks, effect sizes, contingency tables, multiple testing and resampling.
-
-Statistics are closed forms over group aggregates. Resampling runs one cell per group in NumPy, as
-its streams of random numbers have no SQL form; what a cell holds is bounded by the entities of a study.
-"""
+"""Ranks, effect sizes, contingency tables and multiple testing: closed forms over group aggregates."""
 
 from __future__ import annotations
 
@@ -150,182 +146,3 @@ def risk_difference(df: DataFrame, flag: str, group: str) -> DataFrame:
         return pd.Series([special.fisher_exact(*map(int, v)) for v in zip(w, x, y, z)], dtype="float64")
 
     return pairs.select(F.col(f"{group}_a").alias("a"), F.col(f"{group}_b").alias("b"), share["a"].alias("share_a"), share["b"].alias("share_b"), (share["b"] - share["a"]).alias("risk_difference"), p("yes_a", "no_a", "yes_b", "no_b").alias("fisher_p"))
-
-
-# ---- resampling -------------------------------------------------------------------------------
-
-
-def _effect(y: np.ndarray, g: np.ndarray, k: int) -> np.ndarray:
-    """(eta2, omega2) of rows of y (replicates x entities) for groups 0..k-1 (one row, or one for each replicate)."""
-    g = np.broadcast_to(g, y.shape)
-    between = np.zeros(len(y))
-    within = np.zeros(len(y))
-    mean = y.mean(1)
-    for j in range(k):
-        on = g == j
-        n = np.maximum(on.sum(1), 1)
-        m = (y * on).sum(1) / n
-        between += on.sum(1) * (m - mean) ** 2
-        within += (((y - m[:, None]) * on) ** 2).sum(1)
-    n = y.shape[1]
-    ms = within / max(n - k, 1)
-    total = between + within
-    return np.stack([between / np.maximum(total, 1e-300), (between - (k - 1) * ms) / np.maximum(total + ms, 1e-300)])
-
-
-def _cells(df: DataFrame, by: list[str], columns: list[str], run, fields: str) -> DataFrame:
-    """run(pandas frame of a cell) gives a dictionary; rows of a cell come in a fixed order."""
-    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by), fields])
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = {c: pdf[c].iloc[0] for c in by}
-        return pd.DataFrame([own | run(pdf.dropna(subset=columns[1:]).sort_values(columns[0], ignore_index=True))])
-
-    keep = list(dict.fromkeys([*by, *columns]))
-    return df.select(*keep).groupBy(*by).applyInPandas(one, schema)
-
-
-def permutation_effect(df: DataFrame, ident: str, x: str, group: str, by: list[str], times: int = 1999, seed: int = 0) -> DataFrame:
-    """p of eta squared by permuting values: (exceedances + 1) / (times + 1)."""
-
-    def run(p):
-        g, k = pd.factorize(p[group], sort=True)[0], p[group].nunique()
-        y = p[x].to_numpy(float)
-        rng = np.random.default_rng(seed)
-        own = _effect(y[None], g[None], k)[0, 0]
-        more = sum(int((_effect(np.stack([rng.permutation(y) for _ in range(m)]), g[None], k)[0] >= own - 1e-15).sum()) for m in [200] * (times // 200) + [times % 200] * (times % 200 > 0))
-        return {"eta2": own, "exceedances": more, "p": (more + 1) / (times + 1)}
-
-    return _cells(df, by, [ident, x, group], run, "eta2 double, exceedances long, p double")
-
-
-def bootstrap_effect(df: DataFrame, ident: str, x: str, group: str, by: list[str], times: int = 1000, seed: int = 0) -> DataFrame:
-    """Percentile intervals of eta and omega squared, entities drawn within their groups."""
-
-    def run(p):
-        g, k = pd.factorize(p[group], sort=True)[0], p[group].nunique()
-        y = p[x].to_numpy(float)
-        rng = np.random.default_rng(seed)
-        places = [np.flatnonzero(g == j) for j in range(k)]
-        order = np.concatenate(places)
-        drawn = np.concatenate([rng.choice(q, (times, len(q))) for q in places], axis=1)
-        eta, omega = _effect(y[drawn], g[order][None], k)
-        out = {"eta2": _effect(y[None], g[None], k)[0, 0]}
-        for n, v in (("eta2", eta), ("omega2", omega)):
-            out |= {f"{n}_low": float(np.quantile(v, 0.025)), f"{n}_high": float(np.quantile(v, 0.975))}
-        return out
-
-    return _cells(df, by, [ident, x, group], run, "eta2 double, eta2_low double, eta2_high double, omega2_low double, omega2_high double")
-
-
-def permutation_difference(df: DataFrame, ident: str, x: str, group: str, a, b, by: list[str], times: int = 1999, seed: int = 0) -> DataFrame:
-    """p and bootstrap interval of the difference of two groups' means."""
-
-    def run(p):
-        p = p[p[group].isin([a, b])]
-        y, g = p[x].to_numpy(float), (p[group] == b).to_numpy()
-        if not g.any() or g.all():
-            return {"difference": None, "p": None, "low": None, "high": None}
-        rng = np.random.default_rng(seed)
-        own = y[g].mean() - y[~g].mean()
-        shuffled = np.array([(z := rng.permutation(y))[g].mean() - z[~g].mean() for _ in range(times)])
-        boot = rng.choice(y[g], (times, g.sum())).mean(1) - rng.choice(y[~g], (times, (~g).sum())).mean(1)
-        return {"difference": own, "p": (int((np.abs(shuffled) >= abs(own) - 1e-15).sum()) + 1) / (times + 1), "low": float(np.quantile(boot, 0.025)), "high": float(np.quantile(boot, 0.975))}
-
-    return _cells(df, by, [ident, x, group], run, "difference double, p double, low double, high double")
-
-
-def bootstrap_spearman(df: DataFrame, ident: str, x: str, y: str, by: list[str], times: int = 500, seed: int = 0) -> DataFrame:
-    """Percentile interval of the rank correlation."""
-
-    def rho(p):
-        a, b = p[x].rank().to_numpy(), p[y].rank().to_numpy()
-        return float(np.corrcoef(a, b)[0, 1]) if len(p) > 2 and a.std() and b.std() else np.nan
-
-    def run(p):
-        rng = np.random.default_rng(seed)
-        v = np.array([rho(p.iloc[rng.integers(0, len(p), len(p))]) for _ in range(times)]) if len(p) > 2 else np.array([np.nan])
-        ok = v[~np.isnan(v)]
-        return {"rho": rho(p), "low": float(np.quantile(ok, 0.025)) if len(ok) else None, "high": float(np.quantile(ok, 0.975)) if len(ok) else None}
-
-    return _cells(df, by, [ident, x, y], run, "rho double, low double, high double")
-
-
-def monte_carlo_chi_square(df: DataFrame, ident: str, row: str, column: str, by: list[str], times: int = 2000, seed: int = 0) -> DataFrame:
-    """p of chi square by permuting one margin."""
-
-    def run(p):
-        r, c = (pd.factorize(p[z], sort=True)[0] for z in (row, column))
-        nr, nc = r.max() + 1, c.max() + 1
-        expected = np.outer(np.bincount(r), np.bincount(c)) / len(p)
-
-        def chi2(q):
-            return float(((np.bincount(r * nc + q, minlength=nr * nc).reshape(nr, nc) - expected) ** 2 / expected).sum())
-
-        rng = np.random.default_rng(seed)
-        own = chi2(c)
-        more = sum(chi2(rng.permutation(c)) >= own - 1e-12 for _ in range(times))
-        return {"chi2": own, "p": (more + 1) / (times + 1)}
-
-    return _cells(df, by, [ident, row, column], run, "chi2 double, p double")
-
-
-def _dummies(values: pd.Series) -> np.ndarray:
-    return pd.get_dummies(values, drop_first=True).to_numpy(float)
-
-
-def partial_r2(df: DataFrame, ident: str, y: str, group: str, category: str, by: list[str], times: int = 2000, seed: int = 0) -> DataFrame:
-    """R squared of groups, of groups and categories, the partial R squared, and its p by permuting residuals within groups."""
-
-    def run(p):
-        v = p[y].to_numpy(float)
-        base = np.column_stack([np.ones(len(p)), _dummies(p[group])])
-        project = lambda m: m - base @ np.linalg.lstsq(base, m, rcond=None)[0]
-        ry, rx = project(v), project(_dummies(p[category]))
-        q = np.linalg.qr(rx)[0][:, : np.linalg.matrix_rank(rx)] if rx.shape[1] else np.zeros((len(p), 0))
-        total = float(((v - v.mean()) ** 2).sum())
-        rest = float(ry @ ry)
-        own = float(((q.T @ ry) ** 2).sum()) / rest if rest > 0 else np.nan
-        rng = np.random.default_rng(seed)
-        places = [np.flatnonzero((p[group] == g).to_numpy()) for g in sorted(p[group].unique())]
-        more = 0
-        for _ in range(times):
-            z = ry.copy()
-            for at in places:
-                z[at] = ry[rng.permutation(at)]
-            more += float(((q.T @ z) ** 2).sum()) / rest >= own - 1e-15 if rest > 0 else 1
-        return {"r2_group": 1 - rest / total if total else None, "r2_full": 1 - rest * (1 - own) / total if total else None, "partial_r2": own, "p": (more + 1) / (times + 1)}
-
-    return _cells(df, by, [ident, y, group, category], run, "r2_group double, r2_full double, partial_r2 double, p double")
-
-
-def cross_validated(df: DataFrame, ident: str, y: str, group: str, by: list[str], folds: int = 10, repeats: int = 20, seed: int = 0) -> DataFrame:
-    """Out-of-fold R squared of group means and the AUC of positive values, over repeated folds that are stratified by group."""
-
-    def run(p):
-        v, g = p[y].to_numpy(float), pd.factorize(p[group], sort=True)[0]
-        rng = np.random.default_rng(seed)
-        r2, auc_, brier = [], [], []
-        for _ in range(repeats):
-            fold = np.zeros(len(p), int)
-            for j in range(g.max() + 1):
-                at = rng.permutation(np.flatnonzero(g == j))
-                fold[at] = np.arange(len(at)) % folds
-            size, total, up = (np.zeros((g.max() + 1, folds)) for _ in range(3))
-            np.add.at(size, (g, fold), 1)
-            np.add.at(total, (g, fold), v)
-            np.add.at(up, (g, fold), v > 0)
-            others = size.sum(1)[g] - size[g, fold]
-            ok = others > 0
-            guess = (total.sum(1)[g] - total[g, fold])[ok] / others[ok]
-            chance = (up.sum(1)[g] - up[g, fold])[ok] / others[ok]
-            yes = (v > 0)[ok]
-            r2.append(1 - ((v[ok] - guess) ** 2).sum() / max(((v[ok] - v[ok].mean()) ** 2).sum(), 1e-300))
-            rank = pd.Series(chance).rank().to_numpy()
-            if yes.any() and not yes.all():
-                auc_.append((rank[yes].sum() - yes.sum() * (yes.sum() + 1) / 2) / (yes.sum() * (~yes).sum()))
-                brier.append(1 - ((chance - yes) ** 2).mean() / max(yes.mean() * (1 - yes.mean()), 1e-300))
-        mean = lambda x: float(np.mean(x)) if x else None
-        return {"r2": mean(r2), "auc": mean(auc_), "brier_skill": mean(brier)}
-
-    return _cells(df, by, [ident, y, group], run, "r2 double, auc double, brier_skill double")

@@ -287,11 +287,6 @@ def group_adjusted_rho(spark, sf):
     return rounded(X.adjusted_spearman(study(spark, sf), "x", "y", "grp"))
 
 
-@query("spearman_p")
-def spearman_p(spark, sf):
-    return X.with_p(X.spearman(study(spark, sf), "x", "y", "grp"))
-
-
 BUCKETS_SQL = STUDY_SQL + ", q AS (SELECT *, greatest(1, CAST(ceil(4 * (row_number() OVER (ORDER BY x, entity) - 1) / greatest(count(*) OVER () - 1, 1)) AS INT)) AS bucket FROM st)"
 
 
@@ -359,50 +354,6 @@ def category_outcomes(spark, sf):
     return rounded(c.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean"), F.avg("e").alias("adjusted_mean"), F.percentile("e", 0.25).alias("adjusted_q25"), F.percentile("e", 0.75).alias("adjusted_q75")))
 
 
-def _lit(df):
-    return df.withColumn("all", F.lit(1))
-
-
-@query("risk_difference_fisher")
-def risk_difference_fisher(spark, sf):
-    return X.risk_difference(study(spark, sf).withColumn("up", F.col("y") > 0), "up", "grp")
-
-
-@query("permutation_effect")
-def permutation_effect(spark, sf):
-    return X.permutation_effect(_lit(study(spark, sf)), "entity", "y", "grp", ["all"], 499)
-
-
-@query("bootstrap_effect")
-def bootstrap_effect(spark, sf):
-    return X.bootstrap_effect(_lit(study(spark, sf)), "entity", "y", "grp", ["all"], 300)
-
-
-@query("permutation_difference")
-def permutation_difference(spark, sf):
-    return X.permutation_difference(_lit(study(spark, sf)), "entity", "y", "grp", 1, 2, ["all"], 499)
-
-
-@query("bootstrap_spearman")
-def bootstrap_spearman(spark, sf):
-    return X.bootstrap_spearman(study(spark, sf), "entity", "x", "y", ["grp"], 100)
-
-
-@query("monte_carlo_chi_square")
-def monte_carlo_chi_square(spark, sf):
-    return X.monte_carlo_chi_square(_lit(study(spark, sf)), "entity", "kind", "grp", ["all"], 500)
-
-
-@query("partial_r2_permutation")
-def partial_r2_permutation(spark, sf):
-    return X.partial_r2(_lit(study(spark, sf)), "entity", "y", "grp", "kind", ["all"], 500)
-
-
-@query("cross_validated_utility")
-def cross_validated_utility(spark, sf):
-    return X.cross_validated(_lit(study(spark, sf)), "entity", "y", "grp", ["all"], 10, 10)
-
-
 # ---- survey -----------------------------------------------------------------------------------
 
 

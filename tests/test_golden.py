@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import scalars as S
 from gridloom.functions import special
-from gridloom.operators import decomposition, forecast, grid, metrics, profiles, relational, stats, survey
+from gridloom.operators import decomposition, forecast, grid, metrics, profiles, relational, resampling, stats, survey
 
 
 def frame(spark, columns, rows):
@@ -153,15 +153,50 @@ def test_gain_identities(spark):
         assert g[e, "direct_vs_full"] == pytest.approx(g[e, "source_transfer"] - g[e, "full_data"])
 
 
+def test_draws_are_spread_evenly(spark):
+    n = spark.range(1, 2001).selectExpr(f"{resampling.draw('id', '7', 3)} % 10 AS d").groupBy("d").count().toPandas()["count"]
+    assert len(n) == 10 and n.min() > 150 and n.max() < 250
+
+
 def test_resampling_is_reproducible(spark):
-    rows = [(i, i % 3, float((i * 7919) % 101) + 10 * (i % 3), 1) for i in range(60)]
-    df = frame(spark, "i int, g int, x double, a int", rows)
-    one, two = (stats.permutation_effect(df.repartition(n), "i", "x", "g", ["a"], 199).first() for n in (1, 3))
+    rows = [(i, i % 3 + 1, float((i * 7919) % 101) + 10 * (i % 3), "ab"[i % 2]) for i in range(60)]
+    df = frame(spark, "i int, g int, x double, k string", rows)
+    one, two = (resampling.permutation_effect(df.repartition(n), "i", "x", "g", 199).first() for n in (1, 3))
     assert one == two and 0 < one["p"] <= 1
-    b = stats.bootstrap_effect(df, "i", "x", "g", ["a"], 100).first()
+    b = resampling.bootstrap_effect(df, "i", "x", "g", 100).first()
     assert b["eta2_low"] <= b["eta2_high"]
 
 
+def test_resampling_agrees_with_numpy(spark):
+    """p values and intervals against NumPy's own random numbers, within what chance allows."""
+    rng = np.random.default_rng(1)
+    g = np.arange(90) % 3 + 1
+    x = rng.normal(0, 1, 90) + 0.35 * (g == 2)
+    df = frame(spark, "i int, g int, x double", [(i, int(a), float(b)) for i, (a, b) in enumerate(zip(g, x))])
+    eta = lambda y: sum((g == k).sum() * (y[g == k].mean() - y.mean()) ** 2 for k in (1, 2, 3)) / ((y - y.mean()) ** 2).sum()
+    p = np.mean([eta(rng.permutation(x)) >= eta(x) for _ in range(3000)])
+    got = resampling.permutation_effect(df, "i", "x", "g", 1999).first()
+    assert got["eta2"] == pytest.approx(eta(x)) and got["p"] == pytest.approx(p, abs=0.05)
+    d = [rng.choice(x[g == 2], 30).mean() - rng.choice(x[g == 1], 30).mean() for _ in range(3000)]
+    got = resampling.permutation_difference(df, "i", "x", "g", 1, 2, 1999).first()
+    assert got["difference"] == pytest.approx(x[g == 2].mean() - x[g == 1].mean())
+    assert (got["low"], got["high"]) == pytest.approx(tuple(np.quantile(d, [0.025, 0.975])), abs=0.1)
+
+
+def test_partial_r2(spark):
+    rng = np.random.default_rng(2)
+    g, k = np.arange(80) % 4 + 1, rng.integers(0, 4, 80)
+    y = rng.normal(0, 1, 80) + 0.5 * g + 0.8 * (k == 2)
+    df = frame(spark, "i int, g int, k string, y double", [(i, int(a), "pqrs"[b], float(c)) for i, (a, b, c) in enumerate(zip(g, k, y))])
+    got = resampling.partial_r2(df, "i", "y", "g", "k", 500).first()
+    dummies = lambda v: np.stack([v == z for z in np.unique(v)[1:]], 1).astype(float)
+    def r2(*parts):
+        m = np.column_stack([np.ones(80), *parts])
+        return 1 - ((y - m @ np.linalg.lstsq(m, y, rcond=None)[0]) ** 2).sum() / ((y - y.mean()) ** 2).sum()
+    one, two = r2(dummies(g)), r2(dummies(g), dummies(k))
+    assert (got["r2_group"], got["r2_full"], got["partial_r2"]) == pytest.approx((one, two, (two - one) / (1 - one)))
+
+
 def test_kmeans_separates_shapes():
     x = np.concatenate([np.eye(6)[[0]].repeat(8, 0), np.eye(6)[[5]].repeat(8, 0)]) + np.random.default_rng(0).normal(0, 0.01, (16, 6))
     label, centres, inertia = profiles.dtw_kmeans(x, 2, 0)
