@@ -128,6 +128,6 @@ def spearman_p(spark, sf):
 LOG_P = "lgamma(w + x + 1) + lgamma(y + z + 1) + lgamma(w + y + 1) + lgamma(x + z + 1) - lgamma(w + x + y + z + 1) - lgamma({0} + 1) - lgamma(w + x - {0} + 1) - lgamma(w + y - {0} + 1) - lgamma(z - w + {0} + 1)"
 
 
-@query("risk_difference_fisher", STUDY_SQL + f", s AS (SELECT grp, count_if(y > 0) AS u, count_if(NOT y > 0) AS d FROM st GROUP BY 1), ft AS (SELECT p.grp AS a, q.grp AS b, p.u AS w, p.d AS x, q.u AS y, q.d AS z FROM s p JOIN s q ON p.grp < q.grp), g AS (SELECT *, list_transform(range(greatest(0, w - z), least(w + x, w + y) + 1), lambda i: {LOG_P.format('i')}) AS l, {LOG_P.format('w')} AS o FROM ft) SELECT a, b, round(w / (w + x), 6) AS share_a, round(y / (y + z), 6) AS share_b, round(y / (y + z) - w / (w + x), 6) AS risk_difference, round(least(1, list_sum(list_transform(list_filter(l, lambda t: t <= o + 1e-7), lambda t: exp(t)))), 6) AS fisher_p FROM g")
+@query("risk_difference_fisher", STUDY_SQL + f", s AS (SELECT grp, count_if(y > 0) AS u, count_if(NOT y > 0) AS d FROM st GROUP BY 1), ft AS (SELECT p.grp AS a, q.grp AS b, p.u AS w, p.d AS x, q.u AS y, q.d AS z FROM s p JOIN s q ON p.grp < q.grp), gf AS (SELECT *, list_transform(range(greatest(0, w - z), least(w + x, w + y) + 1), lambda i: {LOG_P.format('i')}) AS l, {LOG_P.format('w')} AS o FROM ft) SELECT a, b, round(w / (w + x), 6) AS share_a, round(y / (y + z), 6) AS share_b, round(y / (y + z) - w / (w + x), 6) AS risk_difference, round(least(1, list_sum(list_transform(list_filter(l, lambda t: t <= o + 1e-7), lambda t: exp(t)))), 6) AS fisher_p FROM gf")
 def risk_difference_fisher(spark, sf):
     return rounded(X.risk_difference(study(spark, sf).withColumn("up", F.col("y") > 0), "up", "grp"))
