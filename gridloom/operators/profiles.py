@@ -7,8 +7,6 @@ k-means run in NumPy, batched by Arrow.
 
 from __future__ import annotations
 
-from itertools import permutations
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -113,23 +111,39 @@ def nearest(distances: DataFrame) -> DataFrame:
     return out.select("*", (F.col("second_distance") - F.col("nearest_distance")).alias("margin"), safe_ratio(F.col("nearest_distance"), F.col("second_distance")).alias("ratio"))
 
 
-def neighbour_support(targets: DataFrame, sources: DataFrame, k: int) -> DataFrame:
-    """For each target (entity, group, profile), the mean distance of its k nearest sources of its group, and the share of sources whose own such mean is at least as large.
+#: Profiles that stand together in one row when all pairs of a group are compared.
+BLOCK = 256
+
+
+def in_blocks(profiles: DataFrame, *by: str) -> DataFrame:
+    """(by, block): arrays of up to about BLOCK (entity, profile) each, so that pairs never become rows of their own."""
+    size = profiles.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("__n"))
+    dealt = profiles.join(F.broadcast(size), list(by)) if by else profiles.crossJoin(F.broadcast(size))
+    return dealt.withColumn("__b", F.pmod(F.xxhash64("entity"), F.col("__n"))).groupBy(*by, "__b").agg(F.collect_list(F.struct("entity", "profile")).alias("block")).drop("__b")
 
-    Pairs are formed within groups only, and reduced to k per entity before anything else.
-    """
 
-    def mean_of_nearest(left: DataFrame, same: bool) -> DataFrame:
-        other = sources.select(F.col("entity").alias("other"), "group", F.col("profile").alias("shape"))
-        pairs = left.join(other, "group")
-        pairs = pairs.filter(F.col("entity") != F.col("other")) if same else pairs
-        d = pairs.select("entity", "group", "other", euclidean(F.col("profile"), F.col("shape"), per_slot=True).alias("d"))
-        r = F.row_number().over(Window.partitionBy("entity", "group").orderBy("d", "other"))
-        return d.withColumn("r", r).filter(F.col("r") <= k).groupBy("entity", "group").agg(F.avg("d").alias("support_distance"))
+def neighbour_support(targets: DataFrame, sources: DataFrame, *ks: int) -> DataFrame:
+    """For each target (entity, group, profile) and each k, the mean distance of its k nearest sources of its group, and the share of sources whose own such mean is at least as large; the same share for the distance to the sources' mean profile (centrality).
 
-    t, s = mean_of_nearest(targets, False), mean_of_nearest(sources, True)
-    own = s.select("group", F.col("support_distance").alias("v"))
-    return t.join(own, "group").groupBy("entity", "group", "support_distance").agg((100 * F.avg((F.col("v") >= F.col("support_distance")).cast("int"))).alias("support_percentile"))
+    A block of sources gives its k nearest at once; these few are merged for each entity. Shares come
+    from one running count over targets and sources in order of distance.
+    """
+    most = max(ks)
+    blocks = in_blocks(sources, "group")
+    every = targets.select("entity", "group", "profile", F.lit(False).alias("is_source")).union(sources.select("entity", "group", "profile", F.lit(True)))
+    near = F.transform(F.filter("block", lambda s: s["entity"] != F.col("entity")), lambda s: F.struct(euclidean(F.col("profile"), s["profile"], per_slot=True).alias("d"), s["entity"].alias("other")))
+    first = every.join(blocks, "group").select("entity", "group", "is_source", F.slice(F.array_sort(near), 1, most).alias("near"))
+    merged = first.groupBy("entity", "group", "is_source").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, most).alias("near"))
+    mean = lambda k: F.aggregate(F.slice("near", 1, k), F.lit(0.0), lambda s, x: s + x["d"]) / F.size(F.slice("near", 1, k))
+    centre = sources.select("group", F.posexplode("profile").alias("i", "v")).groupBy("group", "i").agg(F.avg("v").alias("v"))
+    centres = as_arrays(centre, "i", "v", "group").withColumnRenamed("profile", "centre")  # one row a group
+    apart = every.join(F.broadcast(centres), "group").select("entity", "group", "is_source", euclidean(F.col("profile"), F.col("centre"), per_slot=True).alias("centre_distance"))
+    out = merged.select("entity", "group", "is_source", *(F.when(F.size("near") > 0, mean(k)).alias(f"support_distance_{k}") for k in ks)).join(apart, ["entity", "group", "is_source"])
+    for v, share in [*((f"support_distance_{k}", f"support_percentile_{k}") for k in ks), ("centre_distance", "centrality_percentile")]:
+        own = Window.partitionBy("group")
+        at_least = F.sum(F.col("is_source").cast("int")).over(own.orderBy(F.desc(v)).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        out = out.withColumn(share, 100 * at_least / F.sum(F.col("is_source").cast("int")).over(own))
+    return out.filter("not is_source").drop("is_source")
 
 
 # ---- clusterings ------------------------------------------------------------------------------
@@ -160,26 +174,50 @@ def dtw_kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 20) -> tuple[np.n
     return label, centres, inertia
 
 
-def _path(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    cost = np.full((len(a) + 1, len(b) + 1), np.inf)
+def _barycentre(rows: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Means, for each slot of the centre, of the slots that warping paths lay on it; all rows' paths are traced together."""
+    n, (k, m) = len(rows), (len(centre), rows.shape[1])
+    cost = np.full((k + 1, m + 1, n), np.inf)
     cost[0, 0] = 0
-    for i in range(len(a)):
-        for j in range(len(b)):
-            cost[i + 1, j + 1] = (a[i] - b[j]) ** 2 + min(cost[i, j], cost[i, j + 1], cost[i + 1, j])
-    i, j, out = len(a), len(b), []
-    while i and j:
-        out.append((i - 1, j - 1))
-        i, j = min(((i - 1, j - 1), (i - 1, j), (i, j - 1)), key=lambda p: cost[p])
-    return out
+    for i in range(k):
+        for j in range(m):
+            cost[i + 1, j + 1] = (centre[i] - rows[:, j]) ** 2 + np.minimum(np.minimum(cost[i, j], cost[i, j + 1]), cost[i + 1, j])
+    total, count = np.zeros(k), np.zeros(k)
+    at, i, j = np.arange(n), np.full(n, k), np.full(n, m)
+    while len(at):
+        np.add.at(total, i - 1, rows[at, j - 1])
+        np.add.at(count, i - 1, 1)
+        # Diagonal first, then up, then left, on ties.
+        step = np.stack([cost[i - 1, j - 1, at], cost[i - 1, j, at], cost[i, j - 1, at]]).argmin(0)
+        i, j = i - (step != 2), j - (step != 1)
+        on = (i > 0) & (j > 0)
+        at, i, j = at[on], i[on], j[on]
+    return total / np.maximum(count, 1)
+
+
+def dtw_pairs(profiles: DataFrame) -> DataFrame:
+    """The matrix of time-warping distances as rows (a, b, d) with a before b: pairs of blocks of entities, each computed at once.
+
+    profiles (entity, profile) are arrays of one length. Half the matrix is formed; its rows spread over
+    all tasks.
+    """
+    kind = profiles.schema["entity"].dataType.simpleString()
+    blocks = in_blocks(profiles).withColumn("id", F.expr("block[0].entity"))
+    x, y = (blocks.select(F.col("id").alias(f"id_{t}"), F.col("block").alias(f"block_{t}")) for t in "xy")
 
+    def run(batches):
+        for pdf in batches:
+            for one, two in zip(pdf["block_x"], pdf["block_y"]):
+                (ea, pa_), (eb, pb) = (([v["entity"] for v in side], np.stack([np.asarray(v["profile"], float) for v in side])) for side in (one, two))
+                ea, eb = np.asarray(ea), np.asarray(eb)
+                i, j = np.meshgrid(np.arange(len(ea)), np.arange(len(eb)), indexing="ij")
+                on = ea[i] != eb[j] if ea[0] != eb[0] else ea[i] < eb[j]
+                i, j = i[on], j[on]
+                if len(i):
+                    low = ea[i] < eb[j]
+                    yield pd.DataFrame({"a": np.where(low, ea[i], eb[j]), "b": np.where(low, eb[j], ea[i]), "d": dtw_matrix(pa_[i], pb[j])})
 
-def _barycentre(rows: np.ndarray, centre: np.ndarray) -> np.ndarray:
-    total, n = np.zeros(len(centre)), np.zeros(len(centre))
-    for r in rows:
-        for i, j in _path(centre, r):
-            total[i] += r[j]
-            n[i] += 1
-    return total / np.maximum(n, 1)
+    return x.join(y, F.col("id_x") <= F.col("id_y")).select("block_x", "block_y").mapInPandas(run, f"a {kind}, b {kind}, d double")
 
 
 def kmeans_runs(profiles: DataFrame, ks: list[int], seeds: list[int]) -> DataFrame:
@@ -198,19 +236,39 @@ def kmeans_runs(profiles: DataFrame, ks: list[int], seeds: list[int]) -> DataFra
 
 
 def cluster_sizes(runs: DataFrame) -> DataFrame:
-    """Per fit: clusters, least share, variation of sizes, inertia."""
+    """Per fit: clusters, least share, variation of sizes, inertia; and the relative fall of the least inertia of each k against the k before."""
     n = runs.groupBy("k", "seed", "label").agg(F.count(F.lit(1)).alias("n"), F.first("inertia").alias("inertia"))
-    return n.groupBy("k", "seed").agg(F.count(F.lit(1)).alias("clusters"), (F.min("n") / F.sum("n")).alias("least_share"), safe_ratio(F.stddev_pop("n"), F.avg("n")).alias("size_cv"), F.first("inertia").alias("inertia"))
+    out = n.groupBy("k", "seed").agg(F.count(F.lit(1)).alias("clusters"), (F.min("n") / F.sum("n")).alias("least_share"), safe_ratio(F.stddev_pop("n"), F.avg("n")).alias("size_cv"), F.first("inertia").alias("inertia"))
+    least = out.groupBy("k").agg(F.min("inertia").alias("__least"))
+    before = F.lag("__least").over(Window.partitionBy(F.lit(1)).orderBy("k"))  # one row for each k
+    fall = least.select("k", safe_ratio(before - F.col("__least"), before).alias("inertia_fall"))
+    return out.join(F.broadcast(fall), "k")
 
 
-def silhouette(labels: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Mean silhouette of (entity, label) from symmetric pair distances (a, b, d)."""
-    la = labels.select(F.col("entity").alias("a"), F.col("label").alias("own"))
-    lb = labels.select(F.col("entity").alias("b"), F.col("label").alias("other"))
-    mean = pairs.join(la, "a").join(lb, "b").filter("a != b").groupBy("a", "own", "other").agg(F.avg("d").alias("m"))
-    s = mean.groupBy("a", "own").agg(F.max(F.when(F.col("own") == F.col("other"), F.col("m"))).alias("inner"), F.min(F.when(F.col("own") != F.col("other"), F.col("m"))).alias("outer"))
+def _score(mean: DataFrame, *by: str) -> DataFrame:
+    """Mean silhouette from mean distances m of each entity a, labelled own, to each label."""
+    s = mean.groupBy(*by, "a", "own").agg(F.max(F.when(F.col("own") == F.col("other"), F.col("m"))).alias("inner"), F.min(F.when(F.col("own") != F.col("other"), F.col("m"))).alias("outer"))
     value = F.when(F.col("inner").isNull(), 0.0).otherwise(F.coalesce((F.col("outer") - F.col("inner")) / F.greatest("inner", "outer"), F.lit(0.0)))
-    return s.agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("silhouette"))
+    return s.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("silhouette"))
+
+
+def silhouette(labels: DataFrame, pairs: DataFrame, *by: str) -> DataFrame:
+    """Mean silhouette of (by, entity, label), one for each clustering, from half a matrix of distances (a, b, d)."""
+    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+    la = labels.select(*by, F.col("entity").alias("a"), F.col("label").alias("own"))
+    lb = labels.select(*by, F.col("entity").alias("b"), F.col("label").alias("other"))
+    # Sums to each label first: the label of the far end alone says where a distance belongs.
+    sums = both.join(lb, "b").groupBy(*by, "a", "other").agg(F.avg("d").alias("m"))
+    return _score(sums.join(la, [*by, "a"]), *by)
+
+
+def silhouette_of_profiles(profiles: DataFrame) -> DataFrame:
+    """Mean silhouette of (entity, label, profile) by Euclidean distances: against blocks of a label's profiles, so that pairs never become rows."""
+    blocks = in_blocks(profiles.select("entity", F.col("label").alias("other"), "profile"), "other")
+    d = F.transform(F.filter("block", lambda s: s["entity"] != F.col("a")), lambda s: euclidean(F.col("profile"), s["profile"]))
+    near = profiles.select(F.col("entity").alias("a"), F.col("label").alias("own"), "profile").crossJoin(blocks).select("a", "own", "other", d.alias("d"))
+    sums = near.groupBy("a", "own", "other").agg(F.sum(F.aggregate("d", F.lit(0.0), lambda s, x: s + x)).alias("t"), F.sum(F.size("d")).alias("n"))
+    return _score(sums.select("a", "own", "other", F.when(F.col("n") > 0, F.col("t") / F.col("n")).alias("m")))
 
 
 def rand_index(labels: DataFrame, a: str, b: str) -> DataFrame:
@@ -243,8 +301,33 @@ def best_run(runs: DataFrame, *gates: Column) -> DataFrame:
 
 
 def best_assignment(cost: np.ndarray) -> list[int]:
-    """For few rows: the columns, one for each row, of least total cost (columns may be more than rows)."""
-    return list(min(permutations(range(cost.shape[1]), cost.shape[0]), key=lambda p: sum(cost[i, j] for i, j in enumerate(p))))
+    """The columns, one for each row, of least total cost (columns may be more than rows); the first in order on ties.
+
+    Dynamic programming over sets of columns, for the few prototypes of a clustering.
+    """
+    rows, columns = cost.shape
+    best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
+    for i in range(rows):
+        after: dict[int, tuple[float, list[int]]] = {}
+        for used, (total, chosen) in best.items():
+            for j in range(columns):
+                if not used >> j & 1:
+                    new = (total + float(cost[i, j]), [*chosen, j])
+                    key = used | 1 << j
+                    if key not in after or new < after[key]:
+                        after[key] = new
+        best = after
+    return min(best.values())[1]
+
+
+def matched_prototypes(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(prototype, matched, distance): the one-to-one matching of two small sets of prototypes (prototype, shape) of least total clock distance."""
+    names = [sorted(x.collect(), key=lambda r: r["prototype"]) for x in (a, b)]
+    shapes = [np.array([r["shape"] for r in x], float) for x in names]
+    cost = np.sqrt(((shapes[0][:, None] - shapes[1][None]) ** 2).mean(2))
+    kinds = [x.schema["prototype"].dataType.simpleString() for x in (a, b)]
+    rows = [(names[0][i]["prototype"], names[1][j]["prototype"], float(cost[i, j])) for i, j in enumerate(best_assignment(cost))]
+    return a.sparkSession.createDataFrame(rows, f"prototype {kinds[0]}, matched {kinds[1]}, distance double")
 
 
 def group_slot_summary(profiles: DataFrame, slot: str, value: str, group: str) -> DataFrame:

@@ -92,9 +92,50 @@ def assignment_summary(spark, sf):
     return rounded(g.crossJoin(F.broadcast(total)).select("assigned", "n", (F.col("n") / F.col("t")).alias("share"), "mean_distance", "median_distance"))
 
 
-@query("dtw_assignment")
+#: Weekly profiles of users: z-scores of seven day means, for users that have all seven.
+WEEK_SQL = DRIFT0 + ", wz AS (SELECT entity, gp, s, (mean_value - avg(mean_value) OVER w) / greatest(stddev_pop(mean_value) OVER w, 0.01) AS z, count(*) OVER w AS slots FROM up WINDOW w AS (PARTITION BY entity)), wp AS (SELECT entity, gp, list(z ORDER BY s) AS p FROM wz WHERE slots = 7 GROUP BY 1, 2)"
+#: Time warping of arrays p and q of n places each, cell by cell over the matrix with its edge; w holds the last n + 2 cells.
+WARP = "dt AS (SELECT *, 0 AS t, list_resize([0::DOUBLE], 1) AS w FROM {0} UNION ALL SELECT {1}, p, q, t + 1, list_append(CASE WHEN len(w) = 9 THEN w[2:] ELSE w END, CASE WHEN t + 1 < 8 OR (t + 1) % 8 = 0 THEN 'infinity'::DOUBLE ELSE pow(p[(t + 1) // 8] - q[(t + 1) % 8], 2) + least(w[len(w) - 8], w[len(w) - 7], w[len(w)]) END) FROM dt WHERE t < 63), wd AS (SELECT {1}, sqrt(w[len(w)]) AS d FROM dt WHERE t = 63)"
+
+
+def _weeks(spark, sf):
+    """(entity, gp, profile) of users with a value on all seven days of the week."""
+    z = P.z_scored(P.slot_profile(user_grid(spark, sf).withColumn("s", F.col("slot") % 7), "s").filter("mean_value is not null"))
+    p = P.as_arrays(z, "s", "z", "entity").filter(F.size("profile") == 7)
+    return p.select("entity", (F.col("entity") % 4).cast("int").alias("gp"), "profile")
+
+
+def _week_prototypes(spark, sf):
+    long = _weeks(spark, sf).select("gp", F.posexplode("profile").alias("i", "v")).groupBy("gp", "i").agg(F.avg("v").alias("v"))
+    return P.as_arrays(long, "i", "v", "gp").select(F.col("gp").alias("prototype"), F.col("profile").alias("shape"))
+
+
+PAIRED = WEEK_SQL.replace("WITH", "WITH RECURSIVE", 1) + ", cn AS (SELECT gp, i, avg(v) AS v FROM (SELECT gp, unnest(range(1, 8)) AS i, unnest(p) AS v FROM wp) GROUP BY 1, 2), ct AS (SELECT gp AS prototype, list(v ORDER BY i) AS q FROM cn GROUP BY 1), pq AS (SELECT entity, prototype, p, q FROM wp CROSS JOIN ct), " + WARP.format("pq", "entity, prototype") + ", k AS (SELECT entity, prototype, d, row_number() OVER (PARTITION BY entity ORDER BY d, prototype) AS r FROM wd), a AS (SELECT entity, max(CASE WHEN r = 1 THEN prototype END) AS assigned, max(CASE WHEN r = 2 THEN prototype END) AS second, max(CASE WHEN r = 1 THEN d END) AS nearest_distance, max(CASE WHEN r = 2 THEN d END) AS second_distance FROM k WHERE r <= 2 GROUP BY 1)"
+
+
+@query("dtw_assignment", PAIRED + " SELECT entity, assigned, second, round(nearest_distance, 6) AS nearest_distance, round(second_distance, 6) AS second_distance, round(second_distance - nearest_distance, 6) AS margin, round(CASE WHEN abs(second_distance) > 1e-12 THEN nearest_distance / second_distance END, 6) AS ratio FROM a")
 def dtw_assignment(spark, sf):
-    return P.nearest(P.to_prototypes(_embedded(spark, sf).select("entity", "profile"), _prototypes(spark, sf), P.dtw))
+    return rounded(P.nearest(P.to_prototypes(_weeks(spark, sf).select("entity", "profile"), _week_prototypes(spark, sf), P.dtw)))
+
+
+MATRIX = WEEK_SQL.replace("WITH", "WITH RECURSIVE", 1) + ", pq AS (SELECT x.entity AS a, y.entity AS b, x.p, y.p AS q FROM wp x JOIN wp y ON x.entity < y.entity), " + WARP.format("pq", "a, b")
+
+
+@query("dtw_matrix", MATRIX + " SELECT a, b, round(d, 6) AS distance FROM wd")
+def dtw_matrix(spark, sf):
+    return rounded(P.dtw_pairs(_weeks(spark, sf).select("entity", "profile")).withColumnRenamed("d", "distance"))
+
+
+@query("dtw_silhouette", MATRIX + ", h AS (SELECT a, b, d FROM wd UNION ALL SELECT b, a, d FROM wd), m AS (SELECT h.a, x.gp AS own, y.gp AS other, avg(d) AS m FROM h JOIN wp x ON x.entity = h.a JOIN wp y ON y.entity = h.b GROUP BY 1, 2, 3), s AS (SELECT a, max(CASE WHEN own = other THEN m END) AS i, min(CASE WHEN own <> other THEN m END) AS o FROM m GROUP BY 1) SELECT count(*) AS n, round(avg(CASE WHEN i IS NULL THEN 0 ELSE coalesce((o - i) / greatest(o, i), 0) END), 6) AS silhouette FROM s")
+def dtw_silhouette(spark, sf):
+    w = _weeks(spark, sf)
+    return rounded(P.silhouette(w.select("entity", F.col("gp").alias("label")), P.dtw_pairs(w.select("entity", "profile"))))
+
+
+@query("prototype_matching", WEEK_SQL + ", cn AS (SELECT gp, i, avg(v) AS v FROM (SELECT gp, unnest(range(1, 8)) AS i, unnest(p) AS v FROM wp) GROUP BY 1, 2), dd AS (SELECT x.gp AS a, y.gp AS b, sqrt(avg(pow(x.v - y.v, 2))) AS d FROM cn x JOIN cn y ON x.i = y.i GROUP BY 1, 2) SELECT a AS prototype, b AS matched, round(d, 6) AS distance FROM dd WHERE a = b")
+def prototype_matching(spark, sf):
+    p = _week_prototypes(spark, sf)
+    return rounded(P.matched_prototypes(p, p))
 
 
 @query("correlation_distance", PROTO_SQL + ", w AS (SELECT u.vec_id AS entity, 1 - covar_pop(u.v, c.c) / (stddev_pop(u.v) * stddev_pop(c.c)) AS distance FROM u JOIN c ON c.i = u.i AND c.label = u.label GROUP BY 1) SELECT entity, round(distance, 6) AS distance FROM w")
@@ -105,11 +146,13 @@ def correlation_distance(spark, sf):
 
 @query("knn_support", """WITH e AS (SELECT vec_id AS entity, label AS g, embedding, vec_id % 4 = 0 AS target FROM embeddings),
  d AS (SELECT a.entity, a.g, a.target, b.entity AS other, sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) * (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE))) / 64) AS d FROM e a JOIN e b ON a.g = b.g AND a.entity <> b.entity AND NOT b.target),
- k AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY d, other) AS r FROM d), m AS (SELECT entity, g, target, avg(d) AS v FROM k WHERE r <= 10 GROUP BY 1, 2, 3)
- SELECT t.entity, t.g AS "group", round(t.v, 6) AS support_distance, round(100 * avg(CAST(s.v >= t.v AS INT)), 6) AS support_percentile FROM m t JOIN m s ON t.g = s.g AND NOT s.target WHERE t.target GROUP BY t.entity, t.g, t.v""")
+ k AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY d, other) AS r FROM d), m0 AS (SELECT entity, g, target, avg(CASE WHEN r <= 10 THEN d END) AS v10, avg(CASE WHEN r <= 25 THEN d END) AS v25 FROM k GROUP BY 1, 2, 3),
+ u AS (SELECT entity, g, target, unnest(range(1, 65)) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM e), c AS (SELECT g, i, avg(v) AS c FROM u WHERE NOT target GROUP BY 1, 2), cd AS (SELECT u.entity, sqrt(avg(pow(v - c, 2))) AS vc FROM u JOIN c USING (g, i) GROUP BY 1), m AS (SELECT m0.*, vc FROM m0 JOIN cd USING (entity))
+ SELECT t.entity, t.g AS "group", round(t.v10, 6) AS support_distance_10, round(t.v25, 6) AS support_distance_25, round(t.vc, 6) AS centre_distance, round(100 * avg(CAST(s.v10 >= t.v10 AS INT)), 6) AS support_percentile_10, round(100 * avg(CAST(s.v25 >= t.v25 AS INT)), 6) AS support_percentile_25, round(100 * avg(CAST(round(s.vc, 12) >= round(t.vc, 12) AS INT)), 6) AS centrality_percentile FROM m t JOIN m s ON t.g = s.g AND NOT s.target WHERE t.target GROUP BY t.entity, t.g, t.v10, t.v25, t.vc""")
 def knn_support(spark, sf):
     e = _embedded(spark, sf)
-    return rounded(P.neighbour_support(e.filter("entity % 4 = 0"), e.filter("entity % 4 <> 0"), 10))
+    # Every fourth entity is a target, all others are sources: each is one of them.
+    return rounded(P.neighbour_support(e.filter("entity % 4 = 0"), e.filter("entity % 4 <> 0"), 10, 25))
 
 
 RAND_SQL = NEAREST_SQL + ", lb AS (SELECT a.assigned, x.label FROM a JOIN x ON x.vec_id = a.entity), n AS (SELECT assigned, label, count(*) AS n FROM lb GROUP BY 1, 2), cc AS (SELECT sum(n * (n - 1) / 2) AS cells, sum(n) AS total FROM n)"
@@ -131,23 +174,28 @@ def cluster_transition(spark, sf):
 
 @query("silhouette", "WITH e AS (SELECT vec_id AS entity, label, embedding FROM embeddings), d AS (SELECT a.entity, a.label AS own, b.label AS other, avg(sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) * (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE))))) AS m FROM e a JOIN e b ON a.entity <> b.entity GROUP BY 1, 2, 3), s AS (SELECT entity, max(CASE WHEN own = other THEN m END) AS i, min(CASE WHEN own <> other THEN m END) AS o FROM d GROUP BY 1) SELECT count(*) AS n, round(avg(CASE WHEN i IS NULL THEN 0 ELSE coalesce((o - i) / greatest(o, i), 0) END), 6) AS silhouette FROM s")
 def silhouette(spark, sf):
-    e = _embedded(spark, sf)
-    b = e.select(F.col("entity").alias("b"), F.col("profile").alias("q"))
-    pairs = e.select(F.col("entity").alias("a"), "profile").crossJoin(b).select("a", "b", P.euclidean(F.col("profile"), F.col("q")).alias("d"))
-    return rounded(P.silhouette(e.select("entity", F.col("group").alias("label")), pairs))
+    return rounded(P.silhouette_of_profiles(_embedded(spark, sf).withColumnRenamed("group", "label")))
+
+
+#: Numbers of clusters and seeds of the study.
+KS, KSEEDS = [2, 3, 4, 5, 6, 7, 8], [1, 2, 3, 4]
+
+
+def _fits(spark, sf, ks, seeds):
+    return P.kmeans_runs(_weeks(spark, sf).select("entity", "profile"), ks, seeds)
 
 
 @query("dtw_kmeans")
 def dtw_kmeans(spark, sf):
-    profiles = P.as_arrays(P.z_scored(P.slot_profile(user_grid(spark, sf).withColumn("s", F.col("slot") % 7), "s")).filter("z is not null"), "s", "z", "entity")
-    return P.cluster_sizes(P.kmeans_runs(profiles.filter(F.size("profile") == 7), [3, 4], [1, 2]))
+    return P.cluster_sizes(_fits(spark, sf, KS, KSEEDS))
 
 
 @query("best_kmeans_run")
 def best_kmeans_run(spark, sf):
-    profiles = P.as_arrays(P.z_scored(P.slot_profile(user_grid(spark, sf).withColumn("s", F.col("slot") % 7), "s")).filter("z is not null"), "s", "z", "entity")
-    runs = P.cluster_sizes(P.kmeans_runs(profiles.filter(F.size("profile") == 7), [4], [1, 2, 3])).withColumn("silhouette", F.lit(1.0) / F.col("inertia"))
-    return P.best_run(runs, F.col("least_share") > 0.01)
+    """Of the fits with four clusters, by the silhouettes over the matrix of warping distances."""
+    fits = _fits(spark, sf, [4], KSEEDS)
+    scores = P.silhouette(fits, P.dtw_pairs(_weeks(spark, sf).select("entity", "profile")), "k", "seed").select("k", "seed", "silhouette")
+    return P.best_run(P.cluster_sizes(fits).join(scores, ["k", "seed"]), F.col("least_share") > 0.01)
 
 
 @query("group_slot_summary", DRIFT0 + ", s AS (SELECT gp, s, quantile_cont(mean_value, 0.5) AS m, quantile_cont(mean_value, 0.25) AS q25, quantile_cont(mean_value, 0.75) AS q75 FROM up GROUP BY 1, 2) SELECT gp, s, round(m, 6) AS median, round(q25, 6) AS q25, round(q75, 6) AS q75, round(q75 - q25, 6) AS iqr, m >= coalesce(lag(m) OVER w, m) AND m >= coalesce(lead(m) OVER w, m) AS local_maximum FROM s WINDOW w AS (PARTITION BY gp ORDER BY s)")
