@@ -199,8 +199,9 @@ def category(x: Column) -> Column:
 
 
 def profile_group(x: Column) -> Column:
-    """1 to 4 from 'G2', 'Group 3' or '4'."""
-    return F.regexp_extract(F.upper(F.trim(x)), r"^(?:GROUP\s*|G)?([1-4])$", 1).try_cast("int")
+    """The group 1 to 4 that a text names at its end, as in 'G2', 'Profile G2', 'Group 3' or '4'."""
+    last = F.substring(F.trim(x), -1, 1)
+    return F.when(last.isin("1", "2", "3", "4"), last.try_cast("int"))
 
 
 def with_reason(value: Column, reason: Column) -> Column:

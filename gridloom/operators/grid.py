@@ -7,6 +7,8 @@ partitioned by entity: one shuffle serves all of them, and a missing row never s
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,6 +125,19 @@ def input_arrays(grid: DataFrame, lookback: int, lead: int) -> DataFrame:
     return out.select("entity", "slot", F.col("value").alias("target"), F.transform(F.array_sort("w"), lambda s: s["value"]).alias("input"))
 
 
+def input_features(grid: DataFrame, scale: DataFrame, lookback: int, lead: int, origin: str, seconds: int) -> DataFrame:
+    """For each valid sample, its scaled target and its input window as an array of eight features a step: the scaled load, and sine and cosine of slot of the day, weekday and month, and weekend. scale: (entity, mean, std), one row an entity."""
+    per_day = 86400 // seconds
+    ts = F.timestamp_add("SECOND", F.col("slot") * seconds, F.lit(origin).cast("timestamp_ntz"))
+    turn = {"slot": (F.col("slot") % per_day, per_day), "dow": (F.weekday(ts), 7), "month": (F.month(ts) - 1, 12)}
+    angles = [x for n, (v, k) in turn.items() for x in (F.sin(2 * math.pi * v / k).alias(f"{n}_sin"), F.cos(2 * math.pi * v / k).alias(f"{n}_cos"))]
+    each = grid.join(F.broadcast(scale), "entity").select("entity", "slot", ((F.col("value") - F.col("mean")) / F.col("std")).alias("load"), *angles, (F.weekday(ts) >= 5).cast("int").alias("weekend"))
+    names = ["load", *(f"{n}_{f}" for n in turn for f in ("sin", "cos")), "weekend"]
+    got = F.array_sort(F.collect_list(F.when(F.col("load").isNotNull(), F.struct("slot", *names))).over(_frame(lead + lookback - 1, lead)))
+    out = each.select("entity", "slot", F.col("load").alias("target"), got.alias("w")).filter((F.size("w") == lookback) & F.col("target").isNotNull())
+    return out.select("entity", "slot", "target", F.transform("w", lambda s: F.struct(*(s[n].alias(n) for n in names))).alias("input"))
+
+
 def irregular(panel: DataFrame, step: int = 1) -> DataFrame:
     """Rows whose distance to the entity's row before isn't `step`, duplicates among them."""
     w = Window.partitionBy("entity").orderBy("slot")

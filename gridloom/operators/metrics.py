@@ -120,8 +120,9 @@ def signature(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def above_quantile(facts: DataFrame, value: str, q: float, reference: DataFrame | None = None) -> DataFrame:
-    """Rows of at least the quantile of a reference population; the threshold is one broadcast number."""
-    threshold = (reference or facts).agg(F.percentile(value, q).alias("threshold"))
+    """Rows of at least the quantile of a reference population; the threshold is one broadcast number, exact, from counts of equal values."""
+    counts = (reference if reference is not None else facts).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
+    threshold = counts.agg(F.percentile(value, q, F.col("n")).alias("threshold"))
     return facts.crossJoin(F.broadcast(threshold)).filter(F.col(value) >= F.col("threshold"))
 
 

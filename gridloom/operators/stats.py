@@ -18,6 +18,32 @@ def average_rank(x: str | Column, by: list[str] | None = None) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(x)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, x)) - 1) / 2
 
 
+#: Ranges of values over which counts run side by side.
+RANGES = 64
+
+
+def _ranges(df: DataFrame, x: str) -> DataFrame:
+    """df with column __range, which grows with x: cut at approximate quantiles of all rows."""
+    edges = df.agg(F.percentile_approx(F.col(x).cast("double"), [i / RANGES for i in range(1, RANGES)], 10000).alias("__edges"))
+    return df.crossJoin(F.broadcast(edges)).withColumn("__range", F.size(F.filter("__edges", lambda e: e < F.col(x)))).drop("__edges")
+
+
+def _before(counts: DataFrame) -> DataFrame:
+    """(__range, __before): rows in all lower ranges, from rows (__range, n). At most RANGES rows are ordered in one task."""
+    n = counts.groupBy("__range").agg(F.sum("n").alias("n"))
+    return n.select("__range", (F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("__range")) - F.col("n")).alias("__before"))
+
+
+def with_average_ranks(df: DataFrame, **columns: str) -> DataFrame:
+    """df with ranks over all rows, ties at their mean, under new names: name=column. Equal values are counted together and ranges of values run side by side, so that no task gets all rows."""
+    for name, x in columns.items():
+        counts = _ranges(df.groupBy(F.col(x).alias("__v")).agg(F.count(F.lit(1)).alias("n")), "__v")
+        upto = F.sum("n").over(Window.partitionBy("__range").orderBy("__v"))
+        ranks = counts.withColumn("__upto", upto).join(F.broadcast(_before(counts)), "__range").select("__v", (F.col("__before") + F.col("__upto") - (F.col("n") - 1) / 2).alias(name))
+        df = df.join(ranks, df[x] == ranks["__v"]).drop("__v")
+    return df
+
+
 def centred(x: str, *by: str) -> Column:
     """x less its mean within groups: what remains of a regression on group dummies."""
     return F.col(x) - F.avg(x).over(Window.partitionBy(*by))
@@ -30,13 +56,15 @@ def correlation(x: str, y: str) -> Column:
 
 def spearman(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:
     """Rank correlation, within groups if given."""
-    ranked = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, average_rank(x, list(by)).alias("rx"), average_rank(y, list(by)).alias("ry"))
+    some = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("__x"), F.col(y).alias("__y"))
+    ranked = some.select(*by, average_rank("__x", list(by)).alias("rx"), average_rank("__y", list(by)).alias("ry")) if by else with_average_ranks(some, rx="__x", ry="__y")
     return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), correlation("rx", "ry").alias("rho"))
 
 
 def adjusted_spearman(df: DataFrame, x: str, y: str, group: str) -> DataFrame:
     """Rank correlation after the groups' mean ranks are taken off."""
-    ranked = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(group, average_rank(x).alias("rx"), average_rank(y).alias("ry"))
+    some = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(group, F.col(x).alias("__x"), F.col(y).alias("__y"))
+    ranked = with_average_ranks(some, rx="__x", ry="__y")
     return ranked.select(centred("rx", group).alias("cx"), centred("ry", group).alias("cy")).agg(F.count(F.lit(1)).alias("n"), correlation("cx", "cy").alias("rho"))
 
 
@@ -50,12 +78,14 @@ def with_p(df: DataFrame, rho: str = "rho", n: str = "n") -> DataFrame:
     return df.withColumn("p", p(rho, n))
 
 
-def quartile_by_rank(x: str, tie: str, k: int = 4) -> Column:
-    """Bucket of ranks cut at equal quantiles, ties in order of another column; differs from ntile in which buckets get the remainder."""
-    whole = Window.partitionBy(F.lit(1))
-    rn = F.row_number().over(whole.orderBy(x, tie))
-    n = F.count(F.lit(1)).over(whole)
-    return F.greatest(F.lit(1), F.ceil(k * (rn - 1) / F.greatest(n - 1, F.lit(1)))).cast("int")
+def quartile_by_rank(df: DataFrame, x: str, tie: str, k: int = 4) -> DataFrame:
+    """Adds `bucket`: ranks cut at equal quantiles, ties in order of another column; differs from ntile in which buckets get the remainder. Ranges of values run side by side."""
+    dealt = _ranges(df, x)
+    before = _before(dealt.select("__range", F.lit(1).alias("n")))
+    total = df.agg(F.count(F.lit(1)).alias("__n"))
+    rn = F.row_number().over(Window.partitionBy("__range").orderBy(x, tie)) + F.col("__before")
+    both = dealt.join(F.broadcast(before), "__range").crossJoin(F.broadcast(total))
+    return both.withColumn("bucket", F.greatest(F.lit(1), F.ceil(k * (rn - 1) / F.greatest(F.col("__n") - 1, F.lit(1)))).cast("int")).drop("__range", "__before", "__n")
 
 
 def quantile_bucket(df: DataFrame, x: str, k: int) -> DataFrame:
@@ -118,7 +148,8 @@ def chi_square(df: DataFrame, row: str, column: str) -> DataFrame:
 
 def kruskal(df: DataFrame, x: str, group: str) -> DataFrame:
     """Tie-corrected H, epsilon squared."""
-    r = df.filter(F.col(x).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(x).alias("x"), average_rank(x).alias("r"))
+    r = df.filter(F.col(x).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(x).alias("x"))
+    r = with_average_ranks(r, r="x")
     ties = r.groupBy("x").agg(F.count(F.lit(1)).cast("double").alias("t")).agg(F.sum(F.pow("t", 3.0) - F.col("t")).alias("ties"))
     sums = r.groupBy("g").agg(F.sum("r").alias("s"), F.count(F.lit(1)).cast("double").alias("m")).agg(F.count(F.lit(1)).alias("k"), F.sum("m").alias("n"), F.sum(F.col("s") * F.col("s") / F.col("m")).alias("q"))
     both = sums.crossJoin(ties)
@@ -129,7 +160,7 @@ def kruskal(df: DataFrame, x: str, group: str) -> DataFrame:
 
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the curve from average ranks."""
-    r = df.select(F.col(label).alias("y"), average_rank(score).alias("r"))
+    r = with_average_ranks(df.select(F.col(label).alias("y"), F.col(score).alias("s")), r="s")
     pos, neg = F.count_if(F.col("y") == 1).cast("double"), F.count_if(F.col("y") == 0).cast("double")
     return r.agg(pos.cast("long").alias("positives"), neg.cast("long").alias("negatives"), F.when((pos > 0) & (neg > 0), (F.sum(F.when(F.col("y") == 1, F.col("r"))) - pos * (pos + 1) / 2) / (pos * neg)).alias("auc"))
 

@@ -317,7 +317,7 @@ CORR = "CASE WHEN stddev_pop({0}) > 0 AND stddev_pop({1}) > 0 THEN covar_pop({0}
 
 @query("rank_average", STUDY_SQL + f" SELECT entity, {RANK.format('x')} AS rank_x, {GRANK.format('y')} AS rank_y_in_group FROM st")
 def rank_average(spark, sf):
-    return study(spark, sf).select("entity", X.average_rank("x").alias("rank_x"), X.average_rank("y", ["grp"]).alias("rank_y_in_group"))
+    return X.with_average_ranks(study(spark, sf), rank_x="x").select("entity", "rank_x", X.average_rank("y", ["grp"]).alias("rank_y_in_group"))
 
 
 @query("spearman", STUDY_SQL + f", k AS (SELECT {RANK.format('x')} AS rx, {RANK.format('y')} AS ry FROM st) SELECT count(*) AS n, round({CORR.format('rx', 'ry')}, 6) AS rho FROM k")
@@ -340,7 +340,7 @@ BUCKETS_SQL = STUDY_SQL + ", q AS (SELECT *, greatest(1, CAST(ceil(4 * (row_numb
 
 @query("drift_quartiles", BUCKETS_SQL + " SELECT bucket, count(*) AS n, round(avg(x), 6) AS mean_x, round(avg(y), 6) AS mean_y, round(quantile_cont(y, 0.5), 6) AS median_y, round(avg(CAST(y > 0 AS INT)), 6) AS positive_share FROM q GROUP BY 1")
 def drift_quartiles(spark, sf):
-    q = study(spark, sf).withColumn("bucket", X.quartile_by_rank("x", "entity"))
+    q = X.quartile_by_rank(study(spark, sf), "x", "entity")
     return rounded(q.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y"), F.percentile("y", 0.5).alias("median_y"), F.avg((F.col("y") > 0).cast("int")).alias("positive_share")))
 
 
@@ -449,9 +449,10 @@ def survey_linkage(spark, sf):
     return V.linkage(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang"), table(spark, sf, "labels").select(F.col("doc_id").alias("id")), "id", "lang")
 
 
-@query("survey_only_ids", "SELECT DISTINCT doc_id AS id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 = 0)")
+@query("survey_only_ids", "SELECT DISTINCT doc_id AS id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
 def survey_only_ids(spark, sf):
-    return V.only_answered(table(spark, sf, "documents").filter("doc_id % 3 = 0").select(F.col("doc_id").alias("id")), table(spark, sf, "labels").select(F.col("doc_id").alias("id")), "id")
+    """Labelled documents outside the cohort, which is the English ones."""
+    return V.only_answered(table(spark, sf, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("id")), table(spark, sf, "labels").select(F.col("doc_id").alias("id")), "id")
 
 
 @query("availability_by_group", "WITH d AS (SELECT source AS g, lang AS k FROM documents), c AS (SELECT a.g, b.k, (SELECT count(*) FROM d WHERE d.g = a.g AND d.k = b.k) AS n FROM (SELECT DISTINCT g FROM d) a CROSS JOIN (VALUES ('en'), ('fr'), ('de'), ('es'), ('it')) b(k)) SELECT g, k, n, round(100 * n / sum(n) OVER (PARTITION BY g), 6) AS percent, n < 5 AS rare FROM c")
@@ -587,12 +588,53 @@ def json_counts(spark, sf):
     return table(spark, sf, "events").select(F.from_json("props", "k bigint")["k"].alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("local_wall_time", "SELECT event_id, strftime((ts::TIMESTAMP AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/London', '%Y-%m-%d %H:%M:%S') AS wall, 0 AS offset_minutes FROM events")
+@query("local_wall_time", "WITH t AS (SELECT event_id, ts + to_days(CAST(event_id % 12 * 30 AS INT)) AS ts FROM events) SELECT event_id, strftime((ts AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/London', '%Y-%m-%d %H:%M:%S') AS wall, CAST(date_diff('minute', ts, (ts AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/London') AS INT) AS offset_minutes FROM t")
 def local_wall_time(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.date_format(S.local_wall(F.col("ts")), "yyyy-MM-dd HH:mm:ss").alias("wall"), S.offset_minutes(F.col("ts")).alias("offset_minutes"))
-
-
-@query("linear_forecast")
+    """Times spread over the whole year, summer time included."""
+    t = table(spark, sf, "events").select("event_id", F.expr("cast(ts as timestamp_ntz) + make_dt_interval(cast(event_id % 12 * 30 as int))").alias("ts"))
+    return t.select("event_id", F.date_format(S.local_wall(F.col("ts")), "yyyy-MM-dd HH:mm:ss").alias("wall"), S.offset_minutes(F.col("ts")).alias("offset_minutes"))
+
+
+@query("profile_groups", "WITH g AS (SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN 'Profile G2' WHEN 1 THEN 'group 3' WHEN 2 THEN ' 4 ' WHEN 3 THEN 'G5' WHEN 4 THEN 'g1 only' WHEN 5 THEN 'cluster group  1' WHEN 6 THEN '' ELSE '12' END AS text FROM customer) SELECT c_custkey, coalesce(CAST(nullif(regexp_extract(upper(trim(text)), '([1-4])$', 1), '') AS VARCHAR), 'none') AS profile_group FROM g")
+def profile_groups(spark, sf):
+    text = F.expr("case c_custkey % 8 when 0 then 'Profile G2' when 1 then 'group 3' when 2 then ' 4 ' when 3 then 'G5' when 4 then 'g1 only' when 5 then 'cluster group  1' when 6 then '' else '12' end")
+    return table(spark, sf, "customer").select("c_custkey", F.coalesce(S.profile_group(text).cast("string"), F.lit("none")).alias("profile_group"))
+
+
+@query("one_of_columns", "SELECT c_custkey, c_mktsegment AS segment, c_acctbal AS balance FROM customer")
+def one_of_columns(spark, sf):
+    """Columns found by their normalised names."""
+    odd = table(spark, sf, "customer").select(F.col("c_custkey").alias("Cust Key"), F.col("c_mktsegment").alias("Market-Segment "), F.col("c_acctbal").alias("ACCT_BAL"))
+    pick = lambda *names: F.col(f"`{S.one_column(odd.columns, *names)}`")
+    return odd.select(pick("cust_key", "customer key").alias("c_custkey"), pick("market segment").alias("segment"), pick("acct bal", "balance").alias("balance"))
+
+
+def _solved(name: str, source: str, fit: str, pull: float, start: str | None = None) -> str:
+    """CTEs that fit one strategy: sums of products over its rows, then elimination, column by column, to weights w0 to w3 in `name`."""
+    n = 4
+    x = ["1.0", "x1", "x2", "x3"]
+    drawn = [f"{pull} * (SELECT w{i} FROM {start})" if start else "0" for i in range(n)]
+    cells = [f"coalesce(sum(CASE WHEN {fit} THEN {x[i]} * {x[j]} END), 0)" + (f" + {pull + 1e-6!r}" if i == j else "") + f" AS m{i}{j}" for i in range(n) for j in range(n)] + [f"coalesce(sum(CASE WHEN {fit} THEN {x[i]} * target END), 0) + {drawn[i].replace(str(pull), repr(pull + 1e-6), 1)} AS m{i}{n}" for i in range(n)]
+    out = [f"{name}_0 AS MATERIALIZED (SELECT {', '.join(cells)} FROM {source})"]
+    for k in range(n):
+        cols = []
+        for i in range(n):
+            for j in range(n + 1):
+                cols.append((f"m{k}{j} / m{k}{k}" if i == k else f"m{i}{j} - m{i}{k} / m{k}{k} * m{k}{j}") + f" AS m{i}{j}")
+        out.append(f"{name}_{k + 1} AS MATERIALIZED (SELECT {', '.join(cols)} FROM {name}_{k})")
+    return ", ".join([*out, f"{name} AS MATERIALIZED (SELECT {', '.join(f'm{i}{n} AS w{i}' for i in range(n))} FROM {name}_{n})"])
+
+
+_FITS = (("source", "entity % 2 = 0", 0.0, None), ("direct", "false", 1.0, "source"), ("tuned", "entity % 2 = 1 AND slot >= 15", 50.0, "source"), ("limited", "entity % 2 = 1 AND slot >= 15", 0.0, None), ("full", "entity % 2 = 1", 0.0, None))
+LINEAR_SQL = (
+    f"WITH {USER_SQL}, la AS (SELECT entity, slot, value AS target, lag(value, 3) OVER w AS x1, lag(value, 2) OVER w AS x2, lag(value, 1) OVER w AS x3 FROM g WINDOW w AS (PARTITION BY entity ORDER BY slot)), sa AS (SELECT * FROM la WHERE target IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL AND x3 IS NOT NULL), tr AS (SELECT * FROM sa WHERE slot < 24), "
+    + ", ".join(_solved(f"fit_{n}", "tr", fit, pull, start and f"fit_{start}") for n, fit, pull, start in _FITS)
+    + ", pr AS (" + " UNION ALL ".join(f"SELECT '{n}' AS strategy, target AS actual, w0 + w1 * x1 + w2 * x2 + w3 * x3 AS predicted FROM sa, fit_{n} WHERE slot >= 24 AND entity % 2 = 1" for n, *_ in _FITS)
+    + ") SELECT strategy, count(*) AS n, round(avg(abs(predicted - actual)), 4) AS mae, round(sqrt(avg(pow(predicted - actual, 2))), 4) AS rmse, round(avg(CASE WHEN abs(actual) + abs(predicted) > 1e-12 THEN 200 * abs(predicted - actual) / (abs(actual) + abs(predicted)) ELSE 0 END), 4) AS smape, round(avg(predicted - actual), 4) AS bias FROM pr GROUP BY 1"
+)
+
+
+@query("linear_forecast", LINEAR_SQL)
 def linear_forecast(spark, sf):
     from gridloom.operators import forecast as A
     from gridloom.operators import grid as G
@@ -600,4 +642,4 @@ def linear_forecast(spark, sf):
     s = G.input_arrays(user_grid(spark, sf), 3, 1).withColumn("domain", F.when(F.col("entity") % 2 == 0, "source").otherwise("target")).withColumn("recent", F.col("slot") >= 15)
     train, test = s.filter("slot < 24"), s.filter("slot >= 24 and domain = 'target'")
     p = A.predicted(test, A.fitted(train, 3))
-    return M.pooled(p.withColumnRenamed("target", "actual"), "strategy")
+    return rounded(M.pooled(p.withColumnRenamed("target", "actual"), "strategy"), 4)

@@ -37,17 +37,18 @@ TYPE_SQL, USER_SQL = _grid_sql("event_type", 7200, DAYS * 12 - 1), _grid_sql("us
 
 
 def facts(spark: SparkSession, sf: str) -> DataFrame:
-    """Forecasts of user days by four formulas of earlier days, two seeds, two leads."""
-    out = None
-    for h in DAY_LEADS:
-        lags = G.lagged(user_grid(spark, sf), {"a": h, "b": h + 1, "c": h + 2, "week": 7})
-        x = {n: F.col(n) for n in ("a", "b", "c", "week")}
-        forms = {"direct": x["a"], "tuned": (x["a"] + x["b"]) / 2, "limited": (x["a"] + x["b"] + x["c"]) / 3, "full": (x["a"] + x["week"]) / 2}
-        each = F.explode(F.array(*(F.struct(F.lit(s).alias("strategy"), F.lit(k).alias("seed"), (f * (1 + 0.01 * k)).alias("predicted")) for s, f in forms.items() for k in SEEDS)))
-        ok = lags.filter(" and ".join(f"{c} is not null" for c in ("value", "a", "b", "c", "week")))
-        one = ok.select("entity", "slot", F.lit(h).alias("lead"), F.col("value").alias("actual"), F.col("week").alias("naive"), each.alias("f")).select("entity", "slot", "lead", "actual", "naive", "f.*")
-        out = one if out is None else out.union(one)
-    return out.withColumn("grp", (F.col("entity") % 4 + 1).cast("int"))
+    """Forecasts of user days by four formulas of earlier days, two seeds, two leads: one pass over the grid gives all lags, then leads are exploded."""
+    lags = G.lagged(user_grid(spark, sf), {**{f"l{n}": n for n in range(1, max(DAY_LEADS) + 3)}, "week": 7})
+
+    def of(h: int):
+        x, week = [F.col(f"l{n}") for n in range(h, h + 3)], F.col("week")
+        forms = {"direct": x[0], "tuned": (x[0] + x[1]) / 2, "limited": (x[0] + x[1] + x[2]) / 3, "full": (x[0] + week) / 2}
+        each = F.array(*(F.struct(F.lit(h).alias("lead"), F.lit(s).alias("strategy"), F.lit(k).alias("seed"), (f * (1 + 0.01 * k)).alias("predicted")) for s, f in forms.items() for k in SEEDS))
+        known = F.col("value").isNotNull() & week.isNotNull() & x[0].isNotNull() & x[1].isNotNull() & x[2].isNotNull()
+        return F.when(known, each).otherwise(F.slice(each, 1, 0))
+
+    out = lags.select("entity", "slot", F.col("value").alias("actual"), F.col("week").alias("naive"), F.explode(F.flatten(F.array(*map(of, DAY_LEADS)))).alias("f"))
+    return out.select("entity", "slot", "f.lead", "actual", "naive", "f.strategy", "f.seed", "f.predicted", (F.col("entity") % 4 + 1).cast("int").alias("grp"))
 
 
 FACTS_SQL = (
@@ -367,14 +368,52 @@ def wide_core(spark, sf):
     return rounded(m.groupBy("entity").pivot("k", [f"{s}_{h}" for s in STRATEGIES for h in DAY_LEADS]).agg(F.avg("mae")))
 
 
-@query("strategy_self_join", ENTITY_SQL + " SELECT coalesce(a.entity, b.entity) AS entity, coalesce(a.lead, b.lead) AS lead, round(a.mae, 6) AS focal, round(b.mae, 6) AS comparator FROM (SELECT * FROM m WHERE strategy = 'direct' AND seed = 1 AND entity % 3 <> 0) a FULL JOIN (SELECT * FROM m WHERE strategy = 'full' AND seed = 1 AND entity % 5 <> 0) b ON a.entity = b.entity AND a.lead = b.lead")
+@query("strategy_self_join", ENTITY_SQL + " SELECT coalesce(a.entity, b.entity) AS entity, coalesce(a.lead, b.lead) AS lead, round(a.mae, 6) AS focal, round(b.mae, 6) AS comparator FROM (SELECT * FROM m WHERE strategy = 'direct' AND seed = 1 AND observations >= 5) a FULL JOIN (SELECT * FROM m WHERE strategy = 'full' AND seed = 1 AND mae <= 60) b ON a.entity = b.entity AND a.lead = b.lead")
 def strategy_self_join(spark, sf):
     m = entity_metrics(spark, sf).filter("seed = 1")
-    a = m.filter("strategy = 'direct' and entity % 3 <> 0").select("entity", "lead", F.col("mae").alias("focal"))
-    b = m.filter("strategy = 'full' and entity % 5 <> 0").select("entity", "lead", F.col("mae").alias("comparator"))
+    a = m.filter("strategy = 'direct' and observations >= 5").select("entity", "lead", F.col("mae").alias("focal"))
+    b = m.filter("strategy = 'full' and mae <= 60").select("entity", "lead", F.col("mae").alias("comparator"))
     return rounded(a.join(b, ["entity", "lead"], "full"))
 
 
+@query("bias_contrasts", FACTS_SQL + "SELECT entity, lead, seed, round(avg(CASE WHEN strategy = 'direct' THEN error END) - avg(CASE WHEN strategy = 'limited' THEN error END), 6) AS direct_less_limited, round(avg(CASE WHEN strategy = 'full' THEN error END) - avg(CASE WHEN strategy = 'direct' THEN error END), 6) AS full_less_direct FROM f GROUP BY 1, 2, 3")
+def bias_contrasts(spark, sf):
+    """Signed differences of biases; they rank nothing."""
+    wide = M.by_strategy(entity_metrics(spark, sf), "bias", STRATEGIES, "entity", "lead", "seed")
+    return rounded(wide.select("entity", "lead", "seed", (F.col("direct") - F.col("limited")).alias("direct_less_limited"), (F.col("full") - F.col("direct")).alias("full_less_direct")))
+
+
+CALENDAR_SQL = ", ".join(f"round({f}(2 * pi() * {v} / {n}), 6) AS {name}_{f}" for name, v, n in (("slot", "(i - 1) % 12", 12), ("dow", "dow", 7), ("month", "month", 12)) for f in ("sin", "cos"))
+
+
+@query("input_features", f"WITH {TYPE_SQL}, z AS (SELECT entity, avg(value) AS m, greatest(stddev_pop(value), 0.01) AS d FROM g WHERE slot < 120 GROUP BY 1), a AS (SELECT entity, slot, value AS target, count(value) OVER w AS n, list({{'at': slot, 'v': value}} ORDER BY slot) OVER w AS x FROM g WINDOW w AS (PARTITION BY entity ORDER BY slot RANGE BETWEEN 12 PRECEDING AND 1 PRECEDING)), u AS (SELECT entity, slot, (target - m) / d AS target, unnest(range(1, 13)) AS step, unnest(x) AS e, m, d FROM a JOIN z USING (entity) WHERE n = 12 AND target IS NOT NULL), k AS (SELECT *, e.at % 12 + 1 AS i, TIMESTAMP '{ORIGIN}' + to_seconds(CAST(e.at AS BIGINT) * 7200) AS ts FROM u), c AS (SELECT *, isodow(ts) - 1 AS dow, month(ts) - 1 AS month FROM k) SELECT entity, slot, CAST(step AS INT) AS step, round(target, 6) AS target, round((e.v - m) / d, 6) AS load, {CALENDAR_SQL}, CAST(dow >= 5 AS INT) AS weekend FROM c")
+def input_features(spark, sf):
+    """The eight features of each step of each input window."""
+    g = type_grid(spark, sf)
+    scale = g.filter("slot < 120").groupBy("entity").agg(F.avg("value").alias("mean"), F.greatest(F.stddev_pop("value"), F.lit(0.01)).alias("std"))
+    f = G.input_features(g, scale, LOOKBACK, 1, ORIGIN, 7200)
+    return rounded(f.select("entity", "slot", "target", F.posexplode("input").alias("step", "x")).select("entity", "slot", (F.col("step") + 1).alias("step"), "target", "x.*"))
+
+
+@query("scaled_round_trip", f"WITH {TYPE_SQL}, z AS (SELECT entity, avg(value) AS m, greatest(stddev_pop(value), 0.01) AS d FROM g WHERE slot < 120 GROUP BY 1) SELECT entity, slot, round((value - m) / d, 6) AS scaled, round(value, 6) AS restored FROM g JOIN z USING (entity) WHERE value IS NOT NULL")
+def scaled_round_trip(spark, sf):
+    g = type_grid(spark, sf).filter("value is not null")
+    scale = g.filter("slot < 120").groupBy("entity").agg(F.avg("value").alias("mean"), F.greatest(F.stddev_pop("value"), F.lit(0.01)).alias("std"))
+    both = g.join(F.broadcast(scale), "entity").withColumn("scaled", S.scaled(F.col("value"), F.col("mean"), F.col("std")))
+    return rounded(both.select("entity", "slot", "scaled", S.unscaled(F.col("scaled"), F.col("mean"), F.col("std")).alias("restored")))
+
+
+AUTUMN = "TIMESTAMP '2024-10-26 20:00:00' + to_seconds(event_id % 20 * 1800)"
+
+
+@query("repeated_wall_times", f"WITH t AS (SELECT DISTINCT {AUTUMN} AS ts FROM events), w AS (SELECT ts, (ts AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/London' AS wall FROM t) SELECT strftime(ts, '%Y-%m-%d %H:%M') AS utc, strftime(wall, '%Y-%m-%d %H:%M') AS wall, CAST(row_number() OVER (PARTITION BY wall ORDER BY ts) AS INT) AS occurrence, count(*) OVER (PARTITION BY wall) > 1 AS is_repeated, CAST(date_diff('minute', ts, wall) AS INT) AS offset_minutes FROM w")
+def repeated_wall_times(spark, sf):
+    """Half hours over the night in which summer time ends."""
+    t = table(spark, sf, "events").select(F.expr("timestamp_ntz'2024-10-26 20:00:00' + make_dt_interval(0, 0, 0, event_id % 20 * 1800)").alias("ts")).distinct()
+    c = G.repeated_wall_times(t.select("ts", S.local_wall(F.col("ts")).alias("wall")))
+    return c.select(F.date_format("ts", "yyyy-MM-dd HH:mm").alias("utc"), F.date_format("wall", "yyyy-MM-dd HH:mm").alias("wall"), "occurrence", "is_repeated", S.offset_minutes(F.col("ts")).alias("offset_minutes"))
+
+
 @query("window_overlap", "SELECT a.n AS name_a, b.n AS name_b, greatest(0, least(a.l, b.l) - greatest(a.f, b.f) + 1) AS overlap FROM (VALUES ('h01', -12, -1), ('h03', -14, -3), ('h12', -23, -12)) a(n, f, l) JOIN (VALUES ('h01', -12, -1), ('h03', -14, -3), ('h12', -23, -12)) b(n, f, l) ON a.n < b.n")
 def window_overlap(spark, sf):
     from gridloom.operators.relational import interval_overlaps

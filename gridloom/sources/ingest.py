@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import fnmatch
+import hashlib
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gridloom.functions import scalars as S
 
@@ -64,22 +68,111 @@ def row_block(df: DataFrame, index: str, first: int, last: int) -> DataFrame:
     return df.filter(F.col(index).between(first, last))
 
 
-def write_partitioned(df: DataFrame, path: str, *by: str) -> None:
-    """Parquet in zstd, never over what is there."""
-    df.write.mode("errorifexists").option("compression", "zstd").partitionBy(*by).parquet(path)
-
-
-def write_table(df: DataFrame, path: str) -> None:
-    """One report table as CSV with a header. For results of a few thousand rows."""
-    df.coalesce(1).write.mode("errorifexists").csv(path, header=True)
-
-
-def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Relative path, bytes and SHA-256 of each file below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.regexp_replace("path", r"^.*?" + path.strip("/").split("/")[-1] + "/", "").alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-
-
-def shuffled_batches(samples: DataFrame, seed: int, epoch: int, *keys: str) -> DataFrame:
-    """Samples in an order that (seed, epoch) fix, by a hash of their keys."""
-    return samples.orderBy(F.xxhash64(F.lit(seed), F.lit(epoch), *keys), *keys)
+def conforms(df: DataFrame, schema: str, rows: int | None = None) -> list[str]:
+    """How a table departs from a schema (DDL) and a number of rows: nothing if it doesn't. Rows are counted from file footers."""
+    found, wanted = dict(df.dtypes), {f.name: f.dataType.simpleString() for f in StructType.fromDDL(schema).fields}
+    out = [f"{n}: {found.get(n, 'missing')} in place of {t}" for n, t in wanted.items() if found.get(n) != t] + [f"{n}: not expected" for n in found if n not in wanted]
+    if rows is not None and (n := df.count()) != rows:
+        out.append(f"{n} rows in place of {rows}")
+    return out
+
+
+def one_file(spark: SparkSession, folder: str, pattern: str) -> str:
+    """The one file below a folder whose name matches a glob; an error for none or several. The file system of Spark is asked, wherever that is."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    found = []
+    while listed.hasNext():
+        name = listed.next().getPath()
+        if fnmatch.fnmatch(name.getName(), pattern):
+            found.append(name.toString())
+    if len(found) != 1:
+        raise FileNotFoundError(f"expected one file {pattern} below {folder}, found {sorted(found)}")
+    return found[0]
+
+
+def table_of(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV, JSON or Parquet file by the end of its name; columns of a CSV stay text."""
+    end = path.rsplit(".", 1)[-1].lower()
+    readers = {"csv": lambda: text_csv(spark, path), "json": lambda: spark.read.json(path), "parquet": lambda: spark.read.parquet(path)}
+    if end not in readers:
+        raise ValueError(f"no reader for {path}")
+    return readers[end]()
+
+
+def write_partitioned(df: DataFrame, path: str, *by: str, schema: str | None = None, level: int = 3, group_rows: int = 250_000) -> None:
+    """Parquet in zstd of a level, in row groups of at most group_rows rows, never over what is there; if a schema (DDL) is given, in exactly its columns and types."""
+    if schema:
+        df = df.select(*(F.col(f.name).cast(f.dataType) for f in StructType.fromDDL(schema).fields))
+    options = {"compression": "zstd", "parquet.compression.codec.zstd.level": str(level), "parquet.block.row.count.limit": str(group_rows)}
+    df.write.mode("errorifexists").options(**options).partitionBy(*by).parquet(path)
+
+
+#: Columns of a table of predictions.
+PREDICTIONS = "entity string, target_ts timestamp, origin_ts timestamp, lead int, strategy string, seed int, actual float, predicted float, persistence float, daily float"
+
+
+def write_predictions(df: DataFrame, path: str) -> None:
+    """Predictions by strategy and lead, in their fixed schema; tasks write as they go and hold no more than a row group."""
+    write_partitioned(df, path, "strategy", "lead", schema=PREDICTIONS, group_rows=131_072)
+
+
+def write_table(df: DataFrame, path: str, kind: str = "csv") -> None:
+    """One report table as CSV with a header, JSON lines or Parquet: it appears as a whole or not at all, and never over what is there. For results of a few thousand rows."""
+    writer = df.coalesce(1).write.mode("errorifexists")
+    {"csv": lambda: writer.csv(path, header=True), "json": lambda: writer.json(path), "parquet": lambda: writer.parquet(path)}[kind]()
+
+
+def write_report(tables: dict[str, DataFrame], folder: str, kind: str = "csv") -> list[str]:
+    """Each named table into a place of its own below a folder; the places written."""
+    for name, df in tables.items():
+        write_table(df, f"{folder}/{name}", kind)
+    return [f"{folder}/{name}" for name in tables]
+
+
+def inventory(spark: SparkSession, path: str, piece: int = 1 << 20) -> DataFrame:
+    """Relative path, bytes and SHA-256 of each file below a folder. Each file is read as a stream, in pieces, by the task that hashes it, so that its size has no bound."""
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    system = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = system.makeQualified(top).toString().rstrip("/") + "/"
+    listed, rows = system.listFiles(top, True), []
+    while listed.hasNext():
+        f = listed.next()
+        if f.getPath().getName()[0] in "._":
+            continue  # marks of writers, no output
+        rows.append((f.getPath().toString().removeprefix(base), f.getPath().toString(), f.getLen()))
+    files = spark.createDataFrame(rows, "file string, place string, bytes long").repartition(max(1, len(rows)))
+
+    def run(batches):
+        from pyarrow import fs
+
+        for pdf in batches:
+            out = []
+            for place in pdf["place"]:
+                if place.startswith("file:"):
+                    store, name = fs.LocalFileSystem(), place.removeprefix("file://").removeprefix("file:")
+                else:
+                    store, name = fs.FileSystem.from_uri(place)
+                digest = hashlib.sha256()
+                with store.open_input_stream(name) as stream:
+                    while part := stream.read(piece):
+                        digest.update(part)
+                out.append(digest.hexdigest())
+            yield pdf[["file", "bytes"]].assign(sha256=out)
+
+    return files.mapInPandas(run, "file string, bytes long, sha256 string")
+
+
+def shuffled_batches(samples: DataFrame, seed: int, epoch: int, *keys: str, size: int = 512, groups: int = 64) -> DataFrame:
+    """Samples with (part, batch, place): batches of `size` in an order that (seed, epoch) fix.
+
+    Groups of samples are shuffled by a hash of the group, samples within a group by a hash of their
+    keys: groups run side by side, and no task sorts the whole table.
+    """
+    part = F.pmod(F.xxhash64(*keys), F.lit(groups))
+    own = Window.partitionBy("__group").orderBy(F.xxhash64(F.lit(seed), F.lit(epoch), *keys), *keys)
+    dealt = samples.withColumn("__group", part).withColumn("place", F.row_number().over(own) - 1)
+    order = samples.sparkSession.range(groups).select(F.col("id").alias("__group"), (F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), F.lit(epoch), "id"), "id")) - 1).alias("part"))
+    return dealt.join(F.broadcast(order), "__group").select(*samples.columns, "part", F.floor(F.col("place") / size).cast("int").alias("batch"), (F.col("place") % size).alias("place"))

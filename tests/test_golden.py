@@ -79,7 +79,37 @@ def test_decomposition(spark):
 
 def test_rank_quartiles(spark):
     df = frame(spark, "x int", [(i,) for i in range(1, 11)])
-    assert values(df.select("x", stats.quartile_by_rank("x", "x").alias("q")).orderBy("x"), "q") == [1, 1, 1, 2, 2, 3, 3, 4, 4, 4]
+    assert values(stats.quartile_by_rank(df, "x", "x").orderBy("x"), "bucket") == [1, 1, 1, 2, 2, 3, 3, 4, 4, 4]
+
+
+def test_ranks_over_ranges(spark):
+    rng = np.random.default_rng(0)
+    x = rng.integers(0, 400, 3000) / 8
+    df = frame(spark, "i int, x double", [(i, float(v)) for i, v in enumerate(x)]).repartition(5)
+    got = stats.with_average_ranks(df, rank="x").orderBy("i").toPandas()["rank"]
+    assert (got == pd.Series(x).rank()).all()
+
+
+def test_silhouettes_of_fits(spark):
+    """Fits over the matrix of warping distances, against NumPy."""
+    rng = np.random.default_rng(0)
+    x = np.concatenate([np.eye(5)[[k]].repeat(7, 0) for k in (0, 2, 4)]) + rng.normal(0, 0.2, (21, 5))
+    df = frame(spark, "entity int, profile array<double>", [(i, v.tolist()) for i, v in enumerate(x)])
+    d = np.stack([profiles.dtw_matrix(x, np.repeat(v[None], len(x), 0)) for v in x], 1)
+    pairs = profiles.dtw_pairs(df)
+    assert {(r["a"], r["b"]): pytest.approx(r["d"]) for r in pairs.collect()} == {(a, b): d[a, b] for a in range(21) for b in range(a + 1, 21)}
+    fits = profiles.kmeans_runs(df, [2, 3], [1, 2])
+    got = {(r["k"], r["seed"]): r["silhouette"] for r in profiles.silhouette(fits, pairs, "k", "seed").collect()}
+    for (k, s), one in fits.toPandas().sort_values("entity").groupby(["k", "seed"]):
+        label = one["label"].to_numpy()
+        score = []
+        for i in range(21):
+            mean = {c: d[i, (label == c) & (np.arange(21) != i)].mean() for c in set(label) if ((label == c) & (np.arange(21) != i)).any()}
+            inner, outer = mean.pop(label[i], None), min(v for c, v in mean.items() if c != label[i])
+            score.append(0 if inner is None else (outer - inner) / max(inner, outer))
+        assert got[k, s] == pytest.approx(np.mean(score))
+    best = profiles.best_run(profiles.cluster_sizes(fits).join(spark.createDataFrame([(k, s, v) for (k, s), v in got.items()], "k int, seed int, silhouette double"), ["k", "seed"])).first()
+    assert best["silhouette"] >= np.median(list(got.values()))
 
 
 def test_small_functions(spark):
@@ -91,7 +121,7 @@ def test_small_functions(spark):
     assert get(S.identifier_status(F.lit(" n0217 "))) == "valid" and get(S.identifier_status(F.lit("D0001"))) == "out_of_scope" and get(S.identifier_status(F.lit(" "))) == "blank"
     assert get(S.identifier(F.lit("123.0"))) == "123"
     assert get(S.category(F.lit("1.0"))) == "1" and get(S.category(F.lit("nan"))) is None
-    assert get(S.profile_group(F.lit("Group 3"))) == 3 and get(S.profile_group(F.lit("G9"))) is None
+    assert get(S.profile_group(F.lit("Group 3"))) == 3 and get(S.profile_group(F.lit("G9"))) is None and get(S.profile_group(F.lit("Profile G2 "))) == 2
     assert get(S.yes_no(F.lit("Don't know")))["reason"] == "dont_know" and get(S.yes_no(F.lit("yes")))["value"] == 1
     assert get(S.any_of(F.lit(0), F.lit(None).cast("int"))) is None and get(S.any_of(F.lit(1), F.lit(None).cast("int"))) == 1 and get(S.any_of(F.lit(0), F.lit(0))) == 0
     assert get(S.load_bin(F.lit(0.1))) == "(0,0.1]" and get(S.load_bin(F.lit(0.0))) == "zero" and get(S.load_bin(F.lit(2.0))) == ">1"

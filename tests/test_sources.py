@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom.plans import config
 from gridloom.sources import ingest
 from gridloom.streaming.slots import slot_sums
 
@@ -38,7 +39,37 @@ def test_sinks(spark, tmp_path):
         ingest.write_partitioned(df, str(tmp_path / "p"), "k")
     found = ingest.inventory(spark, str(tmp_path / "p")).collect()
     assert found and all(len(r["sha256"]) == 64 and r["bytes"] > 0 for r in found)
-    assert ingest.shuffled_batches(df, 1, 1, "id").collect() == ingest.shuffled_batches(df.repartition(3), 1, 1, "id").collect()
+    assert {r["file"].split("/")[0] for r in found} == {"k=0", "k=1"}
+    one, two = (sorted(ingest.shuffled_batches(x, 1, 1, "id", size=2, groups=3).collect()) for x in (df, df.repartition(3)))
+    assert one == two and {r["place"] for r in one} <= {0, 1} and sorted(ingest.shuffled_batches(df, 1, 2, "id", size=2, groups=3).collect()) != one
+
+
+def test_fixed_schemas_and_reports(spark, tmp_path):
+    rows = spark.sql("SELECT 'e1' AS entity, TIMESTAMP'2024-01-01' AS target_ts, TIMESTAMP'2024-01-01' AS origin_ts, 1L AS lead, 'full' AS strategy, 1 AS seed, 1.5D AS actual, 1D AS predicted, 1D AS persistence, 2D AS daily, 'x' AS more")
+    ingest.write_predictions(rows, str(tmp_path / "predictions"))
+    back = spark.read.parquet(str(tmp_path / "predictions"))
+    assert "more" not in back.columns and dict(back.dtypes)["actual"] == "float"
+    assert ingest.conforms(back, "entity string, actual float", 1)[0].endswith("not expected") and ingest.conforms(spark.range(3), "id bigint", 3) == []
+    assert ingest.conforms(spark.range(3), "id int, b string", 2) == ["id: bigint in place of int", "b: missing in place of string", "3 rows in place of 2"]
+    for kind in ("csv", "json", "parquet"):
+        places = ingest.write_report({"one": spark.range(2), "two": spark.range(3)}, str(tmp_path / kind), kind)
+        assert [p.rsplit("/", 1)[1] for p in places] == ["one", "two"]
+        with pytest.raises(Exception, match="(?i)exists"):
+            ingest.write_report({"one": spark.range(2)}, str(tmp_path / kind), kind)
+        path = ingest.one_file(spark, f"file://{tmp_path}/{kind}/two", f"part-*.{kind}")
+        assert ingest.table_of(spark, path).count() == 3
+    with pytest.raises(FileNotFoundError):
+        ingest.one_file(spark, str(tmp_path), "part-*")
+    with pytest.raises(ValueError):
+        ingest.table_of(spark, "a.txt")
+
+
+def test_specs(spark):
+    spec = config.load('{"bands": [{"min": 0, "max": 2, "label": "low"}, {"min": 3, "max": 9, "label": "high"}], "gates": [{"name": "large", "column": "id", "operator": ">=", "value": 2}], "routes": [{"parent": "q1", "operator": "in", "value": ["a"], "targets": ["q2"]}], "comparisons": [{"id": "x", "focal": "full", "comparator": "direct"}]}')
+    got = spark.range(4).select(config.banded("id", spec["bands"]).alias("b"), config.gates(spec["gates"])["large"].alias("g")).collect()
+    assert [tuple(r) for r in got] == [("low", False), ("low", False), ("low", True), ("high", True)]
+    assert config.routes(spec["routes"])[0].targets == ("q2",) and config.comparisons(spec["comparisons"]) == [("x", "full", "direct")]
+    assert config.differences({"a": {"x": {"y": 1}}, "b": {"x": {"y": 2}}}, ["x.y"])[0][0] == "x.y" and len(config.fingerprint(spec)) == 64
 
 
 def test_stream(spark, tmp_path):
