@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gridloom.plans import analysis_queries, panel_queries, resampling_queries, survey_queries
+from gridloom.plans import analysis_queries, panel_queries, resampling_queries, source_queries, survey_queries
 
-MODULES = (panel_queries, analysis_queries, resampling_queries, survey_queries)
+MODULES = (panel_queries, analysis_queries, resampling_queries, survey_queries, source_queries)
 
 
 def flagship(spark, sf_dir):

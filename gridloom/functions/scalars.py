@@ -134,6 +134,16 @@ def safe_ratio(numerator: Column, denominator: Column, eps: float = TIE, scale:
     return F.when(F.abs(denominator) > eps, scale * numerator / denominator)
 
 
+def positive_ratio(numerator: Column, denominator: Column, scale: float = 1.0) -> Column:
+    """NULL where the denominator isn't positive."""
+    return F.when(denominator > 0, scale * numerator / denominator)
+
+
+def floored_ratio(numerator: Column, denominator: Column, floor: float, scale: float = 1.0) -> Column:
+    """With a denominator of at least `floor`."""
+    return scale * numerator / F.greatest(denominator, F.lit(floor))
+
+
 def scaled(x: Column, mean: Column, std: Column, floor: float = 0.01) -> Column:
     return (x - mean) / F.greatest(std, F.lit(floor))
 

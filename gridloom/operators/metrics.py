@@ -113,6 +113,16 @@ def row_outcomes(facts: DataFrame, first: int, second: int, *keys: str, tol: flo
     return both.filter("a is not null and b is not null").groupBy("strategy", "seed").agg(F.count(F.lit(1)).alias("rows"), F.count_if(d > tol).alias("first_better"), F.count_if(d < -tol).alias("second_better"), F.count_if(F.abs(d) <= tol).alias("ties"))
 
 
+def support_equality(facts: DataFrame, tag: str, *keys: str, rtol: float = 1e-5, atol: float = 1e-8) -> DataFrame:
+    """For each two values of `tag`: keys of both, keys that only one has, and keys whose actual values aren't nearly equal. One shuffle brings the tags of a key together."""
+    each = facts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(tag, "actual"))).alias("m"))
+    tags = [x[0] for x in facts.select(tag).distinct().orderBy(tag).collect()]  # strategies, a few
+    two = [(a, b) for i, a in enumerate(tags) for b in tags[i + 1 :]]
+    x, y = (lambda t: F.try_element_at("m", F.lit(t))), F.lit
+    cells = [F.struct(y(a).alias("a"), y(b).alias("b"), F.count_if(x(a).isNotNull() | x(b).isNotNull()).alias("rows"), F.count_if(x(a).isNull() != x(b).isNull()).alias("unmatched"), F.count_if(F.abs(x(a) - x(b)) > atol + rtol * F.abs(x(b))).alias("unequal")) for a, b in two]
+    return each.agg(F.array(*cells).alias("c")).select(F.explode("c").alias("c")).select("c.*")
+
+
 def signature(df: DataFrame, *keys: str) -> DataFrame:
     """An order-independent fingerprint of a set of rows."""
     h = F.xxhash64(*keys)
