@@ -1,28 +1,30 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Texts are cut into words: each begins at the first space mark after something else, and no piece
-crosses a word's end. The substrings of every distinct word, up to the longest piece, are exploded
-and equi-joined to the piece table, which is a vocabulary of bounded size and is broadcast; the
-edges are grouped by word, in the partition that has the word, and folded with `aggregate`.
+Texts are cut into words, and these into segments: at every place that no piece of the model can
+cross, as no piece has the two characters beside it with a third one to either side, nor just the
+two. Segments are encoded on their own, each distinct one once. The substrings of a segment, up to
+the longest piece, are exploded and equi-joined to the piece table, which is a vocabulary of bounded
+size and is broadcast; the edges are grouped by segment, in the partition that has it, and folded
+with `aggregate`.
 
 For a unigram model the fold is Viterbi: the path of greatest summed score. For a merge (BPE) model
 that path is not the library's encoding, so there the fold takes the lattice's best merge, of best
-score, then leftmost, until none is left: each merge is an edge over two neighbouring ones.
-Characters that no edge covers become the pieces of their bytes. Words of over LONGEST characters,
-for which a fold's steps grow too many, are encoded by the library.
+score, then leftmost, until none is left: each merge is an edge over two neighbouring ones. Bounds
+of pieces are bits of a number in segments of up to PLACES characters, and an array in longer ones.
+Characters that no edge covers become the pieces of their bytes.
 
-Whole texts get their ids from their words': those of the most frequent words are broadcast, the
-others are joined by word to the texts that have them. Decoding puts the pieces' bytes together again.
+Whole texts get their ids from their segments': those of the most frequent ones are broadcast, the
+others are joined by segment to the texts that have them. Decoding puts the pieces' bytes together again.
 """
 
 from __future__ import annotations
 
 import contextlib
 import re
-from array import array
 from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,13 +33,12 @@ from pyspark.sql import functions as F
 from gridloom.llm import _base
 
 SPACE = "▁"
-#: Characters of a word that is folded; words of texts that a Python worker counts before it passes them on.
-LONGEST, HELD = 64, 300_000
-#: Words whose ids are broadcast, and characters of such a word; words of a partition that are grouped by hash, without a sort.
-FREQUENT, BROADCAST, GROUPED = 100_000, 256, 10_000
-#: A line end is a word of its own: no piece holds one. CLOSE: so is what begins with a mark after a letter or digit, where no piece of the model has the two together.
+#: Characters of a segment whose bounds are bits; words of texts that a Python worker holds at once.
+PLACES, HELD = 61, 300_000
+#: Segments whose ids are broadcast, and characters of such a segment; segments of a partition that are grouped by hash, without a sort.
+FREQUENT, BROADCAST, GROUPED = 300_000, 64, 10_000
+#: Words where spaces are doubled or marks are in the text: the mark before a word is its own, and a line end is a word.
 WORD = f"\\n+|{SPACE}*[^{SPACE}\\n]+|{SPACE}+"
-CLOSE = f"\\n+|{SPACE}*(?:[^{SPACE}\\n]+?(?<=[a-zA-Z0-9])(?=[.,;:!?])|[^{SPACE}\\n]+)|{SPACE}+"
 
 
 @lru_cache(maxsize=4)
@@ -67,55 +68,112 @@ def byte_ids(path: str) -> list[int]:
     return [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
 
 
-@lru_cache(maxsize=4)
-def pattern(path: str) -> str:
-    """The finest of the two cuts that no piece of the model crosses."""
-    sp = processor(path)
-    return WORD if any(re.search("[a-zA-Z0-9][.,;:!?]", sp.id_to_piece(i)) for i in range(sp.get_piece_size()) if not sp.is_byte(i)) else CLOSE
-
+class Cutter:
+    """Cuts words into segments where no piece of a model can cross."""
+
+    def __init__(self, names: list[str]):
+        chars = sorted({c for p in names for c in p})
+        self.size = len(chars) + 1
+        self.code = np.zeros(0x110000, np.int32)
+        self.code[[ord(c) for c in chars]] = np.arange(1, self.size)
+        place = {c: i + 1 for i, c in enumerate(chars)}
+        self.pairs = np.array(sorted(place[p[0]] * self.size + place[p[1]] for p in names if len(p) == 2), np.int64)
+        self.triples = np.array(sorted({(place[p[i]] * self.size + place[p[i + 1]]) * self.size + place[p[i + 2]] for p in names for i in range(len(p) - 2)}), np.int64)
+
+    @staticmethod
+    def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+        if not len(known) or not len(x):
+            return np.zeros(len(x), bool)
+        return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+    def cut(self, words: list[str]) -> list[list[str]]:
+        """The segments of each word."""
+        cps = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        n = len(cps)
+        c = self.code[cps].astype(np.int64)
+        begins = np.zeros(n + 1, bool)
+        begins[ends] = True
+        joined = np.zeros(n + 1, bool)  # whether a piece may cross the place before a character
+        pair = c[:-1] * self.size + c[1:]
+        joined[1:n] = self._among(pair, self.pairs)
+        if n > 2:
+            triple = self._among(pair[:-1] * self.size + c[2:], self.triples)
+            triple &= ~(begins[1 : n - 1] | begins[2:n])  # within a word
+            joined[1 : n - 1] |= triple
+            joined[2:n] |= triple
+        at = np.flatnonzero(~joined[: n + 1] & ~begins)
+        at = at[(at > 0) & (at < n)]
+        first, last = np.searchsorted(at, ends - np.diff(np.append(0, ends))), np.searchsorted(at, ends)
+        out, start = [], 0
+        at = at.tolist()
+        for w, e, i, j in zip(words, ends.tolist(), first.tolist(), last.tolist()):
+            if i == j:
+                out.append([w])
+            else:
+                marks = [0, *(x - start for x in at[i:j]), len(w)]
+                out.append([w[a:b] for a, b in zip(marks, marks[1:])])
+            start = e
+        return out
 
-def cut(text: str, words: str = CLOSE) -> list[str]:
-    """Words of a text as the model sees it: a mark before it and for each space."""
-    return re.findall(words, SPACE + text.replace(" ", SPACE)) if text else []
 
+@lru_cache(maxsize=4)
+def cutter(path: str) -> Cutter:
+    sp = processor(path)
+    return Cutter([sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))])
 
-def _counted(batches, words: str):
-    counts: Counter = Counter()
-
-    def out():
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
-    for batch in batches:
-        for t in batch.column(0).to_pylist():
-            counts.update(cut(t or "", words))
-        if len(counts) > HELD:
-            yield out()
-            counts = Counter()
-    if counts:
-        yield out()
+def words_in(text: str) -> list[str]:
+    """Words of a text as the model sees it: a mark before it and for each space. No piece crosses a word's end."""
+    if not text:
+        return []
+    if text[0] == " " or "  " in text or SPACE in text:
+        return re.findall(WORD, SPACE + text.replace(" ", SPACE))
+    return (SPACE + text.replace(" ", f" {SPACE}")).split(" ")
 
 
-def words_of(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """(word, n): the distinct words of all texts and how often they occur. Null and empty texts have none."""
+def segments_of(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """(word, n): the distinct segments of all texts and how often they occur. Null and empty texts have none."""
     _base.ready(docs.sparkSession)
-    words = pattern(path)
 
     @_base.tidy
     def run(batches):
-        yield from _counted(batches, words)
+        counts: Counter = Counter()
+
+        def out():
+            words = list(counts)
+            found: Counter = Counter()
+            for segments, n in zip(cutter(path).cut(words), counts.values()):
+                for s in segments:
+                    found[s] += n
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                counts.update(words_in(t or ""))
+            if len(counts) > HELD:
+                yield out()
+                counts = Counter()
+        if counts:
+            yield out()
 
     return docs.select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def lattice(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
-    """(word, n, edges): for each word a map from begin * 256 + length, in characters, to (score, id) of the piece there. Words stay in their partition."""
+def spans(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
+    """(word, n, begin, length, piece, id, score): the substrings of each word up to `longest`, with the piece that each is, if any. Words stay in their partition."""
     size = F.length("word")
-    spans = words.select("word", "n", F.explode(F.sequence(F.lit(0), size - 1)).alias("begin")).select("word", "n", "begin", F.explode(F.sequence(F.lit(1), F.least(size - F.col("begin"), F.lit(longest)))).alias("length"))
-    found = spans.select("word", "n", (F.col("begin") * 256 + F.col("length")).alias("at"), F.substring("word", F.col("begin") + 1, F.col("length")).alias("piece"))
-    # Single characters stay also where they are no piece, so that no word is lost.
-    edges = found.join(F.broadcast(table), "piece", "left").filter("id is not null or at % 256 = 1")
-    entry = F.when(F.col("id").isNotNull(), F.struct("at", F.struct("score", "id").alias("edge")))
-    return edges.groupBy("word", "n").agg(F.map_from_entries(F.collect_list(entry)).alias("edges"))
+    begins = words.select("word", "n", F.explode(F.sequence(F.lit(0), size - 1)).alias("begin"))
+    found = begins.select("word", "n", "begin", F.explode(F.sequence(F.lit(1), F.least(size - F.col("begin"), F.lit(longest)))).alias("length"))
+    found = found.withColumn("piece", F.substring("word", F.col("begin") + 1, F.col("length")))
+    return found.join(F.broadcast(table), "piece", "left")
+
+
+def lattice(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
+    """(word, n, cells): for each word its substrings' (score, id) in order of begin and length; null where there is no piece."""
+    at = F.col("begin").cast("long") * 256 + F.col("length")
+    cells = F.collect_list(F.struct(at.alias("at"), "score", "id"))
+    return spans(words, table, longest).groupBy("word", "n").agg(F.array_sort(cells).alias("cells"))
 
 
 def _byte_tail(char: Column, ids: list[int]) -> Column:
@@ -125,30 +183,90 @@ def _byte_tail(char: Column, ids: list[int]) -> Column:
     return F.transform(F.sequence(F.lit(1), F.floor(F.length(code) / 2).cast("int")), lambda k: F.element_at(table, F.conv(F.substring(code, (2 * k - 1).cast("int"), F.lit(2)), 16, 10).cast("int") + 1))
 
 
-def _ids(bounds: Column, ids: list[int]) -> Column:
-    """Piece ids of the edges between bounds; bytes where there is none."""
+def _let(x: Column, f) -> Column:
+    """f(x), with x computed once."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def _bit(i: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), i)
+
+
+def bit_lattice(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
+    """(word, n, edges): for words of up to PLACES characters, the pieces in them and the single characters, each with its two ends and the places inside it as bits."""
+    begin, end = F.col("begin"), F.col("begin") + F.col("length")
+    inner = _bit(end) - _bit(begin + 1)
+    edge = F.struct("score", (-begin).alias("left"), "begin", (_bit(begin) + _bit(end)).alias("ends"), inner.alias("inner"), "id", F.when(F.col("id").isNull(), F.col("piece")).alias("char"))
+    found = spans(words, table, longest).filter("id is not null or length = 1")
+    return found.groupBy("word", "n").agg(F.collect_list(edge).alias("edges"))
+
+
+def merged_bits() -> Column:
+    """Bounds of the pieces of a word after all merges, as bits."""
+    wide = F.filter("edges", lambda e: e["inner"] != 0)
+
+    def step(bounds: Column, edges: Column) -> Column:
+        fits = lambda e: (bounds.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(bounds.bitwiseAND(e["inner"])) == 1)
+        best = F.array_max(F.filter(edges, fits))
+        return bounds - F.coalesce(_let(best, lambda e: bounds.bitwiseAND(e["inner"])), F.lit(0).cast("long"))
+
+    start = _bit(F.length("word") + 1) - 1
+    return _let(wide, lambda edges: F.aggregate(F.sequence(F.lit(1), F.greatest(F.length("word") - 1, F.lit(1))), start, lambda bounds, _: step(bounds, edges)))
+
+
+def bit_ids(ids: list[int]) -> Column:
+    """Piece ids of the edges between the bounds in column `bounds`; bytes where a character has no piece."""
+    bounds = F.col("bounds")
+    path = F.filter("edges", lambda e: (bounds.bitwiseAND(e["ends"]) == e["ends"]) & (bounds.bitwiseAND(e["inner"]) == 0))
+    ordered = F.array_sort(F.transform(path, lambda e: F.struct(e["begin"].alias("begin"), e["id"].alias("id"), e["char"].alias("char"))))
+    return F.flatten(F.transform(ordered, lambda e: F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(_byte_tail(e["char"], ids))))
+
+
+def _cell(begin: Column, end: Column, longest: int) -> Column:
+    """The cell of the substring from begin to end; null for one that is too long."""
+    def upto(left: Column) -> Column:
+        """Cells of the last `left` begins."""
+        return F.when(left <= longest, left * (left + 1) / 2).otherwise(longest * (longest + 1) / 2 + (left - longest) * longest)
+
+    size = F.length("word")
+    place = (upto(size) - upto(size - begin)).cast("int") + (end - begin)
+    return F.when(end - begin <= longest, F.element_at("cells", place))
+
+
+def _ids(bounds: Column, ids: list[int], longest: int) -> Column:
+    """Piece ids of the substrings between bounds; bytes where one is no piece."""
     def one(i: Column) -> Column:
         b, e = F.element_at(bounds, i), F.element_at(bounds, i + 1)
-        edge = F.try_element_at("edges", b * 256 + e - b)
-        return F.when(edge.isNotNull(), F.array(edge["id"])).otherwise(_byte_tail(F.substring("word", b + 1, e - b), ids))
+        cell = _cell(b, e, longest)
+        return F.when(cell["id"].isNotNull(), F.array(cell["id"])).otherwise(_byte_tail(F.substring("word", b + 1, e - b), ids))
 
     return F.flatten(F.transform(F.sequence(F.lit(1), F.size(bounds) - 1), one))
 
 
-def _let(x: Column, f) -> Column:
-    """f(x), with x computed once."""
-    return F.element_at(F.transform(F.array(x), f), 1)
+def merged(longest: int) -> Column:
+    """Bounds of the pieces of a word after all merges. Beside the bounds the fold keeps what each two neighbours would score; a merge changes two of these."""
+    none = F.lit(float("-inf"))
+    score = lambda b, e: F.coalesce(_cell(b, e, longest)["score"], none)
+
+    def step(state: Column, _: Column) -> Column:
+        bounds, offers = state["bounds"], state["offers"]
 
+        def merge(i: Column) -> Column:
+            at = lambda k: F.element_at(bounds, i + k)
+            left = F.when(i > 1, F.array(score(at(-1), at(2)))).otherwise(F.array().cast("array<double>"))
+            right = F.when(i < F.size(offers), F.array(score(at(0), at(3)))).otherwise(F.array().cast("array<double>"))
+            return F.struct(
+                F.concat(F.slice(bounds, F.lit(1), i), F.slice(bounds, i + 2, F.size(bounds))).alias("bounds"),
+                F.concat(F.slice(offers, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(offers, i + 2, F.size(offers))).alias("offers"),
+            )
 
-def merged() -> Column:
-    """Bounds of the pieces of a word after all merges."""
-    def step(bounds: Column, _: Column) -> Column:
-        score = lambda i: F.try_element_at("edges", F.element_at(bounds, i) * 256 + F.element_at(bounds, i + 2) - F.element_at(bounds, i))["score"]
-        offers = F.when(F.size(bounds) > 2, F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.size(bounds) - 2, F.lit(1))), lambda i: F.struct(score(i).alias("s"), (-i).alias("i"))), lambda o: o["s"].isNotNull()))
-        without = lambda best: F.when(best.isNull(), bounds).otherwise(F.concat(F.slice(bounds, 1, -best["i"]), F.slice(bounds, 2 - best["i"], F.size(bounds))))
-        return _let(F.array_max(offers), without)
+        best = F.array_max(offers)
+        return F.when(best > none, _let(F.array_position(offers, best).cast("int"), merge)).otherwise(state)
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length("word") - 1, F.lit(1))), F.sequence(F.lit(0), F.length("word")), step)
+    size = F.length("word")
+    first = F.when(size > 1, F.transform(F.sequence(F.lit(0), F.greatest(size - 2, F.lit(0))), lambda b: score(b, b + 2))).otherwise(F.array().cast("array<double>"))
+    start = F.struct(F.sequence(F.lit(0), size).alias("bounds"), first.alias("offers"))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), start, step)["bounds"]
 
 
 def best_path(longest: int, unknown: float = -1e6) -> Column:
@@ -156,8 +274,8 @@ def best_path(longest: int, unknown: float = -1e6) -> Column:
     def step(state: Column, end: Column) -> Column:
         def offer(length: Column) -> Column:
             begin = end - length
-            edge = F.try_element_at("edges", begin * 256 + length)
-            score = F.when(edge.isNotNull(), edge["score"]).when(length == 1, F.lit(unknown))
+            cell = _cell(begin, end, longest)
+            score = F.when(cell["id"].isNotNull(), cell["score"]).when(length == 1, F.lit(unknown))
             before = F.element_at(state, begin + 1)
             return F.when(score.isNotNull(), F.struct((before["s"] + score).alias("s"), F.concat(before["b"], F.array(end)).alias("b")))
 
@@ -180,74 +298,113 @@ def _grouping_by_hash(spark):
         spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
 
 
-def encoded_words(words: DataFrame, path: str, unigram: bool = False) -> DataFrame:
-    """(word, n, ids): the piece ids of each distinct word, in order. The result is an intermediate table."""
+def encoded_words(words: DataFrame, path: str, unigram: bool = False, places: int = PLACES) -> DataFrame:
+    """(word, n, ids): the piece ids of each distinct word or segment, in order. The result is an intermediate table."""
     spark = words.sparkSession
     table = pieces(spark, path)
     longest = int(table.agg(F.max(F.length("piece"))).first()[0])
     ids = byte_ids(path)
     words = _base.spill(words, "words")
     parts = max(words.count() // GROUPED + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    short = lattice(words.filter(F.length("word") <= LONGEST).repartition(parts, "word"), table, longest)
-    short = short.withColumn("bounds", best_path(longest) if unigram else merged())
-    folded = short.select("word", "n", _ids(F.col("bounds"), ids).alias("ids"))
-
-    @F.pandas_udf("array<long>")
-    def library(w: pd.Series) -> pd.Series:
-        sp = processor(path)
-        return w.map(lambda x: sp.encode(x[1:] if x.startswith(SPACE) else "\n" + x)[(0 if x.startswith(SPACE) else _lead(sp)) :])
-
+    dealt = words.repartition(parts, "word")
+    short, long = dealt.filter(F.length("word") <= places), words.filter(F.length("word") > places).repartition("word")
+    if unigram:
+        folded = lattice(dealt, table, longest).withColumn("bounds", best_path(longest)).select("word", "n", _ids(F.col("bounds"), ids, longest).alias("ids"))
+    else:
+        folded = bit_lattice(short, table, longest).withColumn("bounds", merged_bits()).select("word", "n", bit_ids(ids).alias("ids"))
+        folded = folded.union(lattice(long, table, longest).withColumn("bounds", merged(longest)).select("word", "n", _ids(F.col("bounds"), ids, longest).alias("ids")))
     with _grouping_by_hash(spark):
-        codes = _base.spill(folded.unionByName(words.filter(F.length("word") > LONGEST).select("word", "n", library("word").alias("ids"))), "codes")
+        codes = _base.spill(folded.select("word", "n", F.col("ids").cast("array<int>").alias("ids")), "codes")
     _base.forget(words)
     return codes
 
 
-def _lead(sp) -> int:
-    """Pieces of a line end at a text's begin, after which the library encodes as in the middle of a text."""
-    return len(sp.encode("\n"))
+class Coder:
+    """Ids of whole texts from those of their segments; segments that aren't known leave holes."""
+
+    def __init__(self, cutter: Cutter, known: dict[str, bytes], kind: np.dtype):
+        self.cutter, self.known, self.hole = cutter, known, np.array([np.iinfo(kind).max], kind).tobytes()
+        self.words: dict[str, bytes] = {}
+        self.holes: dict[str, list[str]] = {}
+
+    def learn(self, words: list[str]) -> None:
+        for w, segments in zip(words, self.cutter.cut(words)):
+            got = [self.known.get(s) for s in segments]
+            if None in got:
+                self.holes[w] = [s for s, g in zip(segments, got) if g is None]
+            self.words[w] = b"".join(self.hole if g is None else g for g in got)
+
+    def run(self, texts: list[str]) -> list[tuple[bytes, list[str]]]:
+        """For each text its ids, with holes, and the segments of the holes in order."""
+        if len(self.words) > HELD:
+            self.words, self.holes = {}, {}
+        cut = [words_in(t) for t in texts]
+        self.learn(list({w for words in cut for w in words if w not in self.words}))
+        get, holes = self.words.__getitem__, self.holes
+        return [(b"".join(map(get, words)), [s for w in words if w in holes for s in holes[w]]) for words in cut]
 
 
 def _coded(docs: DataFrame, path: str, id_col: str, text_col: str, frequent: int) -> DataFrame:
     """(id, size, check, ids), one row per row of docs: bytes of the text as the model sees it, and their hash."""
     spark = docs.sparkSession
     _base.ready(spark)
-    codes = encoded_words(words_of(docs, path, text_col), path).withColumn("ids", F.col("ids").cast("array<int>"))
-    top = codes.filter(F.length("word") <= BROADCAST).orderBy(F.desc("n"), "word").limit(frequent).select("word", "ids").toArrow()
-    shared = spark.sparkContext.broadcast({w: array("i", x) for w, x in zip(top["word"].to_pylist(), top["ids"].to_pylist())})  # at most `frequent` words
-    del top
-    words = pattern(path)
-    kind = docs.schema[id_col].dataType.simpleString()
+    codes = encoded_words(segments_of(docs, path, text_col), path)
+    kind = np.dtype("<u2" if processor(path).get_piece_size() < 65535 else "<u4")
+    few = codes.filter(F.length("word") <= BROADCAST)
+    # Counts in steps: the most frequent ones without a sort. At most 16 x 63 rows.
+    step = F.floor(F.log2("n") * 16).cast("int")
+    least, left = None, frequent
+    for p, k in sorted(few.groupBy(step.alias("p")).agg(F.count(F.lit(1)).alias("k")).collect(), reverse=True):
+        left -= k
+        if left < 0:
+            break
+        least = p
+    top = (few.filter(step >= least) if least is not None else few.limit(0)).select("word", "ids").toArrow()
+    flat, ends = top["ids"].combine_chunks().flatten().to_numpy().astype(kind).tobytes() if top.num_rows else b"", (np.cumsum([0, *map(len, top["ids"].to_pylist())]) * kind.itemsize).tolist()
+    shared = spark.sparkContext.broadcast({w: flat[a:b] for w, a, b in zip(top["word"].to_pylist(), ends, ends[1:])})  # at most `frequent` segments
+    del top, flat, ends
+    own = docs.schema[id_col].dataType.simpleString()
+
+    def coded(at: int, wanted):
+        @_base.tidy
+        def run(batches):
+            coder = Coder(cutter(path), shared.value, kind)
+            for batch in batches:
+                yield wanted(batch, coder.run([x or "" for x in batch.column(at).to_pylist()]))
+
+        return run
+
+    def holes(batch, found):
+        some = [i for i, (_, rest) in enumerate(found) if rest]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some, pa.int64())), pa.array([found[i][1] for i in some], pa.list_(pa.string()))], ["row", "rest"])
+
+    def holed(batch, found):
+        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array([x for x, _ in found], pa.binary())], ["id", "row", "size", "check", "holed"])
 
     @_base.tidy
-    def run(batches):
-        known = shared.value
+    def filled(batches):
+        hole = np.iinfo(kind).max
         for batch in batches:
-            ids, ends, rest, rest_ends = array("i"), [0], [], [0]
-            for t in batch.column(4).to_pylist():
-                own: dict[str, int] = {}
-                for w in cut(t or "", words):
-                    got = known.get(w)
-                    if got is None:
-                        ids.append(-1 - own.setdefault(w, len(own)))
-                    else:
-                        ids += got
-                ends.append(len(ids))
-                rest += own
-                rest_ends.append(len(rest))
-            lists = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(x, k)) for e, x, k in ((ends, ids, pa.int32()), (rest_ends, rest, pa.string()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), *lists], ["id", "row", "size", "check", "holed", "rest"])
+            lists = []
+            for raw, fills in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                x = np.frombuffer(raw, kind)
+                if fills:
+                    at = np.flatnonzero(x == hole)
+                    parts = np.split(x, at)
+                    x = np.concatenate([parts[0], *(y for f, rest in zip(fills, parts[1:]) for y in (np.asarray(f, kind), rest[1:]))])
+                lists.append(x.astype(np.int32))
+            ends = np.append(0, np.cumsum([len(x) for x in lists])).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *lists])))], ["id", "size", "check", "ids"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     seen = F.when(text == "", "").otherwise(F.concat(F.lit(SPACE), F.translate(text, " ", SPACE))).cast("binary")
-    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.octet_length(seen).cast("long").alias("size"), F.xxhash64(seen).alias("check"), text.alias("text"))
-    # A hole is the negative place, from 1 on, of a word in rest. Rows are numbered once, as they are written.
-    holed = _base.spill(rows.mapInArrow(run, f"id {kind}, row long, size long, check long, holed array<int>, rest array<string>"), "holed")
-    fills = holed.select("row", F.posexplode("rest").alias("at", "word")).join(codes.select("word", "ids"), "word")
+    row = _base.row_key(F.col(id_col), F.col(text_col))
+    rest = docs.select(row.alias("row"), text.alias("text")).mapInArrow(coded(1, holes), "row binary, rest array<string>").dropDuplicates(["row"])
+    fills = rest.select("row", F.posexplode("rest").alias("at", "word")).join(codes.select("word", "ids"), "word")
     fills = fills.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"]).alias("fills"))
-    filled = F.flatten(F.transform("holed", lambda i: F.when(i < 0, F.element_at("fills", -i)).otherwise(F.array(i))))
-    out = holed.drop("rest").join(fills, "row", "left")
-    return out.select(F.col("id").alias(id_col), "size", "check", F.when(F.col("fills").isNull(), F.col("holed")).otherwise(filled).alias("ids"))
+    rows = docs.select(F.col(id_col).alias("id"), row.alias("row"), F.octet_length(seen).cast("long").alias("size"), F.xxhash64(seen).alias("check"), text.alias("text"))
+    done = rows.mapInArrow(coded(4, holed), f"id {own}, row binary, size long, check long, holed binary").join(fills, "row", "left").select("id", "size", "check", "holed", "fills")
+    return done.mapInArrow(filled, f"id {own}, size long, check long, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
@@ -278,16 +435,9 @@ def document_codes(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
 
 def word_codes(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """One row per distinct word of all texts: word, n (occurrences), n_pieces, ids, round_trip (whether decoding gives the word)."""
-    _base.ready(docs.sparkSession)
-    coded = encoded_words(words_of(docs, path, text_col), path)
-
-    @F.pandas_udf("boolean")
-    def same(word: pd.Series, ids: pd.Series) -> pd.Series:
-        name = piece_bytes(path)
-        return pd.Series([b"".join(name[i] for i in x) == w.encode() for w, x in zip(word, ids)], dtype=bool)
-
-    return coded.select("word", "n", F.size("ids").alias("n_pieces"), "ids", same("word", "ids").alias("round_trip"))
+    """One row per distinct segment of all texts: word, n (occurrences), n_pieces, ids, round_trip (whether decoding gives the segment)."""
+    coded = encoded_words(segments_of(docs, path, text_col), path)
+    return coded.select("word", "n", F.size("ids").alias("n_pieces"), "ids", (decoded_bytes(F.col("ids"), path) == F.col("word").cast("binary")).alias("round_trip"))
 
 
 def op6_sentencepiece_lattice(spark, sf_dir: str) -> DataFrame:

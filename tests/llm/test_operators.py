@@ -289,17 +289,43 @@ def test_scores(odd, odd_rows):
     assert 0 < long["bits_per_byte"] < 5
 
 
-def test_lattice_encodes_and_decodes(odd, odd_rows):
+def test_segments_are_encoded_alone():
+    """No cut changes what the library gives, on its own pieces glued together at random."""
+    import sentencepiece
+
+    rng = random.Random(0)
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    names = [sp.id_to_piece(i) for i in range(3, sp.get_piece_size()) if not sp.is_byte(i)]
+    cut, lead = sentencepiece_lattice.cutter(PIECES).cut, len(sp.encode("\n"))
+    for _ in range(300):
+        text = "".join(rng.choice(names) for _ in range(rng.randint(1, 12))).replace("▁", " ")
+        words = sentencepiece_lattice.words_in(text)
+        parts = cut(words)
+        assert ["".join(p) for p in parts] == words
+        # After a line end, whose pieces are its own.
+        ids = [i for p in parts for s in p for i in sp.encode("\n" + s.replace("▁", " "))[lead:]]
+        assert ids == sp.encode(text), (text, parts)
+    assert cut([]) == [] and cut(["a"]) == [["a"]]
+
+
+@pytest.mark.parametrize("places", [sentencepiece_lattice.PLACES, 3])
+def test_folds_of_merges(spark, odd, places):
+    """Bounds as bits and as arrays, very long segments too, against the library."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
-    rest = {i: t or "" for i, t in odd_rows if i is not None and i != 507}
-    df = odd.filter("doc_id is not null and doc_id <> 507").dropDuplicates(["doc_id"])
-    got = {r["doc_id"]: r["ids"] for r in sentencepiece_lattice.encoded(df, PIECES).collect()}
-    assert got == {i: sp.encode(t) for i, t in rest.items()}
-    words = sentencepiece_lattice.word_codes(odd, PIECES).collect()
-    assert all(r["round_trip"] and r["n_pieces"] == len(r["ids"]) for r in words)
-    assert {r["word"]: r["n"] for r in words} == Counter(w for _, t in odd_rows for w in sentencepiece_lattice.cut(t or "", sentencepiece_lattice.pattern(PIECES)))
+    rng = random.Random(1)
+    words = {"a" * 3000, "▁" + "a" * 70, "ab" * 100, "▁", "e", "ǅ", "漢字", "▁ǅx", "x" * 61, "x" * 62, "x" * 63, *("▁" + "".join(rng.choice("thinger") for _ in range(rng.randint(1, 90))) for _ in range(60))}
+    got = sentencepiece_lattice.encoded_words(spark.createDataFrame([(w, 1) for w in sorted(words)], "word string, n long"), PIECES, places=places).collect()
+    lead = len(sp.encode("\n"))
+    assert {r["word"]: r["ids"] for r in got} == {w: sp.encode("\n" + w.replace("▁", " "))[lead:] for w in words}
+
+
+def test_segments_are_counted(odd, odd_rows):
+    rows = sentencepiece_lattice.word_codes(odd, PIECES).collect()
+    assert all(r["round_trip"] and r["n_pieces"] == len(r["ids"]) for r in rows)
+    cut = sentencepiece_lattice.cutter(PIECES).cut
+    assert {r["word"]: r["n"] for r in rows} == Counter(s for _, t in odd_rows for p in cut(sentencepiece_lattice.words_in(t or "")) for s in p)
 
 
 @pytest.mark.parametrize("frequent", [100_000, 5, 0])
