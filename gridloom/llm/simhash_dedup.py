@@ -26,8 +26,8 @@ from gridloom.llm.components import components
 
 #: Words of a shingle, seed of its hash, differing bits that still link.
 WORDS, SEED, BITS = 3, 42, 3
-#: Parts of a second segment, of which one may differ: 2 gives keys of 24 bits, 4 of 28, 16 of 31.
-PARTS = 2
+#: Parts of a second segment, of which one may differ, by the number of distinct fingerprints up to which they serve: 2 give keys of 24 bits (8 for each fingerprint), 4 of 28 bits (16), 16 of 31 bits (64).
+PARTS = ((1 << 30, 2), (1 << 34, 4), (1 << 64, 16))
 #: Values of a bucket that are compared in one task; larger buckets are dealt out by finer keys.
 CAP = 1024
 #: Shingles and pairs that are handled at once.
@@ -188,8 +188,11 @@ def _shared(rows: DataFrame, tag: str) -> DataFrame:
     return rows.join(n, ["k", "key"])
 
 
-def links(values: DataFrame, parts: int = PARTS, cap: int = CAP) -> DataFrame:
-    """Edges (a, b) between distinct values of column fp: every two that differ in at most 3 bits are connected by them."""
+def links(values: DataFrame, parts: int | None = None, cap: int = CAP) -> DataFrame:
+    """Edges (a, b) between distinct values of column fp: every two that differ in at most 3 bits are connected by them, however long the keys are."""
+    if parts is None:
+        n = values.count()
+        parts = next(p for most, p in PARTS if n <= most)
     keys = _keys(parts)
     rows = values.select("fp", F.explode(_masked("fp", [m for m, _, _ in keys])).alias("e")).select("e.k", "e.key", "fp")
     shared = _base.spill(_shared(rows, "sizes"), "buckets")

@@ -161,6 +161,43 @@ def test_toxicity_held_out(spark):
     assert sum(got[i]["predicted"] == y[i] for i in held) / len(held) > 0.95
 
 
+def _grams(text):
+    t = f" {text.lower()} "
+    return {t[i : i + n] for n in toxicity.GRAMS for i in range(len(t) - n + 1)}
+
+
+def test_log_count_ratios_and_fit():
+    """Features, ratios and scores of the classifier against plain counting and a plain fit over strings."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["vilegrump", "nastoid"]) if i % 3 == 0 and rng.random() < 0.1 else prose(rng, 1) for _ in range(40)) for i in range(240)]
+    y = np.array([i % 3 == 0 for i in range(240)])
+    assert toxicity.distinct(texts) == list(range(240)) and toxicity.distinct([texts[0], texts[1], texts[0]]) == [0, 1]
+    model = toxicity.fit(texts, y)
+    rows = [_grams(t) for t in texts]
+    n1, n0 = (Counter(g for r, on in zip(rows, y) if on == c for g in r) for c in (True, False))
+    pos, neg, a = int(y.sum()), int((~y).sum()), toxicity.ALPHA
+    ratio = {g: math.log((n1[g] + a) / (pos + 2 * a)) - math.log((n0[g] + a) / (neg + 2 * a)) for g in n1 | n0}
+    share = pos / (pos + neg)
+    telling = {g for g, r in ratio.items() if n1[g] + n0[g] >= toxicity.LEAST and abs(r) >= toxicity.RATIO and abs(n1[g] - (n1[g] + n0[g]) * share) >= toxicity.DEVIATIONS * math.sqrt((n1[g] + n0[g]) * share * (1 - share) + 1)}
+    assert len(telling) > 20
+    names = sorted(telling)
+    x = np.array([[ratio[g] if g in r else 0.0 for g in names] for r in rows])
+    # The plain fit: the same gradient steps on a dense matrix.
+    w, b, vw, vb = np.full(len(names), 0.02), math.log(share / (1 - share)), np.zeros(len(names)), 0.0
+    rate = 2.0 / (x * x).sum(1).mean()
+    each = np.where(y, share / pos, (1 - share) / neg)
+    for _ in range(toxicity.ROUNDS):
+        g = (1 / (1 + np.exp(-(x @ w + b))) - y) * each
+        vw, vb = 0.9 * vw - rate * (x.T @ g + toxicity.RIDGE * w / len(texts)), 0.9 * vb - 0.2 * g.sum()
+        w, b = w + vw, b + vb
+    # Hashes that share a bucket with a telling n-gram are counted but have no weight.
+    found = {int(h): v for h, v in zip(model.features, model.values)}
+    assert len(found) == len(names)
+    new = texts[:5] + [prose(rng, 30), "vilegrump", "", "x"]
+    z = [b + sum(w[i] * ratio[g] for i, g in enumerate(names) if g in _grams(t)) for t in new]
+    assert model.scores(new) == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-6)
+
+
 def test_long_texts_leave_room_for_others(spark):
     """One long toxic text, or toxic texts that fill the bound, must not keep clean ones or other toxic ones from the fit."""
     rng = random.Random(2)
@@ -179,6 +216,8 @@ def test_long_texts_leave_room_for_others(spark):
 def test_toxicity_odd_rows(spark, odd, none, odd_rows):
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
     assert toxicity.toxicity(odd, labels).count() == len(odd_rows)
+    texts = odd.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text")
+    assert toxicity.toxicity(texts, labels.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "toxic")).count() == len(odd_rows)
     assert toxicity.toxicity(odd, labels.limit(0)).count() == len(odd_rows)
     model = toxicity.Classifier(np.zeros(0, np.uint64), np.zeros(0), -3.0)
     assert toxicity.accepted(odd, model).columns == odd.columns and toxicity.accepted(odd, model).count() == len(odd_rows)
