@@ -16,22 +16,22 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold; the classifier learns from the labelled ones that aren't held out."""
+    """Documents that score below the threshold; the classifier learns from the labelled ones that aren't held out. Null texts count as empty."""
     return toxicity.accepted(docs, toxicity.train(docs, _base.table(spark, sf_dir, "labels")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts that are equal but for white space."""
+    """One document of each group of texts that are equal but for white space: that of the smallest id; null and empty texts are one group."""
     return exact_dedup.deduplicated(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of linked fingerprints."""
+    """One document of each class of linked fingerprints: that of the smallest id; texts without words are one class."""
     return simhash_dedup.one_of_each(docs)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words and more that an earlier document has are cut out; documents of which nothing is left go."""
+    """Passages of 50 words and more that an earlier document has are cut out; documents of which nothing is left go, empty ones stay."""
     out = rlz_dedup.without_passages(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
@@ -48,7 +48,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _base.table(spark, sf_dir, "documents")
+    """The stages one after another; a stage's table is deleted once the next one is written."""
+    docs, before = _base.table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         docs = _base.spill(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        _base.forget(*before)
+        before = [docs]
     return docs
