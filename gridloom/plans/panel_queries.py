@@ -383,7 +383,7 @@ def bias_contrasts(spark, sf):
     return rounded(wide.select("entity", "lead", "seed", (F.col("direct") - F.col("limited")).alias("direct_less_limited"), (F.col("full") - F.col("direct")).alias("full_less_direct")))
 
 
-CALENDAR_SQL = ", ".join(f"round({f}(2 * pi() * {v} / {n}), 6) AS {name}_{f}" for name, v, n in (("slot", "(i - 1) % 12", 12), ("dow", "dow", 7), ("month", "month", 12)) for f in ("sin", "cos"))
+CALENDAR_SQL = ", ".join(f"round({f}(2 * pi() * ({v}) / {n}), 6) AS {name}_{f}" for name, v, n in (("slot", "(i - 1) % 12", 12), ("dow", "dow", 7), ("month", "month", 12)) for f in ("sin", "cos"))
 
 
 @query("input_features", f"WITH {TYPE_SQL}, z AS (SELECT entity, avg(value) AS m, greatest(stddev_pop(value), 0.01) AS d FROM g WHERE slot < 120 GROUP BY 1), a AS (SELECT entity, slot, value AS target, count(value) OVER w AS n, list({{'at': slot, 'v': value}} ORDER BY slot) OVER w AS x FROM g WINDOW w AS (PARTITION BY entity ORDER BY slot RANGE BETWEEN 12 PRECEDING AND 1 PRECEDING)), u AS (SELECT entity, slot, (target - m) / d AS target, unnest(range(1, 13)) AS step, unnest(x) AS e, m, d FROM a JOIN z USING (entity) WHERE n = 12 AND target IS NOT NULL), k AS (SELECT *, e.at % 12 + 1 AS i, TIMESTAMP '{ORIGIN}' + to_seconds(CAST(e.at AS BIGINT) * 7200) AS ts FROM u), c AS (SELECT *, isodow(ts) - 1 AS dow, month(ts) - 1 AS month FROM k) SELECT entity, slot, CAST(step AS INT) AS step, round(target, 6) AS target, round((e.v - m) / d, 6) AS load, {CALENDAR_SQL}, CAST(dow >= 5 AS INT) AS weekend FROM c")
