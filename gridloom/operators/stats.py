@@ -35,13 +35,14 @@ def _before(counts: DataFrame) -> DataFrame:
 
 
 def with_average_ranks(df: DataFrame, **columns: str) -> DataFrame:
-    """df with ranks over all rows, ties at their mean, under new names: name=column. Equal values are counted together and ranges of values run side by side, so that no task gets all rows."""
-    for name, x in columns.items():
+    """df with ranks over all rows, ties at their mean, under new names: name=column. Equal values are counted together and ranges of values run side by side, so that no task gets all rows. Rows without a value have no rank and go."""
+    out = df
+    for name, x in columns.items():  # all counts read df itself: over the joins before them, work would double with each column
         counts = _ranges(df.groupBy(F.col(x).alias("__v")).agg(F.count(F.lit(1)).alias("n")), "__v")
         upto = F.sum("n").over(Window.partitionBy("__range").orderBy("__v"))
         ranks = counts.withColumn("__upto", upto).join(F.broadcast(_before(counts)), "__range").select("__v", (F.col("__before") + F.col("__upto") - (F.col("n") - 1) / 2).alias(name))
-        df = df.join(ranks, df[x] == ranks["__v"]).drop("__v")
-    return df
+        out = out.join(ranks, out[x] == ranks["__v"]).drop("__v")
+    return out
 
 
 def centred(x: str, *by: str) -> Column:
@@ -149,9 +150,8 @@ def chi_square(df: DataFrame, row: str, column: str) -> DataFrame:
 def kruskal(df: DataFrame, x: str, group: str) -> DataFrame:
     """Tie-corrected H, epsilon squared."""
     r = df.filter(F.col(x).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(x).alias("x"))
-    r = with_average_ranks(r, r="x")
     ties = r.groupBy("x").agg(F.count(F.lit(1)).cast("double").alias("t")).agg(F.sum(F.pow("t", 3.0) - F.col("t")).alias("ties"))
-    sums = r.groupBy("g").agg(F.sum("r").alias("s"), F.count(F.lit(1)).cast("double").alias("m")).agg(F.count(F.lit(1)).alias("k"), F.sum("m").alias("n"), F.sum(F.col("s") * F.col("s") / F.col("m")).alias("q"))
+    sums = with_average_ranks(r, r="x").groupBy("g").agg(F.sum("r").alias("s"), F.count(F.lit(1)).cast("double").alias("m")).agg(F.count(F.lit(1)).alias("k"), F.sum("m").alias("n"), F.sum(F.col("s") * F.col("s") / F.col("m")).alias("q"))
     both = sums.crossJoin(ties)
     n = F.col("n")
     h = (12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)) / (1 - F.col("ties") / (F.pow(n, 3.0) - n))
