@@ -258,3 +258,20 @@ def one_column(columns: Sequence[str], *candidates: str) -> str:
     if len(found) != 1:
         raise ValueError(f"expected exactly one of {candidates}, found {found}")
     return found[0]
+
+
+def public_path(path: Column, root: str) -> Column:
+    """A path as it may be published: relative to `root` where it lies below it, another absolute path by its last name alone, a relative one as it is, without empty or `.` parts. NULL stays NULL."""
+    plain = F.regexp_replace(F.regexp_replace(path, r"/(\.?/)+", "/"), r"^(\./)+|(?<=.)/\.?$", "")
+    top = root.rstrip("/")
+    last = F.substring_index(plain, "/", -1)
+    below = F.when(plain == (top or "/"), ".").when(plain.startswith(f"{top}/"), F.substr(plain, F.lit(len(top) + 2)))
+    return F.when(plain.rlike("^[/~]"), F.coalesce(below, last)).when(plain == "", ".").otherwise(plain)
+
+
+def public_text(text: Column, marks: dict[str, str]) -> Column:
+    """A text in which private prefixes, such as a project's or a home folder, are replaced by their marks, in the order given; empty prefixes count for nothing."""
+    for prefix, mark in marks.items():
+        if prefix:
+            text = F.replace(text, F.lit(prefix), F.lit(mark))
+    return text

@@ -160,3 +160,18 @@ def fit_eligibility(spark, sf):
     """Whether an entity's profile is whole and varies enough to be clustered."""
     p = user_grid(spark, sf).groupBy("entity", (F.col("slot") % 7).alias("s")).agg(F.avg("value").alias("v")).filter("v is not null")
     return rounded(p.groupBy("entity").agg(F.stddev_pop("v").alias("profile_std"), ((F.stddev_pop("v") >= 0.01) & (F.count(F.lit(1)) == 7)).alias("fit_eligible")))
+
+
+#: Made-up paths: below the project, elsewhere, in the home folder, relative, and none.
+PLACE = "CASE c_custkey % 5 WHEN 0 THEN concat('/srv/study/out//', c_name, '.csv') WHEN 1 THEN concat('/opt/tools/', c_name, '/') WHEN 2 THEN concat('/home/one/./', c_name) WHEN 3 THEN concat('./out/', c_name) END"
+
+
+@query(
+    "public_names",
+    f"SELECT c_custkey AS key, CASE c_custkey % 5 WHEN 0 THEN concat('out/', c_name, '.csv') WHEN 3 THEN concat('out/', c_name) WHEN 4 THEN NULL ELSE c_name END AS path, replace(replace('read ' || ({PLACE}), '/srv/study', '$PROJECT'), '/home/one', '$HOME') AS note FROM customer",
+)
+def public_names(spark, sf):
+    """Paths and notes without the machine's own prefixes."""
+    place = F.expr(PLACE)
+    note = S.public_text(F.concat(F.lit("read "), place), {"/srv/study": "$PROJECT", "/home/one": "$HOME"})
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), S.public_path(place, "/srv/study/").alias("path"), note.alias("note"))
