@@ -41,13 +41,14 @@ LIMIT, END, SALTS, STEPS, SEARCH = 4096, 1, 64, 2000, 200_000
 class WordCoder:
     """Ids of whole texts, word by word: this tokenizer lower-cases, drops white space, and none of its tokens crosses it.
 
-    A mark that ends a word after an ASCII letter or digit is a token of its own, so that words
-    are looked up without it.
+    The marks that end a word after a letter or an ASCII digit are a pre-token of their own, so that
+    words are looked up without them.
     """
 
     #: Words of each of the two generations that are remembered.
     KEPT = 250_000
-    MARKS = frozenset(b".,;:!?")
+    #: ASCII marks but for the apostrophe, which may begin a pre-token with letters.
+    MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 39)
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -66,8 +67,11 @@ class WordCoder:
         found = self.older.get(word)
         if found is not None:
             return found
-        if word[-1] in self.MARKS and word[-2:-1].isalnum() and b"<|" not in word:
-            return self.known[word[:-1]] + self.known[word[-1:]]
+        if word[-1] in self.MARKS and b"<|" not in word:
+            head = word.rstrip(self.MARKS)
+            # As the tokenizer sees it, a letter may end in a mark: "İ" becomes two characters.
+            if head[-1:].isalnum() or head[-1:] > b"\x7f" and unicodedata.normalize("NFC", head.decode()[-1]).lower()[-1].isalpha():
+                return self.known[head] + self.known[word[len(head) :]]
         low = word if b"<|" in word else word.lower()
         if low != word:
             return self.known[low]

@@ -493,6 +493,10 @@ def test_word_coder():
     for _ in range(30):
         texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(40)]
         assert [np.frombuffer(x, "<u4").tolist() for x in coder.ids(texts)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    heads, tails = ["the", "Été", "ΟΔΟΣ", "x1", "it's", "a'", "İ", "aİ", "क़", "e\u0301", "¼", "中", "€", "<|endoftext|>", ""], "*#$%&.,;:!?()[]{}<>|-_+=/\\~^@`\"'s"
+    words = [rng.choice(heads) + "".join(rng.choice(tails) for _ in range(rng.randint(0, 5))) for _ in range(3000)]
+    words += [f"a{chr(c)}*?" for c in [*range(0x80, 0x2100), *range(0xFB00, 0xFB50), *range(0x10400, 0x10450)]]
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder.ids(words)] == [e.ids for e in t.encode_batch(words, add_special_tokens=False)]
 
 
 def test_bin_completion():
