@@ -1,8 +1,8 @@
 """Daily profiles, distances between them, nearest prototypes, neighbour support, clusterings.
 
 A profile is (entity, slot, value), or an array in order of slots for distances. Distances over all
-pairs are joined within a group, or against a small prototype side; time-warping distances and
-k-means run in NumPy, batched by Arrow.
+pairs are joined within a group, or against a small prototype side; time-warping distances run in
+NumPy, batched by Arrow.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.scalars import safe_ratio
+from gridloom.operators import warping
+from gridloom.sources.scratch import scratch
 
 
 def slot_profile(panel: DataFrame, slot: str, *by: str) -> DataFrame:
@@ -75,16 +77,8 @@ def correlation_distance(a: Column, b: Column) -> Column:
 
 
 def dtw_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Time-warping distances of rows of a and b: squared costs, no window, root at the end. All pairs advance together."""
-    n, m = a.shape[1], b.shape[1]
-    last = np.full((m + 1, len(a)), np.inf)
-    last[0] = 0
-    for i in range(n):
-        now = np.full((m + 1, len(a)), np.inf)
-        for j in range(m):
-            now[j + 1] = (a[:, i] - b[:, j]) ** 2 + np.minimum(np.minimum(last[j], last[j + 1]), now[j])
-        last = now
-    return np.sqrt(last[m])
+    """Time-warping distances of rows of a and b, pair by pair."""
+    return np.sqrt(warping.squared(a, b))
 
 
 def dtw(a: Column | str, b: Column | str) -> Column:
@@ -116,10 +110,11 @@ BLOCK = 256
 
 
 def in_blocks(profiles: DataFrame, *by: str) -> DataFrame:
-    """(by, block): arrays of up to about BLOCK (entity, profile) each, so that pairs never become rows of their own."""
+    """(by, b, block): arrays of up to about BLOCK (entity, profile, and what else profiles have) each, in order of entity, so that pairs never become rows of their own. A block goes by its number b: rows may arrive in any order."""
     size = profiles.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("__n"))
     dealt = profiles.join(F.broadcast(size), list(by)) if by else profiles.crossJoin(F.broadcast(size))
-    return dealt.withColumn("__b", F.pmod(F.xxhash64("entity"), F.col("__n"))).groupBy(*by, "__b").agg(F.collect_list(F.struct("entity", "profile")).alias("block")).drop("__b")
+    held = F.struct("entity", "profile", *(c for c in profiles.columns if c not in ("entity", "profile", *by)))
+    return dealt.withColumn("b", F.pmod(F.xxhash64("entity"), F.col("__n"))).groupBy(*by, "b").agg(F.array_sort(F.collect_list(held)).alias("block"))
 
 
 def neighbour_support(targets: DataFrame, sources: DataFrame, *ks: int) -> DataFrame:
@@ -149,50 +144,12 @@ def neighbour_support(targets: DataFrame, sources: DataFrame, *ks: int) -> DataF
 # ---- clusterings ------------------------------------------------------------------------------
 
 
-def dtw_kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 20) -> tuple[np.ndarray, np.ndarray, float]:
-    """Labels, centres and inertia: k-means++ start, barycentre averaging along warping paths."""
-    rng = np.random.default_rng(seed)
-    pair = lambda c: np.stack([dtw_matrix(x, np.repeat(c[None, j], len(x), 0)) for j in range(len(c))], 1)
-    centres = x[[int(rng.integers(len(x)))]]
-    while len(centres) < k:
-        d = pair(centres).min(1) ** 2
-        centres = np.vstack([centres, x[[int(rng.choice(len(x), p=d / d.sum() if d.sum() else None))]]])
-    label, inertia = None, np.inf
-    for _ in range(rounds):
-        d = pair(centres)
-        new = d.argmin(1)
-        for j in range(k):  # no cluster stays empty
-            if not (new == j).any():
-                new[int(d[np.arange(len(x)), new].argmax())] = j
-        now = float((d[np.arange(len(x)), new] ** 2).mean())
-        if label is not None and (new == label).all() or now > inertia - 1e-9:
-            inertia = min(now, inertia)
-            label = new
-            break
-        label, inertia = new, now
-        centres = np.stack([_barycentre(x[label == j], centres[j]) for j in range(k)])
-    return label, centres, inertia
-
-
-def _barycentre(rows: np.ndarray, centre: np.ndarray) -> np.ndarray:
-    """Means, for each slot of the centre, of the slots that warping paths lay on it; all rows' paths are traced together."""
-    n, (k, m) = len(rows), (len(centre), rows.shape[1])
-    cost = np.full((k + 1, m + 1, n), np.inf)
-    cost[0, 0] = 0
-    for i in range(k):
-        for j in range(m):
-            cost[i + 1, j + 1] = (centre[i] - rows[:, j]) ** 2 + np.minimum(np.minimum(cost[i, j], cost[i, j + 1]), cost[i + 1, j])
-    total, count = np.zeros(k), np.zeros(k)
-    at, i, j = np.arange(n), np.full(n, k), np.full(n, m)
-    while len(at):
-        np.add.at(total, i - 1, rows[at, j - 1])
-        np.add.at(count, i - 1, 1)
-        # Diagonal first, then up, then left, on ties.
-        step = np.stack([cost[i - 1, j - 1, at], cost[i - 1, j, at], cost[i, j - 1, at]]).argmin(0)
-        i, j = i - (step != 2), j - (step != 1)
-        on = (i > 0) & (j > 0)
-        at, i, j = at[on], i[on], j[on]
-    return total / np.maximum(count, 1)
+def _two_blocks(profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The blocks as two sides of a join, written once: both sides then have the same rows under the same number."""
+    path = scratch(profiles.sparkSession, "blocks")
+    in_blocks(profiles).write.parquet(path)
+    blocks = profiles.sparkSession.read.parquet(path)
+    return tuple(blocks.select(F.col("b").alias(f"b_{t}"), F.col("block").alias(f"block_{t}")) for t in "xy")
 
 
 def dtw_pairs(profiles: DataFrame) -> DataFrame:
@@ -202,47 +159,21 @@ def dtw_pairs(profiles: DataFrame) -> DataFrame:
     all tasks.
     """
     kind = profiles.schema["entity"].dataType.simpleString()
-    blocks = in_blocks(profiles).withColumn("id", F.expr("block[0].entity"))
-    x, y = (blocks.select(F.col("id").alias(f"id_{t}"), F.col("block").alias(f"block_{t}")) for t in "xy")
+    x, y = _two_blocks(profiles.select("entity", "profile"))
 
     def run(batches):
         for pdf in batches:
-            for one, two in zip(pdf["block_x"], pdf["block_y"]):
+            for one, two, same in zip(pdf["block_x"], pdf["block_y"], pdf["same"]):
                 (ea, pa_), (eb, pb) = (([v["entity"] for v in side], np.stack([np.asarray(v["profile"], float) for v in side])) for side in (one, two))
                 ea, eb = np.asarray(ea), np.asarray(eb)
                 i, j = np.meshgrid(np.arange(len(ea)), np.arange(len(eb)), indexing="ij")
-                on = ea[i] != eb[j] if ea[0] != eb[0] else ea[i] < eb[j]
+                on = ea[i] < eb[j] if same else np.full(i.shape, True)
                 i, j = i[on], j[on]
                 if len(i):
                     low = ea[i] < eb[j]
                     yield pd.DataFrame({"a": np.where(low, ea[i], eb[j]), "b": np.where(low, eb[j], ea[i]), "d": dtw_matrix(pa_[i], pb[j])})
 
-    return x.join(y, F.col("id_x") <= F.col("id_y")).select("block_x", "block_y").mapInPandas(run, f"a {kind}, b {kind}, d double")
-
-
-def kmeans_runs(profiles: DataFrame, ks: list[int], seeds: list[int]) -> DataFrame:
-    """One fit per (k, seed), each in a task of its own: k, seed, inertia, and entities with labels. What a fit holds is bounded by the study's entities."""
-    spark = profiles.sparkSession
-    grid = spark.createDataFrame([(k, s) for k in ks for s in seeds], "k int, seed int")
-    kind = profiles.schema["entity"].dataType.simpleString()
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("entity", ignore_index=True)
-        k, s = int(pdf["k"].iloc[0]), int(pdf["seed"].iloc[0])
-        label, _, inertia = dtw_kmeans(np.stack(pdf["profile"].to_numpy()), min(k, len(pdf)), s)
-        return pd.DataFrame({"k": k, "seed": s, "entity": pdf["entity"], "label": label, "inertia": inertia})
-
-    return profiles.crossJoin(F.broadcast(grid)).groupBy("k", "seed").applyInPandas(fit, f"k int, seed int, entity {kind}, label int, inertia double")
-
-
-def cluster_sizes(runs: DataFrame) -> DataFrame:
-    """Per fit: clusters, least share, variation of sizes, inertia; and the relative fall of the least inertia of each k against the k before."""
-    n = runs.groupBy("k", "seed", "label").agg(F.count(F.lit(1)).alias("n"), F.first("inertia").alias("inertia"))
-    out = n.groupBy("k", "seed").agg(F.count(F.lit(1)).alias("clusters"), (F.min("n") / F.sum("n")).alias("least_share"), safe_ratio(F.stddev_pop("n"), F.avg("n")).alias("size_cv"), F.first("inertia").alias("inertia"))
-    least = out.groupBy("k").agg(F.min("inertia").alias("__least"))
-    before = F.lag("__least").over(Window.partitionBy(F.lit(1)).orderBy("k"))  # one row for each k
-    fall = least.select("k", safe_ratio(before - F.col("__least"), before).alias("inertia_fall"))
-    return out.join(F.broadcast(fall), "k")
+    return x.join(y, F.col("b_x") <= F.col("b_y")).select("block_x", "block_y", (F.col("b_x") == F.col("b_y")).alias("same")).mapInPandas(run, f"a {kind}, b {kind}, d double")
 
 
 def _score(mean: DataFrame, *by: str) -> DataFrame:
@@ -262,6 +193,38 @@ def silhouette(labels: DataFrame, pairs: DataFrame, *by: str) -> DataFrame:
     return _score(sums.join(la, [*by, "a"]), *by)
 
 
+def warped_silhouettes(profiles: DataFrame, labels: DataFrame) -> DataFrame:
+    """Mean silhouette of each fit (k, seed) of labels (k, seed, entity, label) under time warping.
+
+    A task has two blocks of profiles; it fills their distances once and sums them, for each fit, by
+    the label of the far end, so that what leaves it grows with entities and clusters, not with pairs.
+    """
+    kind = profiles.schema["entity"].dataType.simpleString()
+    own = labels.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("k", "seed", "label"))).alias("own"))
+    x, y = _two_blocks(profiles.select("entity", "profile").join(own, "entity"))
+
+    def read(side):
+        return [v["entity"] for v in side], np.stack([np.asarray(v["profile"], float) for v in side]), np.array([[o["label"] for o in v["own"]] for v in side]), [(o["k"], o["seed"]) for o in side[0]["own"]]
+
+    def run(batches):
+        for pdf in batches:
+            for one, two, same in zip(pdf["block_x"], pdf["block_y"], pdf["same"]):
+                (ea, xa, la, fits), (eb, xb, lb, _) = read(one), read(two)
+                d = np.sqrt(warping.all_squared(xa, xb))
+                for names, far, m in ((ea, lb, d),) if same else ((ea, lb, d), (eb, la, d.T)):
+                    for i, (k, seed) in enumerate(fits):
+                        for c in np.unique(far[:, i]):
+                            on = far[:, i] == c
+                            n = np.full(len(names), on.sum()) - (on if same else 0)
+                            yield pd.DataFrame({"k": k, "seed": seed, "a": names, "other": c, "total": m[:, on].sum(1), "n": n})
+
+    pairs = x.join(y, F.col("b_x") <= F.col("b_y")).select("block_x", "block_y", (F.col("b_x") == F.col("b_y")).alias("same"))
+    parts = pairs.mapInPandas(run, f"k int, seed int, a {kind}, other int, total double, n long")
+    mean = parts.groupBy("k", "seed", "a", "other").agg(safe_ratio(F.sum(F.col("total").cast("decimal(38,12)")).cast("double"), F.sum("n")).alias("m"))
+    la = labels.select("k", "seed", F.col("entity").alias("a"), F.col("label").alias("own"))
+    return _score(mean.join(la, ["k", "seed", "a"]), "k", "seed")
+
+
 def silhouette_of_profiles(profiles: DataFrame) -> DataFrame:
     """Mean silhouette of (entity, label, profile) by Euclidean distances: against blocks of a label's profiles, so that pairs never become rows."""
     blocks = in_blocks(profiles.select("entity", F.col("label").alias("other"), "profile"), "other")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from gridloom.functions import scalars as S
+from gridloom.operators import clustering as C
 from gridloom.operators import decomposition as D
 from gridloom.operators import drift as T
 from gridloom.operators import metrics as M
@@ -12,7 +14,8 @@ from gridloom.operators import profiles as P
 from gridloom.operators import relational as R
 from gridloom.operators import stats as X
 from gridloom.operators import survey as V
-from gridloom.plans.panel_queries import FACTS_SQL, GAINS_SQL, TYPE_SQL, USER_SQL, entity_gains, facts, type_grid, user_grid
+from gridloom.operators import warping
+from gridloom.plans.panel_queries import FACTS_SQL, GAINS_SQL, ORIGIN, TYPE_SQL, USER_SQL, entity_gains, facts, type_grid, user_grid
 from gridloom.plans.registry import Registry, r, rounded
 from gridloom.sources.tables import table
 
@@ -177,25 +180,61 @@ def silhouette(spark, sf):
     return rounded(P.silhouette_of_profiles(_embedded(spark, sf).withColumnRenamed("group", "label")))
 
 
-#: Numbers of clusters and seeds of the study.
-KS, KSEEDS = [2, 3, 4, 5, 6, 7, 8], [1, 2, 3, 4]
+#: Daily profiles of users: value per half-hour of the day, zero where there is none, as z-scores.
+DAY_SQL = """WITH RECURSIVE dc AS (SELECT user_id AS entity, CAST(hour(ts) * 2 + minute(ts) // 30 AS INT) AS s, sum(CAST(round(value * 100) AS BIGINT)) AS c FROM events GROUP BY 1, 2),
+ dv AS (SELECT u.entity, s.s, coalesce(c, 0) / 3000.0::DOUBLE AS v FROM (SELECT DISTINCT entity FROM dc) u CROSS JOIN (SELECT CAST(unnest(range(48)) AS INT) AS s) s LEFT JOIN dc ON dc.entity = u.entity AND dc.s = s.s),
+ dz AS (SELECT entity, s, v, (v - avg(v) OVER w) / greatest(stddev_pop(v) OVER w, 0.01) AS z, stddev_pop(v) OVER w < 0.01 AS low FROM dv WINDOW w AS (PARTITION BY entity)),
+ dp AS (SELECT entity, list(z ORDER BY s) AS p, bool_or(low) AS low FROM dz GROUP BY 1)"""
+#: Time warping of arrays of 48 slots, a row of the matrix for each turn: w is the last row with its edge.
+WARP_DAY = "dt AS (SELECT {1}, p, q, 0 AS t, list_prepend(0::DOUBLE, list_transform(range(48), lambda i: 'infinity'::DOUBLE)) AS w FROM {0} UNION ALL SELECT {1}, p, q, t + 1, list_reduce(list_transform(range(1, 49), lambda j: [pow(p[t + 1] - q[j], 2), w[j], w[j + 1]]), lambda a, x: list_append(a, x[1] + least(x[2], x[3], a[len(a)])), ['infinity'::DOUBLE]) FROM dt WHERE t < 48), wd AS (SELECT {1}, sqrt(w[49]) AS d FROM dt WHERE t = 48)"
 
 
-def _fits(spark, sf, ks, seeds):
-    return P.kmeans_runs(_weeks(spark, sf).select("entity", "profile"), ks, seeds)
+def _days(spark, sf):
+    """(entity, profile, low_signal) of all users: 48 half-hours of the day."""
+    cents = table(spark, sf, "events").groupBy(F.col("user_id").alias("entity"), (F.hour("ts") * 2 + F.floor(F.minute("ts") / 30)).cast("int").alias("s")).agg(F.sum(F.round(F.col("value") * 100).cast("long")).alias("c"))
+    held = cents.groupBy("entity").agg(F.map_from_entries(F.collect_list(F.struct("s", "c"))).alias("m"))
+    dense = held.select("entity", F.explode(F.sequence(F.lit(0), F.lit(47))).alias("s"), "m").select("entity", "s", (F.coalesce(F.col("m")[F.col("s")], F.lit(0)) / F.lit(3000.0)).alias("mean_value"))
+    z = P.z_scored(dense)
+    return z.groupBy("entity").agg(F.transform(F.array_sort(F.collect_list(F.struct("s", "z"))), lambda x: x["z"]).alias("profile"), F.bool_or("low_signal").alias("low_signal"))
+
+
+def _day_prototypes(spark, sf):
+    """Mean daily profile of each of 8 groups of users."""
+    long = _days(spark, sf).select((F.col("entity") % 8).cast("int").alias("gp"), F.posexplode("profile").alias("i", "v")).groupBy("gp", "i").agg(F.avg("v").alias("v"))
+    return P.as_arrays(long, "i", "v", "gp").select(F.col("gp").alias("prototype"), F.col("profile").alias("shape"))
+
+
+DAY_ASSIGNED = DAY_SQL + ", cn AS (SELECT gp, i, avg(v) AS v FROM (SELECT entity % 8 AS gp, unnest(range(1, 49)) AS i, unnest(p) AS v FROM dp) GROUP BY 1, 2), ct AS (SELECT gp AS prototype, list(v ORDER BY i) AS q FROM cn GROUP BY 1), pq AS (SELECT entity, prototype, p, q FROM dp CROSS JOIN ct), " + WARP_DAY.format("pq", "entity, prototype") + ", k AS (SELECT entity, prototype, d, row_number() OVER (PARTITION BY entity ORDER BY d, prototype) AS r FROM wd)"
+
+
+@query("warping_search", DAY_ASSIGNED + " SELECT entity, CAST(max(CASE WHEN r = 1 THEN prototype END) AS VARCHAR) AS assigned, CAST(max(CASE WHEN r = 2 THEN prototype END) AS VARCHAR) AS second, round(max(CASE WHEN r = 1 THEN d END), 6) AS nearest_distance, round(max(CASE WHEN r = 2 THEN d END), 6) AS second_distance, count(*) AS pairs FROM k GROUP BY 1")
+def warping_search(spark, sf):
+    """Nearest of the group means to each user's day, through the cascade of bounds; all pairs are accounted for."""
+    shapes = [(r["prototype"], np.array(r["shape"])) for r in _day_prototypes(spark, sf).collect()]  # a row for each of 8 groups
+    found = warping.search(_days(spark, sf), shapes)
+    return rounded(found.select("entity", "assigned", "second", "nearest_distance", "second_distance", (F.col("by_ends") + F.col("by_envelope") + F.col("early") + F.col("filled")).alias("pairs")))
+
+
+#: Numbers of clusters and seeds of the study: fixed values.
+BROAD_KS, BROAD_SEEDS = (2, 3, 4, 5, 6, 7, 8), (42, 123, 2026, 31415)
+FOCUSED_KS, FOCUSED_SEEDS = (4, 5, 6), (42, 123, 2026, 31415, 7, 11, 19, 31, 53, 71, 97, 131, 173, 211, 257, 307, 353, 401, 457, 509)
+FITS = sorted({(k, s) for k in BROAD_KS for s in BROAD_SEEDS} | {(k, s) for k in FOCUSED_KS for s in FOCUSED_SEEDS})
 
 
 @query("dtw_kmeans")
 def dtw_kmeans(spark, sf):
-    return P.cluster_sizes(_fits(spark, sf, KS, KSEEDS))
+    """The 76 fits of the study over daily profiles."""
+    done = C.study(_days(spark, sf), FITS)
+    return rounded(C.sizes(done.labels).join(F.broadcast(done.runs), ["k", "seed"]))
 
 
 @query("best_kmeans_run")
 def best_kmeans_run(spark, sf):
-    """Of the fits with four clusters, by the silhouettes over the matrix of warping distances."""
-    fits = _fits(spark, sf, [4], KSEEDS)
-    scores = P.silhouette(fits, P.dtw_pairs(_weeks(spark, sf).select("entity", "profile")), "k", "seed").select("k", "seed", "silhouette")
-    return P.best_run(P.cluster_sizes(fits).join(scores, ["k", "seed"]), F.col("least_share") > 0.01)
+    """Of the 20 fits with four clusters, by the silhouettes under time warping."""
+    days = _days(spark, sf)
+    done = C.study(days, [f for f in FITS if f[0] == 4])
+    scores = P.warped_silhouettes(days, done.labels.filter("not low_signal")).select("k", "seed", "silhouette")
+    return rounded(P.best_run(C.sizes(done.labels).join(scores, ["k", "seed"]), F.col("least_share") > 0.01))
 
 
 @query("group_slot_summary", DRIFT0 + ", s AS (SELECT gp, s, quantile_cont(mean_value, 0.5) AS m, quantile_cont(mean_value, 0.25) AS q25, quantile_cont(mean_value, 0.75) AS q75 FROM up GROUP BY 1, 2) SELECT gp, s, round(m, 6) AS median, round(q25, 6) AS q25, round(q75, 6) AS q75, round(q75 - q25, 6) AS iqr, m >= coalesce(lag(m) OVER w, m) AND m >= coalesce(lead(m) OVER w, m) AS local_maximum FROM s WINDOW w AS (PARTITION BY gp ORDER BY s)")
@@ -643,3 +682,18 @@ def linear_forecast(spark, sf):
     train, test = s.filter("slot < 24"), s.filter("slot >= 24 and domain = 'target'")
     p = A.predicted(test, A.fitted(train, 3))
     return rounded(M.pooled(p.withColumnRenamed("target", "actual"), "strategy"), 4)
+
+
+@query("network_forecast")
+def network_forecast(spark, sf):
+    """The convolutional and recurrent forecaster under the five transfer strategies: windows of seven days, few epochs."""
+    from gridloom.operators import grid as G
+    from gridloom.operators import network as N
+
+    g = user_grid(spark, sf).withColumn("value", F.coalesce("value", F.lit(0.0)))
+    scale = g.filter("slot < 20").groupBy("entity").agg(F.avg("value").alias("mean"), F.greatest(F.stddev_pop("value"), F.lit(0.01)).alias("std"))
+    windows = G.input_features(g, scale, 7, 1, ORIGIN, 86400).withColumn("domain", F.when(F.col("entity") % 2 == 0, "source").otherwise("target")).withColumn("recent", F.col("slot") >= 14)
+    rows = N.samples(windows, "entity", "slot", "domain", "recent")
+    fits = N.transfer(rows.filter("slot < 20"), rows.filter("slot between 20 and 23"), settings=N.Settings(batch=64, epochs=3, most_epochs=3))
+    p = N.predicted(rows.filter("slot >= 24 and domain = 'target'"), {n: f.weights for n, f in fits.items()})
+    return rounded(M.pooled(p.select("strategy", F.col("y").cast("double").alias("actual"), "predicted"), "strategy"), 4)

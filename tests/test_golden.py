@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import scalars as S
 from gridloom.functions import special
-from gridloom.operators import decomposition, forecast, grid, metrics, profiles, relational, resampling, stats, survey
+from gridloom.operators import clustering, decomposition, forecast, grid, metrics, profiles, relational, resampling, stats, survey, warping
 
 
 def frame(spark, columns, rows):
@@ -98,8 +98,10 @@ def test_silhouettes_of_fits(spark):
     d = np.stack([profiles.dtw_matrix(x, np.repeat(v[None], len(x), 0)) for v in x], 1)
     pairs = profiles.dtw_pairs(df)
     assert {(r["a"], r["b"]): pytest.approx(r["d"]) for r in pairs.collect()} == {(a, b): d[a, b] for a in range(21) for b in range(a + 1, 21)}
-    fits = profiles.kmeans_runs(df, [2, 3], [1, 2])
+    done = clustering.study(df, [(2, 1), (2, 2), (3, 1), (3, 2)])
+    fits = done.labels
     got = {(r["k"], r["seed"]): r["silhouette"] for r in profiles.silhouette(fits, pairs, "k", "seed").collect()}
+    assert {(r["k"], r["seed"]): pytest.approx(r["silhouette"]) for r in profiles.warped_silhouettes(df, fits).collect()} == got
     for (k, s), one in fits.toPandas().sort_values("entity").groupby(["k", "seed"]):
         label = one["label"].to_numpy()
         score = []
@@ -108,7 +110,7 @@ def test_silhouettes_of_fits(spark):
             inner, outer = mean.pop(label[i], None), min(v for c, v in mean.items() if c != label[i])
             score.append(0 if inner is None else (outer - inner) / max(inner, outer))
         assert got[k, s] == pytest.approx(np.mean(score))
-    best = profiles.best_run(profiles.cluster_sizes(fits).join(spark.createDataFrame([(k, s, v) for (k, s), v in got.items()], "k int, seed int, silhouette double"), ["k", "seed"])).first()
+    best = profiles.best_run(clustering.sizes(fits).join(spark.createDataFrame([(k, s, v) for (k, s), v in got.items()], "k int, seed int, silhouette double"), ["k", "seed"])).first()
     assert best["silhouette"] >= np.median(list(got.values()))
 
 
@@ -227,10 +229,126 @@ def test_partial_r2(spark):
     assert (got["r2_group"], got["r2_full"], got["partial_r2"]) == pytest.approx((one, two, (two - one) / (1 - one)))
 
 
-def test_kmeans_separates_shapes():
-    x = np.concatenate([np.eye(6)[[0]].repeat(8, 0), np.eye(6)[[5]].repeat(8, 0)]) + np.random.default_rng(0).normal(0, 0.01, (16, 6))
-    label, centres, inertia = profiles.dtw_kmeans(x, 2, 0)
-    assert len(set(label[:8])) == 1 and len(set(label[8:])) == 1 and label[0] != label[8] and math.isfinite(inertia)
+def plain_kmeans(x, centres, rounds, tolerance):
+    """The same rounds over one array, pair by pair."""
+
+    def matrix(c, v):
+        m = np.full((len(c) + 1, len(v) + 1), np.inf)
+        m[0, 0] = 0
+        for i in range(len(c)):
+            for j in range(len(v)):
+                m[i + 1, j + 1] = (c[i] - v[j]) ** 2 + min(m[i, j], m[i, j + 1], m[i + 1, j])
+        return m
+
+    before = np.inf
+    for n in range(1, rounds + 1):
+        every = [[matrix(c, v) for c in centres] for v in x]
+        d = np.array([[m[-1, -1] for m in row] for row in every])
+        label, inertia = d.argmin(1), d.min(1).mean()
+        new, empty = centres.copy(), [c for c in range(len(centres)) if not (label == c).any()]
+        for c in range(len(centres)):
+            held = [[] for _ in range(x.shape[1])]
+            for v, row in zip(x[label == c], [r for r, own in zip(every, label) if own == c]):
+                i, j = len(v) - 1, len(v) - 1
+                while i >= 0 and j >= 0:
+                    held[i].append(v[j])
+                    way = int(np.argmin([row[c][i, j], row[c][i, j + 1], row[c][i + 1, j]]))
+                    i, j = i - (way != 2), j - (way != 1)
+            if any(held):
+                new[c] = [np.mean(h) for h in held]
+        if empty:
+            new[empty[0]] = x[d.min(1).argmax()]
+        centres = new
+        if abs(before - inertia) < tolerance:
+            break
+        before = inertia
+    d = np.array([[matrix(c, v)[-1, -1] for c in centres] for v in x])
+    return d.argmin(1), centres, np.sqrt(d.min(1)), n
+
+
+def test_kmeans_rounds(spark):
+    """All fits at once, over several tasks, against one array; rows of low signal are labelled, not fitted on."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (40, 12)).cumsum(1)
+    low = rng.random(40) < 0.2
+    df = frame(spark, "entity int, profile array<double>, low_signal boolean", [(i, v.tolist(), bool(s)) for i, (v, s) in enumerate(zip(x, low))]).repartition(3)
+    fits = [(2, 1), (3, 1), (3, 2), (5, 9), (1, 0)]
+    done = clustering.study(df, fits)
+    keyed = df.filter("not low_signal").select(F.xxhash64("entity").alias("key"), "profile")
+    began = clustering.starts(keyed, fits)
+    assert all(any(np.array_equal(c, v) for v in x[~low]) for f in fits for c in began[f]) and all(len(began[f]) == f[0] for f in fits)
+    runs = {(r["k"], r["seed"]): r for r in done.runs.collect()}
+    labels = done.labels.toPandas()
+    for f in fits:
+        _, centres, _, n = plain_kmeans(x[~low], began[f], 100, 1e-6)
+        label, distance = assigned(x, centres)
+        mine = labels[(labels["k"] == f[0]) & (labels["seed"] == f[1])].sort_values("entity")
+        assert np.allclose(done.centres[f], centres, atol=1e-8) and runs[f]["rounds"] == n and runs[f]["settled"]
+        assert (mine["label"].to_numpy() == label).all() and np.allclose(mine["distance"], distance)
+    got = {(r["k"], r["seed"]): r for r in clustering.sizes(done.labels).collect()}
+    for f in fits:
+        label, distance = assigned(x, done.centres[f])
+        n = np.bincount(label)
+        n = n[n > 0]
+        shares = [low[label == c].mean() for c in set(label)]
+        assert (got[f]["clusters"], got[f]["least_share"], got[f]["size_cv"]) == (len(n), pytest.approx(n.min() / 40), pytest.approx(n.std() / n.mean()))
+        assert (got[f]["inertia"], got[f]["largest_low_signal_share"]) == (pytest.approx((distance[~low] ** 2).mean()), pytest.approx(max(shares)))
+
+
+def assigned(x, centres):
+    d = np.stack([profiles.dtw_matrix(x, np.repeat(c[None], len(x), 0)) for c in centres], 1)
+    return d.argmin(1), d.min(1)
+
+
+def test_kmeans_odd_profiles(spark):
+    """Equal profiles, an empty cluster that takes the farthest one, and no profiles."""
+    same = frame(spark, "entity string, profile array<double>", [(str(i), [1.0, 2.0]) for i in range(5)])
+    done = clustering.study(same, [(3, 1)])
+    assert {r["label"] for r in done.labels.collect()} == {0} and done.runs.first()["settled"]
+    two = frame(spark, "entity int, profile array<double>", [(i, [float(i // 4 * 10)] * 3) for i in range(8)])
+    done = clustering.study(two, [(2, 0)], begin={(2, 0): np.array([[0.0] * 3, [90.0] * 3])})
+    assert sorted(r["label"] for r in done.labels.collect()) == [0] * 4 + [1] * 4
+    none = clustering.study(same.limit(0), [(2, 1)])
+    assert none.labels.count() == none.runs.count() == 0
+
+
+def test_starts_follow_distances(spark):
+    """The first centre is any row alike; the second one is drawn in proportion to squared distances."""
+    df = frame(spark, "key long, profile array<double>", [(k, [v, v]) for k, v in enumerate((0.0, 1.0, 3.0))])
+    found = clustering.starts(df, [(2, s) for s in range(600)])
+    first = np.array([c[0][0] for c in found.values()])
+    assert all(abs((first == v).mean() - 1 / 3) < 0.07 for v in (0, 1, 3))
+    second = np.array([c[1][0] for c in found.values() if c[0][0] == 0])
+    assert abs((second == 3).mean() - 0.9) < 0.07
+
+
+def test_nearest_shapes_by_bounds(spark):
+    rng = np.random.default_rng(5)
+    x, shapes = rng.normal(0, 1, (200, 48)).cumsum(1), rng.normal(0, 1, (9, 48)).cumsum(1)
+    x[:3], shapes[4] = shapes[:3], shapes[2]  # exact hits and a tie
+    who, best, ended = warping.nearest_two(x, shapes)
+    d = warping.all_squared(x, shapes)
+    order = np.argsort(d, 1, kind="stable")[:, :2]
+    assert (who == order).all() and np.array_equal(best, np.take_along_axis(d, order, 1))
+    assert (ended.sum(1) == 9).all() and ended[:, 3].sum() < 0.6 * 9 * 200 and (ended.sum(0) > 0).all()
+    bound = np.stack([warping.envelope(warping.least_costs(x, c), x, c) for c in shapes], 1)
+    assert (bound <= d + 1e-9).all() and (warping.ends(x, shapes) <= d + 1e-9).all()
+    one = warping.search(frame(spark, "entity int, profile array<double>", [(0, [1.0, 2.0])]), [("a", np.array([1.0, 4.0]))]).first()
+    assert (one["assigned"], one["second"], one["nearest_distance"], one["second_distance"], one["filled"]) == ("a", None, 2.0, None, 1)
+
+
+def test_pairs_of_blocks(spark, monkeypatch):
+    """Blocks go by number, whatever order rows arrive in."""
+    monkeypatch.setattr(profiles, "BLOCK", 8)
+    x = np.random.default_rng(1).normal(0, 1, (50, 4))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    for seed in range(2):
+        np.random.default_rng(seed).shuffle(rows)
+        got = profiles.dtw_pairs(frame(spark, "entity int, profile array<double>", rows).repartition(7)).collect()
+        assert {(r["a"], r["b"]) for r in got} == {(a, b) for a in range(50) for b in range(a + 1, 50)} and len(got) == 50 * 49 // 2
+
+
+def test_assignment():
     assert profiles.best_assignment(np.array([[5.0, 1.0, 9.0], [1.0, 5.0, 9.0]])) == [1, 0]
 
 
