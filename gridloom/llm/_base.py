@@ -108,6 +108,15 @@ def held_out(doc_id: Column, parts: int, rest: int = 2) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts)) == rest, F.lit(False))
 
 
+def free(docs: DataFrame, name: str) -> str:
+    """A column name that docs do not have."""
+    taken = {c.lower() for c in docs.columns}
+    found = f"__{name}__"
+    while found in taken:
+        found += "_"
+    return found
+
+
 def one_of_each(docs: DataFrame, found: DataFrame, id_col: str, mark: Column) -> DataFrame:
     """docs with one row of each group, all columns; found has (id, mark, grp) for each row of docs in a group.
 
@@ -116,20 +125,21 @@ def one_of_each(docs: DataFrame, found: DataFrame, id_col: str, mark: Column) ->
     which of them is not defined. The table of dropped rows is narrow, so that Spark may find it
     small enough to broadcast and need not shuffle texts.
     """
+    at, own = free(docs, "id"), free(docs, "mark")
     order = F.struct(F.col("id").isNull().alias("late"), "id", "mark")
     best = found.groupBy("grp").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("grp", "best.id", "best.mark")
-    best = spill(best.toDF("grp", "__id__", "__mark__"), "kept")
+    best = spill(best.toDF("grp", at, own), "kept")
     members = found.join(best, "grp")
-    same = F.col("id").eqNullSafe(F.col("__id__")) & (F.col("mark") == F.col("__mark__"))
-    drop = spill(members.filter(~same).select(F.col("id").alias("__id__"), F.col("mark").alias("__mark__")).distinct(), "dropped")
-    again = spill(members.filter(same).groupBy("__id__", "__mark__").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "again")
+    same = F.col("id").eqNullSafe(F.col(at)) & (F.col("mark") == F.col(own))
+    drop = spill(members.filter(~same).select(F.col("id").alias(at), F.col("mark").alias(own)).distinct(), "dropped")
+    again = spill(members.filter(same).groupBy(at, own).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "again")
     forget(best)
 
     def those(rows: DataFrame, table: DataFrame, how: str) -> DataFrame:
-        return rows.join(table, rows[id_col].eqNullSafe(table["__id__"]) & (mark == table["__mark__"]), how)
+        return rows.join(table, rows[id_col].eqNullSafe(table[at]) & (mark == table[own]), how)
 
     kept = those(docs, drop, "left_anti")
     if again.isEmpty():
         return kept
-    twice = those(docs, again, "left_semi").withColumn("__mark__", mark).dropDuplicates([id_col, "__mark__"]).select(*docs.columns)
+    twice = those(docs, again, "left_semi").withColumn(own, mark).dropDuplicates([id_col, own]).select(*docs.columns)
     return those(kept, again, "left_anti").union(twice)

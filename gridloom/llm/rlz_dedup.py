@@ -173,7 +173,8 @@ def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     go. Rows that repeat an id don't remove each other's words, rows without an id lose none.
     """
     _base.ready(docs.sparkSession)
-    found = spans(docs, id_col, text_col, window, gram, group).withColumnsRenamed({"key": "__key__", "begin": "__begin__", "until": "__until__"})
+    key, begin, until = (_base.free(docs, x) for x in ("key", "begin", "until"))
+    found = spans(docs, id_col, text_col, window, gram, group).withColumnsRenamed({"key": key, "begin": begin, "until": until})
     place, n = docs.columns.index(text_col), len(docs.columns)
     finish = _finished(window, "id")
 
@@ -192,7 +193,7 @@ def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 cols = [done.column("kept") if i == place else part.column(i) for i in range(n)]
                 yield pa.RecordBatch.from_arrays(cols, schema=rest.select(range(n)).schema).filter(pa.array(left))
 
-    keyed = docs.withColumn("__key__", _base.row_key(docs[id_col], docs[text_col])).join(found, "__key__", "left").select(*[docs[c] for c in docs.columns], "__begin__", "__until__")
+    keyed = docs.withColumn(key, _base.row_key(docs[id_col], docs[text_col])).join(found, key, "left").select(*docs.columns, begin, until)
     return keyed.mapInArrow(run, docs.schema)
 
 

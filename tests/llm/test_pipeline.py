@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 
 import corpus_pipeline as cp
-from gridloom.llm import _base
+from gridloom.llm import _base, toxicity
 from tests.conftest import SF
 from tests.llm import brute
 
@@ -24,7 +24,10 @@ def test_stages(spark):
             assert docs.columns == columns
     assert list(stages) == ["toxicity", "exact dedup", "near dedup", "substring dedup", "packing"]
     before, after = tables["toxicity"]
-    toxic = set(_base.table(spark, SF, "labels").filter("toxic = 1").toPandas()["doc_id"])
+    labels = _base.table(spark, SF, "labels")
+    scores = toxicity.scored(_base.table(spark, SF, "documents"), toxicity.train(_base.table(spark, SF, "documents"), labels)).toPandas().set_index("doc_id")["predicted"]
+    assert set(after["doc_id"]) == {i for i in before["doc_id"] if not scores[i]}
+    toxic = set(labels.filter("toxic = 1").toPandas()["doc_id"]) & set(before["doc_id"])
     gone = set(before["doc_id"]) - set(after["doc_id"])
     assert len(gone - toxic) < 0.02 * len(before)
     before, after = tables["exact dedup"]
@@ -49,6 +52,17 @@ def test_stages(spark):
     assert set(after["doc_id"]) == set(whole)
 
 
+def test_toxic_documents_go_and_others_stay(spark):
+    """On a table with enough labels to learn from: a stage that drops all rows fails here, and so does one that drops none."""
+    sf = SF.replace("0.001", "0.01")
+    docs, labels = (_base.table(spark, sf, x) for x in ("documents", "labels"))
+    left = {r["doc_id"] for r in cp.drop_toxic(spark, docs, sf).select("doc_id").collect()}
+    known = labels.toPandas().set_index("doc_id")["toxic"]
+    toxic, clean = (set(known.index[known == y]) for y in (1, 0))
+    assert len(toxic - left) > 0.6 * len(toxic) and len(clean & left) > 0.97 * len(clean)
+    assert len(left) > 0.85 * docs.count()
+
+
 def test_run(spark):
     assert cp.run(spark, SF).count() > 0
     assert cp.ORACLE_SQL is None
@@ -64,8 +78,8 @@ def test_sql_queries(spark, duck):
 
 def _odd(spark, odd_rows):
     """The odd rows with the columns that the pipeline's documents have, and columns named like the stages' own."""
-    rows = [(i, t, len(t or ""), 7, "k", "m", "b") for i, t in odd_rows]
-    return spark.createDataFrame(rows, "doc_id long, text string, n_chars long, __id long, __key string, __drop string, begin string").repartition(3)
+    rows = [(i, t, len(t or ""), 7, "k", "m", "b", "x", 5, "y", 2.0, [1]) for i, t in odd_rows]
+    return spark.createDataFrame(rows, "doc_id long, text string, n_chars long, __id long, __key string, __drop string, begin string, __mark__ string, __ID__ int, __key__ string, __begin__ double, __until__ array<int>").repartition(3)
 
 
 def _pairs(df):
@@ -75,8 +89,13 @@ def _pairs(df):
 def test_stages_on_odd_rows(spark, odd_rows, tmp_path):
     """Nulls, empty and very long texts, ties, repeated rows and ids, clashing names: each stage against its plain version on its own input."""
     docs = _odd(spark, odd_rows)
-    spark.createDataFrame([(1, 1), (2, 0), (3, 0), (None, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    assert _pairs(cp.drop_toxic(spark, docs, str(tmp_path))) <= Counter(odd_rows)
+    labels = spark.createDataFrame([(i, int(300 <= i < 308)) for i in (*range(20), *range(100, 106), *range(300, 308), 505, 506)] + [(None, 1)], "doc_id long, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    told = toxicity.scored(docs, toxicity.train(docs, labels)).toPandas()
+    left = Counter(i if i == i else None for i, p in zip(told["doc_id"], told["predicted"]) if not p)
+    out = cp.drop_toxic(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    assert Counter(i for i, _ in _pairs(out).elements()) == left and _pairs(out) <= Counter(odd_rows)
     out = cp.drop_copies(spark, docs, str(tmp_path))
     assert out.columns == docs.columns
     groups = {}
