@@ -117,30 +117,6 @@ def in_blocks(profiles: DataFrame, *by: str) -> DataFrame:
     return dealt.withColumn("b", F.pmod(F.xxhash64("entity"), F.col("__n"))).groupBy(*by, "b").agg(F.array_sort(F.collect_list(held)).alias("block"))
 
 
-def neighbour_support(targets: DataFrame, sources: DataFrame, *ks: int) -> DataFrame:
-    """For each target (entity, group, profile) and each k, the mean distance of its k nearest sources of its group, and the share of sources whose own such mean is at least as large; the same share for the distance to the sources' mean profile (centrality).
-
-    A block of sources gives its k nearest at once; these few are merged for each entity. Shares come
-    from one running count over targets and sources in order of distance.
-    """
-    most = max(ks)
-    blocks = in_blocks(sources, "group")
-    every = targets.select("entity", "group", "profile", F.lit(False).alias("is_source")).union(sources.select("entity", "group", "profile", F.lit(True)))
-    near = F.transform(F.filter("block", lambda s: s["entity"] != F.col("entity")), lambda s: F.struct(euclidean(F.col("profile"), s["profile"], per_slot=True).alias("d"), s["entity"].alias("other")))
-    first = every.join(blocks, "group").select("entity", "group", "is_source", F.slice(F.array_sort(near), 1, most).alias("near"))
-    merged = first.groupBy("entity", "group", "is_source").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, most).alias("near"))
-    mean = lambda k: F.aggregate(F.slice("near", 1, k), F.lit(0.0), lambda s, x: s + x["d"]) / F.size(F.slice("near", 1, k))
-    centre = sources.select("group", F.posexplode("profile").alias("i", "v")).groupBy("group", "i").agg(F.avg("v").alias("v"))
-    centres = as_arrays(centre, "i", "v", "group").withColumnRenamed("profile", "centre")  # one row a group
-    apart = every.join(F.broadcast(centres), "group").select("entity", "group", "is_source", euclidean(F.col("profile"), F.col("centre"), per_slot=True).alias("centre_distance"))
-    out = merged.select("entity", "group", "is_source", *(F.when(F.size("near") > 0, mean(k)).alias(f"support_distance_{k}") for k in ks)).join(apart, ["entity", "group", "is_source"])
-    for v, share in [*((f"support_distance_{k}", f"support_percentile_{k}") for k in ks), ("centre_distance", "centrality_percentile")]:
-        own = Window.partitionBy("group")
-        at_least = F.sum(F.col("is_source").cast("int")).over(own.orderBy(F.desc(v)).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-        out = out.withColumn(share, 100 * at_least / F.sum(F.col("is_source").cast("int")).over(own))
-    return out.filter("not is_source").drop("is_source")
-
-
 # ---- clusterings ------------------------------------------------------------------------------
 
 
@@ -264,23 +240,41 @@ def best_run(runs: DataFrame, *gates: Column) -> DataFrame:
 
 
 def best_assignment(cost: np.ndarray) -> list[int]:
-    """The columns, one for each row, of least total cost (columns may be more than rows); the first in order on ties.
+    """The columns, one for each row, of least total cost; columns may be more than rows, not fewer.
 
-    Dynamic programming over sets of columns, for the few prototypes of a clustering.
+    Rows come one after another, each by the cheapest alternating path to a free column (a shortest
+    path under prices that keep all reduced costs above zero): a cube of the size in all.
     """
     rows, columns = cost.shape
-    best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
-    for i in range(rows):
-        after: dict[int, tuple[float, list[int]]] = {}
-        for used, (total, chosen) in best.items():
-            for j in range(columns):
-                if not used >> j & 1:
-                    new = (total + float(cost[i, j]), [*chosen, j])
-                    key = used | 1 << j
-                    if key not in after or new < after[key]:
-                        after[key] = new
-        best = after
-    return min(best.values())[1]
+    if rows > columns:
+        raise ValueError("more rows than columns")
+    row_price, column_price = np.zeros(rows), np.zeros(columns)
+    row_of = np.full(columns, -1)
+    for start in range(rows):
+        distance, before, done = np.full(columns, np.inf), np.full(columns, -1), np.zeros(columns, bool)
+        row, reached, column = start, 0.0, -1
+        while True:
+            way = reached + cost[row] - row_price[row] - column_price
+            shorter = ~done & (way < distance)
+            distance[shorter], before[shorter] = way[shorter], column
+            open_ = np.where(done, np.inf, distance)
+            column = int(open_.argmin())
+            reached = open_[column]
+            done[column] = True
+            if row_of[column] < 0:
+                break
+            row = row_of[column]
+        settled = done & (distance < reached)
+        row_price[start] += reached
+        row_price[row_of[settled]] += reached - distance[settled]
+        column_price[settled] -= reached - distance[settled]
+        while column >= 0:  # back along the path
+            previous = before[column]
+            row_of[column] = start if previous < 0 else row_of[previous]
+            column = previous
+    out = np.full(rows, -1)
+    out[row_of[row_of >= 0]] = np.flatnonzero(row_of >= 0)
+    return out.tolist()
 
 
 def matched_prototypes(a: DataFrame, b: DataFrame) -> DataFrame:

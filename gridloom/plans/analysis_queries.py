@@ -10,6 +10,7 @@ from gridloom.operators import clustering as C
 from gridloom.operators import decomposition as D
 from gridloom.operators import drift as T
 from gridloom.operators import metrics as M
+from gridloom.operators import neighbours as K
 from gridloom.operators import profiles as P
 from gridloom.operators import relational as R
 from gridloom.operators import stats as X
@@ -135,10 +136,18 @@ def dtw_silhouette(spark, sf):
     return rounded(P.silhouette(w.select("entity", F.col("gp").alias("label")), P.dtw_pairs(w.select("entity", "profile"))))
 
 
-@query("prototype_matching", WEEK_SQL + ", cn AS (SELECT gp, i, avg(v) AS v FROM (SELECT gp, unnest(range(1, 8)) AS i, unnest(p) AS v FROM wp) GROUP BY 1, 2), dd AS (SELECT x.gp AS a, y.gp AS b, sqrt(avg(pow(x.v - y.v, 2))) AS d FROM cn x JOIN cn y ON x.i = y.i GROUP BY 1, 2) SELECT a AS prototype, b AS matched, round(d, 6) AS distance FROM dd WHERE a = b")
+_SHAPES = "{0} AS (SELECT k, i, avg(v) AS v FROM (SELECT entity % {1} AS k, unnest(range(1, 8)) AS i, unnest(p) AS v FROM wp) GROUP BY 1, 2)"
+
+
+@query("prototype_matching", WEEK_SQL + ", " + _SHAPES.format("ca", 4) + ", " + _SHAPES.format("cb", 5) + ", dd AS (SELECT x.k AS a, y.k AS b, sqrt(avg(pow(x.v - y.v, 2))) AS d FROM ca x JOIN cb y ON x.i = y.i GROUP BY 1, 2), best AS (SELECT [w.b, x.b, y.b, z.b] AS bs, [w.d, x.d, y.d, z.d] AS ds FROM dd w JOIN dd x ON x.a = 1 AND x.b <> w.b JOIN dd y ON y.a = 2 AND y.b NOT IN (w.b, x.b) JOIN dd z ON z.a = 3 AND z.b NOT IN (w.b, x.b, y.b) WHERE w.a = 0 ORDER BY w.d + x.d + y.d + z.d LIMIT 1) SELECT CAST(i - 1 AS INT) AS prototype, CAST(bs[i] AS INT) AS matched, round(ds[i], 6) AS distance FROM best, (SELECT unnest(range(1, 5)) AS i)")
 def prototype_matching(spark, sf):
-    p = _week_prototypes(spark, sf)
-    return rounded(P.matched_prototypes(p, p))
+    """Mean weeks of four groups of users, each matched with that of another one of five groups."""
+
+    def shapes(k: int):
+        long = _weeks(spark, sf).select((F.col("entity") % k).cast("int").alias("k"), F.posexplode("profile").alias("i", "v")).groupBy("k", "i").agg(F.avg("v").alias("v"))
+        return P.as_arrays(long, "i", "v", "k").select(F.col("k").alias("prototype"), F.col("profile").alias("shape"))
+
+    return rounded(P.matched_prototypes(shapes(4), shapes(5)))
 
 
 @query("correlation_distance", PROTO_SQL + ", w AS (SELECT u.vec_id AS entity, 1 - covar_pop(u.v, c.c) / (stddev_pop(u.v) * stddev_pop(c.c)) AS distance FROM u JOIN c ON c.i = u.i AND c.label = u.label GROUP BY 1) SELECT entity, round(distance, 6) AS distance FROM w")
@@ -155,7 +164,7 @@ def correlation_distance(spark, sf):
 def knn_support(spark, sf):
     e = _embedded(spark, sf)
     # Every fourth entity is a target, all others are sources: each is one of them.
-    return rounded(P.neighbour_support(e.filter("entity % 4 = 0"), e.filter("entity % 4 <> 0"), 10, 25))
+    return rounded(K.support(e.filter("entity % 4 = 0"), e.filter("entity % 4 <> 0"), 10, 25))
 
 
 RAND_SQL = NEAREST_SQL + ", lb AS (SELECT a.assigned, x.label FROM a JOIN x ON x.vec_id = a.entity), n AS (SELECT assigned, label, count(*) AS n FROM lb GROUP BY 1, 2), cc AS (SELECT sum(n * (n - 1) / 2) AS cells, sum(n) AS total FROM n)"
@@ -488,10 +497,10 @@ def survey_linkage(spark, sf):
     return V.linkage(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang"), table(spark, sf, "labels").select(F.col("doc_id").alias("id")), "id", "lang")
 
 
-@query("survey_only_ids", "SELECT DISTINCT doc_id AS id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+@query("survey_only_ids", "SELECT DISTINCT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
 def survey_only_ids(spark, sf):
-    """Labelled documents outside the cohort, which is the English ones."""
-    return V.only_answered(table(spark, sf, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("id")), table(spark, sf, "labels").select(F.col("doc_id").alias("id")), "id")
+    """Documents that the cohort, those with a vector, does not have."""
+    return V.only_answered(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id")), table(spark, sf, "documents").select(F.col("doc_id").alias("id")), "id")
 
 
 @query("availability_by_group", "WITH d AS (SELECT source AS g, lang AS k FROM documents), c AS (SELECT a.g, b.k, (SELECT count(*) FROM d WHERE d.g = a.g AND d.k = b.k) AS n FROM (SELECT DISTINCT g FROM d) a CROSS JOIN (VALUES ('en'), ('fr'), ('de'), ('es'), ('it')) b(k)) SELECT g, k, n, round(100 * n / sum(n) OVER (PARTITION BY g), 6) AS percent, n < 5 AS rare FROM c")

@@ -368,12 +368,12 @@ def wide_core(spark, sf):
     return rounded(m.groupBy("entity").pivot("k", [f"{s}_{h}" for s in STRATEGIES for h in DAY_LEADS]).agg(F.avg("mae")))
 
 
-@query("strategy_self_join", ENTITY_SQL + " SELECT coalesce(a.entity, b.entity) AS entity, coalesce(a.lead, b.lead) AS lead, round(a.mae, 6) AS focal, round(b.mae, 6) AS comparator FROM (SELECT * FROM m WHERE strategy = 'direct' AND seed = 1 AND observations >= 5) a FULL JOIN (SELECT * FROM m WHERE strategy = 'full' AND seed = 1 AND mae <= 60) b ON a.entity = b.entity AND a.lead = b.lead")
+@query("strategy_self_join", FACTS_SQL + "SELECT coalesce(a.entity, b.entity) AS entity, coalesce(a.slot, b.slot) AS slot, round(abs(a.predicted - a.actual), 6) AS focal, round(abs(b.predicted - b.actual), 6) AS comparator FROM (SELECT * FROM f WHERE strategy = 'direct' AND seed = 1 AND lead = 1) a FULL JOIN (SELECT * FROM f WHERE strategy = 'full' AND seed = 1 AND lead = 2) b ON a.entity = b.entity AND a.slot = b.slot")
 def strategy_self_join(spark, sf):
-    m = entity_metrics(spark, sf).filter("seed = 1")
-    a = m.filter("strategy = 'direct' and observations >= 5").select("entity", "lead", F.col("mae").alias("focal"))
-    b = m.filter("strategy = 'full' and mae <= 60").select("entity", "lead", F.col("mae").alias("comparator"))
-    return rounded(a.join(b, ["entity", "lead"], "full"))
+    """Errors of two strategies at two leads, row by row: targets that one of them can't forecast keep the other's."""
+    f = facts(spark, sf).filter("seed = 1")
+    side = lambda strategy, lead, name: f.filter((F.col("strategy") == strategy) & (F.col("lead") == lead)).select("entity", "slot", F.abs(F.col("predicted") - F.col("actual")).alias(name))
+    return rounded(side("direct", 1, "focal").join(side("full", 2, "comparator"), ["entity", "slot"], "full"))
 
 
 @query("bias_contrasts", FACTS_SQL + "SELECT entity, lead, seed, round(avg(CASE WHEN strategy = 'direct' THEN error END) - avg(CASE WHEN strategy = 'limited' THEN error END), 6) AS direct_less_limited, round(avg(CASE WHEN strategy = 'full' THEN error END) - avg(CASE WHEN strategy = 'direct' THEN error END), 6) AS full_less_direct FROM f GROUP BY 1, 2, 3")

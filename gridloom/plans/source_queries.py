@@ -9,7 +9,7 @@ from gridloom.operators import metrics as M
 from gridloom.plans import config
 from gridloom.plans.panel_queries import DAYS, ENTITY_SQL, FACTS_SQL, LOOKBACK, TYPE_SQL, USER_SQL, entity_metrics, facts, pooled_metrics, type_grid, user_grid
 from gridloom.plans.registry import Registry, r, rounded
-from gridloom.sources import ingest
+from gridloom.sources import commits, ingest, rowgroups, workbooks
 from gridloom.sources.scratch import scratch
 from gridloom.sources.tables import table
 
@@ -111,12 +111,78 @@ def report_tables(spark, sf):
     return out
 
 
-@query("config_audit", "SELECT 'model.lookback' AS path, 'a' AS config, '12' AS value UNION ALL SELECT 'model.lookback', 'b', '24'")
+BALANCES = "SELECT n_name AS nation, count(*) AS customers, sum(CAST(round(c_acctbal * 100) AS BIGINT)) AS cents FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1"
+
+
+def _book(spark, sf) -> tuple[str, list[str]]:
+    """A workbook of two sheets: balances of customers by nation, and the regions. Its path, and the nations in order."""
+    found = table(spark, sf, "customer").join(F.broadcast(table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    found = found.groupBy(F.col("n_name").alias("nation")).agg(F.count(F.lit(1)).alias("customers"), F.sum(F.round(F.col("c_acctbal") * 100).cast("long")).alias("cents")).orderBy("nation")
+    balances = [tuple(r) for r in found.collect()]  # a row for each nation
+    regions = [(r["r_name"], r["r_regionkey"]) for r in table(spark, sf, "region").collect()]
+    path = f"{scratch(spark, 'book')}.xlsx"
+    workbooks.write_workbook(path, {"balances": (found.columns, balances), "regions": (["name", "key"], regions)})
+    return path, [n for n, *_ in balances]
+
+
+@query("workbook_scan", f"WITH b AS ({BALANCES}) SELECT 'balances' AS sheet, nation AS name, CAST(customers AS VARCHAR) AS value FROM b WHERE nation < 'NATION_2' UNION ALL SELECT 'regions', r_name, CAST(r_regionkey AS VARCHAR) FROM region")
+def workbook_scan(spark, sf):
+    """A range of cells of a workbook's first sheet, and its second sheet as a whole."""
+    path, nations = _book(spark, sf)
+    one = workbooks.workbook(spark, path, "balances", f"A1:B{sum(n < 'NATION_2' for n in nations) + 1}", rows=7).select(F.lit("balances").alias("sheet"), F.col("nation").alias("name"), F.col("customers").alias("value"))
+    return one.union(workbooks.workbook(spark, path, "regions").select(F.lit("regions"), "name", "key"))
+
+
+@query("workbook_sheets", f"WITH b AS ({BALANCES}) SELECT 0 AS place, 'balances' AS sheet, concat('A1:C', count(*) + 1) AS cells, count(*) + 1 AS rows, 3 * (count(*) + 1) AS filled FROM b UNION ALL SELECT 1, 'regions', concat('A1:B', count(*) + 1), count(*) + 1, 2 * (count(*) + 1) FROM region")
+def workbook_sheets(spark, sf):
+    """The inventory of a workbook's sheets."""
+    return workbooks.sheets(spark, _book(spark, sf)[0])
+
+
+@query("row_group_batches", "SELECT event_type, count(*) AS samples, count(DISTINCT event_id) AS distinct_samples, 0 AS gaps, true AS same_again, true AS other_epoch_differs FROM events GROUP BY 1")
+def row_group_batches(spark, sf):
+    """Samples of each split in batches from shuffled row groups: each sample once, batches without gaps, the same for an epoch and others for the next one."""
+    out = None
+    path = scratch(spark, "events")
+    table(spark, sf, "events").select("event_id", "event_type").repartition(4, "event_id").write.option("parquet.block.row.count.limit", 500).parquet(path)
+    for split in sorted(r[0] for r in table(spark, sf, "events").select("event_type").distinct().collect()):
+        one, again, other = (rowgroups.batches(spark, path, 7, epoch, 128, ["event_id"], ("event_type", split)) for epoch in (1, 1, 2))
+        sign = lambda df: df.agg(F.sum(F.xxhash64("event_id", "part", "batch", "place").cast("decimal(20,0)")).alias("s"))
+        gaps = one.groupBy("part", "batch").agg(F.count(F.lit(1)).alias("n"), F.max("place").alias("last")).agg(F.count_if(F.col("n") != F.col("last") + 1).cast("int").alias("gaps"))
+        counts = one.agg(F.lit(split).alias("event_type"), F.count(F.lit(1)).alias("samples"), F.count_distinct("event_id").alias("distinct_samples"))
+        a, b, c = (sign(x).withColumnRenamed("s", n) for x, n in ((one, "a"), (again, "b"), (other, "c")))
+        row = counts.crossJoin(F.broadcast(gaps)).crossJoin(F.broadcast(a)).crossJoin(F.broadcast(b)).crossJoin(F.broadcast(c))  # one row each
+        row = row.select("event_type", "samples", "distinct_samples", "gaps", (F.col("a") == F.col("b")).alias("same_again"), (F.col("a") != F.col("c")).alias("other_epoch_differs"))
+        out = row if out is None else out.union(row)
+    return out
+
+
+@query("committed_tables", " UNION ALL ".join(f"SELECT '{kind}' AS kind, event_type, count(*) AS rows, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY ALL" for kind in ("parquet", "csv", "json")))
+def committed_tables(spark, sf):
+    """A table written in each kind by the sink with one commit, and read again by Spark."""
+    df = table(spark, sf, "events").select("event_id", "event_type", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    out = None
+    for kind in ("parquet", "csv", "json"):
+        path = scratch(spark, "committed")
+        commits.write(df, path, kind, rows=1000)
+        read = spark.read.schema("event_id long, event_type string, cents long")
+        back = {"parquet": lambda: read.parquet(path), "csv": lambda: read.csv(path, header=True), "json": lambda: read.json(path)}[kind]()
+        one = back.groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"), F.sum("cents").alias("cents")).select(F.lit(kind).alias("kind"), "event_type", "rows", "cents")
+        out = one if out is None else out.union(one)
+    return out
+
+
+SETTINGS = {"window.slots": "count(DISTINCT date_trunc('hour', ts))", "window.first": "strftime(min(ts), '%Y-%m-%d')", "scale.floor": "'0.01'", "scale.kind": "'z'", "rows": "count(*)"}
+
+
+@query("config_audit", "WITH c AS (SELECT event_type AS config, " + ", ".join(f'CAST({v} AS VARCHAR) AS "{k}"' for k, v in SETTINGS.items()) + " FROM events GROUP BY 1), l AS (" + " UNION ALL ".join(f"""SELECT '{k}' AS path, config, "{k}" AS value FROM c""" for k in SETTINGS) + " UNION ALL SELECT 'scale.offset', config, NULL FROM c), s AS (SELECT path, count(DISTINCT value) AS n, count(value) AS k, count(*) AS m FROM l GROUP BY 1) SELECT path, config, value FROM l JOIN s USING (path) WHERE n > 1 OR (k > 0 AND k < m) OR k = 0")
 def config_audit(spark, sf):
-    """Settings that should be the same in all runs and aren't."""
-    runs = {"a": {"model": {"lookback": LOOKBACK, "days": DAYS}}, "b": {"model": {"lookback": 24, "days": DAYS}}}
-    rows = [(p, n, str(v)) for p, found in config.differences(runs, ["model.lookback", "model.days"]) for n, v in found.items()]
-    return spark.createDataFrame(rows, "path string, config string, value string")
+    """Settings stored for each run, a nested JSON document each, that should be the same in all runs and aren't, or that a run lacks."""
+    e = table(spark, sf, "events").groupBy(F.col("event_type").alias("config")).agg(F.count_distinct(F.date_trunc("hour", "ts")).alias("slots"), F.date_format(F.min("ts"), "yyyy-MM-dd").alias("first"), F.count(F.lit(1)).alias("rows"))
+    path = scratch(spark, "configs")
+    e.select("config", F.struct(F.struct("slots", "first").alias("window"), F.struct(F.lit("0.01").alias("floor"), F.lit("z").alias("kind")).alias("scale"), "rows").alias("settings")).write.json(path)
+    stored = spark.read.schema("config string, settings string").json(path)
+    return config.departures(stored, "config", "settings", [*SETTINGS, "scale.offset"])
 
 
 # ---- audits -----------------------------------------------------------------------------------

@@ -1,4 +1,4 @@
-"""Sources and sinks: wide and long panels, headerless text, encodings, workbooks, inventories."""
+"""Sources and sinks: wide and long panels, headerless text, encodings, inventories."""
 
 from __future__ import annotations
 
@@ -48,21 +48,6 @@ def text_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*(F.translate(f"`{c}`", here, there).alias(c.translate(table)) for c in df.columns))
 
 
-def workbook(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """One sheet of a small workbook, all columns as text. Needs openpyxl; workbooks are read by the driver."""
-    try:
-        import openpyxl  # noqa: F401
-    except ImportError as e:
-        raise RuntimeError("reading workbooks needs openpyxl") from e
-    import pandas as pd
-
-    sheets = pd.read_excel(path, sheet_name=None, dtype=str)
-    names = [n for n, t in sheets.items() if len(t)] if sheet is None else [sheet]
-    if len(names) != 1:
-        raise ValueError(f"expected one sheet with data, found {names}")
-    return spark.createDataFrame(sheets[names[0]])
-
-
 def row_block(df: DataFrame, index: str, first: int, last: int) -> DataFrame:
     """Rows of a closed range of an index column: a filter that reaches the scan."""
     return df.filter(F.col(index).between(first, last))

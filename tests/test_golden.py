@@ -1,6 +1,7 @@
 """Hand-checkable values of single functions and statistics."""
 
 import math
+from itertools import permutations
 
 import numpy as np
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import scalars as S
 from gridloom.functions import special
-from gridloom.operators import clustering, decomposition, forecast, grid, metrics, profiles, relational, resampling, stats, survey, warping
+from gridloom.operators import clustering, decomposition, forecast, grid, metrics, neighbours, profiles, relational, resampling, stats, survey, warping
 
 
 def frame(spark, columns, rows):
@@ -348,8 +349,52 @@ def test_pairs_of_blocks(spark, monkeypatch):
         assert {(r["a"], r["b"]) for r in got} == {(a, b) for a in range(50) for b in range(a + 1, 50)} and len(got) == 50 * 49 // 2
 
 
+@pytest.mark.parametrize("dims", [2, 20])
+def test_neighbours_by_pivots_and_rings(spark, monkeypatch, dims):
+    """Against all pairs, in blocks of a few rows; where dimensions are few most pairs are never compared."""
+    monkeypatch.setattr(profiles, "BLOCK", 16)
+    rng = np.random.default_rng(dims)
+    x, group, source = rng.normal(0, 1, (700, dims)), rng.choice(3, 700, p=[0.8, 0.19, 0.01]), rng.random(700) < 0.7
+    x[:30] = x[30:60]  # equal profiles
+    rows = [(i, int(g), bool(s), v.tolist()) for i, (g, s, v) in enumerate(zip(group, source, x))]
+    every = frame(spark, "entity int, group int, is_source boolean, profile array<double>", rows).repartition(5)
+    got = {(r["entity"], r["is_source"]): r for r in neighbours.nearest_distances(every, every.filter("is_source"), 25).collect()}
+    compared = 0
+    for i in range(700):
+        others = np.array([j for j in range(700) if source[j] and group[j] == group[i] and j != i])
+        want = np.sort(np.sqrt(((x[i] - x[others]) ** 2).mean(1)))[:25] if len(others) else []
+        assert np.allclose(got[i, bool(source[i])]["near"] if len(want) else [], want)
+        compared += got[i, bool(source[i])]["compared"]
+    pairs = sum(int((source & (group == group[i])).sum()) - int(source[i]) for i in range(700))
+    assert compared <= pairs and (dims > 2 or compared < 0.5 * pairs)
+
+
+def test_shares_by_ranges(spark):
+    rng = np.random.default_rng(2)
+    v, w, g, s = rng.integers(0, 50, 900) / 4, rng.random(900), rng.integers(0, 2, 900), rng.random(900) < 0.6
+    df = frame(spark, "entity int, group int, is_source boolean, v double, w double", [(i, int(a), bool(b), float(c), float(d)) for i, (a, b, c, d) in enumerate(zip(g, s, v, w))]).repartition(3)
+    for r in neighbours.shares_at_least(df, of_v="v", of_w="w").collect():
+        own = s & (g == r["group"])
+        assert r["of_v"] == pytest.approx(100 * (v[own] >= r["v"]).mean()) and r["of_w"] == pytest.approx(100 * (w[own] >= r["w"]).mean())
+
+
 def test_assignment():
+    """Against all permutations, with ties, and at a size that no enumeration reaches."""
     assert profiles.best_assignment(np.array([[5.0, 1.0, 9.0], [1.0, 5.0, 9.0]])) == [1, 0]
+    rng = np.random.default_rng(0)
+    for t in range(300):
+        n, m = int(rng.integers(1, 6)), 6
+        cost = rng.integers(0, 5, (n, m)).astype(float) if t % 2 else rng.normal(0, 1, (n, m))
+        got = profiles.best_assignment(cost)
+        assert len(set(got)) == n and cost[np.arange(n), got].sum() == pytest.approx(min(cost[np.arange(n), list(p)].sum() for p in permutations(range(m), n)))
+    cost = rng.random((150, 160))
+    got = profiles.best_assignment(cost)
+    assert len(set(got)) == 150
+    # No exchange of two columns, and no free column, is cheaper.
+    used, own = np.array(got), cost[np.arange(150), got]
+    assert (cost[:, used] + cost[:, used].T >= own[:, None] + own[None] - 1e-12).all() and (cost[:, list(set(range(160)) - set(got))].min(1) >= own - 1e-12).all()
+    with pytest.raises(ValueError):
+        profiles.best_assignment(np.zeros((2, 1)))
 
 
 def test_linear_forecast_recovers_weights(spark):
