@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from gridloom.operators.profiles import as_arrays, euclidean, in_blocks
 from gridloom.sources.scratch import scratch
 
-#: Pivots of a group, rings of a cell, copies of a group's pivots and rings for its blocks to meet.
-PIVOTS, RINGS, COPIES = 16, 8, 32
+#: Pivots of a group and rings of a cell, at most, and the rows that call for one more of either; copies of a group's pivots and rings for its blocks to meet.
+PIVOTS, RINGS, ROWS, COPIES = 16, 8, 128, 32
 #: Ranges of values over which shares are counted side by side.
 RANGES = 64
 
@@ -70,32 +70,37 @@ def nearest_distances(every: DataFrame, sources: DataFrame, most: int) -> DataFr
     kind, group = (every.schema[c].dataType.simpleString() for c in ("entity", "group"))
     every = every.select("entity", "group", "is_source", F.col("profile").cast("array<double>").alias("profile"))
     turn = F.row_number().over(Window.partitionBy("group").orderBy(F.xxhash64("entity"), "entity"))
+    size = sources.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
     pivots = sources.select("group", turn.alias("no"), F.col("profile").cast("array<double>").alias("profile")).filter(F.col("no") <= PIVOTS)
+    pivots = pivots.join(size, "group").filter(F.col("no") <= F.ceil(F.col("size") / ROWS))
     pivots = pivots.groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("no", "profile"))), lambda s: s["profile"]).alias("pivots"))
 
     def place(batches):
         for pdf in batches:
+            out = []
             for g, block, points in zip(pdf["group"], pdf["block"], pdf["pivots"]):
                 d = distances(_matrix(block), np.stack([np.asarray(p, float) for p in points]))
-                yield pd.DataFrame({"entity": [r["entity"] for r in block], "group": g, "is_source": [r["is_source"] for r in block], "profile": [r["profile"] for r in block], "cell": d.argmin(1), "distance": d.min(1), "to_pivots": list(d)})
+                out += [(r["entity"], g, r["is_source"], r["profile"], int(v.argmin()), float(v.min()), v) for r, v in zip(block, d)]
+            yield pd.DataFrame(out, columns=["entity", "group", "is_source", "profile", "cell", "distance", "to_pivots"])
 
     blocks = _beside(in_blocks(every, "group"), pivots).select("group", "block", "pivots")
     placed = _written(blocks.mapInPandas(place, f"entity {kind}, group {group}, is_source boolean, profile array<double>, cell int, distance double, to_pivots array<double>"), "placed")
 
     own = placed.filter("is_source")
-    radius = own.groupBy("group", "cell").agg(F.max("distance").alias("radius"))
-    ring = F.least(F.lit(RINGS - 1), F.floor(RINGS * F.coalesce(F.try_divide(F.col("distance"), F.col("radius")), F.lit(0.0)))).cast("int")
+    radius = own.groupBy("group", "cell").agg(F.max("distance").alias("radius"), F.least(F.lit(RINGS), F.ceil(F.count(F.lit(1)) / ROWS)).alias("rings"))
+    ring = F.least(F.col("rings") - 1, F.floor(F.col("rings") * F.coalesce(F.try_divide(F.col("distance"), F.col("radius")), F.lit(0.0)))).cast("int")
     ringed = own.join(radius, ["group", "cell"]).select("entity", "group", "cell", ring.alias("ring"), "distance", "profile")
     rings = ringed.groupBy("group", "cell", "ring").agg(F.count(F.lit(1)).alias("n"), F.min("distance").alias("low"), F.max("distance").alias("high"))
     rings = rings.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("cell", "ring", "n", "low", "high"))).alias("rings"))
 
     def visit(batches):
         for pdf in batches:
+            out = []
             for g, block, held in zip(pdf["group"], pdf["block"], pdf["rings"]):
                 cell, size, low, high = (np.array([r[c] for r in held]) for c in ("cell", "n", "low", "high"))
                 wanted = rings_to_visit(np.stack([np.asarray(r["to_pivots"], float) for r in block]), cell, size, low, high, most + 1)
-                out = [(g, int(r["cell"]), int(r["ring"]), [{c: block[i][c] for c in ("entity", "is_source", "profile")} for i in np.flatnonzero(on)]) for r, on in zip(held, wanted.T) if on.any()]
-                yield pd.DataFrame(out, columns=["group", "cell", "ring", "rows"])
+                out += [(g, int(r["cell"]), int(r["ring"]), [{c: block[i][c] for c in ("entity", "is_source", "profile")} for i in np.flatnonzero(on)]) for r, on in zip(held, wanted.T) if on.any()]
+            yield pd.DataFrame(out, columns=["group", "cell", "ring", "rows"])
 
     near = _beside(in_blocks(placed.select("entity", "group", "is_source", "profile", "to_pivots", "cell"), "group", "cell").drop("cell"), rings)
     seekers = near.select("group", "block", "rings").mapInPandas(visit, f"group {group}, cell int, ring int, rows array<struct<entity: {kind}, is_source: boolean, profile: array<double>>>")
@@ -103,12 +108,14 @@ def nearest_distances(every: DataFrame, sources: DataFrame, most: int) -> DataFr
 
     def compare(batches):
         for pdf in batches:
+            out = []
             for g, rows, block in zip(pdf["group"], pdf["rows"], pdf["block"]):
                 names, others = np.array([r["entity"] for r in rows]), np.array([r["entity"] for r in block])
                 d = distances(_matrix(rows), _matrix(block))
                 d[names[:, None] == others[None]] = np.inf
                 best = np.sort(np.partition(d, min(most, d.shape[1]) - 1, 1)[:, :most], 1)
-                yield pd.DataFrame({"entity": names, "group": g, "is_source": [r["is_source"] for r in rows], "near": [v[np.isfinite(v)] for v in best], "compared": np.isfinite(d).sum(1)})
+                out += [(r["entity"], g, r["is_source"], v[np.isfinite(v)], int(n)) for r, v, n in zip(rows, best, np.isfinite(d).sum(1))]
+            yield pd.DataFrame(out, columns=["entity", "group", "is_source", "near", "compared"])
 
     found = seekers.join(held, ["group", "cell", "ring"]).select("group", "rows", "block").mapInPandas(compare, f"entity {kind}, group {group}, is_source boolean, near array<double>, compared long")
     return found.groupBy("entity", "group", "is_source").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, most).alias("near"), F.sum("compared").alias("compared"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import special
 from gridloom.functions.scalars import safe_ratio
+from gridloom.sources.scratch import scratch
 
 
 def average_rank(x: str | Column, by: list[str] | None = None) -> Column:
@@ -34,14 +35,33 @@ def _before(counts: DataFrame) -> DataFrame:
     return n.select("__range", (F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("__range")) - F.col("n")).alias("__before"))
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def with_average_ranks(df: DataFrame, **columns: str) -> DataFrame:
-    """df with ranks over all rows, ties at their mean, under new names: name=column. Equal values are counted together and ranges of values run side by side, so that no task gets all rows. Rows without a value have no rank and go."""
+    """df with ranks over all rows, ties at their mean, under new names: name=column. Rows without a value have no rank and go.
+
+    df is computed and written once. Equal values of all columns are counted together, and ranges of
+    each column's values run side by side, so that no task gets all rows.
+    """
+    df = _written(df, "ranked")
+    kinds = {df.schema[x].dataType.simpleString() for x in columns.values()}
+    value = lambda x: F.col(x) if len(kinds) == 1 else F.col(x).cast("double")
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(name).alias("c"), value(x).alias("v")) for name, x in columns.items()))).alias("s")).select("s.c", "s.v").filter("v is not null")
+    counts = long.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+    edges = counts.groupBy("c").agg(F.percentile_approx(F.col("v").cast("double"), [i / RANGES for i in range(1, RANGES)], 10000).alias("edges"))  # a row for each column
+    dealt = counts.join(F.broadcast(edges), "c").select("c", "v", "n", F.size(F.filter("edges", lambda e: e < F.col("v"))).alias("range"))
+    size = dealt.groupBy("c", "range").agg(F.sum("n").alias("n"))
+    before = size.select("c", "range", (F.sum("n").over(Window.partitionBy("c").orderBy("range")) - F.col("n")).alias("before"))  # at most RANGES rows a column
+    upto = F.sum("n").over(Window.partitionBy("c", "range").orderBy("v"))
+    ranks = _written(dealt.withColumn("upto", upto).join(F.broadcast(before), ["c", "range"]).select("c", "v", (F.col("before") + F.col("upto") - (F.col("n") - 1) / 2).alias("rank")), "ranks")
     out = df
-    for name, x in columns.items():  # all counts read df itself: over the joins before them, work would double with each column
-        counts = _ranges(df.groupBy(F.col(x).alias("__v")).agg(F.count(F.lit(1)).alias("n")), "__v")
-        upto = F.sum("n").over(Window.partitionBy("__range").orderBy("__v"))
-        ranks = counts.withColumn("__upto", upto).join(F.broadcast(_before(counts)), "__range").select("__v", (F.col("__before") + F.col("__upto") - (F.col("n") - 1) / 2).alias(name))
-        out = out.join(ranks, out[x] == ranks["__v"]).drop("__v")
+    for name, x in columns.items():
+        own = ranks.filter(F.col("c") == name).select(F.col("v").alias("__v"), F.col("rank").alias(name))
+        out = out.join(own, value(x) == own["__v"]).drop("__v")
     return out
 
 
@@ -89,10 +109,35 @@ def quartile_by_rank(df: DataFrame, x: str, tie: str, k: int = 4) -> DataFrame:
     return both.withColumn("bucket", F.greatest(F.lit(1), F.ceil(k * (rn - 1) / F.greatest(F.col("__n") - 1, F.lit(1)))).cast("int")).drop("__range", "__before", "__n")
 
 
+def quantiles(df: DataFrame, x: str, probabilities: list[float], *by: str) -> DataFrame:
+    """(by, q0, q1, ...): exact quantiles of x, within groups if given, between neighbouring values as the reference's; groups without values have none.
+
+    Ranges of a group's values are counted first; only those that hold a wanted rank are put in
+    order, each by itself, so that no task sees all values and no buffer holds them.
+    """
+    keys = list(by) or ["__one"]
+    rows = df.filter(F.col(x).isNotNull()).select(*([F.lit(1).alias("__one")] if not by else by), F.col(x).cast("double").alias("__v"))
+    edges = rows.groupBy(*keys).agg(F.percentile_approx("__v", [i / RANGES for i in range(1, RANGES)], 1000).alias("__edges"))
+    dealt = rows.join(edges if by else F.broadcast(edges), keys).withColumn("__range", F.size(F.filter("__edges", lambda e: e < F.col("__v")))).drop("__edges")
+    n = dealt.groupBy(*keys, "__range").agg(F.count(F.lit(1)).alias("__n"))  # at most RANGES rows a group
+    own = Window.partitionBy(*keys)
+    n = n.select(*keys, "__range", (F.sum("__n").over(own.orderBy("__range")) - F.col("__n")).alias("__before"), F.sum("__n").over(own).alias("__all"), "__n")
+    at = [p * (F.col("__all") - 1) for p in probabilities]
+    ranks = F.array_distinct(F.array(*(f(h).cast("long") for h in at for f in (F.floor, F.ceil))))
+    wanted = n.withColumn("__ranks", F.filter(ranks, lambda r: (r >= F.col("__before")) & (r < F.col("__before") + F.col("__n")))).filter(F.size("__ranks") > 0).drop("__n")
+    turn = F.row_number().over(Window.partitionBy(*keys, "__range").orderBy("__v")) - 1 + F.col("__before")
+    found = dealt.join(wanted, [*keys, "__range"]).withColumn("__rank", turn.cast("long")).filter(F.array_contains("__ranks", F.col("__rank")))
+    pick = lambda h: F.max(F.when(F.col("__rank") == h.cast("long"), F.col("__v")))
+    share = lambda h: F.max(h - F.floor(h))
+    values = [(pick(F.floor(h)) + share(h) * (pick(F.ceil(h)) - pick(F.floor(h)))).alias(f"q{i}") for i, h in enumerate(at)]
+    return found.groupBy(*keys).agg(*values).drop("__one")
+
+
 def quantile_bucket(df: DataFrame, x: str, k: int) -> DataFrame:
     """Right-closed buckets by value quantiles: equal values stay together."""
-    edges = df.agg(F.percentile(x, F.array(*(F.lit(i / k) for i in range(1, k)))).alias("edges"))
-    return df.crossJoin(F.broadcast(edges)).withColumn("bucket", F.size(F.filter("edges", lambda e: e < F.col(x))) + 1).drop("edges")
+    found = quantiles(df, x, [i / k for i in range(1, k)])
+    edges = found.select(F.array(*found.columns).alias("edges"))
+    return df.crossJoin(F.broadcast(edges)).withColumn("bucket", F.size(F.filter("edges", lambda e: e < F.col(x))) + 1).drop("edges")  # one row
 
 
 def group_stats(df: DataFrame, x: str, group: str) -> DataFrame:

@@ -16,6 +16,7 @@ from gridloom.operators import relational as R
 from gridloom.operators import stats as X
 from gridloom.operators import survey as V
 from gridloom.operators import warping
+from gridloom.plans import config
 from gridloom.plans.panel_queries import FACTS_SQL, GAINS_SQL, ORIGIN, TYPE_SQL, USER_SQL, entity_gains, facts, type_grid, user_grid
 from gridloom.plans.registry import Registry, r, rounded
 from gridloom.sources.tables import table
@@ -246,6 +247,35 @@ def best_kmeans_run(spark, sf):
     return rounded(P.best_run(C.sizes(done.labels).join(scores, ["k", "seed"]), F.col("least_share") > 0.01))
 
 
+#: Gates of the split, as a spec: shares of seeds and medians over seeds.
+SPLIT_GATES = [
+    {"name": "purity_gate", "column": "median_purity", "operator": ">=", "value": 0.5},
+    {"name": "two_child_gate", "column": "median_two_child_share", "operator": ">=", "value": 0.7},
+    {"name": "band_gate", "column": "band_mode_share", "operator": ">=", "value": 0.5},
+    {"name": "distinctness_gate", "column": "median_distinctness", "operator": ">=", "value": 0.8},
+]
+
+
+def _splits(spark, sf):
+    return C.splits(C.study(_days(spark, sf), [f for f in FITS if f[0] in (4, 5)]), 4)
+
+
+@query("cluster_splits")
+def cluster_splits(spark, sf):
+    """How the fifth cluster comes out of four, for each of 20 seeds."""
+    return rounded(_splits(spark, sf))
+
+
+@query("split_gates")
+def split_gates(spark, sf):
+    """The splits over all seeds, and which gates of a spec they pass."""
+    found = _splits(spark, sf)
+    whole = found.agg(*(F.percentile(c, 0.5).alias(f"median_{c}") for c in ("purity", "two_child_share", "distinctness")), F.count(F.lit(1)).alias("seeds"))
+    modal = found.groupBy("extra_band").agg(F.count(F.lit(1)).alias("n")).agg(F.max_by("extra_band", F.struct("n", -F.col("extra_band"))).alias("band_mode"), F.max("n").alias("band_runs"))
+    both = whole.crossJoin(F.broadcast(modal)).withColumn("band_mode_share", F.col("band_runs") / F.col("seeds"))  # one row each
+    return rounded(P.decision_gates(both, config.gates(SPLIT_GATES)))
+
+
 @query("group_slot_summary", DRIFT0 + ", s AS (SELECT gp, s, quantile_cont(mean_value, 0.5) AS m, quantile_cont(mean_value, 0.25) AS q25, quantile_cont(mean_value, 0.75) AS q75 FROM up GROUP BY 1, 2) SELECT gp, s, round(m, 6) AS median, round(q25, 6) AS q25, round(q75, 6) AS q75, round(q75 - q25, 6) AS iqr, m >= coalesce(lag(m) OVER w, m) AND m >= coalesce(lead(m) OVER w, m) AS local_maximum FROM s WINDOW w AS (PARTITION BY gp ORDER BY s)")
 def group_slot_summary(spark, sf):
     p = P.slot_profile(user_grid(spark, sf).withColumn("s", F.col("slot") % 7), "s").filter("mean_value is not null").withColumn("gp", (F.col("entity") % 4).cast("int"))
@@ -693,6 +723,37 @@ def linear_forecast(spark, sf):
     return rounded(M.pooled(p.withColumnRenamed("target", "actual"), "strategy"), 4)
 
 
+@query("exact_quantiles", "SELECT l_returnflag AS flag, " + ", ".join(f"round(quantile_cont(l_extendedprice, {p}), 6) AS q{i}" for i, p in enumerate((0.0, 0.25, 0.5, 0.9, 0.999, 1.0))) + " FROM lineitem GROUP BY 1")
+def exact_quantiles(spark, sf):
+    """Exact quantiles of all prices by flag, from the ranges that hold their ranks."""
+    return rounded(X.quantiles(table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").cast("double").alias("v")), "v", [0.0, 0.25, 0.5, 0.9, 0.999, 1.0], "flag"))
+
+
+@query("lossless_join", "SELECT count(*) AS rows, count(l.doc_id) AS matched, count(DISTINCT CASE WHEN l.doc_id IS NULL THEN user_id END) AS lost_keys FROM events LEFT JOIN labels l ON l.doc_id = user_id")
+def lossless_join(spark, sf):
+    """A many-to-one join keeps all rows; keys that found nothing are counted by the guard."""
+    facts_, side = table(spark, sf, "events").select(F.col("user_id").alias("doc_id")), table(spark, sf, "labels").select("doc_id", F.lit(1).alias("found"))
+    joined = R.join_dimension(facts_, side, ["doc_id"])
+    lost = R.unmatched(facts_, side, ["doc_id"]).agg(F.count(F.lit(1)).alias("lost_keys"))
+    return joined.agg(F.count(F.lit(1)).alias("rows"), F.count("found").alias("matched")).crossJoin(F.broadcast(lost))  # one row
+
+
+_SPEC = {"bands": [{"min": -1000, "max": 0, "label": "debt"}, {"min": 0.01, "max": 4999.99, "label": "some"}, {"min": 5000, "max": 10000, "label": "much"}]}
+
+
+@query("bands_by_spec", "SELECT band, count(*) AS customers FROM (SELECT CASE WHEN b BETWEEN -1000 AND 0 THEN 'debt' WHEN b BETWEEN 0.01 AND 4999.99 THEN 'some' WHEN b BETWEEN 5000 AND 10000 THEN 'much' END AS band FROM (SELECT round(c_acctbal, 2) AS b FROM customer)) GROUP BY 1")
+def bands_by_spec(spark, sf):
+    """All balances by the bands of a stored spec."""
+    import json
+
+    from gridloom.sources.scratch import scratch
+
+    path = scratch(spark, "spec")
+    spark.createDataFrame([(json.dumps(_SPEC),)], "value string").coalesce(1).write.text(path)
+    spec = config.load("\n".join(r[0] for r in spark.read.text(path).collect()))
+    return table(spark, sf, "customer").select(F.round("c_acctbal", 2).alias("b")).select(config.banded("b", spec["bands"]).alias("band")).groupBy("band").agg(F.count(F.lit(1)).alias("customers"))
+
+
 @query("network_forecast")
 def network_forecast(spark, sf):
     """The convolutional and recurrent forecaster under the five transfer strategies: windows of seven days, few epochs."""

@@ -234,11 +234,11 @@ def duplicate_keys(spark, sf):
     return G.duplicates(table(spark, sf, "events").select("user_id", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")), "user_id", "event_type", "day")
 
 
-@query("lead_difficulty", f"WITH {TYPE_SQL}, x AS (SELECT h.lead, g.entity, g.value AS y, o.value AS x, d.value AS s FROM g CROSS JOIN (SELECT unnest(range(1, 13)) AS lead) h JOIN g o ON o.entity = g.entity AND o.slot = g.slot - h.lead LEFT JOIN g d ON d.entity = g.entity AND d.slot = g.slot - 12), e AS (SELECT lead, entity, CASE WHEN stddev_pop(x) > 0 AND stddev_pop(y) > 0 THEN covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) END AS r, avg(abs(y - x)) AS persistence_mae, avg(abs(y - s)) AS seasonal_mae FROM x WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1, 2) SELECT CAST(lead AS INT) AS lead, round(quantile_cont(r, 0.5), 6) AS median_r, round(quantile_cont(persistence_mae, 0.5), 6) AS median_persistence_mae, round(quantile_cont(seasonal_mae, 0.5), 6) AS median_seasonal_mae, round(quantile_cont(r, 0.75) - quantile_cont(r, 0.25), 6) AS iqr_r FROM e GROUP BY 1")
+@query("lead_difficulty", f"WITH {TYPE_SQL}, x AS (SELECT h.lead, g.entity, g.value AS y, o.value AS x, d.value AS s FROM g CROSS JOIN (SELECT unnest(range(1, 49)) AS lead) h JOIN g o ON o.entity = g.entity AND o.slot = g.slot - h.lead LEFT JOIN g d ON d.entity = g.entity AND d.slot = g.slot - 12), e AS (SELECT lead, entity, CASE WHEN stddev_pop(x) > 0 AND stddev_pop(y) > 0 THEN covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) END AS r, avg(abs(y - x)) AS persistence_mae, avg(abs(y - s)) AS seasonal_mae FROM x WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1, 2) SELECT CAST(lead AS INT) AS lead, round(quantile_cont(r, 0.5), 6) AS median_r, round(quantile_cont(persistence_mae, 0.5), 6) AS median_persistence_mae, round(quantile_cont(seasonal_mae, 0.5), 6) AS median_seasonal_mae, round(quantile_cont(r, 0.75) - quantile_cont(r, 0.25), 6) AS iqr_r FROM e GROUP BY 1")
 def lead_difficulty(spark, sf):
     from gridloom.operators.stats import correlation
 
-    leads = range(1, 13)
+    leads = range(1, 49)
     g = G.lagged(type_grid(spark, sf), {f"l{h}": h for h in leads})
     each = g.select("entity", F.col("value").alias("y"), F.col("l12").alias("s"), F.explode(F.array(*(F.struct(F.lit(h).alias("lead"), F.col(f"l{h}").alias("x")) for h in leads))).alias("o")).select("entity", "y", "s", "o.*")
     e = each.filter("x is not null and y is not null").groupBy("lead", "entity").agg(correlation("x", "y").alias("r"), F.avg(F.abs(F.col("y") - F.col("x"))).alias("p"), F.avg(F.abs(F.col("y") - F.col("s"))).alias("q"))
