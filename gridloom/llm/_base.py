@@ -75,6 +75,24 @@ def _place(spark: SparkSession, name: str):
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+#: Spilled tables of the scopes that are open.
+_SCOPES: list[list[tuple[SparkSession, str]]] = []
+
+
+@contextlib.contextmanager
+def scope():
+    """Tables that are spilled inside are deleted at the end, but for those that are taken out of the list that it gives."""
+    held: list[tuple[SparkSession, str]] = []
+    _SCOPES.append(held)
+    try:
+        yield held
+    finally:
+        _SCOPES.remove(held)
+        for spark, name in held:
+            path, system = _place(spark, name)
+            system.delete(path, True)
+
+
 def spill(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: cuts the lineage, survives lost executors. What is not deleted before goes when the application ends."""
     spark = df.sparkSession
@@ -82,6 +100,8 @@ def spill(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(name)
     path, system = _place(spark, name)
     system.deleteOnExit(path)
+    if _SCOPES:
+        _SCOPES[-1].append((spark, name))
     return spark.read.schema(df.schema).parquet(name)
 
 

@@ -193,8 +193,12 @@ def completion(lengths: list[int], left: dict[int, int], room: int, steps: int =
     return best_waste, best
 
 
+#: How many pieces in a sequence the bound by numbers of pieces looks at.
+CARDINALITY = 64
+
+
 def least(counts: dict[int, int], limit: int = LIMIT) -> int:
-    """No packing has fewer sequences: total length over limit, and for each a, what pieces over limit - a and over half a sequence leave for those from a to half."""
+    """No packing has fewer sequences: total length over limit; for each a, what pieces over limit - a and over half a sequence leave for those from a to half; and for each k, pieces that count floor((k + 1) x / limit) parts of k, of which no sequence holds more than all."""
     x = np.array(sorted(k for k, n in counts.items() if n), np.int64)
     n = np.array([counts[k] for k in x.tolist()], np.int64)
     many, much = np.append(0, np.cumsum(n)), np.append(0, np.cumsum(n * x))
@@ -204,6 +208,10 @@ def least(counts: dict[int, int], limit: int = LIMIT) -> int:
         top = np.searchsorted(x, limit - x[i], "right")  # from here on, nothing of x[i] or more fits beside
         free = int(many[top] - many[half]) * limit - int(much[top] - much[half])
         bound = max(bound, int(many[-1] - many[half]) + max(0, -(-(int(much[half] - much[i]) - free) // limit)))
+    for k in range(1, CARDINALITY + 1):
+        parts, even = (k + 1) * x // limit, (k + 1) * x % limit == 0  # an even share counts as what it is
+        odd, exact = int((n * parts)[~even].sum()), int((n * parts)[even].sum())
+        bound = max(bound, -(-(odd * (k + 1) + exact * k) // (k * (k + 1))))
     return max(bound, int(many[-1] - many[half]))
 
 

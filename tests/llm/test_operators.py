@@ -505,6 +505,39 @@ def test_bin_completion():
     assert packing.packed({}, 10) == []
 
 
+def test_bound_by_numbers_of_pieces():
+    """Where two pieces fit at most the bound says so, and the search ends at once; no bound is above the best packing of small cases."""
+    rng = np.random.default_rng(0)
+    counts = Counter(rng.integers(1400, 2049, 4000).tolist())
+    assert packing.least(counts, 4096) == 2000
+    assert packing.least({1366: 10}, 4096) == 5 and packing.least({1365: 9}, 4096) == 3 and packing.least({1024: 8, 1025: 3}, 4096) == 3
+    assert packing.least({}, 4096) == 0
+
+    def fewest(pieces, limit):
+        best = len(pieces)
+
+        def place(i, free):
+            nonlocal best
+            if len(free) >= best:
+                return
+            if i == len(pieces):
+                best = len(free)
+                return
+            for r in sorted({f for f in free if f >= pieces[i]}):
+                left = list(free)
+                left.remove(r)
+                place(i + 1, [*left, r - pieces[i]])
+            place(i + 1, [*free, limit - pieces[i]])
+
+        place(0, [])
+        return best
+
+    for _ in range(200):
+        limit = int(rng.integers(6, 40))
+        pieces = sorted(rng.integers(1, limit + 1, int(rng.integers(1, 9))).tolist(), reverse=True)
+        assert packing.least(Counter(pieces), limit) <= fewest(pieces, limit)
+
+
 def test_packing_goes_back_over_sequences():
     """Against the fewest sequences by trying everything."""
     assert sum(n for n, _ in packing.packed({5: 1, 4: 4, 3: 2, 2: 1}, 10)) == 3
