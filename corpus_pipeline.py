@@ -48,10 +48,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another; a stage's table is deleted once the next one is written."""
+    """The stages one after another; a stage's table and all that the stage spilled are deleted once the next one is written."""
     docs, before = _base.table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = _base.spill(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with _base.scope() as spilled:
+            docs = _base.spill(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            spilled.pop()  # the stage's own table
         _base.forget(*before)
         before = [docs]
     return docs
