@@ -87,7 +87,7 @@ def scope():
     try:
         yield held
     finally:
-        _SCOPES.remove(held)
+        _SCOPES.pop()
         for spark, name in held:
             path, system = _place(spark, name)
             system.delete(path, True)

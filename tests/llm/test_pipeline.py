@@ -1,5 +1,7 @@
 """The pipeline's stages, each against a plain version on its own input."""
 
+import os
+import time
 from collections import Counter
 
 import numpy as np
@@ -63,8 +65,18 @@ def test_toxic_documents_go_and_others_stay(spark):
     assert len(left) > 0.85 * docs.count()
 
 
-def test_run(spark):
-    assert cp.run(spark, SF).count() > 0
+def test_run(spark, monkeypatch):
+    """Of all that is spilled only the last stage's table is left."""
+    kept, began = [], time.time()
+    spill = _base.spill
+    monkeypatch.setattr(_base, "spill", lambda df, tag: kept.append(spill(df, tag)) or kept[-1])
+    out = cp.run(spark, SF)
+    assert out.count() > 0
+    names = [f.removeprefix("file:").removeprefix("//").rsplit("/", 1)[0] for f in out.inputFiles()]
+    folders = [d for d in os.listdir(os.path.dirname(names[0]))]
+    assert len(kept) > 10 and os.path.basename(names[0]) in folders
+    made = {tag for tag in folders if tag.rsplit("-", 1)[0] in ("toxicity", "exact-dedup", "near-dedup", "substring-dedup", "labelled", "digests", "winners", "members", "spans")}
+    assert not [t for t in made if os.path.getmtime(os.path.join(os.path.dirname(names[0]), t)) > began]
     assert cp.ORACLE_SQL is None
 
 
