@@ -11,6 +11,7 @@ such blocks is a table, joined on their bits.
 
 from __future__ import annotations
 
+import os
 from collections import Counter
 from itertools import accumulate, combinations
 
@@ -59,11 +60,15 @@ def _hex(x: Column) -> Column:
     return F.lower(F.lpad(F.hex(x), 16, "0"))
 
 
-def _position(ident: Column, kind: str) -> Column:
-    """A number that grows with the id: numbers themselves, of other types the first six bytes of their text."""
+def _position(docs: DataFrame, id_col: str) -> Column:
+    """A number that grows with the id: numbers themselves, of other types six bytes of their text, behind those that all ids begin with."""
+    ident, kind = F.col(id_col), docs.schema[id_col].dataType.simpleString()
     if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
         return ident.cast("double")
-    return F.conv(F.rpad(F.hex(F.substring(ident.cast("string").cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    text = ident.cast("string")
+    ends = docs.agg(F.min(text), F.max(text)).first()
+    same = len(os.path.commonprefix([(e or "").encode() for e in ends]))
+    return F.conv(F.rpad(F.hex(F.substring(text.cast("binary"), same + 1, 6)), 12, "0"), 16, 10).cast("double")
 
 
 def _numbers(values: list) -> Column:
@@ -79,7 +84,7 @@ def _part(docs: DataFrame, id_col: str, tie: Column) -> Column:
     """
     kind = docs.schema[id_col].dataType.simpleString()
     ident = F.col(id_col)
-    at = _position(ident, kind)
+    at = _position(docs, id_col)
     n = RANGES * max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = docs.select(at.alias("p")).filter("p is not null").approxQuantile("p", [i / n for i in range(1, n)], 1 / (4 * n))
     many, nulls = Counter(found), docs.filter(ident.isNull()).count()

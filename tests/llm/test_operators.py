@@ -447,6 +447,15 @@ def test_fingerprints(spark, odd, odd_rows, ids):
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
 
 
+def test_ids_that_begin_alike_are_dealt_out(spark):
+    ids = [f"doc-{i:07d}" for i in range(3000)]
+    docs = spark.createDataFrame([(i,) for i in ids] + [(None,)], "doc_id string")
+    got = docs.select("doc_id", simhash._part(docs, "doc_id", F.lit(0.5)).alias("part")).toPandas().dropna().sort_values("doc_id")
+    assert got["part"].is_monotonic_increasing and got["part"].value_counts().max() < 600
+    one = spark.createDataFrame([("é",), ("é",)], "doc_id string")
+    assert one.select(simhash._part(one, "doc_id", F.lit(0.5)).alias("part")).count() == 2
+
+
 def rows_of(df):
     return Counter(map(tuple, df.collect()))
 
