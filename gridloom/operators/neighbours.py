@@ -2,7 +2,7 @@
 
 Each source lies in the cell of its nearest pivot, and there in a ring of distances to it. By the
 triangle inequality a ring is no nearer to a row than the gap between the row's and the ring's
-distances to the pivot; a row looks only into rings that may hold one of its k nearest. Rows and
+distances to any pivot; a row looks only into rings that may hold one of its k nearest. Rows and
 rings meet in blocks, keyed by (group, cell, ring), so that no group is one task's work. How much is
 left out depends on the data: in many even dimensions all distances are alike, and little is.
 """
@@ -45,17 +45,18 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.einsum("ijk,ijk->ij", off, off) / a.shape[1])
 
 
-def rings_to_visit(to_pivots: np.ndarray, cell: np.ndarray, size: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> np.ndarray:
-    """For each row of distances to pivots, which rings (cell, size, low, high) may hold one of its k nearest.
+def rings_to_visit(to_pivots: np.ndarray, size: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> np.ndarray:
+    """For each row of distances to pivots, which rings may hold one of its k nearest; low and high bound a ring's distances to each pivot.
 
     As many rings as hold k rows, taken by their farthest possible distance, bound the k-th; rings
     whose least possible distance is above that are left out.
     """
-    d = to_pivots[:, cell]
-    most, least = d + high, np.maximum(np.maximum(low - d, d - high), 0)
+    d = to_pivots[:, None]
+    most = (d + high[None]).min(2)
+    least = np.maximum(np.maximum(low[None] - d, d - high[None]), 0).max(2)
     order = np.argsort(most, 1, kind="stable")
     held = np.cumsum(size[order], 1)
-    enough = np.minimum((held < k).sum(1), len(cell) - 1)
+    enough = np.minimum((held < k).sum(1), len(size) - 1)
     bound = np.take_along_axis(most, np.take_along_axis(order, enough[:, None], 1), 1)
     bound = np.where(held[:, -1:] < k, np.inf, bound)
     return least <= bound * (1 + 1e-9) + 1e-12
@@ -89,16 +90,19 @@ def nearest_distances(every: DataFrame, sources: DataFrame, most: int) -> DataFr
     own = placed.filter("is_source")
     radius = own.groupBy("group", "cell").agg(F.max("distance").alias("radius"), F.least(F.lit(RINGS), F.ceil(F.count(F.lit(1)) / ROWS)).alias("rings"))
     ring = F.least(F.col("rings") - 1, F.floor(F.col("rings") * F.coalesce(F.try_divide(F.col("distance"), F.col("radius")), F.lit(0.0)))).cast("int")
-    ringed = own.join(radius, ["group", "cell"]).select("entity", "group", "cell", ring.alias("ring"), "distance", "profile")
-    rings = ringed.groupBy("group", "cell", "ring").agg(F.count(F.lit(1)).alias("n"), F.min("distance").alias("low"), F.max("distance").alias("high"))
-    rings = rings.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("cell", "ring", "n", "low", "high"))).alias("rings"))
+    ringed = own.join(radius, ["group", "cell"]).select("entity", "group", "cell", ring.alias("ring"), "to_pivots", "profile")
+    # Of a ring its rows, and the least and greatest of their distances to every pivot.
+    sides = ringed.select("group", "cell", "ring", F.posexplode("to_pivots").alias("q", "d")).groupBy("group", "cell", "ring", "q").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("low"), F.max("d").alias("high"))
+    sides = sides.groupBy("group", "cell", "ring").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("q", "low", "high"))).alias("s"))
+    of = lambda c: F.transform("s", lambda x: x[c]).alias(c)
+    rings = sides.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("cell", "ring", "n", of("low"), of("high")))).alias("rings"))
 
     def visit(batches):
         for pdf in batches:
             out = []
             for g, block, held in zip(pdf["group"], pdf["block"], pdf["rings"]):
-                cell, size, low, high = (np.array([r[c] for r in held]) for c in ("cell", "n", "low", "high"))
-                wanted = rings_to_visit(np.stack([np.asarray(r["to_pivots"], float) for r in block]), cell, size, low, high, most + 1)
+                size, low, high = (np.array([r[c] for r in held]) for c in ("n", "low", "high"))
+                wanted = rings_to_visit(np.stack([np.asarray(r["to_pivots"], float) for r in block]), size, low, high, most + 1)
                 out += [(g, int(r["cell"]), int(r["ring"]), [{c: block[i][c] for c in ("entity", "is_source", "profile")} for i in np.flatnonzero(on)]) for r, on in zip(held, wanted.T) if on.any()]
             yield pd.DataFrame(out, columns=["group", "cell", "ring", "rows"])
 

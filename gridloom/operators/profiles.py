@@ -120,12 +120,14 @@ def in_blocks(profiles: DataFrame, *by: str) -> DataFrame:
 # ---- clusterings ------------------------------------------------------------------------------
 
 
-def _two_blocks(profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The blocks as two sides of a join, written once: both sides then have the same rows under the same number."""
+def _block_pairs(profiles: DataFrame) -> DataFrame:
+    """(block_x, block_y, same): every two blocks once, and each with itself. Blocks are written once, so that both sides have the same rows under the same number; each goes to its partners by number."""
     path = scratch(profiles.sparkSession, "blocks")
     in_blocks(profiles).write.parquet(path)
     blocks = profiles.sparkSession.read.parquet(path)
-    return tuple(blocks.select(F.col("b").alias(f"b_{t}"), F.col("block").alias(f"block_{t}")) for t in "xy")
+    last = blocks.agg(F.max("b")).first()[0] or 0
+    x = blocks.select(F.explode(F.sequence("b", F.lit(last))).alias("to"), (F.col("to") == F.col("b")).alias("same"), F.col("block").alias("block_x"))
+    return x.join(blocks.select(F.col("b").alias("to"), F.col("block").alias("block_y")), "to").select("block_x", "block_y", "same")
 
 
 def dtw_pairs(profiles: DataFrame) -> DataFrame:
@@ -135,7 +137,6 @@ def dtw_pairs(profiles: DataFrame) -> DataFrame:
     all tasks.
     """
     kind = profiles.schema["entity"].dataType.simpleString()
-    x, y = _two_blocks(profiles.select("entity", "profile"))
 
     def run(batches):
         for pdf in batches:
@@ -149,7 +150,7 @@ def dtw_pairs(profiles: DataFrame) -> DataFrame:
                     low = ea[i] < eb[j]
                     yield pd.DataFrame({"a": np.where(low, ea[i], eb[j]), "b": np.where(low, eb[j], ea[i]), "d": dtw_matrix(pa_[i], pb[j])})
 
-    return x.join(y, F.col("b_x") <= F.col("b_y")).select("block_x", "block_y", (F.col("b_x") == F.col("b_y")).alias("same")).mapInPandas(run, f"a {kind}, b {kind}, d double")
+    return _block_pairs(profiles.select("entity", "profile")).mapInPandas(run, f"a {kind}, b {kind}, d double")
 
 
 def _score(mean: DataFrame, *by: str) -> DataFrame:
@@ -169,15 +170,14 @@ def silhouette(labels: DataFrame, pairs: DataFrame, *by: str) -> DataFrame:
     return _score(sums.join(la, [*by, "a"]), *by)
 
 
-def warped_silhouettes(profiles: DataFrame, labels: DataFrame) -> DataFrame:
-    """Mean silhouette of each fit (k, seed) of labels (k, seed, entity, label) under time warping.
+def silhouettes(profiles: DataFrame, labels: DataFrame, distances) -> DataFrame:
+    """Mean silhouette of each fit (k, seed) of labels (k, seed, entity, label), by distances of all rows of two arrays.
 
     A task has two blocks of profiles; it fills their distances once and sums them, for each fit, by
     the label of the far end, so that what leaves it grows with entities and clusters, not with pairs.
     """
     kind = profiles.schema["entity"].dataType.simpleString()
     own = labels.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("k", "seed", "label"))).alias("own"))
-    x, y = _two_blocks(profiles.select("entity", "profile").join(own, "entity"))
 
     def read(side):
         return [v["entity"] for v in side], np.stack([np.asarray(v["profile"], float) for v in side]), np.array([[o["label"] for o in v["own"]] for v in side]), [(o["k"], o["seed"]) for o in side[0]["own"]]
@@ -186,28 +186,29 @@ def warped_silhouettes(profiles: DataFrame, labels: DataFrame) -> DataFrame:
         for pdf in batches:
             for one, two, same in zip(pdf["block_x"], pdf["block_y"], pdf["same"]):
                 (ea, xa, la, fits), (eb, xb, lb, _) = read(one), read(two)
-                d = np.sqrt(warping.all_squared(xa, xb))
+                d = distances(xa, xb)
                 for names, far, m in ((ea, lb, d),) if same else ((ea, lb, d), (eb, la, d.T)):
+                    out = []
                     for i, (k, seed) in enumerate(fits):
                         for c in np.unique(far[:, i]):
                             on = far[:, i] == c
-                            n = np.full(len(names), on.sum()) - (on if same else 0)
-                            yield pd.DataFrame({"k": k, "seed": seed, "a": names, "other": c, "total": m[:, on].sum(1), "n": n})
+                            out.append(pd.DataFrame({"k": k, "seed": seed, "a": names, "other": c, "total": m[:, on].sum(1), "n": np.full(len(names), on.sum()) - (on if same else 0)}))
+                    yield pd.concat(out)
 
-    pairs = x.join(y, F.col("b_x") <= F.col("b_y")).select("block_x", "block_y", (F.col("b_x") == F.col("b_y")).alias("same"))
-    parts = pairs.mapInPandas(run, f"k int, seed int, a {kind}, other int, total double, n long")
+    parts = _block_pairs(profiles.select("entity", "profile").join(own, "entity")).mapInPandas(run, f"k int, seed int, a {kind}, other int, total double, n long")
     mean = parts.groupBy("k", "seed", "a", "other").agg(safe_ratio(F.sum(F.col("total").cast("decimal(38,12)")).cast("double"), F.sum("n")).alias("m"))
     la = labels.select("k", "seed", F.col("entity").alias("a"), F.col("label").alias("own"))
     return _score(mean.join(la, ["k", "seed", "a"]), "k", "seed")
 
 
+def warped_silhouettes(profiles: DataFrame, labels: DataFrame) -> DataFrame:
+    return silhouettes(profiles, labels, lambda a, b: np.sqrt(warping.all_squared(a, b)))
+
+
 def silhouette_of_profiles(profiles: DataFrame) -> DataFrame:
-    """Mean silhouette of (entity, label, profile) by Euclidean distances: against blocks of a label's profiles, so that pairs never become rows."""
-    blocks = in_blocks(profiles.select("entity", F.col("label").alias("other"), "profile"), "other")
-    d = F.transform(F.filter("block", lambda s: s["entity"] != F.col("a")), lambda s: euclidean(F.col("profile"), s["profile"]))
-    near = profiles.select(F.col("entity").alias("a"), F.col("label").alias("own"), "profile").crossJoin(blocks).select("a", "own", "other", d.alias("d"))
-    sums = near.groupBy("a", "own", "other").agg(F.sum(F.aggregate("d", F.lit(0.0), lambda s, x: s + x)).alias("t"), F.sum(F.size("d")).alias("n"))
-    return _score(sums.select("a", "own", "other", F.when(F.col("n") > 0, F.col("t") / F.col("n")).alias("m")))
+    """Mean silhouette of (entity, label, profile) by Euclidean distances; labels are whole numbers."""
+    labels = profiles.select(F.lit(0).alias("k"), F.lit(0).alias("seed"), "entity", F.col("label").cast("int").alias("label"))
+    return silhouettes(profiles, labels, lambda a, b: np.sqrt(np.einsum("ijk,ijk->ij", a[:, None] - b[None], a[:, None] - b[None]))).drop("k", "seed")
 
 
 def rand_index(labels: DataFrame, a: str, b: str) -> DataFrame:

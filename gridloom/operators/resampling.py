@@ -12,7 +12,8 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.scalars import safe_ratio
@@ -46,7 +47,7 @@ def redrawn(df: DataFrame, ident: str, times: int, seed: int, *by: str) -> DataF
     numbered = df.select("*", F.row_number().over(own.orderBy(ident)).alias("__i"), F.count(F.lit(1)).over(own).alias("__n"))
     stream = f"__i * 101 + {by[0]}" if by else "__i"
     drawn = replicated(numbered.select(*by, "__i", "__n"), times).select("r", *by, F.expr(f"CAST({draw(stream, 'r', seed)} % __n + 1 AS INT)").alias("__i"))
-    return drawn.join(F.broadcast(numbered.drop("__n")), [*by, "__i"]).drop("__i")  # the study's entities, one row each
+    return drawn.join(numbered.drop("__n"), [*by, "__i"]).drop("__i")  # one row for each key: a study of any size is dealt out
 
 
 def told(x: Column) -> Column:
@@ -143,6 +144,58 @@ def monte_carlo_chi_square(df: DataFrame, ident: str, row: str, column: str, tim
     return each.crossJoin(F.broadcast(own)).agg(F.first("chi2").alias("chi2"), n.alias("exceedances"), ((n + 1) / F.lit(times + 1.0)).alias("p"))
 
 
+#: Tables that are drawn from one random stream.
+STREAM = 500
+
+
+def random_tables(spark: SparkSession, rows: list[int], columns: list[int], times: int, seed: int = 0) -> DataFrame:
+    """(r, cells): random tables with these margins, as likely as by permuting the study's labels, row by row in one array.
+
+    A cell is drawn from what its row and column have left (a hypergeometric number), so a table
+    costs its cells, whatever the size of the study, which has less than a billion rows. Streams of
+    STREAM tables are seeded by their number: results don't depend on partitions.
+    """
+    if sum(rows) != sum(columns):
+        raise ValueError("margins of different totals")
+
+    def run(batches):
+        for pdf in batches:
+            for stream in pdf["id"]:
+                rng, n = np.random.default_rng([seed, int(stream)]), min(STREAM, times - int(stream) * STREAM)
+                left, cells = np.tile(np.array(columns, np.int64), (n, 1)), []
+                for total in rows:
+                    to_go = np.full(n, total, np.int64)
+                    for j in range(len(columns)):
+                        beyond = left[:, j + 1 :].sum(1)
+                        x = rng.hypergeometric(left[:, j], beyond, to_go) if j + 1 < len(columns) else to_go.copy()
+                        left[:, j] -= x
+                        to_go -= x
+                        cells.append(x)
+                yield pd.DataFrame({"r": np.arange(n) + int(stream) * STREAM + 1, "cells": list(np.stack(cells, 1))})
+
+    return spark.range(-(-times // STREAM)).mapInPandas(run, "r long, cells array<long>")
+
+
+def monte_carlo_tables(df: DataFrame, row: str, column: str, times: int = 20000, seed: int = 0) -> DataFrame:
+    """chi square, its p over random tables of the study's margins, and how many of those tables miss a margin (none). The study is only counted; rows without either label don't count."""
+    seen = df.filter(F.col(row).isNotNull() & F.col(column).isNotNull()).groupBy(row, column).agg(F.count(F.lit(1)).alias("n")).collect()  # as many rows as cells
+    names = [sorted({r[c] for r in seen}) for c in (row, column)]
+    table = np.zeros((len(names[0]), len(names[1])), np.int64)
+    for r in seen:
+        table[names[0].index(r[row]), names[1].index(r[column])] = r["n"]
+    margins = [table.sum(1).tolist(), table.sum(0).tolist()]
+    expected = np.outer(*margins) / max(table.sum(), 1)
+    own = float((table**2 / expected).sum() - table.sum()) if table.size else 0.0
+    drawn = random_tables(df.sparkSession, *margins, times, seed)
+    x = F.aggregate(F.zip_with("cells", F.lit(expected.ravel().tolist()), lambda n, e: n * n / e), F.lit(0.0), lambda s, v: s + v) - F.lit(float(table.sum()))
+    k = len(names[1])
+    total = lambda places: reduce(lambda a, b: a + b, (F.get("cells", p) for p in places))
+    right = [total(range(i * k, i * k + k)) == m for i, m in enumerate(margins[0])] + [total(range(j, table.size, k)) == m for j, m in enumerate(margins[1])]
+    wrong = ~reduce(lambda a, b: a & b, right) if right else F.lit(False)
+    n = F.count_if(F.round(x, 9) >= F.round(F.lit(own), 9))
+    return drawn.agg(F.lit(own).alias("chi2"), F.count(F.lit(1)).alias("tables"), F.count_if(wrong).alias("wrong_margins"), n.alias("exceedances"), ((n + 1) / F.lit(times + 1.0)).alias("p"))
+
+
 def partial_r2(df: DataFrame, ident: str, y: str, group: str, category: str, times: int = 20000, seed: int = 0) -> DataFrame:
     """R squared of groups, of groups and categories, the partial R squared, and its p by permuting residuals within groups.
 
@@ -161,7 +214,7 @@ def partial_r2(df: DataFrame, ident: str, y: str, group: str, category: str, tim
     products = [F.sum(F.col(c) * F.col("z")).alias(f"b{i}") for i, c in enumerate(rx)] or [F.lit(0).alias("b")]
     one = rows.withColumn("z", F.col("ry")).agg(*products).select((explained / F.lit(got["rest"])).alias("partial_r2"))
     moved = shuffled(rows.select(ident, group, F.col("ry").alias("z")), ident, times, seed, group).select("r", group, "place", "z")
-    each = moved.join(F.broadcast(rows.select(group, "place", *rx)), [group, "place"]).groupBy("r").agg(*products).select((explained / F.lit(got["rest"])).alias("x"))
+    each = moved.join(rows.select(group, "place", *rx), [group, "place"]).groupBy("r").agg(*products).select((explained / F.lit(got["rest"])).alias("x"))
     n = F.count_if(told(F.col("x")) >= told(F.col("partial_r2")))
     p = each.crossJoin(F.broadcast(one)).agg(F.first("partial_r2").alias("partial_r2"), ((n + 1) / F.lit(times + 1.0)).alias("p"))
     share = F.lit(got["rest"] / (got["v"] * got["n"]))

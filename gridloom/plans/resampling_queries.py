@@ -66,6 +66,15 @@ def monte_carlo_chi_square(spark, sf):
     return rounded(B.monte_carlo_chi_square(study(spark, sf), "entity", "kind", "grp", TABLES))
 
 
+@query("monte_carlo_tables", STUDY_SQL + f", ce AS (SELECT a.kind, b.grp, a.n * b.n / (SELECT count(*) FROM st) AS expected FROM (SELECT kind, count(*) AS n FROM st GROUP BY 1) a CROSS JOIN (SELECT grp, count(*) AS n FROM st GROUP BY 1) b) SELECT round(sum(m * m / expected) - sum(m), 6) AS chi2, {TABLES} AS tables, 0 AS wrong_margins, true AS near_permuted FROM (SELECT kind, grp, count(*) AS m FROM st GROUP BY 1, 2) JOIN ce USING (kind, grp)")
+def monte_carlo_tables(spark, sf):
+    """Tables of the study's margins drawn directly: all keep them, and p is that of permuted labels but for chance."""
+    drawn = B.monte_carlo_tables(study(spark, sf), "kind", "grp", TABLES)
+    permuted = B.monte_carlo_chi_square(study(spark, sf), "entity", "kind", "grp", 2000).select(F.col("p").alias("other"))
+    near = F.abs(F.col("p") - F.col("other")) < 0.06  # over five standard errors of 2000 replicates
+    return rounded(drawn.crossJoin(F.broadcast(permuted)).select("chi2", "tables", "wrong_margins", near.alias("near_permuted")))
+
+
 EXPLAINED = "(b0 * b0 * g11 - 2 * b0 * b1 * g01 + b1 * b1 * g00) / (g00 * g11 - g01 * g01)"
 
 

@@ -353,6 +353,7 @@ def test_pairs_of_blocks(spark, monkeypatch):
 def test_neighbours_by_pivots_and_rings(spark, monkeypatch, dims):
     """Against all pairs, in blocks of a few rows; where dimensions are few most pairs are never compared."""
     monkeypatch.setattr(profiles, "BLOCK", 16)
+    monkeypatch.setattr(neighbours, "ROWS", 12)
     rng = np.random.default_rng(dims)
     x, group, source = rng.normal(0, 1, (700, dims)), rng.choice(3, 700, p=[0.8, 0.19, 0.01]), rng.random(700) < 0.7
     x[:30] = x[30:60]  # equal profiles
@@ -369,6 +370,54 @@ def test_neighbours_by_pivots_and_rings(spark, monkeypatch, dims):
     assert compared <= pairs and (dims > 2 or compared < 0.5 * pairs)
 
 
+def test_random_tables(spark):
+    """Margins hold; cells have their distribution; the stream does not depend on partitions."""
+    got = resampling.random_tables(spark, [7, 5, 0, 3], [6, 9, 0], 1234, 5).toPandas()
+    t = np.stack(got["cells"]).reshape(-1, 4, 3)
+    assert (t.sum(2) == [7, 5, 0, 3]).all() and (t.sum(1) == [6, 9, 0]).all() and (t >= 0).all() and sorted(got["r"]) == list(range(1, 1235))
+    again = resampling.random_tables(spark, [7, 5, 0, 3], [6, 9, 0], 1234, 5).repartition(7).toPandas().sort_values("r")
+    assert np.array_equal(np.stack(again["cells"]), np.stack(got.sort_values("r")["cells"]))
+    n = np.stack(resampling.random_tables(spark, [8, 12], [10, 10], 40_000, 1).toPandas()["cells"])[:, 0]
+    want = np.array([math.comb(10, k) * math.comb(10, 8 - k) for k in range(9)]) / math.comb(20, 8)
+    seen = np.bincount(n, minlength=9)
+    assert ((seen - 40_000 * want) ** 2 / np.maximum(40_000 * want, 1e-9)).sum() < 35
+    with pytest.raises(ValueError):
+        resampling.random_tables(spark, [1], [2], 1)
+    rng = np.random.default_rng(0)
+    df = frame(spark, "entity int, a string, b int", [(i, None if i == 3 else "xyz"[int(v)], int(w)) for i, (v, w) in enumerate(zip(rng.integers(0, 3, 90), rng.integers(0, 4, 90)))])
+    own = resampling.monte_carlo_tables(df, "a", "b", 5000).first()
+    other = resampling.monte_carlo_chi_square(df.filter("a is not null"), "entity", "a", "b", 2000).first()
+    assert own["chi2"] == pytest.approx(other["chi2"]) and own["wrong_margins"] == 0 and own["tables"] == 5000 and abs(own["p"] - other["p"]) < 0.06
+
+
+def test_quantiles_by_ranges(spark):
+    rng = np.random.default_rng(4)
+    x, g = np.where(rng.random(3000) < 0.3, 5.0, rng.normal(0, 10, 3000)), rng.choice(3, 3000, p=[0.9, 0.0995, 0.0005])
+    df = frame(spark, "g int, x double", [(int(a), float(b)) for a, b in zip(g, x)] + [(0, None), (9, None)]).repartition(4)
+    p = [0.0, 0.01, 0.25, 0.5, 0.77, 1.0]
+    for r in stats.quantiles(df, "x", p, "g").collect():
+        assert list(r)[1:] == pytest.approx(np.quantile(x[g == r["g"]], p).tolist())
+    assert list(stats.quantiles(df, "x", p).first()) == pytest.approx(np.quantile(x, p).tolist())
+    assert stats.quantiles(df.limit(0), "x", [0.5]).count() == 0
+
+
+def test_clusters_split(spark):
+    """Two shapes, of which the second one falls apart."""
+    rng = np.random.default_rng(0)
+    base = np.eye(12)[[1] * 10 + [6] * 6 + [10] * 6] * 5 + rng.normal(0, 0.05, (22, 12))
+    df = frame(spark, "entity int, profile array<double>", [(i, v.tolist()) for i, v in enumerate(base)])
+    begin = {(2, 1): base[[0, 10]], (3, 1): base[[16, 10, 0]]}
+    done = clustering.study(df, [(2, 1), (3, 1)], begin=begin)
+    r = clustering.splits(done, 2).first()
+    n = done.labels.groupBy("k", "label").count().toPandas()
+    assert r["seed"] == 1 and r["overlap"] + r["extra_n"] == 22 and 0 < r["purity"] <= 1 and r["entropy"] >= 0
+    assert r["extra_n"] == n[(n["k"] == 3) & (n["label"] == r["extra"])]["count"].iloc[0]
+    more = done.centres[3, 1]
+    apart = lambda i, j: float(profiles.dtw_matrix(more[[i]], more[[j]])[0])
+    assert r["extra_to_retained"] == pytest.approx(apart(r["extra"], r["retained"])) and r["distinctness"] == pytest.approx(apart(r["extra"], r["retained"]) / np.median([apart(0, 1), apart(0, 2), apart(1, 2)]))
+    assert r["extra_peak"] == more[r["extra"]].argmax() + 1 and r["extra_band"] == (r["extra_peak"] - 1) // 4 + 1
+
+
 def test_shares_by_ranges(spark):
     rng = np.random.default_rng(2)
     v, w, g, s = rng.integers(0, 50, 900) / 4, rng.random(900), rng.integers(0, 2, 900), rng.random(900) < 0.6
