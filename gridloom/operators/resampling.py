@@ -50,6 +50,54 @@ def redrawn(df: DataFrame, ident: str, times: int, seed: int, *by: str) -> DataF
     return drawn.join(numbered.drop("__n"), [*by, "__i"]).drop("__i")  # one row for each key: a study of any size is dealt out
 
 
+#: Entities of a block, and replicates that are drawn together.
+BLOCK, CHUNK = 4096, 250
+
+
+def bootstrap_sums(df: DataFrame, ident: str, features: dict[str, Column], times: int, seed: int, *by: str) -> DataFrame:
+    """(by, r, n, features): for each replicate, how many rows were drawn within `by` and the sums of the features over them, each row as often as it was drawn.
+
+    How often is multinomial, and drawn in two steps: a group's draws are split over its blocks of
+    entities, then a block's over its entities. A replicate leaves one row a block, so that rows
+    grow with blocks times replicates, not with entities times replicates, and the study is never
+    sent anywhere. Streams are seeded by group, block and chunk of replicates: results don't depend
+    on partitions. Without `by` all rows are one group; ids tell rows apart.
+    """
+    names = list(features)
+    group = F.xxhash64(*by) if by else F.lit(0).cast("long")
+    rows = df.select(*by, group.alias("__g"), F.col(ident).alias("__i"), *(c.cast("double").alias(n) for n, c in features.items()))
+    size = rows.groupBy("__g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("__blocks"))
+    dealt = rows.join(size, "__g").withColumn("__b", F.pmod(F.xxhash64("__i"), F.col("__blocks")))
+    blocks = dealt.groupBy(*by, "__g", "__b").agg(F.array_sort(F.collect_list(F.struct("__i", *names))).alias("__rows"))
+    held = blocks.groupBy("__g").agg(F.array_sort(F.collect_list(F.struct("__b", F.size("__rows").alias("n")))).alias("__sizes"))
+    chunks = held.withColumn("__c", F.explode(F.sequence(F.lit(0), F.lit(-(-times // CHUNK) - 1))))
+
+    def split(batches):
+        for pdf in batches:
+            for g, c, sizes in zip(pdf["__g"], pdf["__c"], pdf["__sizes"]):
+                n = np.array([s["n"] for s in sizes], float)
+                rng = np.random.default_rng([seed, int(g) & (1 << 63) - 1, int(c)])
+                drawn = rng.multinomial(int(n.sum()), n / n.sum(), size=min(CHUNK, times - int(c) * CHUNK))
+                yield pd.DataFrame({"__g": g, "__b": [s["__b"] for s in sizes], "__c": c, "__drawn": list(drawn.T)})
+
+    drawn = chunks.mapInPandas(split, "__g long, __b long, __c int, __drawn array<long>")
+    fields = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in by)
+
+    def weigh(batches):
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                x = np.array([[r[n] for n in names] for r in row["__rows"]], float).reshape(len(row["__rows"]), len(names))
+                rng = np.random.default_rng([seed, int(row["__g"]) & (1 << 63) - 1, int(row["__c"]), int(row["__b"])])
+                counts = rng.multinomial(np.asarray(row["__drawn"], np.int64), np.full(len(x), 1 / len(x)))
+                out = pd.DataFrame(counts @ x, columns=names)
+                yield out.assign(r=np.arange(len(counts)) + int(row["__c"]) * CHUNK + 1, n=counts.sum(1), **{c: row[c] for c in by})[[*by, "r", "n", *names]]
+
+    schema = f"{fields}r long, n long" + "".join(f", `{n}` double" for n in names)
+    parts = blocks.join(drawn, ["__g", "__b"]).select(*by, "__g", "__b", "__c", "__drawn", "__rows").mapInPandas(weigh, schema)
+    # Decimals, so that the order of blocks does not matter.
+    return parts.groupBy(*by, "r").agg(F.sum("n").alias("n"), *(F.sum(F.col(n).cast("decimal(38,9)")).cast("double").alias(n) for n in names))
+
+
 def told(x: Column) -> Column:
     return F.round(x, TELL)
 
@@ -106,6 +154,15 @@ def bootstrap_effect(df: DataFrame, ident: str, x: str, group: str, times: int =
     return found.crossJoin(F.broadcast(own)).select(F.col("own").alias("eta2"), "eta2_low", "eta2_high", "omega2_low", "omega2_high")
 
 
+def bootstrap_effect_by_counts(df: DataFrame, ident: str, x: str, group: str, times: int = 1000, seed: int = 0) -> DataFrame:
+    """As bootstrap_effect(), from counts in place of drawn rows: for studies of any size."""
+    some = df.filter(F.col(x).isNotNull())
+    own = _effects(_sums(some, x, group)).select(F.col("eta2").alias("own"))
+    sums = bootstrap_sums(some, ident, {"s": F.col(x), "q": F.col(x) * F.col(x)}, times, seed, group)
+    found = _effects(sums, "r").agg(*interval("eta2"), *interval("omega2"))
+    return found.crossJoin(F.broadcast(own)).select(F.col("own").alias("eta2"), "eta2_low", "eta2_high", "omega2_low", "omega2_high")  # one row
+
+
 def permutation_difference(df: DataFrame, ident: str, x: str, group: str, a, b, times: int = 1999, seed: int = 0) -> DataFrame:
     """Difference of the means of groups b and a, its p by permuting labels, and its bootstrap interval."""
     two = df.filter(F.col(group).isin(a, b)).select(ident, x, group)

@@ -75,6 +75,21 @@ def monte_carlo_tables(spark, sf):
     return rounded(drawn.crossJoin(F.broadcast(permuted)).select("chi2", "tables", "wrong_margins", near.alias("near_permuted")))
 
 
+@query("bootstrap_counts", STUDY_SQL + f", ef AS (SELECT avg(y) AS gm FROM st), gs AS (SELECT grp, count(*) AS n, avg(y) AS m FROM st GROUP BY 1) SELECT round((SELECT sum(n * pow(m - gm, 2)) FROM gs, ef) / (SELECT sum(pow(y - gm, 2)) FROM st, ef), 6) AS eta2, {INTERVALS} AS replicates, 0 AS short_replicates, true AS holds_eta2, true AS near_drawn")
+def bootstrap_counts(spark, sf):
+    """The effect with intervals from multinomial counts: each replicate draws as many rows as there are, and the interval is that of drawn rows but for chance."""
+    s = study(spark, sf)
+    sums = B.bootstrap_sums(s, "entity", {"s": F.col("y")}, INTERVALS, 3, "grp")
+    n = s.groupBy("grp").agg(F.count(F.lit(1)).alias("all"))
+    short = sums.join(F.broadcast(n), "grp").agg(F.count_distinct("r").cast("int").alias("replicates"), F.count_if(F.col("n") != F.col("all")).cast("int").alias("short_replicates"))
+    one = B.bootstrap_effect_by_counts(s, "entity", "y", "grp", INTERVALS, 3)
+    two = B.bootstrap_effect(s, "entity", "y", "grp", 300).select(F.col("eta2_low").alias("low"), F.col("eta2_high").alias("high"))
+    both = one.crossJoin(F.broadcast(short)).crossJoin(F.broadcast(two))  # one row each
+    width = F.col("eta2_high") - F.col("eta2_low")
+    near = (F.abs(F.col("eta2_low") - F.col("low")) < 0.5 * width) & (F.abs(F.col("eta2_high") - F.col("high")) < 0.5 * width)
+    return rounded(both.select("eta2", "replicates", "short_replicates", (F.col("eta2") <= F.col("eta2_high")).alias("holds_eta2"), near.alias("near_drawn")))
+
+
 EXPLAINED = "(b0 * b0 * g11 - 2 * b0 * b1 * g01 + b1 * b1 * g00) / (g00 * g11 - g01 * g01)"
 
 

@@ -390,6 +390,26 @@ def test_random_tables(spark):
     assert own["chi2"] == pytest.approx(other["chi2"]) and own["wrong_margins"] == 0 and own["tables"] == 5000 and abs(own["p"] - other["p"]) < 0.06
 
 
+def test_bootstrap_by_counts(spark, monkeypatch):
+    """Counts sum to the rows; sums have the mean and variance of draws with replacement; partitions don't matter."""
+    monkeypatch.setattr(resampling, "BLOCK", 16)
+    rng = np.random.default_rng(6)
+    x, g = rng.normal(3, 2, 130), np.array(["a"] * 100 + ["b"] * 29 + ["c"])
+    df = frame(spark, "entity int, g string, x double", [(i, str(v), float(w)) for i, (v, w) in enumerate(zip(g, x))])
+    got = resampling.bootstrap_sums(df.repartition(5), "entity", {"x": F.col("x")}, 600, 4, "g").toPandas()
+    assert len(got) == 1800 and all((own["n"] == (g == k).sum()).all() for k, own in got.groupby("g"))
+    again = resampling.bootstrap_sums(df.repartition(2), "entity", {"x": F.col("x")}, 600, 4, "g").toPandas()
+    key = ["g", "r"]
+    assert got.sort_values(key)["x"].to_numpy() == pytest.approx(again.sort_values(key)["x"].to_numpy())
+    for k in "ab":
+        v, s = x[g == k], got[got["g"] == k]["x"]
+        assert abs(s.mean() - v.sum()) < 5 * np.sqrt(len(v) * v.var() / 600) and 0.8 < s.var() / (len(v) * v.var()) < 1.25
+    whole = resampling.bootstrap_sums(df, "entity", {"x": F.col("x")}, 20, 4).toPandas()
+    assert len(whole) == 20 and (whole["n"] == 130).all()
+    one = resampling.bootstrap_effect_by_counts(df.filter("g <> 'c'"), "entity", "x", "g", 400).first()
+    assert 0 <= one["eta2_low"] <= one["eta2_high"] <= 1
+
+
 def test_quantiles_by_ranges(spark):
     rng = np.random.default_rng(4)
     x, g = np.where(rng.random(3000) < 0.3, 5.0, rng.normal(0, 10, 3000)), rng.choice(3, 3000, p=[0.9, 0.0995, 0.0005])
