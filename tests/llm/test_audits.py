@@ -156,7 +156,10 @@ def brute_divergence(docs, least, top):
     out = []
     for a, s in group:
         kept = [w for w, n in seen[a].items() if n >= least]
-        prob = lambda c: {w: 1 + 10**9 * (c[w] + 2) // (sum(c[x] for x in kept) + 2 * len(kept)) for w in kept}
+        def prob(c):
+            total = sum(c[x] for x in kept) + 2 * len(kept)
+            return {w: 1 + 10**9 * (c[w] + 2) // total for w in kept}
+
         f = lambda p, q: (p - q) ** 2 // (p + q)
         p, whole = prob(group[a, s]), prob(count[a])
         pairs = []
