@@ -344,12 +344,14 @@ def _most_frequent(model: DataFrame, most: int) -> Table:
     return Table(found["key"].to_numpy().view(U), found["log2p"].to_numpy())
 
 
-def scores(docs: DataFrame, parts: int = 7, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, frequent: int = FREQUENT, frequent_strings: int = STRINGS, rows: int = ROWS) -> DataFrame:
+def scores(docs: DataFrame, parts: int = 7, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, frequent: int = FREQUENT, frequent_strings: int = STRINGS, rows: int = ROWS, normal: bool = False) -> DataFrame:
     """One row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
 
     Learns from rows that aren't held out. Null texts count as empty: one token, and a score for the
     end alone; bits_per_byte is null for them. Null ids are not held out. Rows that repeat are scored
-    each, and each counts. Without training rows all counts are 0. Other columns are not read.
+    each, and each counts. Without training rows all counts are 0. Other columns are not read. The
+    base model divides c + 1 by N (V + 1); normal: by N + (V + 1), so that the probabilities of the V
+    known tokens and of one unknown sum to one.
     """
     spark = docs.sparkSession
     _base.ready(spark)
@@ -361,7 +363,7 @@ def scores(docs: DataFrame, parts: int = 7, id_col: str = "doc_id", text_col: st
     ends = training.count()
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     total, distinct = total + ends, distinct + (ends > 0)
-    base = total * (distinct + 1.0)
+    base = total + (distinct + 1.0) if normal else total * (distinct + 1.0)
     unit = float(-np.log10(base)) if base else 0.0
     top = words.filter(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(frequent).toArrow()
     table = dict(zip(top["word"].to_pylist(), top["n"].to_pylist()))
@@ -420,4 +422,4 @@ def scores(docs: DataFrame, parts: int = 7, id_col: str = "doc_id", text_col: st
 
 
 def op5_context_tree_scores(spark, sf_dir: str) -> DataFrame:
-    return scores(_base.table(spark, sf_dir, "documents"))
+    return scores(_base.table(spark, sf_dir, "documents"), normal=True)

@@ -328,6 +328,24 @@ def test_scores(odd, odd_rows):
     assert 0 < long["bits_per_byte"] < 5
 
 
+def test_base_scores_of_the_query(spark, odd, odd_rows, tmp_path):
+    """The contract's columns of op5: log10((c + 1) / (N + 1 * (V + 1))) over tokens, on odd rows and where nothing is known."""
+    odd.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in odd_rows]
+    tokens = [(t or "").encode().lower().split() + [None] for _, t in odd_rows]
+    count = Counter(w for t, h in zip(tokens, held) for w in t if not h)
+    total = sum(count.values())
+    want = [(i, h, len(t), sum(count[w] > 0 for w in t), total, sum(math.log10((count[w] + 1) / (total + 1 * (len(count) + 1))) for w in t)) for (i, _), t, h in zip(odd_rows, tokens, held)]
+    got = [tuple(r) for r in ctw.op5_context_tree_scores(spark, f"{tmp_path}/odd").select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score").collect()]
+    order = lambda r: (str(r[0]), *r[1:5], round(r[5], 4))
+    for a, b in zip(sorted(got, key=order), sorted(want, key=order), strict=True):
+        assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], rel=1e-9, abs=1e-9)
+    out = next(i for i in range(1000) if zlib.crc32(str(i).encode()) % 7 == 2)
+    spark.createDataFrame([(out, "One two")], "doc_id long, text string").write.parquet(f"{tmp_path}/none/documents.parquet")
+    r = ctw.op5_context_tree_scores(spark, f"{tmp_path}/none").first()
+    assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) == (True, 3, 0, 0, 0.0)
+
+
 def test_segments_are_encoded_alone():
     """No cut changes what the library gives, on its own pieces glued together at random."""
     import sentencepiece
