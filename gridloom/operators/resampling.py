@@ -47,7 +47,8 @@ def redrawn(df: DataFrame, ident: str, times: int, seed: int, *by: str) -> DataF
     numbered = df.select("*", F.row_number().over(own.orderBy(ident)).alias("__i"), F.count(F.lit(1)).over(own).alias("__n"))
     stream = f"__i * 101 + {by[0]}" if by else "__i"
     drawn = replicated(numbered.select(*by, "__i", "__n"), times).select("r", *by, F.expr(f"CAST({draw(stream, 'r', seed)} % __n + 1 AS INT)").alias("__i"))
-    return drawn.join(numbered.drop("__n"), [*by, "__i"]).drop("__i")  # one row for each key: a study of any size is dealt out
+    # One row for each key: a study of any size is dealt out. Spark takes the drawn numbers for as few as the entities, and would broadcast them.
+    return drawn.join(numbered.drop("__n").hint("shuffle_hash"), [*by, "__i"]).drop("__i")
 
 
 #: Entities of a block, and replicates that are drawn together.
