@@ -310,7 +310,7 @@ def composition_bootstrap(df: DataFrame, ident: str, group: str, times: int = 10
     """
     entities = df.select(ident, group).distinct()
     drawn = redrawn(entities, ident, times, seed, group).groupBy("r", ident, group).agg(F.count(F.lit(1)).alias("m"))
-    rows = drawn.join(df, [ident, group])
+    rows = drawn.join(df.hint("shuffle_hash"), [ident, group])
     sizes = entities.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
 
     def conditional(c: str) -> Column:

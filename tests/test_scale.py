@@ -16,3 +16,11 @@ def test_drawn_rows_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in _plan(drawn) and "ShuffledHashJoin" in _plan(drawn)
     counts = drawn.groupBy("r", "grp").count().groupBy("grp").agg(F.count_distinct("count").alias("n"), F.max("count").alias("count")).collect()
     assert {(r["grp"], r["n"], r["count"]) for r in counts} == {(0, 1, 14), (1, 1, 13), (2, 1, 13)}
+
+
+def test_composition_draws_are_not_broadcast(spark):
+    """Of the joins of a composition bootstrap only that with the sizes of groups is a broadcast."""
+    df = spark.range(60).select((F.col("id") / 2).cast("int").alias("entity"), *(F.lit(0.5).alias(c) for c in ("share", "gain", "mse_focal", "mse_comparator")), F.when(F.col("id") % 2 == 0, "low").otherwise("high").alias("bin"))
+    df = df.withColumn("grp", F.col("entity") % 2)
+    found = B.composition_bootstrap(df, "entity", "grp", 1000)
+    assert "BroadcastHashJoin [entity" not in _plan(found) and {r["replicates"] for r in found.collect()} == {1000}
