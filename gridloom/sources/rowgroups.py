@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import ExitStack
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,13 +21,16 @@ from gridloom.sources.stores import opened, register
 PLACES = [pa.field("part", pa.int32()), pa.field("batch", pa.int32()), pa.field("place", pa.int32())]
 
 
+#: Tasks of a scan at most: the driver holds these, and Spark what it knows of each.
+TASKS = 128
+
+
 @dataclass
-class Group(InputPartition):
-    """A row group of a file: `part` is its place in the epoch's order."""
+class Stretch(InputPartition):
+    """Row groups (file, number) that follow one another in the epoch's order; `first` is the place of the first."""
 
-    file: str
-    group: int
-    part: int
+    first: int
+    groups: list[tuple[str, int]]
 
 
 def files_of(place: str) -> list[str]:
@@ -66,26 +70,33 @@ class Reader(DataSourceReader):
         self.seed, self.epoch, self.batch = (int(options.get(k, d)) for k, d in (("seed", 0), ("epoch", 1), ("batch", 512)))
         self.split = (options["split_column"], options["split"]) if "split" in options else None
 
-    def partitions(self) -> list[Group]:
+    def partitions(self) -> list[Stretch]:
         every = []
         for file in files_of(self.path):
             store, name = opened(file)
             with store.open_input_file(name) as f:
                 every += [(file, i) for i in range(pq.ParquetFile(f).metadata.num_row_groups)]
         order = np.random.default_rng([self.seed, self.epoch]).permutation(len(every))
-        return [Group(*every[k], part) for part, k in enumerate(order)]
+        size = max(1, -(-len(every) // TASKS))
+        return [Stretch(at, [every[k] for k in order[at : at + size]]) for at in range(0, len(every), size)]
 
-    def read(self, partition: Group) -> Iterator[pa.RecordBatch]:
-        store, name = opened(partition.file)
+    def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
         columns = [*self.arrow.names, *([self.split[0]] if self.split and self.split[0] not in self.arrow.names else [])]
-        with store.open_input_file(name) as f:
-            rows = pq.ParquetFile(f).read_row_group(partition.group, columns=columns)
+        with ExitStack() as stack:
+            held: dict[str, pq.ParquetFile] = {}
+            for part, (file, group) in enumerate(partition.groups, partition.first):
+                if file not in held:
+                    store, name = opened(file)
+                    held[file] = pq.ParquetFile(stack.enter_context(store.open_input_file(name)))
+                yield from self._batches(held[file].read_row_group(group, columns=columns), part)
+
+    def _batches(self, rows: pa.Table, part: int) -> Iterator[pa.RecordBatch]:
         if self.split:
             rows = rows.filter(pa.compute.equal(rows[self.split[0]].cast(pa.string()), self.split[1]))
         rows = rows.select(self.arrow.names)
-        rows = rows.take(np.random.default_rng([self.seed, self.epoch, partition.part]).permutation(len(rows)))
+        rows = rows.take(np.random.default_rng([self.seed, self.epoch, part]).permutation(len(rows)))
         at = np.arange(len(rows))
-        places = [np.full(len(rows), partition.part), at // self.batch, at % self.batch]
+        places = [np.full(len(rows), part), at // self.batch, at % self.batch]
         for field, values in zip(PLACES, places):
             rows = rows.append_column(field, pa.array(values.astype(np.int32)))
         yield from rows.to_batches(max_chunksize=8192)
@@ -94,8 +105,8 @@ class Reader(DataSourceReader):
 def batches(spark: SparkSession, path: str, seed: int, epoch: int, size: int = 512, columns: list[str] | None = None, split: tuple[str, str] | None = None) -> DataFrame:
     """Samples of a Parquet file or folder with (part, batch, place): row groups in shuffled order, rows shuffled within each, by (seed, epoch).
 
-    A task holds one row group and reads no other column than those asked for. Nothing is shuffled
-    between tasks.
+    A task holds one row group at a time, of a stretch of the epoch's order, so that tasks don't grow with
+    row groups; it reads no other column than those asked for. Nothing is shuffled between tasks.
     """
     options = {"path": path, "seed": seed, "epoch": epoch, "batch": size, "columns": ",".join(columns or [])}
     if split:

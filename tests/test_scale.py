@@ -1,8 +1,12 @@
 """That what a step sends or holds does not grow beyond its input."""
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from gridloom.operators import resampling as B
+from gridloom.sources import rowgroups
 
 
 def _plan(df):
@@ -24,3 +28,15 @@ def test_composition_draws_are_not_broadcast(spark):
     df = df.withColumn("grp", F.col("entity") % 2)
     found = B.composition_bootstrap(df, "entity", "grp", 1000)
     assert "BroadcastHashJoin [entity" not in _plan(found) and {r["replicates"] for r in found.collect()} == {1000}
+
+
+def test_tasks_of_row_groups_are_bounded(spark, tmp_path):
+    """Ten times the row groups don't mean more tasks; parts, order and samples are those of the groups."""
+    for f in range(2):
+        pq.write_table(pa.table({"i": np.arange(f * 1500, f * 1500 + 1500)}), tmp_path / f"{f}.parquet", row_group_size=2)
+    df = rowgroups.batches(spark, str(tmp_path), 5, 1, 50, ["i"])
+    assert df.rdd.getNumPartitions() <= rowgroups.TASKS
+    got = df.toPandas()
+    assert sorted(got["i"]) == list(range(3000)) and sorted(got["part"].unique()) == list(range(1500))
+    order = np.random.default_rng([5, 1]).permutation(1500)
+    assert all((g["i"] // 2 == order[part]).all() for part, g in got.groupby("part"))
