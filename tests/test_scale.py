@@ -5,6 +5,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from gridloom.operators import profiles
 from gridloom.operators import resampling as B
 from gridloom.sources import rowgroups
 
@@ -40,3 +41,38 @@ def test_tasks_of_row_groups_are_bounded(spark, tmp_path):
     assert sorted(got["i"]) == list(range(3000)) and sorted(got["part"].unique()) == list(range(1500))
     order = np.random.default_rng([5, 1]).permutation(1500)
     assert all((g["i"] // 2 == order[part]).all() for part, g in got.groupby("part"))
+
+
+def test_blocks_of_pairs_are_shuffled_evenly(spark, monkeypatch):
+    """No side of the pairs of blocks is broadcast, no block has more partners than others, and every two meet once."""
+    monkeypatch.setattr(profiles, "BLOCK", 2)
+    for n in (1, 7, 40, 41, 300):
+        df = spark.range(n).select(F.col("id").alias("entity"), F.array(F.col("id") * 1.0).alias("profile"))
+        pairs = profiles._block_pairs(df)
+        assert "BroadcastHashJoin" not in _plan(pairs)
+        met = [(tuple(r["a"]), tuple(r["b"]), r["same"]) for r in pairs.select(F.col("block_x.entity").alias("a"), F.col("block_y.entity").alias("b"), "same").collect()]
+        found = [frozenset((a, b)) for a, b, _ in met]
+        blocks = set().union(*found)
+        k = len(blocks)
+        assert len(set(found)) == len(found) == k * (k + 1) // 2 and all((a == b) == same for a, b, same in met)
+        numbers = max(-(-n // 8), min(-(-n // 2), profiles.PARTNERS))  # some of them without rows
+        assert max(sum(b == x for _, b, _ in met) for x in blocks) <= numbers // 2 + 1
+
+
+def test_silhouette_by_products(spark, monkeypatch):
+    """Several blocks in a batch, with equal and almost equal profiles far from zero, against all differences."""
+    monkeypatch.setattr(profiles, "BLOCK", 3)
+    rng = np.random.default_rng(2)
+    x = 100 + rng.normal(0, 1, (60, 4))
+    x[:10], x[10:20] = x[20:30], x[30:40] + 1e-7
+    label = rng.integers(0, 3, 60)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    assert np.allclose(profiles.straight(x, x), d, rtol=1e-9, atol=0)
+    want = []
+    for i in range(60):
+        m = [d[i, (label == c) & (np.arange(60) != i)].mean() for c in range(3)]
+        outer = min(m[c] for c in range(3) if c != label[i])
+        want.append((outer - m[label[i]]) / max(outer, m[label[i]]))
+    rows = spark.createDataFrame([(i, int(c), v.tolist()) for i, (c, v) in enumerate(zip(label, x))], "entity long, label int, profile array<double>")
+    got = profiles.silhouette_of_profiles(rows).first()
+    assert got["n"] == 60 and abs(got["silhouette"] - np.mean(want)) < 1e-9
