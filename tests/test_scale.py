@@ -5,7 +5,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from gridloom.operators import profiles
+from gridloom.operators import profiles, warping
 from gridloom.operators import resampling as B
 from gridloom.sources import rowgroups
 
@@ -76,3 +76,28 @@ def test_silhouette_by_products(spark, monkeypatch):
     rows = spark.createDataFrame([(i, int(c), v.tolist()) for i, (c, v) in enumerate(zip(label, x))], "entity long, label int, profile array<double>")
     got = profiles.silhouette_of_profiles(rows).first()
     assert got["n"] == 60 and abs(got["silhouette"] - np.mean(want)) < 1e-9
+
+
+def test_warping_by_diagonals_in_tiles(monkeypatch):
+    """Tiles of a few pairs, with ties, against plain matrices: distances, and the values that each slot of a shape gets along its path."""
+    monkeypatch.setattr(warping, "TILE", 3)
+    rng = np.random.default_rng(4)
+    for n, m in ((1, 1), (1, 4), (5, 1), (3, 6), (6, 6)):
+        shapes, rows = rng.integers(0, 3, (11, n)).astype(float), rng.integers(0, 3, (11, m)).astype(float)
+        owner, total, count = np.arange(11) % 2, np.zeros((2, n)), np.zeros((2, n), np.int64)
+        warping.aligned(rows, shapes, owner, total, count)
+        sums, numbers = np.zeros((2, n)), np.zeros((2, n), np.int64)
+        for p in range(11):
+            w = np.full((n + 1, m + 1), np.inf)
+            w[0, 0] = 0
+            for i in range(n):
+                for j in range(m):
+                    w[i + 1, j + 1] = (shapes[p, i] - rows[p, j]) ** 2 + min(w[i, j], w[i, j + 1], w[i + 1, j])
+            assert warping.squared(shapes[p : p + 1], rows[p : p + 1])[0] == warping.squared(shapes, rows)[p] == w[n, m]
+            i, j = n, m
+            while i and j:
+                sums[owner[p], i - 1] += rows[p, j - 1]
+                numbers[owner[p], i - 1] += 1
+                corner, above, left = w[i - 1, j - 1], w[i - 1, j], w[i, j - 1]
+                i, j = (i, j - 1) if left < min(corner, above) else (i - 1, j) if above < corner else (i - 1, j - 1)
+        assert (total == sums).all() and (count == numbers).all()
