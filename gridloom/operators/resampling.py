@@ -17,8 +17,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.scalars import safe_ratio
+from gridloom.sources.scratch import scratch
 
 PRIME, TELL = 2147483647, 12
+#: Entities of a block, and replicates that are drawn together.
+BLOCK, CHUNK = 4096, 250
 
 
 def draw(entity: str, replicate: str, seed: int = 0) -> str:
@@ -31,14 +34,35 @@ def draw(entity: str, replicate: str, seed: int = 0) -> str:
     return mod(f"{d} * {d} + {c}")
 
 
-def replicated(df: DataFrame, times: int) -> DataFrame:
-    return df.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(times))))
+def drawn_numbers(entities: np.ndarray, replicate: int, seed: int = 0) -> np.ndarray:
+    """draw() of many entities (int64) in a replicate."""
+    def rest(x):
+        if below:
+            return np.fmod(x, PRIME)  # SQL's remainder has the sign of the number
+        low = x & PRIME
+        x >>= 31
+        low += x
+        return low  # below 2^33 and the same remainder, as PRIME is 2^31 - 1
+
+    below, out = len(entities) > 0 and entities.min() < 0, np.empty(len(entities), np.int64)
+    for at in range(0, len(entities), BLOCK):  # what fits a core's cache
+        a = rest(entities[at : at + BLOCK] * 7919 + (int(replicate) * 104729 + seed * 1299709 + 12345))
+        b = rest(a * 48271 + 11)
+        c = rest(b * b + a)
+        d = rest(c * 69621 + 7)
+        x = rest(rest(d * d + c))
+        out[at : at + BLOCK] = x if below else x - PRIME * (x >= PRIME)
+    return out
+
+
+def replicated(df: DataFrame, times: int, only: list[int] | None = None) -> DataFrame:
+    return df.withColumn("r", F.explode(F.lit(only) if only else F.sequence(F.lit(1), F.lit(times))))
 
 
-def shuffled(df: DataFrame, ident: str, times: int, seed: int, *by: str) -> DataFrame:
-    """df once for each replicate r, with place: 1, 2, ... in random order within `by`."""
+def shuffled(df: DataFrame, ident: str, times: int, seed: int, *by: str, only: list[int] | None = None) -> DataFrame:
+    """df once for each replicate r (or for those of a list), with place: 1, 2, ... in random order within `by`."""
     order = Window.partitionBy("r", *by).orderBy(F.expr(draw(ident, "r", seed)), ident)
-    return replicated(df, times).withColumn("place", F.row_number().over(order))
+    return replicated(df, times, only).withColumn("place", F.row_number().over(order))
 
 
 def redrawn(df: DataFrame, ident: str, times: int, seed: int, *by: str) -> DataFrame:
@@ -51,10 +75,6 @@ def redrawn(df: DataFrame, ident: str, times: int, seed: int, *by: str) -> DataF
     return drawn.join(numbered.drop("__n").hint("shuffle_hash"), [*by, "__i"]).drop("__i")
 
 
-#: Entities of a block, and replicates that are drawn together.
-BLOCK, CHUNK = 4096, 250
-
-
 def bootstrap_sums(df: DataFrame, ident: str, features: dict[str, Column], times: int, seed: int, *by: str) -> DataFrame:
     """(by, r, n, features): for each replicate, how many rows were drawn within `by` and the sums of the features over them, each row as often as it was drawn.
 
@@ -120,12 +140,18 @@ def _places(df: DataFrame, group: str) -> DataFrame:
     return n.select(group, "n", (upto - F.col("n")).alias("after"), upto.alias("upto"))
 
 
-def _regrouped(df: DataFrame, ident: str, keep: list[str], group: str, times: int, seed: int) -> DataFrame:
-    """Replicates in which the labels of `group` are permuted."""
-    moved = shuffled(df.select(ident, *keep), ident, times, seed)
+def _regrouped(df: DataFrame, ident: str, keep: list[str], group: str, times: int, seed: int, only: list[int] | None = None) -> DataFrame:
+    """Replicates in which the labels of `group` are permuted, row by row."""
+    moved = shuffled(df.select(ident, *keep), ident, times, seed, only=only)
     return moved.join(F.broadcast(_places(df, group)), F.col("place").between(F.col("after") + 1, F.col("upto")))
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _effects(sums: DataFrame, *by: str) -> DataFrame:
     """eta2 and omega2 from n, s (sum) and q (sum of squares) of each group."""
     n, s, q, k = F.sum("n"), F.sum("s"), F.sum("q"), F.count(F.lit(1))
@@ -254,25 +280,77 @@ def monte_carlo_tables(df: DataFrame, row: str, column: str, times: int = 20000,
     return drawn.agg(F.lit(own).alias("chi2"), F.count(F.lit(1)).alias("tables"), F.count_if(wrong).alias("wrong_margins"), n.alias("exceedances"), ((n + 1) / F.lit(times + 1.0)).alias("p"))
 
 
+#: Rows of a group that a task holds to put them in order again and again; larger groups are sorted by Spark, a row for each replicate.
+HELD = 1 << 21
+
+
+def permuted_sums(rows: DataFrame, ident: str, group: str, z: str, code: str, codes: int, times: int, seed: int = 0) -> DataFrame:
+    """(r, b): for each replicate and group, the sums of z by the code (0 to codes - 1, or NULL) of the place that it falls to when it is permuted within the group, less what the codes' shares of the group would get.
+
+    All ranks of a replicate are needed. They cost no shuffle of rows times replicates: a task takes
+    a group in blocks, with a chunk of replicates, draws and orders in arrays. Groups have HELD rows at most.
+    """
+    own, n = Window.partitionBy(group), F.count(F.lit(1))
+    block = lambda c: F.floor((c - 1) / BLOCK).cast("int")
+    turn = F.row_number().over(own.orderBy(ident))
+    some = rows.select(F.col(group).alias("__g"), block(turn).alias("__b"), (block(turn) == block(n.over(own))).alias("__end"), F.col(ident).cast("long").alias("i"), F.coalesce(F.col(z), F.lit(0.0)).alias("z"), F.coalesce(F.col(code), F.lit(codes)).cast("int").alias("k"))
+    blocks = some.groupBy("__g", "__b", "__end").agg(F.array_sort(F.collect_list(F.struct("i", "z", "k"))).alias("s")).select("__g", "__b", "__end", *(F.col(f"s.{c}").alias(c) for c in "izk"))
+    chunks = -(-times // CHUNK)
+    sent = blocks.withColumn("__c", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).repartition(chunks, "__g", "__c").sortWithinPartitions("__g", "__c", "__b")
+
+    def run(batches):
+        parts: list[tuple] = []
+        for pdf in batches:
+            for i, z_, k, c, end in zip(pdf["i"], pdf["z"], pdf["k"], pdf["__c"], pdf["__end"]):
+                parts.append((i, z_, k))
+                if not end:
+                    continue
+                ids, values, at = (np.concatenate(a) for a in zip(*parts))
+                parts = []
+                ids, number = ids.astype(np.int64), np.arange(len(ids))
+                n = np.bincount(at, minlength=codes + 1)[:codes]
+                share = n / max(n.sum(), 1)
+                out = []
+                for r in range(int(c) * CHUNK + 1, min(times, (int(c) + 1) * CHUNK) + 1):
+                    keys = drawn_numbers(ids, r, seed) << 32
+                    keys += number  # ids ascend: of equal draws the smaller id comes first
+                    keys.sort()
+                    keys &= (1 << 32) - 1
+                    found = np.bincount(at, values[keys], codes + 1)[:codes]
+                    out.append((r, found - share * found.sum()))
+                yield pd.DataFrame(out, columns=["r", "b"])
+
+    return sent.select("i", "z", "k", "__c", "__end").mapInPandas(run, "r long, b array<double>")
+
+
 def partial_r2(df: DataFrame, ident: str, y: str, group: str, category: str, times: int = 20000, seed: int = 0) -> DataFrame:
     """R squared of groups, of groups and categories, the partial R squared, and its p by permuting residuals within groups.
 
     By Frisch, Waugh and Lovell all that a replicate needs is the products of its residuals with the
     categories' dummies, both less their group means. Categories are a few.
     """
+    df = _written(df.select(ident, y, group, category), "study")
     names = [r[0] for r in df.select(category).distinct().orderBy(category).collect()][1:]
     own = Window.partitionBy(group)
     less = lambda c: c - F.avg(c).over(own)
     rx = [f"x{i}" for i in range(len(names))]
-    rows = df.select(ident, group, y, less(F.col(y)).alias("ry"), F.row_number().over(own.orderBy(ident)).alias("place"), *(less((F.col(category) == v).cast("double")).alias(c) for c, v in zip(rx, names)))
+    rows = df.select(ident, group, y, category, less(F.col(y)).alias("ry"), F.row_number().over(own.orderBy(ident)).alias("place"), *(less((F.col(category) == v).cast("double")).alias(c) for c, v in zip(rx, names)))
     pairs = [(i, j) for i in range(len(rx)) for j in range(len(rx))]
-    got = rows.agg(F.var_pop(y).alias("v"), F.count(F.lit(1)).alias("n"), F.sum(F.col("ry") * F.col("ry")).alias("rest"), *(F.sum(F.col(rx[i]) * F.col(rx[j])).alias(f"g{i}_{j}") for i, j in pairs)).first()
+    got = rows.agg(F.var_pop(y).alias("v"), F.count(F.lit(1)).alias("n"), F.coalesce(F.max("place"), F.lit(0)).alias("largest"), F.sum(F.col("ry") * F.col("ry")).alias("rest"), *(F.sum(F.col(rx[i]) * F.col(rx[j])).alias(f"g{i}_{j}") for i, j in pairs)).first()
     inverse = np.linalg.pinv(np.array([got[f"g{i}_{j}"] for i, j in pairs], float).reshape(len(rx), len(rx))) if rx else np.zeros((0, 0))
     explained = reduce(lambda a, b: a + b, (F.lit(float(inverse[i, j])) * F.col(f"b{i}") * F.col(f"b{j}") for i, j in pairs), F.lit(0.0))
     products = [F.sum(F.col(c) * F.col("z")).alias(f"b{i}") for i, c in enumerate(rx)] or [F.lit(0).alias("b")]
     one = rows.withColumn("z", F.col("ry")).agg(*products).select((explained / F.lit(got["rest"])).alias("partial_r2"))
-    moved = shuffled(rows.select(ident, group, F.col("ry").alias("z")), ident, times, seed, group).select("r", group, "place", "z")
-    each = moved.join(rows.select(group, "place", *rx), [group, "place"]).groupBy("r").agg(*products).select((explained / F.lit(got["rest"])).alias("x"))
+    known = rows.filter(F.col(group).isNotNull())
+    size = F.count(F.lit(1)).over(own)
+    code = reduce(lambda c, v: c.when(F.col(category) == v[1], v[0]), enumerate(names), F.when(F.lit(False), 0)).when(F.col(category).isNotNull(), len(names))
+    held = known.withColumn("code", code).withColumn("__n", size).filter(F.col("__n") <= HELD)
+    sums = permuted_sums(held, ident, group, "ry", "code", len(names) + 1, times, seed).select("r", *(F.get("b", F.lit(i)).alias(c) for i, c in enumerate(rx)))
+    if got["largest"] > HELD:
+        large = known.withColumn("__n", size).filter(F.col("__n") > HELD)
+        moved = shuffled(large.select(ident, group, F.col("ry").alias("z")), ident, times, seed, group).select("r", group, "place", "z")
+        sums = sums.union(moved.join(large.select(group, "place", *rx), [group, "place"]).groupBy("r").agg(F.count(F.lit(1)), *(F.sum(F.col(c) * F.col("z")).alias(c) for c in rx)).select("r", *rx))
+    each = sums.groupBy("r").agg(*([F.sum(c).alias(f"b{i}") for i, c in enumerate(rx)] or [F.lit(0).alias("b")])).select((explained / F.lit(got["rest"])).alias("x"))
     n = F.count_if(told(F.col("x")) >= told(F.col("partial_r2")))
     p = each.crossJoin(F.broadcast(one)).agg(F.first("partial_r2").alias("partial_r2"), ((n + 1) / F.lit(times + 1.0)).alias("p"))
     share = F.lit(got["rest"] / (got["v"] * got["n"]))

@@ -472,3 +472,24 @@ def test_linear_forecast_recovers_weights(spark):
     rows = [("target" if i % 2 else "source", i % 3 == 0, [float(a), float(b)], float(1 + 2 * a - b)) for i, (a, b) in enumerate(x)]
     w = forecast.fitted(frame(spark, "domain string, recent boolean, input array<double>, target double", rows), 2)
     assert w["full"] == pytest.approx([1, 2, -1], abs=1e-3) and w["direct"] == pytest.approx(w["source"], abs=1e-2)
+
+
+def test_drawn_numbers_match_sql(duck):
+    ids = np.array([0, 1, 1499, 540_000, 2**31 - 1, -3, -70_000], np.int64)
+    for some in (ids[:5], ids):
+        for r in (1, 20_000):
+            want = [duck.execute(f"SELECT {resampling.draw(str(i), str(r), 3)}").fetchone()[0] for i in some]
+            assert resampling.drawn_numbers(some, r, 3).tolist() == want
+
+
+def test_partial_r2_of_held_and_sorted_groups(spark, monkeypatch):
+    """Groups that tasks hold and groups that Spark sorts give the same; blocks of a group may be many."""
+    rng = np.random.default_rng(4)
+    rows = [(i * 3, None if i % 31 == 0 else int(i % 5 > 0), None if i % 23 == 0 else float(v), None if i % 29 == 0 else "abc"[int(c)]) for i, (v, c) in enumerate(zip(rng.normal(0, 1, 400), rng.integers(0, 3, 400)))]
+    df = frame(spark, "i long, g int, y double, k string", rows)
+    monkeypatch.setattr(resampling, "BLOCK", 64)
+    found = []
+    for held in (1 << 21, 100, 0):
+        monkeypatch.setattr(resampling, "HELD", held)
+        found.append(tuple(resampling.partial_r2(df, "i", "y", "g", "k", 60, 1).first()))
+    assert found[1] == pytest.approx(found[0], rel=1e-12) and found[2] == pytest.approx(found[0], rel=1e-12)
