@@ -152,6 +152,88 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Standard deviations that a group's last place is looked for on either side of where it is expected.
+REACH = 6.0
+
+
+def regrouped_sums(df: DataFrame, ident: str, features: dict[str, Column], group: str, times: int, seed: int = 0) -> DataFrame:
+    """(r, group, n, features): sums over the rows that fall to each group when its labels are permuted, NULLs not counted; the same permutations as by sorting all rows.
+
+    Labels go by places, so all that a replicate needs are the numbers drawn at the last place of
+    each group. As draws are even, those are near where they are expected: a block of rows is summed
+    between these stretches, and only the rows inside them, some square root of all, are sent and put in order.
+    A replicate whose places lie elsewhere is sorted as a whole.
+    """
+    names = list(features)
+    rows = _written(df.select(F.col(ident).cast("long").alias("__i"), F.col(group).alias("__k"), *(c.cast("double").alias(n) for n, c in features.items())), "regrouped")
+    places = sorted(_places(rows, "__k").collect(), key=lambda p: p["upto"])  # a row for each group
+    upto, total = np.array([p["upto"] for p in places], np.int64), int(places[-1]["upto"]) if places else 0
+    share = upto[:-1] / max(total, 1)
+    reach = REACH * np.sqrt(share * (1 - share) / max(total, 1)) + 8 / max(total, 1)
+    edges: list[int] = []  # begins and ends of stretches in turn; those that meet are one
+    for low, high in zip((PRIME * (share - reach)).astype(np.int64), (PRIME * (share + reach)).astype(np.int64)):
+        if edges and low <= edges[-1]:
+            edges[-1] = int(high)
+        else:
+            edges += [int(low), int(high)]
+    cuts, k, f = np.array(edges, np.int64), len(edges) + 1, len(names)
+    dealt = rows.withColumn("__b", F.pmod(F.xxhash64("__i"), F.lit(-(-max(total, 1) // (4 * BLOCK)))))
+    fields = F.struct("__i", F.array(*(F.coalesce(n, F.lit(0.0)) for n in names)).alias("x"))
+    blocks = dealt.groupBy("__b").agg(F.collect_list(fields).alias("rows")).select("__b", F.col("rows.__i").alias("ids"), F.flatten("rows.x").alias("values"))
+    chunks = -(-times // CHUNK)
+    sent = blocks.withColumn("__c", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).repartition(chunks, "__b", "__c")
+
+    def split(batches):
+        for pdf in batches:
+            for ids, values, c in zip(pdf["ids"], pdf["values"], pdf["__c"]):
+                ids, x = np.asarray(ids, np.int64), np.asarray(values, float).reshape(-1, f)
+                out = []
+                for r in range(int(c) * CHUNK + 1, min(times, (int(c) + 1) * CHUNK) + 1):
+                    drawn = drawn_numbers(ids, r, seed)
+                    at = np.searchsorted(cuts, drawn, "right")
+                    near = np.flatnonzero(at % 2)
+                    sums = [np.bincount(at, minlength=k)] + [np.bincount(at, x[:, j], k) for j in range(f)]
+                    out.append((r, np.concatenate(sums).astype(float), (drawn[near] << 32) + (ids[near] + (1 << 31)), x[near].ravel()))
+                yield pd.DataFrame(out, columns=["r", "sums", "keys", "values"])
+
+    parts = sent.select("ids", "values", "__c").mapInPandas(split, "r long, sums array<double>, keys array<long>, values array<double>")
+    held = parts.groupBy("r").agg(F.array_sort(F.collect_list(F.struct("keys", "values", "sums"))).alias("p"))  # in order, so that partitions don't matter
+    each = held.select("r", *(F.flatten(f"p.{c}").alias(c) for c in ("sums", "keys", "values")))
+
+    def place(batches):
+        for pdf in batches:
+            out = []
+            for r, sums, keys, values in zip(pdf["r"], pdf["sums"], pdf["keys"], pdf["values"]):
+                sums = np.asarray(sums, float).reshape(-1, f + 1, k).sum(0).T
+                keys, x = np.asarray(keys, np.int64), np.asarray(values, float).reshape(-1, f)
+                order = np.argsort(keys)
+                inside = np.searchsorted(keys[order] >> 32, cuts)  # how many rows of stretches lie before each edge
+                run = np.vstack([np.zeros((1, f)), np.cumsum(x[order], 0)])
+                gaps = np.cumsum(sums[::2], 0)  # rows and sums before each stretch, those of stretches left out
+                found = np.zeros((len(upto) + 1, f))
+                found[-1] = sums[:, 1:].sum(0)
+                for j, last in enumerate(upto[:-1]):
+                    s = np.searchsorted(cuts[1::2], int(PRIME * share[j]), "right")  # its stretch
+                    m = int(last - gaps[s, 0])
+                    if not inside[2 * s] <= m <= inside[2 * s + 1]:
+                        found = None
+                        break
+                    found[j + 1] = gaps[s, 1:] + run[m]
+                for j, (last, own) in enumerate(zip(upto, np.diff(np.concatenate([[0], upto])))):
+                    out.append((r, j, own, *([None] * f if found is None else found[j + 1] - found[j])))
+            yield pd.DataFrame(out, columns=["r", "__j", "n", *names]).astype({n: float for n in names})
+
+    sums = _written(each.mapInPandas(place, "r long, __j int, n long" + "".join(f", `{n}` double" for n in names)), "sums")
+    labels = df.sparkSession.createDataFrame([(j, p["__k"]) for j, p in enumerate(places)], f"__j int, `{group}` {df.schema[group].dataType.simpleString()}")
+    out = ["r", group, "n", *names]
+    missing = [r["r"] for r in sums.filter(F.col(names[0]).isNull()).select("r").distinct().collect()] if names else []
+    found = sums.join(F.broadcast(labels), "__j").select(*out)
+    if not missing:
+        return found
+    rest = _regrouped(rows, "__i", names, "__k", times, seed, missing).groupBy("r", F.col("__k").alias(group)).agg(F.count(F.lit(1)).alias("n"), *(F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in names))
+    return found.filter(~F.col("r").isin(missing)).union(rest.select(*out))
+
+
 def _effects(sums: DataFrame, *by: str) -> DataFrame:
     """eta2 and omega2 from n, s (sum) and q (sum of squares) of each group."""
     n, s, q, k = F.sum("n"), F.sum("s"), F.sum("q"), F.count(F.lit(1))
@@ -167,7 +249,7 @@ def _sums(df: DataFrame, x: str, *by: str) -> DataFrame:
 def permutation_effect(df: DataFrame, ident: str, x: str, group: str, times: int = 1999, seed: int = 0) -> DataFrame:
     """eta squared and its p by permuting group labels."""
     own = _effects(_sums(df, x, group)).select(F.col("eta2").alias("own"))
-    each = _effects(_sums(_regrouped(df, ident, [x], group, times, seed), x, "r", group), "r")
+    each = _effects(regrouped_sums(df, ident, {"s": F.col(x), "q": F.col(x) * F.col(x)}, group, times, seed), "r")
     both = each.crossJoin(F.broadcast(own))  # one row
     n = F.count_if(told(F.col("eta2")) >= told(F.col("own")))
     return both.agg(F.first("own").alias("eta2"), n.alias("exceedances"), ((n + 1) / F.lit(times + 1.0)).alias("p"))
@@ -195,7 +277,9 @@ def permutation_difference(df: DataFrame, ident: str, x: str, group: str, a, b,
     two = df.filter(F.col(group).isin(a, b)).select(ident, x, group)
     means = lambda d, *by: d.groupBy(*by).agg((F.avg(F.when(F.col(group) == b, F.col(x))) - F.avg(F.when(F.col(group) == a, F.col(x)))).alias("d"))
     own = means(two).select(F.col("d").alias("difference"))
-    moved = means(_regrouped(two, ident, [x], group, times, seed), "r").crossJoin(F.broadcast(own))
+    sums = regrouped_sums(two, ident, {"s": F.col(x), "m": F.col(x).isNotNull().cast("int")}, group, times, seed)
+    side = lambda v: F.max(F.when(F.col(group) == v, safe_ratio(F.col("s"), F.col("m"))))
+    moved = sums.groupBy("r").agg((side(b) - side(a)).alias("d")).crossJoin(F.broadcast(own))
     n = F.count_if(told(F.abs("d")) >= told(F.abs("difference")))
     p = moved.agg(F.first("difference").alias("difference"), ((n + 1) / F.lit(times + 1.0)).alias("p"))
     low = means(redrawn(two, ident, times, seed + 1, group), "r").withColumnRenamed("d", "difference").agg(*interval("difference")).toDF("low", "high")
@@ -219,11 +303,15 @@ def monte_carlo_chi_square(df: DataFrame, ident: str, row: str, column: str, tim
     """chi square and its p by permuting one margin."""
     from gridloom.operators.stats import cross_counts
 
-    cells = F.broadcast(cross_counts(df, row, column).select(row, column, "expected", F.col("n").alias("seen")))
+    df = _written(df.select(ident, row, column), "study")
+    cells = _written(cross_counts(df, row, column).select(row, column, "expected", F.col("n").alias("seen")), "cells")
+    names = [v[0] for v in cells.select(row).distinct().orderBy(row).collect()]  # a few
     value = lambda n: F.sum(n * n / F.col("expected")) - F.sum(n)
     own = cells.agg(value(F.col("seen")).alias("chi2"))
-    counts = _regrouped(df, ident, [row], column, times, seed).groupBy("r", row, column).agg(F.count(F.lit(1)).alias("m"))
-    each = counts.join(cells, [row, column]).groupBy("r").agg(value(F.col("m")).alias("x"))  # empty cells add nothing to this form of chi square
+    sums = regrouped_sums(df, ident, {f"m{i}": (F.col(row) == v).cast("int") for i, v in enumerate(names)} or {"m0": F.lit(0)}, column, times, seed)
+    kind = reduce(lambda c, v: c.when(F.col(row) == v[1], v[0]), enumerate(names), F.when(F.lit(False), -1))
+    counts = sums.select("r", column, F.posexplode(F.array(*(F.col(f"m{i}") for i in range(max(1, len(names)))))).alias("__kind", "m"))
+    each = counts.join(F.broadcast(cells.withColumn("__kind", kind)), [column, "__kind"]).groupBy("r").agg(value(F.col("m")).alias("x"))  # empty cells add nothing to this form of chi square
     n = F.count_if(F.round("x", 9) >= F.round("chi2", 9))
     return each.crossJoin(F.broadcast(own)).agg(F.first("chi2").alias("chi2"), n.alias("exceedances"), ((n + 1) / F.lit(times + 1.0)).alias("p"))
 

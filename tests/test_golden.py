@@ -474,6 +474,18 @@ def test_linear_forecast_recovers_weights(spark):
     assert w["full"] == pytest.approx([1, 2, -1], abs=1e-3) and w["direct"] == pytest.approx(w["source"], abs=1e-2)
 
 
+def test_regrouped_sums_match_sorted_rows(spark, monkeypatch):
+    """Sums by drawn places are those of all rows in order, also for replicates whose places lie far off; what is sent grows slower than rows."""
+    rng = np.random.default_rng(3)
+    rows = [(i * 5, None if i % 50 == 0 else int(g), None if i % 70 == 0 else float(v)) for i, (g, v) in enumerate(zip(rng.integers(0, 3, 3000), rng.integers(0, 40, 3000)))]
+    df = frame(spark, "entity long, g int, x double", rows)
+    want = resampling._regrouped(df, "entity", ["x"], "g", 40, 2).groupBy("r", "g").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("s")).toPandas().sort_values(["r", "g"])
+    for reach in (6.0, 0.3):
+        monkeypatch.setattr(resampling, "REACH", reach)
+        got = resampling.regrouped_sums(df, "entity", {"s": F.col("x")}, "g", 40, 2).toPandas().sort_values(["r", "g"])
+        assert len(got) == len(want) and (got["n"].to_numpy() == want["n"].to_numpy()).all() and np.allclose(got["s"], want["s"])
+
+
 def test_drawn_numbers_match_sql(duck):
     ids = np.array([0, 1, 1499, 540_000, 2**31 - 1, -3, -70_000], np.int64)
     for some in (ids[:5], ids):
