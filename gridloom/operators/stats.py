@@ -112,22 +112,27 @@ def quartile_by_rank(df: DataFrame, x: str, tie: str, k: int = 4) -> DataFrame:
 def quantiles(df: DataFrame, x: str, probabilities: list[float], *by: str) -> DataFrame:
     """(by, q0, q1, ...): exact quantiles of x, within groups if given, between neighbouring values as the reference's; groups without values have none.
 
-    Ranges of a group's values are counted first; only those that hold a wanted rank are put in
-    order, each by itself, so that no task sees all values and no buffer holds them.
+    Equal values are counted at once, and ranges of a group's values first; only those that hold a
+    wanted rank are put in order, each by itself, so that no task sees all values and no buffer
+    holds them. Values meet their group's edges by (group, copy): a large group is dealt out.
     """
     keys = list(by) or ["__one"]
     rows = df.filter(F.col(x).isNotNull()).select(*([F.lit(1).alias("__one")] if not by else by), F.col(x).cast("double").alias("__v"))
-    edges = rows.groupBy(*keys).agg(F.percentile_approx("__v", [i / RANGES for i in range(1, RANGES)], 1000).alias("__edges"))
-    dealt = rows.join(edges if by else F.broadcast(edges), keys).withColumn("__range", F.size(F.filter("__edges", lambda e: e < F.col("__v")))).drop("__edges")
-    n = dealt.groupBy(*keys, "__range").agg(F.count(F.lit(1)).alias("__n"))  # at most RANGES rows a group
+    counted = _written(rows.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__m")), "values")
+    edges = counted.groupBy(*keys).agg(F.percentile_approx("__v", [i / RANGES for i in range(1, RANGES)], 1000).alias("__edges"))
+    edges = edges.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(RANGES - 1))))
+    copy = F.pmod(F.xxhash64("__v"), F.lit(RANGES)).cast("int")
+    dealt = counted.withColumn("__copy", copy).join(edges, [*keys, "__copy"]).withColumn("__range", F.size(F.filter("__edges", lambda e: e < F.col("__v")))).drop("__edges", "__copy")
+    n = dealt.groupBy(*keys, "__range").agg(F.sum("__m").alias("__n"))  # at most RANGES rows a group
     own = Window.partitionBy(*keys)
     n = n.select(*keys, "__range", (F.sum("__n").over(own.orderBy("__range")) - F.col("__n")).alias("__before"), F.sum("__n").over(own).alias("__all"), "__n")
     at = [p * (F.col("__all") - 1) for p in probabilities]
     ranks = F.array_distinct(F.array(*(f(h).cast("long") for h in at for f in (F.floor, F.ceil))))
     wanted = n.withColumn("__ranks", F.filter(ranks, lambda r: (r >= F.col("__before")) & (r < F.col("__before") + F.col("__n")))).filter(F.size("__ranks") > 0).drop("__n")
-    turn = F.row_number().over(Window.partitionBy(*keys, "__range").orderBy("__v")) - 1 + F.col("__before")
-    found = dealt.join(wanted, [*keys, "__range"]).withColumn("__rank", turn.cast("long")).filter(F.array_contains("__ranks", F.col("__rank")))
-    pick = lambda h: F.max(F.when(F.col("__rank") == h.cast("long"), F.col("__v")))
+    upto = F.sum("__m").over(Window.partitionBy(*keys, "__range").orderBy("__v")) + F.col("__before")
+    found = dealt.join(wanted, [*keys, "__range"]).withColumn("__upto", upto).filter(F.exists("__ranks", lambda r: (r < F.col("__upto")) & (r >= F.col("__upto") - F.col("__m"))))
+    held = lambda h: (h.cast("long") < F.col("__upto")) & (h.cast("long") >= F.col("__upto") - F.col("__m"))
+    pick = lambda h: F.max(F.when(held(h), F.col("__v")))
     share = lambda h: F.max(h - F.floor(h))
     values = [(pick(F.floor(h)) + share(h) * (pick(F.ceil(h)) - pick(F.floor(h)))).alias(f"q{i}") for i, h in enumerate(at)]
     return found.groupBy(*keys).agg(*values).drop("__one")

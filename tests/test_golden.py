@@ -505,3 +505,15 @@ def test_partial_r2_of_held_and_sorted_groups(spark, monkeypatch):
         monkeypatch.setattr(resampling, "HELD", held)
         found.append(tuple(resampling.partial_r2(df, "i", "y", "g", "k", 60, 1).first()))
     assert found[1] == pytest.approx(found[0], rel=1e-12) and found[2] == pytest.approx(found[0], rel=1e-12)
+
+
+def test_quantiles_deal_out_groups_and_ties(spark):
+    """Values of a group meet its edges in many parts, equal ones as one row; quantiles are those of NumPy."""
+    rng = np.random.default_rng(8)
+    x = {"a": np.concatenate([rng.integers(0, 5, 900), rng.normal(2, 9, 300), [np.float64(2)] * 800]), "b": np.array([7.0] * 50), "c": np.array([1.5, -2.0])}
+    df = frame(spark, "g string, x double", [(g, float(v)) for g, own in x.items() for v in own] + [("a", None), ("d", None)])
+    p = [0.0, 0.01, 0.3, 0.5, 0.77, 0.999, 1.0]
+    got = stats.quantiles(df, "x", p, "g")
+    assert {r["g"]: list(r)[1:] for r in got.collect()} == {g: pytest.approx(np.quantile(own, p).tolist()) for g, own in x.items()}
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "__m" in plan and all("__copy" in line or "__range" in line for line in plan.splitlines() if "Join" in line)
