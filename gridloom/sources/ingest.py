@@ -104,8 +104,8 @@ def write_predictions(df: DataFrame, path: str) -> None:
 
 
 def write_table(df: DataFrame, path: str, kind: str = "csv") -> None:
-    """One report table as CSV with a header, JSON lines or Parquet: it appears as a whole or not at all, and never over what is there. For results of a few thousand rows."""
-    writer = df.coalesce(1).write.mode("errorifexists")
+    """One report table as CSV with a header, JSON lines or Parquet: it appears as a whole or not at all, and never over what is there. Small results are one file, large ones several: what makes them keeps its tasks."""
+    writer = df.hint("rebalance").write.mode("errorifexists")
     {"csv": lambda: writer.csv(path, header=True), "json": lambda: writer.json(path), "parquet": lambda: writer.parquet(path)}[kind]()
 
 

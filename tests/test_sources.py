@@ -64,6 +64,27 @@ def test_fixed_schemas_and_reports(spark, tmp_path):
         ingest.table_of(spark, "a.txt")
 
 
+def test_report_tables_of_any_size(spark, tmp_path):
+    """Writing a table leaves the tasks that make it as many as they were; a small table is one file, a large one several."""
+    from pyspark import TaskContext
+
+    def who(batches):
+        for pdf in batches:
+            yield pdf.assign(part=TaskContext.get().partitionId())
+
+    df = spark.range(0, 4000, 1, 4).mapInPandas(who, "id long, part int")
+    ingest.write_table(df, str(tmp_path / "small"), "parquet")
+    assert spark.read.parquet(str(tmp_path / "small")).select("part").distinct().count() == 4
+    assert len(list((tmp_path / "small").glob("part-*"))) == 1
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        ingest.write_table(spark.range(0, 400_000, 1, 4).select("id", F.xxhash64("id").alias("h")), str(tmp_path / "large"), "csv")
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    assert len(list((tmp_path / "large").glob("part-*"))) > 4 and ingest.text_csv(spark, str(tmp_path / "large")).count() == 400_000
+
+
 def test_specs(spark):
     spec = config.load('{"bands": [{"min": 0, "max": 2, "label": "low"}, {"min": 3, "max": 9, "label": "high"}], "gates": [{"name": "large", "column": "id", "operator": ">=", "value": 2}], "routes": [{"parent": "q1", "operator": "in", "value": ["a"], "targets": ["q2"]}], "comparisons": [{"id": "x", "focal": "full", "comparator": "direct"}]}')
     got = spark.range(4).select(config.banded("id", spec["bands"]).alias("b"), config.gates(spec["gates"])["large"].alias("g")).collect()
