@@ -19,6 +19,8 @@ from gridloom.sources.scratch import scratch
 
 #: Pivots of a group and rings of a cell, at most, and the rows that call for one more of either; copies of a group's pivots and rings for its blocks to meet.
 PIVOTS, RINGS, ROWS, COPIES = 16, 8, 128, 32
+#: Rings to which a block is sent at once.
+SENT = 16
 #: Ranges of values over which shares are counted side by side.
 RANGES = 64
 
@@ -99,12 +101,14 @@ def nearest_distances(every: DataFrame, sources: DataFrame, most: int) -> DataFr
 
     def visit(batches):
         for pdf in batches:
-            out = []
+            # A block goes to many rings, so that what a batch of them sends is many times what it holds: each is sent by itself.
             for g, block, held in zip(pdf["group"], pdf["block"], pdf["rings"]):
                 size, low, high = (np.array([r[c] for r in held]) for c in ("n", "low", "high"))
                 wanted = rings_to_visit(np.stack([np.asarray(r["to_pivots"], float) for r in block]), size, low, high, most + 1)
-                out += [(g, int(r["cell"]), int(r["ring"]), [{c: block[i][c] for c in ("entity", "is_source", "profile")} for i in np.flatnonzero(on)]) for r, on in zip(held, wanted.T) if on.any()]
-            yield pd.DataFrame(out, columns=["group", "cell", "ring", "rows"])
+                rows = [{c: r[c] for c in ("entity", "is_source", "profile")} for r in block]
+                out = [(g, int(r["cell"]), int(r["ring"]), [rows[i] for i in np.flatnonzero(on)]) for r, on in zip(held, wanted.T) if on.any()]
+                for at in range(0, len(out), SENT):
+                    yield pd.DataFrame(out[at : at + SENT], columns=["group", "cell", "ring", "rows"])
 
     near = _beside(in_blocks(placed.select("entity", "group", "is_source", "profile", "to_pivots", "cell"), "group", "cell").drop("cell"), rings)
     seekers = near.select("group", "block", "rings").mapInPandas(visit, f"group {group}, cell int, ring int, rows array<struct<entity: {kind}, is_source: boolean, profile: array<double>>>")

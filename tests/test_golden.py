@@ -517,3 +517,17 @@ def test_quantiles_deal_out_groups_and_ties(spark):
     assert {r["g"]: list(r)[1:] for r in got.collect()} == {g: pytest.approx(np.quantile(own, p).tolist()) for g, own in x.items()}
     plan = got._jdf.queryExecution().sparkPlan().toString()
     assert "__m" in plan and all("__copy" in line or "__range" in line for line in plan.splitlines() if "Join" in line)
+
+
+def test_neighbours_are_sent_in_small_pieces(spark, monkeypatch):
+    """A block that goes to many rings is sent piece by piece; distances are those of all pairs."""
+    from gridloom.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "ROWS", 8)
+    monkeypatch.setattr(neighbours, "SENT", 2)
+    x = np.random.default_rng(9).normal(0, 1, (90, 6))
+    df = frame(spark, "entity long, group int, profile array<double>", [(i, 1, [float(v) for v in r]) for i, r in enumerate(x)])
+    got = {r["entity"]: r["near"] for r in neighbours.nearest_distances(df.withColumn("is_source", F.lit(True)), df, 4).collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).mean(2))
+    np.fill_diagonal(d, np.inf)
+    assert len(got) == 90 and all(got[i] == pytest.approx(np.sort(d[i])[:4].tolist()) for i in range(90))
