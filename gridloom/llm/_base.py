@@ -105,6 +105,19 @@ def spill(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(name)
 
 
+def bucketed(df: DataFrame, tag: str, buckets: int, key: str) -> DataFrame:
+    """Writes df as spill does, in buckets of the key, so that a join by the key need not shuffle it."""
+    spark = df.sparkSession
+    table = f"{tag}_{uuid.uuid4().hex}"
+    name = f"{shared_dir(spark)}/{table}"
+    df.write.bucketBy(buckets, key).option("path", name).saveAsTable(table)
+    path, system = _place(spark, name)
+    system.deleteOnExit(path)
+    if _SCOPES:
+        _SCOPES[-1].append((spark, name))
+    return spark.table(table)
+
+
 def forget(*frames: DataFrame) -> None:
     """Deletes spilled tables that nothing reads any more."""
     for df in frames:

@@ -13,8 +13,9 @@ score, then leftmost, until none is left: each merge is an edge over two neighbo
 of pieces are bits of a number in segments of up to PLACES characters, and an array in longer ones.
 Characters that no edge covers become the pieces of their bytes.
 
-Whole texts get their ids from their segments': those of the most frequent ones are broadcast, the
-others are joined by segment to the texts that have them. Decoding puts the pieces' bytes together again.
+Texts are cut once, into chunks that hold their texts as numbers of words and each distinct segment
+once, and wait in buckets. The ids of the most frequent segments are broadcast, the others are joined
+by parts of all segments to the chunks that have them. Decoding puts the pieces' bytes together again.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ import contextlib
 import re
 from collections import Counter
 from functools import lru_cache
+from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -35,6 +38,8 @@ from gridloom.llm import _base
 SPACE = "▁"
 #: Characters of a segment whose bounds are bits; words of texts that a Python worker holds at once.
 PLACES, HELD = 61, 300_000
+#: Characters of the texts that a chunk holds, distinct words that are cut at once, words whose ids are put together at once.
+LETTERS, CUT, WORDS = 1 << 25, 30_000, 300_000
 #: Segments whose ids are broadcast, and characters of such a segment; segments of a partition that are grouped by hash, without a sort.
 FREQUENT, BROADCAST, GROUPED = 300_000, 64, 10_000
 #: Words where spaces are doubled or marks are in the text: the mark before a word is its own, and a line end is a word.
@@ -77,14 +82,35 @@ class Cutter:
         self.code = np.zeros(0x110000, np.int32)
         self.code[[ord(c) for c in chars]] = np.arange(1, self.size)
         place = {c: i + 1 for i, c in enumerate(chars)}
-        self.pairs = np.array(sorted(place[p[0]] * self.size + place[p[1]] for p in names if len(p) == 2), np.int64)
-        self.triples = np.array(sorted({(place[p[i]] * self.size + place[p[i + 1]]) * self.size + place[p[i + 2]] for p in names for i in range(len(p) - 2)}), np.int64)
+        self.pairs = self._hashed(np.array(sorted(place[p[0]] * self.size + place[p[1]] for p in names if len(p) == 2), np.int64))
+        self.triples = self._hashed(np.array(sorted({(place[p[i]] * self.size + place[p[i + 1]]) * self.size + place[p[i + 2]] for p in names for i in range(len(p) - 2)}), np.int64))
 
     @staticmethod
-    def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
-        if not len(known) or not len(x):
-            return np.zeros(len(x), bool)
-        return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+    def _hashed(known: np.ndarray) -> np.ndarray:
+        """A table of some 16 places a number, each at the first free place from its own on; -1 where free. The last place is always free."""
+        out = np.full((1 << int(np.ceil(np.log2(16 * len(known) + 64)))) + len(known) + 1, -1, np.int64)
+        for x, at in zip(known.tolist(), Cutter._places(known, out).tolist()):
+            while out[at] != -1:
+                at += 1
+            out[at] = x
+        return out
+
+    @staticmethod
+    def _places(x: np.ndarray, table: np.ndarray) -> np.ndarray:
+        return ((x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - len(table).bit_length())).astype(np.int64)
+
+    @classmethod
+    def _among(cls, x: np.ndarray, table: np.ndarray) -> np.ndarray:
+        at = cls._places(x, table)
+        found = table[at]
+        same = found == x
+        left = np.flatnonzero(~same & (found != -1))
+        while len(left):  # another number has the place
+            at[left] += 1
+            found = table[at[left]]
+            same[left] = found == x[left]
+            left = left[~same[left] & (found != -1)]
+        return same
 
     def cut(self, words: list[str]) -> list[list[str]]:
         """The segments of each word."""
@@ -319,91 +345,226 @@ def encoded_words(words: DataFrame, path: str, unigram: bool = False, places: in
     return codes
 
 
-class Coder:
-    """Ids of whole texts from those of their segments; segments that aren't known leave holes."""
+class Numbers(dict):
+    """Numbers things by their first coming."""
 
-    def __init__(self, cutter: Cutter, known: dict[str, bytes], kind: np.dtype):
-        self.cutter, self.known, self.hole = cutter, known, np.array([np.iinfo(kind).max], kind).tobytes()
-        self.words: dict[str, bytes] = {}
-        self.holes: dict[str, list[str]] = {}
+    def __missing__(self, thing) -> int:
+        self[thing] = found = len(self)
+        return found
 
-    def learn(self, words: list[str]) -> None:
-        for w, segments in zip(words, self.cutter.cut(words)):
-            got = [self.known.get(s) for s in segments]
-            if None in got:
-                self.holes[w] = [s for s, g in zip(segments, got) if g is None]
-            self.words[w] = b"".join(self.hole if g is None else g for g in got)
 
-    def run(self, texts: list[str]) -> list[tuple[bytes, list[str]]]:
-        """For each text its ids, with holes, and the segments of the holes in order."""
-        if len(self.words) > HELD:
-            self.words, self.holes = {}, {}
-        cut = [words_in(t) for t in texts]
-        self.learn(list({w for words in cut for w in words if w not in self.words}))
-        get, holes = self.words.__getitem__, self.holes
-        return [(b"".join(map(get, words)), [s for w in words if w in holes for s in holes[w]]) for words in cut]
+def _packed(x: np.ndarray) -> bytes:
+    """Non-negative numbers below 2^31 by planes of their bytes, which compress better than the numbers."""
+    return len(x).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(np.asarray(x, "<i4").view(np.uint8).reshape(-1, 4).T), "zstd", asbytes=True)
 
 
-def _coded(docs: DataFrame, path: str, id_col: str, text_col: str, frequent: int) -> DataFrame:
-    """(id, size, check, ids), one row per row of docs: bytes of the text as the model sees it, and their hash."""
-    spark = docs.sparkSession
-    _base.ready(spark)
-    codes = encoded_words(segments_of(docs, path, text_col), path)
-    kind = np.dtype("<u2" if processor(path).get_piece_size() < 65535 else "<u4")
-    few = codes.filter(F.length("word") <= BROADCAST)
-    # Counts in steps: the most frequent ones without a sort. At most 16 x 63 rows.
+def _unpacked(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(raw[8:], 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n).T).view("<i4").ravel()
+
+
+def _packed_names(names: list[str]) -> bytes:
+    """Segments have no spaces, which are marks by then."""
+    raw = " ".join(names).encode()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpacked_names(raw: bytes) -> list[str]:
+    return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True).decode().split(" ")
+
+
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all runs, one run after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+class Chunk:
+    """Some texts as numbers of words, and words as numbers of segments, each distinct one once."""
+
+    def __init__(self):
+        self.words, self.numbers, self.sizes, self.rows, self.letters = Numbers(), [], [], [], 0
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        """Rows (id, size, check, text)."""
+        self.rows.append(batch.select(range(3)))
+        get = self.words.__getitem__
+        for t in batch.column(3).to_pylist():
+            words = words_in(t)
+            self.numbers.append(np.fromiter(map(get, words), np.int32, len(words)))
+            self.sizes.append(len(words))
+            self.letters += len(t)
+
+    def row(self, chunk: int, cutter: Cutter, parts: int) -> pa.RecordBatch:
+        """One row; segments are in order of the part that the hash of each belongs to."""
+        words, numbers, found = list(self.words), np.concatenate([np.zeros(0, np.int32), *self.numbers]), Numbers()
+        # The most frequent word first. Words that occur once come last, as they come in the texts, where a zero will do for each.
+        n = np.bincount(numbers, minlength=len(words))
+        order = np.argsort(-n, kind="stable")
+        rank = np.empty(len(n), np.int32)
+        rank[order] = np.arange(1, len(n) + 1)
+        words, n = [words[i] for i in order.tolist()], n[order]
+        rank[rank > int((n > 1).sum())] = 0
+        numbers = rank[numbers]
+        each, flat = [], []
+        for i in range(0, len(words), CUT):
+            cut = cutter.cut(words[i : i + CUT])
+            each.append(np.fromiter(map(len, cut), np.int32, len(cut)))
+            flat.append(np.fromiter(map(found.__getitem__, chain.from_iterable(cut)), np.int32, int(each[-1].sum())))
+        each, flat = (np.concatenate([np.zeros(0, np.int32), *x]) for x in (each, flat))
+        count = np.bincount(flat, np.repeat(n, each), len(found)).astype(np.int64)
+        names = list(found)
+        part = np.fromiter((crc32(s.encode()) % parts for s in names), np.int32, len(names))
+        order = np.argsort(part, kind="stable")
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order))
+        names, count = [names[i] for i in order.tolist()], count[order]
+        some, begins = np.unique(part[order], return_index=True)
+        slices = [slice(a, b) for a, b in zip(begins.tolist(), [*begins.tolist()[1:], len(names)])]
+        inner = pa.StructArray.from_arrays(
+            [pa.array(some, pa.int32()), pa.array([_packed_names(names[x]) for x in slices], pa.binary()), pa.array([_packed(count[x]) for x in slices], pa.binary())], ["part", "names", "counts"]
+        )
+        rows = pa.Table.from_batches(self.rows).combine_chunks()
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        blobs = [pa.array([_packed(x)], pa.binary()) for x in (np.array(self.sizes, np.int32), numbers, each, place[flat] if len(flat) else flat)]
+        columns = [pa.array([chunk], pa.int64()), *(one(c.combine_chunks() if c.num_chunks != 1 else c.chunk(0)) for c in rows.columns), *blobs, one(inner)]
+        return pa.RecordBatch.from_arrays(columns, ["chunk", "id", "size", "check", *BLOBS, "parts"])
+
+
+BLOBS = ("sizes", "numbers", "each", "segments")
+
+
+def chunks_of(rows: DataFrame, path: str, parts: int, held: int) -> DataFrame:
+    """Rows (id, size, check, text) in chunks of some `held` distinct words: one row a chunk."""
+    own = rows.schema["id"].dataType.simpleString()
+
+    @_base.tidy
+    def run(batches):
+        from pyspark import TaskContext
+
+        number, chunk = TaskContext.get().partitionId() << 32, Chunk()
+        for batch in batches:
+            chunk.add(batch)
+            if len(chunk.words) >= held or chunk.letters >= LETTERS:
+                yield chunk.row(number, cutter(path), parts)
+                number, chunk = number + 1, Chunk()
+        if chunk.rows:
+            yield chunk.row(number, cutter(path), parts)
+
+    kinds = f"chunk long, id array<{own}>, size array<long>, check array<long>, {' binary, '.join(BLOBS)} binary, parts array<struct<part: int, names: binary, counts: binary>>"
+    return rows.mapInArrow(run, kinds)
+
+
+def _segments(chunks: DataFrame, parts: int) -> DataFrame:
+    """(word, n): the distinct segments of all chunks and how often they occur, counted part by part."""
+
+    @_base.tidy
+    def run(batches):
+        counts: Counter = Counter()
+        now = None
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+
+        for batch in batches:
+            for part, names, ns in zip(*(c.to_pylist() for c in batch.columns)):
+                if part != now and counts:
+                    yield out()
+                    counts = Counter()
+                now = part
+                for w, n in zip(_unpacked_names(names), _unpacked(ns).tolist()):
+                    counts[w] += n
+        if counts:
+            yield out()
+
+    return chunks.select(F.explode("parts").alias("p")).select("p.*").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "word string, n long")
+
+
+def _frequent(codes: DataFrame, frequent: int) -> Column:
+    """Whether a segment is one of the at most `frequent` ones whose ids are broadcast. Counts in steps: without a sort; at most 16 x 63 rows."""
+    few = F.length("word") <= BROADCAST
     step = F.floor(F.log2("n") * 16).cast("int")
     least, left = None, frequent
-    for p, k in sorted(few.groupBy(step.alias("p")).agg(F.count(F.lit(1)).alias("k")).collect(), reverse=True):
+    for p, k in sorted(codes.filter(few).groupBy(step.alias("p")).agg(F.count(F.lit(1)).alias("k")).collect(), reverse=True):
         left -= k
         if left < 0:
             break
         least = p
-    top = (few.filter(step >= least) if least is not None else few.limit(0)).select("word", "ids").toArrow()
+    return few & (step >= least) if least is not None else F.lit(False)
+
+
+def _coded(docs: DataFrame, path: str, id_col: str, text_col: str, frequent: int) -> DataFrame:
+    """(id, size, check, ids), one row per row of docs: bytes of the text as the model sees it, and their hash.
+
+    Texts are read and cut once. Chunks wait in buckets for the ids of their segments: these meet by parts
+    of all segments, and only they are sent, never the texts.
+    """
+    spark = docs.sparkSession
+    _base.ready(spark)
+    kind = np.dtype("<u2" if processor(path).get_piece_size() < 65535 else "<u4")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    seen = F.when(text == "", "").otherwise(F.concat(F.lit(SPACE), F.replace(text, F.lit(" "), F.lit(SPACE)))).cast("binary")
+    rows = docs.select(F.col(id_col).alias("id"), F.octet_length(seen).cast("long").alias("size"), F.xxhash64(seen).alias("check"), text.alias("text"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+    chunks = _base.bucketed(chunks_of(rows, path, parts, HELD), "chunks", parts, "chunk")
+    codes = encoded_words(_segments(chunks, parts), path)
+    often = _frequent(codes, frequent)
+    top = codes.filter(often).select("word", "ids").toArrow()
     flat, ends = top["ids"].combine_chunks().flatten().to_numpy().astype(kind).tobytes() if top.num_rows else b"", (np.cumsum([0, *map(len, top["ids"].to_pylist())]) * kind.itemsize).tolist()
     shared = spark.sparkContext.broadcast({w: flat[a:b] for w, a, b in zip(top["word"].to_pylist(), ends, ends[1:])})  # at most `frequent` segments
     del top, flat, ends
     own = docs.schema[id_col].dataType.simpleString()
 
-    def coded(at: int, wanted):
-        @_base.tidy
-        def run(batches):
-            coder = Coder(cutter(path), shared.value, kind)
-            for batch in batches:
-                yield wanted(batch, coder.run([x or "" for x in batch.column(at).to_pylist()]))
-
-        return run
-
-    def holes(batch, found):
-        some = [i for i, (_, rest) in enumerate(found) if rest]
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some, pa.int64())), pa.array([found[i][1] for i in some], pa.list_(pa.string()))], ["row", "rest"])
-
-    def holed(batch, found):
-        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array([x for x, _ in found], pa.binary())], ["id", "row", "size", "check", "holed"])
+    def met(left: pa.Table, right: pa.Table) -> pa.Table:
+        """For each chunk the ids of its segments of this part that are not broadcast, in order; a size of 0 for the others."""
+        known = {w: np.array(i, kind).tobytes() for w, i in zip(right["word"].to_pylist(), right["ids"].to_pylist())}
+        out = []
+        for names in left["names"].to_pylist():
+            got = [known.get(w, b"") for w in _unpacked_names(names)]
+            raw = b"".join(got)
+            out.append((_packed(np.fromiter(map(len, got), np.int32, len(got)) // kind.itemsize), _packed(np.frombuffer(raw, kind).astype(np.int32))))
+        return pa.table({"chunk": left["chunk"], "part": left["part"], "lengths": pa.array([a for a, _ in out], pa.binary()), "fills": pa.array([b for _, b in out], pa.binary())})
 
     @_base.tidy
     def filled(batches):
-        hole = np.iinfo(kind).max
+        known = shared.value
         for batch in batches:
-            lists = []
-            for raw, fills in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                x = np.frombuffer(raw, kind)
-                if fills:
-                    at = np.flatnonzero(x == hole)
-                    parts = np.split(x, at)
-                    x = np.concatenate([parts[0], *(y for f, rest in zip(fills, parts[1:]) for y in (np.asarray(f, kind), rest[1:]))])
-                lists.append(x.astype(np.int32))
-            ends = np.append(0, np.cumsum([len(x) for x in lists])).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *lists])))], ["id", "size", "check", "ids"])
-
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    seen = F.when(text == "", "").otherwise(F.concat(F.lit(SPACE), F.translate(text, " ", SPACE))).cast("binary")
-    row = _base.row_key(F.col(id_col), F.col(text_col))
-    rest = docs.select(row.alias("row"), text.alias("text")).mapInArrow(coded(1, holes), "row binary, rest array<string>").dropDuplicates(["row"])
-    fills = rest.select("row", F.posexplode("rest").alias("at", "word")).join(codes.select("word", "ids"), "word")
-    fills = fills.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"]).alias("fills"))
-    rows = docs.select(F.col(id_col).alias("id"), row.alias("row"), F.octet_length(seen).cast("long").alias("size"), F.xxhash64(seen).alias("check"), text.alias("text"))
-    done = rows.mapInArrow(coded(4, holed), f"id {own}, row binary, size long, check long, holed binary").join(fills, "row", "left").select("id", "size", "check", "holed", "fills")
+            for i in range(batch.num_rows):
+                row = {n: batch.column(n)[i] for n in batch.schema.names}
+                ids, lengths = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+                fills = {f["part"]: f for f in row["fills"].as_py() or []}
+                for p in row["parts"].as_py():
+                    names = _unpacked_names(p["names"])
+                    fill = fills.get(p["part"])
+                    size = _unpacked(fill["lengths"]).tolist() if fill else [0] * len(names)
+                    raw, at, got = _unpacked(fill["fills"]).astype(kind).tobytes() if fill else b"", 0, []
+                    for w, n in zip(names, size):
+                        end = at + n * kind.itemsize
+                        got.append(raw[at:end] if n else known[w])
+                        at = end
+                    lengths.append(np.fromiter(map(len, got), np.int64, len(got)) // kind.itemsize)
+                    ids.append(np.frombuffer(b"".join(got), kind).astype(np.int32))
+                ids, lengths = np.concatenate(ids), np.concatenate(lengths)
+                sizes, numbers, each, segments = (_unpacked(row[n].as_py()) for n in BLOBS)
+                once = numbers == 0
+                numbers = np.where(once, len(each) - once.sum() + np.cumsum(once), numbers) - 1
+                # Segments to words, then words to texts.
+                word = np.concatenate([np.zeros(0, np.int32), ids[_runs((np.cumsum(lengths) - lengths)[segments], lengths[segments])]])
+                long = np.diff(np.append(0, np.cumsum(lengths[segments]))[np.append(0, np.cumsum(each))])
+                starts, last = np.cumsum(long) - long, np.append(0, np.cumsum(sizes))
+                docs_, done = [row[n].values for n in ("id", "size", "check")], 0
+                while done < len(sizes):
+                    to = max(done + 1, int(np.searchsorted(last, last[done] + WORDS, "right")) - 1)
+                    some = numbers[last[done] : last[to]]
+                    flat = word[_runs(starts[some], long[some])]
+                    ends = np.append(0, np.cumsum(long[some]))[last[done : to + 1] - last[done]].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([*(x.slice(done, to - done) for x in docs_), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))], ["id", "size", "check", "ids"])
+                    done = to
+
+    left = chunks.select("chunk", F.explode("parts").alias("p")).select("chunk", "p.part", "p.names")
+    right = codes.filter(~often).select(F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(parts)).cast("int").alias("part"), "word", "ids")
+    fills = left.groupBy("part").cogroup(right.groupBy("part")).applyInArrow(met, "chunk long, part int, lengths binary, fills binary")
+    fills = fills.groupBy("chunk").agg(F.collect_list(F.struct("part", "lengths", "fills")).alias("fills"))
+    done = chunks.join(fills.hint("shuffle_hash"), "chunk", "left").select("id", "size", "check", *BLOBS, F.col("parts"), "fills")
     return done.mapInArrow(filled, f"id {own}, size long, check long, ids array<int>").withColumnRenamed("id", id_col)
 
 

@@ -400,6 +400,20 @@ def test_whole_texts_encode_and_decode(spark, odd, odd_rows, frequent):
         assert Counter((r["doc_id"], r["t"]) for r in back) == Counter((i, "▁" + t.replace(" ", "▁") if t else "") for i, t in odd_rows)
 
 
+def test_texts_are_cut_once_and_not_sent(spark, odd, odd_rows, monkeypatch):
+    """Chunks of a few words give the library's ids; they wait in buckets, and no exchange has texts or their ids."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    monkeypatch.setattr(sentencepiece_lattice, "HELD", 3)
+    got = sentencepiece_lattice.document_codes(odd, PIECES, frequent=5)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and "holed" not in plan and "text#" not in plan
+    assert Counter((r["doc_id"], tuple(r["ids"]), r["round_trip"]) for r in got.collect()) == Counter((i, tuple(sp.encode(t or "")), True) for i, t in odd_rows)
+    for x in ([], [0], [5, 0, 1 << 30, 77]):
+        assert sentencepiece_lattice._unpacked(sentencepiece_lattice._packed(np.array(x, np.int32))).tolist() == x
+
+
 def test_query_encodes_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = sentencepiece_lattice.op6_sentencepiece_lattice(spark, "/root/testdata/sf0.001")
