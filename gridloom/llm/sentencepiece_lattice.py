@@ -54,10 +54,11 @@ def processor(path: str):
 
 
 def pieces(spark, path: str) -> DataFrame:
-    """(piece, id, score) of a model file, without control, unknown, unused and byte pieces."""
+    """(piece, id, score, rank) of a model file, without control, unknown, unused and byte pieces; a higher score has a higher rank, from 1, and an equal one the same."""
     sp = processor(path)
     rows = [(sp.id_to_piece(i), i, float(sp.get_score(i))) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
-    return spark.createDataFrame(pd.DataFrame(rows, columns=["piece", "id", "score"]))
+    table = pd.DataFrame(rows, columns=["piece", "id", "score"])
+    return spark.createDataFrame(table.assign(rank=table["score"].rank(method="dense").astype("int64")))
 
 
 @lru_cache(maxsize=4)
@@ -158,6 +159,15 @@ def words_in(text: str) -> list[str]:
     return (SPACE + text.replace(" ", f" {SPACE}")).split(" ")
 
 
+def bare_words_in(text: str) -> list[str]:
+    """Words of a text, most of them without the mark before them, which is faster; those that words_in does not find by single spaces have a space before them."""
+    if not text:
+        return []
+    if text[0] == " " or "  " in text or SPACE in text:
+        return [" " + w for w in words_in(text)]
+    return text.split(" ")
+
+
 def segments_of(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """(word, n): the distinct segments of all texts and how often they occur. Null and empty texts have none."""
     _base.ready(docs.sparkSession)
@@ -218,34 +228,56 @@ def _bit(i: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), i)
 
 
+#: An edge as one number: rank, 63 - begin, length and id, so that the greatest is of the best score, then leftmost. NONE is the id of a character without a piece.
+RANK_AT, LEFT_AT, LENGTH_AT = 40, 34, 28
+NONE = (1 << LENGTH_AT) - 1
+
+
+def _begin(e: Column) -> Column:
+    return (63 - F.shiftright(e, LEFT_AT).bitwiseAND(F.lit(63).cast("long"))).cast("int")
+
+
+def _length(e: Column) -> Column:
+    return F.shiftright(e, LENGTH_AT).bitwiseAND(F.lit(63).cast("long")).cast("int")
+
+
 def bit_lattice(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
-    """(word, n, edges): for words of up to PLACES characters, the pieces in them and the single characters, each with its two ends and the places inside it as bits."""
-    begin, end = F.col("begin"), F.col("begin") + F.col("length")
-    inner = _bit(end) - _bit(begin + 1)
-    edge = F.struct("score", (-begin).alias("left"), "begin", (_bit(begin) + _bit(end)).alias("ends"), inner.alias("inner"), "id", F.when(F.col("id").isNull(), F.col("piece")).alias("char"))
+    """(word, n, edges): for words of up to PLACES characters, the pieces in them and the single characters, each as one number, with its two ends and the places inside it as bits."""
+    begin, one = F.col("begin").cast("long"), lambda at: F.lit(1 << at).cast("long")
+    edge = F.coalesce("rank", F.lit(0).cast("long")) * one(RANK_AT) + (63 - begin) * one(LEFT_AT) + F.col("length") * one(LENGTH_AT) + F.coalesce(F.col("id").cast("long"), F.lit(NONE).cast("long"))
     found = spans(words, table, longest).filter("id is not null or length = 1")
-    return found.groupBy("word", "n").agg(F.collect_list(edge).alias("edges"))
+    found = found.groupBy("word", "n").agg(F.collect_list(edge).alias("edges"))
+
+    def ends(e: Column) -> Column:
+        return _let(F.struct(_begin(e).alias("b"), _length(e).alias("l")), lambda x: F.struct(e.alias("e"), (_bit(x["b"]) + _bit(x["b"] + x["l"])).alias("ends"), (_bit(x["b"] + x["l"]) - _bit(x["b"] + 1)).alias("inner")))
+
+    return found.select("word", "n", F.transform("edges", ends).alias("edges"))
 
 
 def merged_bits() -> Column:
     """Bounds of the pieces of a word after all merges, as bits."""
-    wide = F.filter("edges", lambda e: e["inner"] != 0)
+    def step(state: Column, _: Column) -> Column:
+        """Beside the bounds the fold keeps the edges that may still come: both ends are bounds, and a bound is inside."""
+        best = F.array_max(F.filter(state["edges"], lambda e: F.bit_count(state["bounds"].bitwiseAND(e["inner"])) == 1))
+
+        def merge(bounds: Column) -> Column:
+            left = F.filter(state["edges"], lambda e: (bounds.bitwiseAND(e["ends"]) == e["ends"]) & (bounds.bitwiseAND(e["inner"]) != 0))
+            return F.struct(bounds.alias("bounds"), left.alias("edges"))
 
-    def step(bounds: Column, edges: Column) -> Column:
-        fits = lambda e: (bounds.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(bounds.bitwiseAND(e["inner"])) == 1)
-        best = F.array_max(F.filter(edges, fits))
-        return bounds - F.coalesce(_let(best, lambda e: bounds.bitwiseAND(e["inner"])), F.lit(0).cast("long"))
+        return F.when(F.size(state["edges"]) == 0, state).otherwise(_let(state["bounds"] - F.coalesce(_let(best, lambda e: state["bounds"].bitwiseAND(e["inner"])), F.lit(0).cast("long")), merge))
 
-    start = _bit(F.length("word") + 1) - 1
-    return _let(wide, lambda edges: F.aggregate(F.sequence(F.lit(1), F.greatest(F.length("word") - 1, F.lit(1))), start, lambda bounds, _: step(bounds, edges)))
+    start = F.struct((_bit(F.length("word") + 1) - 1).alias("bounds"), F.filter("edges", lambda e: e["inner"] != 0).alias("edges"))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length("word") - 1, F.lit(1))), start, step, lambda s: s["bounds"])
 
 
 def bit_ids(ids: list[int]) -> Column:
     """Piece ids of the edges between the bounds in column `bounds`; bytes where a character has no piece."""
-    bounds = F.col("bounds")
+    bounds, none = F.col("bounds"), F.lit(NONE).cast("long")
     path = F.filter("edges", lambda e: (bounds.bitwiseAND(e["ends"]) == e["ends"]) & (bounds.bitwiseAND(e["inner"]) == 0))
-    ordered = F.array_sort(F.transform(path, lambda e: F.struct(e["begin"].alias("begin"), e["id"].alias("id"), e["char"].alias("char"))))
-    return F.flatten(F.transform(ordered, lambda e: F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(_byte_tail(e["char"], ids))))
+    ordered = F.sort_array(F.transform(path, lambda e: _begin(e["e"]).cast("long") * F.lit(1 << LENGTH_AT).cast("long") + e["e"].bitwiseAND(none)))
+    ident = lambda x: x.bitwiseAND(none)
+    tails = F.flatten(F.transform(ordered, lambda x: F.when(ident(x) != none, F.array(ident(x))).otherwise(_byte_tail(F.substring("word", (F.shiftright(x, LENGTH_AT) + 1).cast("int"), F.lit(1)), ids))))
+    return F.when(F.exists(ordered, lambda x: ident(x) == none), tails).otherwise(F.transform(ordered, ident))
 
 
 def _cell(begin: Column, end: Column, longest: int) -> Column:
@@ -389,14 +421,14 @@ class Chunk:
         self.rows.append(batch.select(range(3)))
         get = self.words.__getitem__
         for t in batch.column(3).to_pylist():
-            words = words_in(t)
+            words = bare_words_in(t)
             self.numbers.append(np.fromiter(map(get, words), np.int32, len(words)))
             self.sizes.append(len(words))
             self.letters += len(t)
 
     def row(self, chunk: int, cutter: Cutter, parts: int) -> pa.RecordBatch:
         """One row; segments are in order of the part that the hash of each belongs to."""
-        words, numbers, found = list(self.words), np.concatenate([np.zeros(0, np.int32), *self.numbers]), Numbers()
+        words, numbers, found = [w[1:] if w[:1] == " " else SPACE + w for w in self.words], np.concatenate([np.zeros(0, np.int32), *self.numbers]), Numbers()
         # The most frequent word first. Words that occur once come last, as they come in the texts, where a zero will do for each.
         n = np.bincount(numbers, minlength=len(words))
         order = np.argsort(-n, kind="stable")
@@ -492,8 +524,25 @@ def _frequent(codes: DataFrame, frequent: int) -> Column:
     return few & (step >= least) if least is not None else F.lit(False)
 
 
+@lru_cache(maxsize=4)
+def _flat_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What all ids stand for, one after the other, where each begins and how long it is."""
+    names = piece_bytes(path)
+    sizes = np.array([len(b) for b in names], np.int64)
+    return np.frombuffer(b"".join(names), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+
+def _decoded_lists(ids: np.ndarray, ends: np.ndarray, path: str) -> pa.Array:
+    """The bytes that lists of ids stand for: pieces and bytes put together."""
+    raw, begins, sizes = _flat_bytes(path)
+    long = sizes[ids]
+    out = raw[_runs(begins[ids], long)]
+    offsets = np.append(0, np.cumsum(long))[ends].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+
+
 def _coded(docs: DataFrame, path: str, id_col: str, text_col: str, frequent: int) -> DataFrame:
-    """(id, size, check, ids), one row per row of docs: bytes of the text as the model sees it, and their hash.
+    """(id, size, check, ids, back), one row per row of docs: bytes of the text as the model sees it, and their hash; the bytes that the ids stand for.
 
     Texts are read and cut once. Chunks wait in buckets for the ids of their segments: these meet by parts
     of all segments, and only they are sent, never the texts.
@@ -557,7 +606,7 @@ def _coded(docs: DataFrame, path: str, id_col: str, text_col: str, frequent: int
                     some = numbers[last[done] : last[to]]
                     flat = word[_runs(starts[some], long[some])]
                     ends = np.append(0, np.cumsum(long[some]))[last[done : to + 1] - last[done]].astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([*(x.slice(done, to - done) for x in docs_), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))], ["id", "size", "check", "ids"])
+                    yield pa.RecordBatch.from_arrays([*(x.slice(done, to - done) for x in docs_), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32())), _decoded_lists(flat, ends, path)], ["id", "size", "check", "ids", "back"])
                     done = to
 
     left = chunks.select("chunk", F.explode("parts").alias("p")).select("chunk", "p.part", "p.names")
@@ -565,7 +614,7 @@ def _coded(docs: DataFrame, path: str, id_col: str, text_col: str, frequent: int
     fills = left.groupBy("part").cogroup(right.groupBy("part")).applyInArrow(met, "chunk long, part int, lengths binary, fills binary")
     fills = fills.groupBy("chunk").agg(F.collect_list(F.struct("part", "lengths", "fills")).alias("fills"))
     done = chunks.join(fills.hint("shuffle_hash"), "chunk", "left").select("id", "size", "check", *BLOBS, F.col("parts"), "fills")
-    return done.mapInArrow(filled, f"id {own}, size long, check long, ids array<int>").withColumnRenamed("id", id_col)
+    return done.mapInArrow(filled, f"id {own}, size long, check long, ids array<int>, back binary").withColumnRenamed("id", id_col)
 
 
 def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
@@ -590,7 +639,7 @@ def document_codes(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     Null texts count as empty: no ids, and the round trip holds. Ids and whole rows may repeat.
     Other columns are not read.
     """
-    both = _coded(docs, path, id_col, text_col, frequent).withColumn("back", decoded_bytes(F.col("ids"), path))
+    both = _coded(docs, path, id_col, text_col, frequent)
     same = (F.octet_length("back") == F.col("size")) & (F.xxhash64("back") == F.col("check"))
     return both.select(id_col, F.size("ids").alias("n_pieces"), "ids", same.alias("round_trip"))
 
