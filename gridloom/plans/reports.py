@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from graphlib import TopologicalSorter
@@ -32,6 +33,22 @@ def reshaped(name: str, change: Callable[[DataFrame], DataFrame]) -> View:
     return View(change, (name,))
 
 
+#: Bytes that a task reads from a shuffle while tables are written: dense grids and leads make some 50 times as much of them.
+SHARE = "1m"
+
+
+@contextlib.contextmanager
+def _small_shares(spark: SparkSession):
+    """Keeps Spark from joining shuffled parts into as few tasks as there are cores, whose memory would grow with the input."""
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, SHARE)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
 def written(spark: SparkSession, views: Mapping[str, View], wanted: list[str], folder: str, kind: str = "csv") -> dict[str, DataFrame]:
     """The wanted views and all that they need, each written below folder after those that it needs, and read again in its own types. Needs that go in a circle, or that there are not, are errors."""
     graph: dict[str, tuple[str, ...]] = {}
@@ -46,7 +63,8 @@ def written(spark: SparkSession, views: Mapping[str, View], wanted: list[str], f
     out: dict[str, DataFrame] = {}
     for name in TopologicalSorter(graph).static_order():
         df = views[name].make(*(out[n] for n in graph[name]))
-        ingest.write_table(df, f"{folder}/{name}", kind)
+        with _small_shares(spark):
+            ingest.write_table(df, f"{folder}/{name}", kind)
         read = spark.read.schema(df.schema)
         out[name] = read.csv(f"{folder}/{name}", header=True) if kind == "csv" else getattr(read, kind)(f"{folder}/{name}")
     return out

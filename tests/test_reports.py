@@ -33,6 +33,20 @@ def test_each_view_is_made_once_after_its_needs(spark, tmp_path):
         written(spark, views, ["two"], f"{tmp_path}/p", "parquet")
 
 
+def test_shuffled_parts_are_not_joined_into_large_tasks(spark, tmp_path):
+    """Tasks of a written table read about a megabyte each, however few cores there are; the setting goes back afterwards."""
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before, parts = spark.conf.get(name, None), spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "32")
+        wide = View(lambda: spark.range(1_000_000).groupBy(F.xxhash64("id").alias("x")).agg(F.count("id").alias("n")).select("x", "n", F.spark_partition_id().alias("p")))
+        out = written(spark, {"wide": wide}, ["wide"], f"{tmp_path}/w")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert spark.conf.get(name, None) == before
+    assert out["wide"].count() == 1_000_000 and out["wide"].agg(F.count_distinct("p")).first()[0] > spark.sparkContext.defaultParallelism
+
+
 def test_circles_and_gaps_are_errors(spark, tmp_path):
     with pytest.raises(CycleError):
         written(spark, {"a": copied("b"), "b": copied("a")}, ["a"], str(tmp_path))
