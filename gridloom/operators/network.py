@@ -12,10 +12,12 @@ takes a second at least.)
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -212,6 +214,18 @@ def samples(features: DataFrame, *keep: str) -> DataFrame:
     return features.select(*keep, F.xxhash64("entity", "slot").alias("key"), flat.alias("x"), F.col("target").cast("float").alias("y"))
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df in four tasks a core: windows have few bytes and much work, so that by bytes Spark leaves all of them to one task."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
+def held(rows: DataFrame) -> DataFrame:
+    """Samples as an intermediate table, dealt out by their keys."""
+    path = scratch(rows.sparkSession, "samples")
+    dealt(rows, "key").write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def epoch(rows: DataFrame, weights: Weights, adam: dict | None, layers: Sequence[str], rate: float, settings: Settings, number: int) -> tuple[Weights, dict, float]:
     """Weights and moments after one pass over rows (key, x, y), dealt out and ordered anew by their keys, and the mean squared error on the way."""
 
@@ -234,8 +248,8 @@ def epoch(rows: DataFrame, weights: Weights, adam: dict | None, layers: Sequence
             kinds = [("w", {n: w[n] for n in s["m"]}), ("m", s["m"]), ("v", s["v"]), ("loss", {"": np.array([squares / seen])})]
             yield pd.DataFrame([(part, kind, n, s["t"], seen, v.astype(float).ravel().tolist()) for kind, d in kinds for n, v in d.items()], columns=["part", "kind", "name", "t", "n", "numbers"])
 
-    dealt = rows.select("key", "x", "y").withColumn("__turn", F.xxhash64("key", F.lit(settings.seed), F.lit(number))).repartition(settings.workers, "__turn").sortWithinPartitions("__turn", "key")
-    own = dealt.select("x", "y").mapInPandas(run, "part int, kind string, name string, t long, n long, numbers array<double>")
+    turns = rows.select("key", "x", "y").withColumn("__turn", F.xxhash64("key", F.lit(settings.seed), F.lit(number))).repartition(settings.workers, "__turn").sortWithinPartitions("__turn", "key")
+    own = turns.select("x", "y").mapInPandas(run, "part int, kind string, name string, t long, n long, numbers array<double>")
     total: dict[tuple[str, str], np.ndarray] = {}
     rows_of: dict[tuple[str, str], int] = {}
     taken = 0
@@ -308,17 +322,23 @@ def fitted(train: DataFrame, validation: DataFrame, weights: Weights, layers: Se
 
 
 def transfer(train: DataFrame, validation: DataFrame, strategies: Sequence[Strategy] = STRATEGIES, settings: Settings = Settings()) -> dict[str, Fit]:
-    """The fit of each strategy; train and validation are samples() with the columns of the strategies' predicates. Fits that start from another one's weights come after it and use the tuning rate. Without training samples a strategy keeps its start."""
-    spark, held = train.sparkSession, []
-    for df in (train, validation):
-        path = scratch(spark, "samples")
-        df.write.parquet(path)
-        held.append(spark.read.parquet(path))
+    """The fit of each strategy; train and validation are samples() with the columns of the strategies' predicates. Fits that start from another one's weights come after it and use the tuning rate; those that wait for none run side by side. Without training samples a strategy keeps its start."""
+    rows, checks = held(train), held(validation)
     fits: dict[str, Fit] = {}
-    for s in strategies:
-        start = {n: v.copy() for n, v in fits[s.start].weights.items()} if s.start else initial(settings.seed)
-        fits[s.name] = Fit(start)
-        if s.fit and not held[0].filter(s.fit).isEmpty():
-            fits[s.name] = fitted(held[0].filter(s.fit), held[1].filter(s.check), start, s.layers, settings.tuning_rate if s.start else settings.rate, settings)
-    return fits
 
+    def one(s: Strategy) -> Fit:
+        start = {n: v.copy() for n, v in fits[s.start].weights.items()} if s.start else initial(settings.seed)
+        if not s.fit or rows.filter(s.fit).isEmpty():
+            return Fit(start)
+        return fitted(rows.filter(s.fit), checks.filter(s.check), start, s.layers, settings.tuning_rate if s.start else settings.rate, settings)
+
+    waiting = list(strategies)
+    while waiting:
+        ready = [s for s in waiting if not s.start or s.start in fits]
+        if not ready:
+            raise ValueError(f"no strategy to start from: {', '.join(s.start for s in waiting)}")
+        with ThreadPoolExecutor(len(ready)) as pool:
+            runs = {s.name: pool.submit(inheritable_thread_target(one), s) for s in ready}
+        fits |= {n: run.result() for n, run in runs.items()}
+        waiting = [s for s in waiting if s.name not in fits]
+    return {s.name: fits[s.name] for s in strategies}

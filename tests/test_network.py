@@ -123,3 +123,17 @@ def test_samples_are_flat(spark):
     names = ["load", "a", "b", "c", "d", "e", "f", "g"]
     df = spark.range(2).select(F.col("id").alias("entity"), F.lit(3).alias("slot"), F.lit(1.5).alias("target"), F.array(*(F.struct(*(F.lit(float(8 * t + i)).alias(n) for i, n in enumerate(names))) for t in range(2))).alias("input"))
     assert [r["x"] for r in N.samples(df, "entity").collect()] == [[float(i) for i in range(16)]] * 2
+
+
+def test_windows_are_dealt_out_and_fits_side_by_side_are_those_alone(spark, monkeypatch):
+    """A table of few bytes is not left to one task; a fit does not depend on those beside it, nor on where its samples were."""
+    df, _, _ = rows(spark, 200, domain=("string", lambda i: "source" if i % 2 else "target"), recent=("boolean", lambda i: i % 3 == 0))
+    settings, files, fitted = N.Settings(batch=16, epochs=1, most_epochs=1, workers=2), [], N.fitted
+    monkeypatch.setattr(N, "fitted", lambda train, validation, *a: files.append((len(train.inputFiles()), len(validation.inputFiles()))) or fitted(train, validation, *a))
+    together = N.transfer(df.coalesce(1), df.coalesce(1), settings=settings)
+    assert list(together) == [s.name for s in N.STRATEGIES] and len(files) == 4 and min(map(min, files)) > 1
+    for s in (N.STRATEGIES[0], N.STRATEGIES[4]):
+        alone = N.transfer(df.repartition(3), df, [s], settings)[s.name]
+        assert all(np.array_equal(v, together[s.name].weights[n]) for n, v in alone.weights.items())
+    with pytest.raises(ValueError, match="source"):
+        N.transfer(df, df, [N.STRATEGIES[2]], settings)
