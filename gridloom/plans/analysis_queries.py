@@ -757,7 +757,7 @@ def bands_by_spec(spark, sf):
 
 @query("network_forecast")
 def network_forecast(spark, sf):
-    """The convolutional and recurrent forecaster under the five transfer strategies: windows of seven days, few epochs."""
+    """The convolutional and recurrent forecaster under the five transfer strategies, with the study's settings: windows of seven days."""
     from gridloom.operators import grid as G
     from gridloom.operators import network as N
 
@@ -765,6 +765,6 @@ def network_forecast(spark, sf):
     scale = g.filter("slot < 20").groupBy("entity").agg(F.avg("value").alias("mean"), F.greatest(F.stddev_pop("value"), F.lit(0.01)).alias("std"))
     windows = G.input_features(g, scale, 7, 1, ORIGIN, 86400).withColumn("domain", F.when(F.col("entity") % 2 == 0, "source").otherwise("target")).withColumn("recent", F.col("slot") >= 14)
     rows = N.held(N.samples(windows, "entity", "slot", "domain", "recent"))
-    fits = N.transfer(rows.filter("slot < 20"), rows.filter("slot between 20 and 23"), settings=N.Settings(batch=64, epochs=3, most_epochs=3))
+    fits = N.transfer(rows.filter("slot < 20"), rows.filter("slot between 20 and 23"))
     p = N.predicted(rows.filter("slot >= 24 and domain = 'target'"), {n: f.weights for n, f in fits.items()})
     return rounded(M.pooled(p.select("strategy", F.col("y").cast("double").alias("actual"), "predicted"), "strategy"), 4)

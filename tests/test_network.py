@@ -137,3 +137,20 @@ def test_windows_are_dealt_out_and_fits_side_by_side_are_those_alone(spark, monk
         assert all(np.array_equal(v, together[s.name].weights[n]) for n, v in alone.weights.items())
     with pytest.raises(ValueError, match="source"):
         N.transfer(df, df, [N.STRATEGIES[2]], settings)
+
+
+def test_query_trains_with_the_settings_of_the_study(spark, monkeypatch):
+    """No batch, epochs or rates of its own."""
+    from __spark_entry__ import queries
+    from tests.conftest import SF
+
+    seen = []
+
+    def fitted(train, validation, weights, layers, rate, settings):
+        seen.append((rate, settings))
+        return N.Fit(weights)
+
+    monkeypatch.setattr(N, "fitted", fitted)
+    queries()["network_forecast"](spark, SF)
+    assert N.Settings() == N.Settings(batch=512, rate=1e-3, tuning_rate=3e-5, clip=1.0, factor=0.5, plateau=2, least_rate=1e-6, patience=5, epochs=30, most_epochs=45, seed=42)
+    assert [s for _, s in seen] == [N.Settings()] * 4 and sorted(r for r, _ in seen) == [3e-5, 1e-3, 1e-3, 1e-3]
