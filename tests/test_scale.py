@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from gridloom.operators import profiles, warping
@@ -101,3 +102,27 @@ def test_warping_by_diagonals_in_tiles(monkeypatch):
                 corner, above, left = w[i - 1, j - 1], w[i - 1, j], w[i, j - 1]
                 i, j = (i, j - 1) if left < min(corner, above) else (i - 1, j) if above < corner else (i - 1, j - 1)
         assert (total == sums).all() and (count == numbers).all()
+
+
+def test_what_pairs_send_grows_with_profiles(spark, monkeypatch):
+    """Ten times the profiles: a block goes to as many tasks as before, and each entity has as many rows of sums. Parts of a block's distances come to the same."""
+    monkeypatch.setattr(profiles, "BLOCK", 2)
+    monkeypatch.setattr(profiles, "SIDE", 5)
+    sent = []
+    for n in (160, 1600):
+        df = spark.range(n).select(F.col("id").alias("entity"), F.array(F.col("id") * 1.0, F.col("id") % 7 * 1.0).alias("profile"))
+        met = profiles._block_pairs(df).select((F.size("block_x") + F.size("block_y")).alias("n")).agg(F.sum("n")).first()[0]
+        sent.append(met / n)
+    assert sent[0] == pytest.approx(sent[1], rel=0.1)
+    x = np.random.default_rng(3).normal(0, 1, (90, 3))
+    label = np.random.default_rng(3).integers(-2, 3, 90)
+    got = profiles.silhouette_of_profiles(spark.createDataFrame([(i, int(c), v.tolist()) for i, (c, v) in enumerate(zip(label, x))], "entity long, label int, profile array<double>")).first()
+    d, want = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), []
+    for i in range(90):
+        m = {c: d[i, (label == c) & (np.arange(90) != i)].mean() for c in set(label)}
+        outer = min(v for c, v in m.items() if c != label[i])
+        want.append((outer - m[label[i]]) / max(outer, m[label[i]]))
+    assert got["n"] == 90 and abs(got["silhouette"] - np.mean(want)) < 1e-9
+    pairs = profiles.dtw_pairs(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "entity long, profile array<double>")).collect()
+    assert {(r["a"], r["b"]) for r in pairs} == {(a, b) for a in range(90) for b in range(a + 1, 90)} and len(pairs) == 90 * 89 // 2
+    assert all(r["d"] == profiles.dtw_matrix(x[[r["a"]]], x[[r["b"]]])[0] for r in pairs[:200])
