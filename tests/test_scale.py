@@ -126,3 +126,16 @@ def test_what_pairs_send_grows_with_profiles(spark, monkeypatch):
     pairs = profiles.dtw_pairs(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "entity long, profile array<double>")).collect()
     assert {(r["a"], r["b"]) for r in pairs} == {(a, b) for a in range(90) for b in range(a + 1, 90)} and len(pairs) == 90 * 89 // 2
     assert all(r["d"] == profiles.dtw_matrix(x[[r["a"]]], x[[r["b"]]])[0] for r in pairs[:200])
+
+
+def test_short_arrays_advance_together(monkeypatch):
+    """All pairs of two sets are filled without a copy of a row for each pair, of few slots thousands at once, and come to the same as pair by pair."""
+    rng = np.random.default_rng(6)
+    seen, filled = [], warping._filled
+    monkeypatch.setattr(warping, "_filled", lambda a, b, *more: seen.append((a.shape, b.shape)) or filled(a, b, *more))
+    for slots, rows, shapes, steps in ((7, 64, 64, 1), (7, 3, 5000, 6), (48, 64, 64, 4), (48, 0, 3, 0)):
+        x, y = rng.normal(0, 1, (rows, slots)), rng.normal(0, 1, (shapes, slots))
+        seen.clear()
+        got = warping.all_squared(x, y)
+        assert len(seen) == steps and all(a[2] == b[1] == 1 for a, b in seen)
+        assert np.array_equal(got.ravel(), warping.squared(np.repeat(x, shapes, 0), np.tile(y, (rows, 1))))
